@@ -21,6 +21,15 @@ def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+#: Rows of a few numbers that one task of an iterative step takes.
+ROWS_PER_TASK = 200_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as many partitions as its known number of rows is worth, without a shuffle."""
+    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+
+
 def whole_text(name: str = "text") -> Column:
     """The text, a null counting as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

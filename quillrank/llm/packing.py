@@ -10,8 +10,8 @@ Then every round works on all unplaced pieces and all gaps at once:
    sequence has tokens, whatever the data;
 3. pieces of one size that want gaps of one size are told apart by rank and joined to
    gaps by (size, rank);
-4. gaps shrink by what they took, and the next round begins; pieces that no gap holds
-   get as many new sequences as their tokens fill.
+4. gaps shrink by what they took, and the next round begins; when most pieces find no
+   gap, they get as many new sequences as their tokens fill.
 
 Ranks are made in salted parts whose counts give the offsets, so a size that a third of
 all pieces have is ranked by many tasks. Null text has no tokens but the end mark;
@@ -28,46 +28,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import arrow_limits, whole_text
+from quillrank.llm.common import arrow_limits, few, whole_text
 from quillrank.session import cut
 
 LENGTH, END_ID = 2048, 0
 SALTS = 8
-#: Distinct words whose ids a task remembers before it forgets them all.
-CACHE_WORDS = 400_000
+#: New sequences are opened once a round would place less than this share of the pieces that find no gap.
+OPEN_BELOW = 0.3
 #: Characters for which the pre-tokenizer below surely agrees with the tokenizer's own.
 _PLAIN = "\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ‐-‧‰-⁞€"
 _WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class ByteTokens(dict):
-    """Text -> ids as little-endian uint32 bytes; a pre-token's ids are remembered, other texts go whole to the tokenizer."""
+class ByteTokens:
+    """Text -> ids as little-endian uint32 bytes.
+
+    Texts of plain characters go through a byte-pair encoder over the same vocabulary,
+    which is several times faster; all others go to the tokenizer itself.
+    """
 
     def __init__(self, path: str):
+        import json
+
         import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.plain = regex.compile(f"[{_PLAIN}]*")
-        self.words = regex.compile(_WORD)
+        self.plain = regex.compile(f"[{_PLAIN}]*+")
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        # Byte-level vocabularies write a byte as a printable character: itself, or one from 256 on.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(sorted(set(range(256)) - set(printable)))}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token) and not token.startswith("<|")}
+        self.encoder = tiktoken.Encoding("bytes", pat_str=_WORD, mergeable_ranks=ranks, special_tokens={})
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = self._encode(word)
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
-
     def of(self, text: str) -> bytes:
         if not self.plain.fullmatch(text):
             return self._encode(text)
-        return b"".join(map(self.__getitem__, self.words.findall(text)))
+        return np.array(self.encoder.encode_ordinary(text), "<u4").tobytes()
 
 
 _PIECES = "did long, piece int, start long, length long, crc long"
@@ -98,15 +102,26 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFr
     return docs.select(F.col("doc_id").cast("long").alias("did"), whole_text().alias("body")).mapInArrow(run, _PIECES)
 
 
-def ranked(rows: DataFrame, size: str, key: str) -> DataFrame:
+def counts_of(rows: DataFrame, size: str, key: str) -> list[tuple[int, int, int]]:
+    """(size, salt, rows): at most LENGTH * SALTS entries, whatever the data."""
+    return [tuple(r) for r in rows.groupBy(size, _salt(key).alias("salt")).count().collect()]
+
+
+def _salt(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
+
+
+def ranked(rows: DataFrame, size: str, key: str, counts: list[tuple[int, int, int]]) -> DataFrame:
     """``rows`` with their rank (from 0) among the rows of their size, without one task per size."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy(size, "salt").agg(F.count(F.lit(1)).alias("c"))
-    before = Window.partitionBy(size).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    # At most LENGTH * SALTS rows, whatever the data.
-    offsets = counts.select(size, "salt", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("o"))
+    offsets, last, at = [], None, 0
+    for s, salt, n in sorted(counts):
+        at = at if s == last else 0
+        offsets.append((s, salt, at))
+        last, at = s, at + n
+    table = F.broadcast(rows.sparkSession.createDataFrame(offsets, f"{size} int, salt int, o long"))
     inside = Window.partitionBy(size, "salt").orderBy(key)
-    return salted.withColumn("r", F.row_number().over(inside) - 1).join(F.broadcast(offsets), [size, "salt"]).withColumn("rank", F.col("r") + F.col("o")).drop("salt", "r", "o")
+    numbered = rows.withColumn("salt", _salt(key)).withColumn("r", F.row_number().over(inside) - 1)
+    return numbered.join(table, [size, "salt"]).withColumn("rank", F.col("r") + F.col("o")).drop("salt", "r", "o")
 
 
 def sweep(want: dict[int, int], have: dict[int, int]) -> tuple[list[tuple[int, int, int, int, int]], dict[int, int]]:
@@ -137,39 +152,39 @@ def sweep(want: dict[int, int], have: dict[int, int]) -> tuple[list[tuple[int, i
     return runs, left
 
 
-def pack(lengths: DataFrame, length: int = LENGTH) -> DataFrame:
+def pack(lengths: DataFrame, rows: int, length: int = LENGTH) -> DataFrame:
     """(pid, length) -> (pid, seq, place): a sequence and a gapless place in it for every piece.
 
     Sequences opened by a large piece carry its pid, those opened empty a negative number.
     """
     spark = lengths.sparkSession
+    lengths = few(lengths, rows)
     half = length // 2
     big = F.col("length") > half
     done = [lengths.where(big).select("pid", F.col("pid").alias("seq"), F.lit(0).cast("long").alias("place"))]
     gaps = lengths.where(big & (F.col("length") < length)).select(F.col("pid").alias("seq"), (length - F.col("length")).cast("int").alias("gap"))
     todo = lengths.where(~big).select("pid", F.col("length").cast("int").alias("size"))
     opened = 0
-    while True:
-        want = {r[0]: r[1] for r in todo.groupBy("size").count().collect()}
-        if not want:
-            break
+    while wanted := counts_of(todo, "size", "pid"):
+        want = _by_size(wanted)
         gaps = gaps.where(F.col("gap") >= min(want))
-        have = {r[0]: r[1] for r in gaps.groupBy("gap").count().collect()}
-        runs, left = sweep(want, have)
-        if not runs:
-            # No gap holds any of them: as many new sequences as their tokens fill.
-            new = max(1, -(-sum(s * n for s, n in left.items()) // length))
-            fresh = spark.range(opened + 1, opened + new + 1).select((-F.col("id")).alias("seq"), F.lit(length).alias("gap"))
+        held = counts_of(gaps, "gap", "seq")
+        runs, left = sweep(want, _by_size(held))
+        if sum(r[2] for r in runs) < OPEN_BELOW * sum(left.values()):
+            # Most find no gap: as many new sequences as their tokens fill.
+            new = -(-sum(s * n for s, n in left.items()) // length)
+            gaps = gaps.unionByName(few(spark.range(opened + 1, opened + new + 1), new).select((-F.col("id")).alias("seq"), F.lit(length).alias("gap")))
             opened += new
-            have[length] = have.get(length, 0) + new
-            gaps = gaps.unionByName(fresh)
-            runs, left = sweep(want, have)
+            held = counts_of(gaps, "gap", "seq")
+            runs, left = sweep(want, _by_size(held))
+        n_todo, n_gaps = sum(want.values()), sum(n for _, _, n in held)
         # At most as many runs as there are sizes of pieces and of gaps together.
         plan = F.broadcast(spark.createDataFrame(runs, "size int, at long, n long, gap int, g long"))
-        r = ranked(todo, "size", "pid")
-        met = cut(r.join(plan, (r["size"] == plan["size"]) & (r["rank"] >= plan["at"]) & (r["rank"] < plan["at"] + plan["n"]), "left").select("pid", r["size"], plan["gap"], (plan["g"] + r["rank"] - plan["at"]).alias("grank")))
-        g = ranked(gaps, "gap", "seq").withColumnRenamed("rank", "grank")
-        taken = cut(g.join(met.where("gap is not null"), ["gap", "grank"], "left").select("seq", "gap", "pid", "size"))
+        r = few(ranked(todo, "size", "pid", wanted), n_todo)
+        met = r.join(plan, (r["size"] == plan["size"]) & (r["rank"] >= plan["at"]) & (r["rank"] < plan["at"] + plan["n"]), "left")
+        met = cut(met.select("pid", r["size"], plan["gap"], (plan["g"] + r["rank"] - plan["at"]).alias("grank")))
+        g = few(ranked(gaps, "gap", "seq", held).withColumnRenamed("rank", "grank"), n_gaps)
+        taken = cut(few(g.join(met.where("gap is not null"), ["gap", "grank"], "left").select("seq", "gap", "pid", "size"), n_gaps))
         done.append(taken.where("pid is not null").select("pid", "seq", (length - F.col("gap")).cast("long").alias("place")))
         gaps = taken.select("seq", (F.col("gap") - F.coalesce("size", F.lit(0))).cast("int").alias("gap")).where("gap > 0")
         todo = met.where("gap is null").select("pid", "size")
@@ -181,10 +196,17 @@ def pack(lengths: DataFrame, length: int = LENGTH) -> DataFrame:
     return out
 
 
+def _by_size(counts: list[tuple[int, int, int]]) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for s, _, n in counts:
+        out[s] = out.get(s, 0) + n
+    return out
+
+
 def packed(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     every = cut(pieces(docs, tokenizer_path, length).withColumn("pid", F.monotonically_increasing_id()))
-    places = pack(every.select("pid", "length"), length)
+    places = pack(every.select("pid", "length"), every.count(), length)
     return every.join(places, "pid").select(
         F.col("did").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), F.col("seq").alias("sequence_id"), F.col("place").alias("offset")
     )
