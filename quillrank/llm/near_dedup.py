@@ -10,10 +10,12 @@ errors.) Every link is confirmed on the full sets; the signature decides nothing
 Pairs inside a key's bucket are never expanded:
 * equal sets are one class from the start;
 * in each bucket the members are compared with its smallest member only (a star);
-* then only buckets that still hold several components are looked at, and in them only
-  pairs of different components, nearest signatures first, in rounds that end with all
-  such pairs compared or joined. So components are those of the full link graph.
-A bucket too large for a task is split again by the keys of its other chunks.
+* then only buckets that still hold several components are looked at. Components with
+  members near each other there form a cluster, told by spanning edges; a cluster's
+  texts come together, and its members of different components are compared until they
+  are joined or all compared. So components are those of the full link graph.
+A bucket too large for a task is split again by the keys of its other chunks, and a
+cluster too large for a task is compared pair by pair over all tasks.
 
 Rows without words have no set and link with nothing; rows with a null id too (their
 component is null, they are kept). Rows that share an id are one document, with the
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import U64, arrow_limits, buffers, keyed, mix, slices
+from quillrank.llm.common import U64, arrow_limits, buffers, few, keyed, mix, slices
 from quillrank.llm.shingles import shared, shingle_sets
 from quillrank.session import cut
 
@@ -39,12 +41,10 @@ from quillrank.session import cut
 PERCENT = 75
 CHUNKS, CHUNK = 12, 4
 SYMBOLS = CHUNKS * CHUNK
-#: Symbols by which a pair compared after the stars may differ (a linked pair differs in more with a chance of 2e-8).
-MAX_DISTANCE = 33
-#: Members up to which a bucket is compared in one task.
-BUCKET = 4096
-#: Nearest members compared with each member of another component, by round; the last round compares all.
-NEAREST = (4, 64, None)
+#: Symbols by which a pair compared after the stars may differ (a linked pair differs in more with a chance of 3e-7).
+MAX_DISTANCE = 27
+#: Members up to which a bucket, and a cluster, is compared in one task.
+BUCKET, CLUSTER = 4096, 20_000
 
 _rng = np.random.default_rng(48)
 _A = (_rng.integers(0, 1 << 31, SYMBOLS) * 2 + 1).astype(np.uint32)
@@ -125,39 +125,97 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the smallest label among neighbours, then jumps to that label's label.
     """
     arcs = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(arcs.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("comp")))
+    n = arcs.count()
+    arcs = few(arcs, n)
+    labels = cut(few(arcs.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), n))
     while True:
-        near = arcs.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        hooked = labels.join(near, labels["id"] == near["a"]).select("id", "comp", F.least("comp", "m").alias("new"))
+        near = few(arcs.join(labels.withColumnRenamed("id", "b"), "b").select("a", "comp"), n).groupBy("a").agg(F.min("comp").alias("m"))
+        hooked = few(labels.join(near, labels["id"] == near["a"]).select("id", "comp", F.least("comp", "m").alias("new")), n)
         jump = labels.select(F.col("id").alias("new"), F.col("comp").alias("jumped"))
-        step = cut(hooked.join(jump, "new").select("id", "comp", F.least("new", "jumped").alias("next")))
+        step = cut(few(hooked.join(jump, "new").select("id", "comp", F.least("new", "jumped").alias("next")), n))
         moved = step.where(F.col("next") != F.col("comp")).limit(1).count()
         labels = step.select("id", F.col("next").alias("comp"))
         if not moved:
             return labels
 
 
-def _cross_pairs(nearest: int | None):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["comp", "id"], ignore_index=True)
-        ids, comp = group["id"].to_numpy(), group["comp"].to_numpy()
-        sig = np.frombuffer(b"".join(group["sig"]), "<u2").reshape(len(ids), SYMBOLS)
-        left, right = [], []
-        for i in range(len(ids) - 1):
-            # Members are in order of component: those of other components stand after this one's.
-            j = int(np.searchsorted(comp, comp[i], side="right"))
-            if j == len(ids):
-                break
-            d = np.count_nonzero(sig[j:] != sig[i], axis=1)
-            near = np.flatnonzero(d <= MAX_DISTANCE)
-            if nearest and len(near) > nearest:
-                near = near[np.argpartition(d[near], nearest)[:nearest]]
-            left.append(np.full(len(near), ids[i]))
-            right.append(ids[j + near])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+def _near(sig: np.ndarray, i: int, j: int) -> np.ndarray:
+    """Rows from ``j`` on whose signature is near that of row ``i``."""
+    return j + np.flatnonzero(np.count_nonzero(sig[j:] != sig[i], axis=1) <= MAX_DISTANCE)
+
+
+def _symbols(sigs: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), "<u2").reshape(len(sigs), SYMBOLS)
+
+
+class _Sets(dict):
+    """Disjoint sets over whatever is asked for."""
+
+    def __missing__(self, x):
+        return x
 
-    return run
+    def root(self, x):
+        while (y := self[x]) != x:
+            self[x] = self[y]
+            x = y
+        return x
+
+    def join(self, x, y) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self[max(x, y)] = min(x, y)
+        return True
+
+
+def _near_components(group: pd.DataFrame) -> pd.DataFrame:
+    """Spanning edges between components that have near members in a bucket."""
+    group = group.sort_values("comp", ignore_index=True)
+    comp, sig, sets, out = group["comp"].to_numpy(), _symbols(group["sig"]), _Sets(), []
+    for i in range(len(comp)):
+        # Rows are in order of component: those of other components stand after this one's.
+        j = int(np.searchsorted(comp, comp[i], side="right"))
+        if j == len(comp):
+            break
+        for c in np.unique(comp[_near(sig, i, j)]).tolist():
+            if sets.join(int(comp[i]), c):
+                out.append((int(comp[i]), c))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _near_pairs(group: pd.DataFrame) -> pd.DataFrame:
+    """All near pairs of a bucket that stand in different components of one cluster."""
+    out = []
+    for _, part in group.sort_values(["cluster", "comp"]).groupby("cluster"):
+        ids, comp, sig = part["id"].to_numpy(), part["comp"].to_numpy(), _symbols(part["sig"])
+        for i in range(len(ids)):
+            j = int(np.searchsorted(comp, comp[i], side="right"))
+            out += [(min(ids[i], x), max(ids[i], x)) for x in ids[_near(sig, i, j)].tolist()]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _solve(group: pd.DataFrame) -> pd.DataFrame:
+    """Links that join the components of a cluster, from the full sets of its members."""
+    group = group.sort_values(["comp", "id"], ignore_index=True)
+    ids, comp, sig = group["id"].to_numpy(), group["comp"].to_numpy(), _symbols(group["sig"])
+    made: dict[int, np.ndarray] = {}
+
+    def full(i: int) -> np.ndarray:
+        if i not in made:
+            text = np.frombuffer(zlib.decompress(group["z"].iat[i]), np.uint8)
+            made[i] = shingle_sets(text, np.array([0, len(text)]))[0]
+        return made[i]
+
+    sets, out = _Sets(), []
+    for i in range(len(ids)):
+        j = int(np.searchsorted(comp, comp[i], side="right"))
+        for k in _near(sig, i, j).tolist():
+            if sets.root(int(comp[i])) != sets.root(int(comp[k])):
+                both = shared(full(i), full(k))
+                if 100 * both >= PERCENT * (len(full(i)) + len(full(k)) - both):
+                    sets.join(int(comp[i]), int(comp[k]))
+                    out.append((int(ids[i]), int(ids[k])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def _split(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -169,8 +227,8 @@ def _split(members: DataFrame, classes: DataFrame) -> DataFrame:
     return small.unionByName(finer.select(*small.columns))
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """Links (a, b) that join the classes' components, or None if there are none.
+def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) that join the classes' components.
 
     ``classes`` has (id, uid, sig), one row per distinct set.
     """
@@ -184,20 +242,19 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
     stars = members.where(F.col("id") != F.col("lowest")).select(F.col("lowest").alias("a"), F.col("id").alias("b")).distinct()
     known = confirm(stars, texts)
     found = known.where("ok").select("a", "b")
+    labels = components(found)
     # Only buckets with a pair that no star has compared are looked at again.
     rest = _split(members.where("g > 2").select("key", "id"), classes)
-    for nearest in NEAREST:
-        labels = components(found)
-        l = labels.alias("l")
-        now = rest.join(l, "id", "left").select("key", "id", F.coalesce("l.comp", "id").alias("comp"))
-        mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        active = now.join(mixed, "key").join(classes.select("id", "sig"), "id")
-        pairs = active.groupBy("key").applyInPandas(_cross_pairs(nearest), "a long, b long").distinct()
-        pairs = cut(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"))
-        if pairs.limit(1).count():
-            more = confirm(pairs, texts)
-            known, found = known.unionByName(more), found.unionByName(more.where("ok").select("a", "b"))
-    return found
+    now = rest.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    active = cut(now.join(mixed, "key").join(classes.select("id", "sig"), "id").select("key", "id", "comp", "sig"))
+    clusters = components(active.select("key", "comp", "sig").groupBy("key").applyInPandas(_near_components, "a long, b long"))
+    clusters = clusters.select(F.col("id").alias("comp"), F.col("comp").alias("cluster"))
+    placed = cut(active.select("id", "comp", "sig").dropDuplicates(["id"]).join(clusters, "comp"))
+    large = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CLUSTER).select("cluster")
+    solved = placed.join(large, "cluster", "left_anti").join(texts, "id").groupBy("cluster").applyInPandas(_solve, "a long, b long")
+    pairs = active.join(clusters, "comp").join(large, "cluster", "left_semi").groupBy("key").applyInPandas(_near_pairs, "a long, b long").distinct()
+    return found.unionByName(cut(solved)).unionByName(confirm(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), texts).where("ok").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -420,7 +420,7 @@ def test_near_dedup_borderline_family(spark, monkeypatch):
     table = spark.createDataFrame(part, "doc_id long, text string")
     check_components(by_id(near_dedup.near_duplicates(table)), part)
     monkeypatch.setattr(near_dedup, "BUCKET", 8)  # the way for large buckets
-    monkeypatch.setattr(near_dedup, "NEAREST", (2, None))
+    monkeypatch.setattr(near_dedup, "CLUSTER", 8)  # and for large clusters
     check_components(by_id(near_dedup.near_duplicates(table)), part)
 
 
