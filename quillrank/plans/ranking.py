@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.functions.vectors import dot, doubles, unit
+from quillrank.functions.vectors import doubles, unit
 
 # Fixed values of the score.
 KERNEL_NEIGHBOURS, LOCAL_NEIGHBOURS, KERNEL_POWER, RECENCY_YEARS = 40, 5, 8, 8.0
@@ -34,18 +34,14 @@ _NEAR = "id long, read_id long, sim double"
 def baseline(reads: DataFrame, candidates: DataFrame) -> DataFrame:
     """42 + 48 * nearest liked - 24 * nearest disliked + 7 if the author was liked.
 
-    reads: id, author, rating, vec; candidates: id, author, vec.
+    reads: id, identity, author, rating, vec; candidates: id, identity, author, vec.
     """
-    r = reads.select(F.col("author").alias("ra"), "rating", unit(doubles(F.col("vec"))).alias("rv"))
-    c = candidates.select("id", "author", unit(doubles(F.col("vec"))).alias("cv"))
-    sims = c.crossJoin(F.broadcast(r)).select("id", "author", "ra", "rating", dot(F.col("cv"), F.col("rv")).alias("sim"))
-    near = sims.groupBy("id", "author").agg(
-        F.coalesce(F.max(F.when(F.col("rating") >= LIKED, F.col("sim"))), F.lit(0.25)).alias("up"),
-        F.coalesce(F.max(F.when(F.col("rating") <= DISLIKED, F.col("sim"))), F.lit(0.0)).alias("down"),
-        F.coalesce(F.max(F.when((F.col("rating") >= LIKED) & (F.col("ra") == F.col("author")), 1)), F.lit(0)).alias("liked"),
-    )
-    score = 42 + 48 * F.col("up") - 24 * F.col("down") + 7 * F.col("liked")
-    return near.select("id", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), score)), 6).alias("score"))
+    near = near_reads(reads, candidates).join(reads.select(F.col("id").alias("read_id"), "rating"), "read_id")
+    best = near.groupBy("id").agg(F.max(F.when(F.col("rating") >= LIKED, F.col("sim"))).alias("up"), F.max(F.when(F.col("rating") <= DISLIKED, F.col("sim"))).alias("down"))
+    liked = reads.where(F.col("rating") >= LIKED).select("author", F.lit(1).alias("liked")).distinct()
+    rows = candidates.select("id", "author").join(best, "id", "left").join(liked, "author", "left")
+    score = 42 + 48 * F.coalesce("up", F.lit(0.25)) - 24 * F.coalesce("down", F.lit(0.0)) + 7 * F.coalesce("liked", F.lit(0))
+    return rows.select("id", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), score)), 6).alias("score"))
 
 
 def near_reads(history: DataFrame, candidates: DataFrame, leave_one_out: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -106,7 +102,7 @@ def score_candidates(reads: DataFrame, candidates: DataFrame, leave_one_out: boo
     source_weight, confidence.
     """
     history = history_of(reads)
-    near = near_reads(history, candidates, leave_one_out).join(F.broadcast(history.select(F.col("id").alias("read_id"), "rating", "day")), "read_id")
+    near = near_reads(history, candidates, leave_one_out).join(history.select(F.col("id").alias("read_id"), "rating", "day"), "read_id")
     nearest = Window.partitionBy("id").orderBy(F.col("sim").desc(), "read_id")
     liked = Window.partitionBy("id", F.col("rating") >= LIKED).orderBy(F.col("sim").desc(), "read_id")
     near = near.withColumn("n", F.row_number().over(nearest)).withColumn("m", F.row_number().over(liked))
