@@ -174,10 +174,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts: the one with the largest id."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_sha", F.sha2(_ascii_lower(), 256))
-    once = marked.join(kept, marked["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (marked["_sha"] == kept["_sha"]), "left_semi")
-    return once.drop("_sha").dropDuplicates(["doc_id"])
+    # One key, so that the join's partitioning serves the removal of repeated rows too.
+    key = lambda sha: F.concat_ws(":", F.col("doc_id").cast("long").cast("string"), sha)
+    kept = exact_groups(docs).where("kept").select(key(F.col("text_sha256")).alias("_key"))
+    marked = docs.withColumn("_key", key(F.sha2(_ascii_lower(), 256)))
+    return marked.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def _ascii_lower():

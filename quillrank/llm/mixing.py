@@ -169,7 +169,9 @@ def mixture_per_document(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: a row per copy, partitioned by shard and in the shard's order."""
-    homes = mix(docs).select(F.col("doc_id").alias("_id"), F.col("place").alias("_place"), "shard", "order_in_shard")
-    marked = docs.withColumn("_key", _place(SEED)).dropDuplicates(["_key", "doc_id"])
-    both = marked.join(homes, marked["doc_id"].cast("long").eqNullSafe(homes["_id"]) & (marked["_key"] == homes["_place"]))
+    # One key, so that the removal of repeated rows and the join share a partitioning.
+    key = lambda place: F.concat_ws(":", F.col("doc_id").cast("long").cast("string"), place.cast("string")).alias("_key")
+    homes = mix(docs).select(key(F.col("place")), "shard", "order_in_shard")
+    marked = docs.select(key(_place(SEED)), *docs.columns).dropDuplicates(["_key"])
+    both = marked.join(homes, "_key")
     return both.repartition("shard", F.pmod("order_in_shard", F.lit(8))).sortWithinPartitions("shard", "order_in_shard").select(*docs.columns)
