@@ -1,6 +1,6 @@
 """The registry of queries and the SQL that checks them."""
 
-from quillrank.queries import learning, ranking, relational, scalars, streams  # noqa: F401
+from quillrank.queries import audits, learning, ranking, relational, scalars, streams  # noqa: F401
 from quillrank.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

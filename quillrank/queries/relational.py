@@ -82,12 +82,12 @@ def greedy_identity_dedup(spark, sf):
     return J.greedy_by_keys(k, "block", "id", "place").select("id", "block")
 
 
-@query(f"WITH {_PARTS}, t AS (SELECT id AS target, concat('m', id % 97) AS key, 2 AS method FROM k WHERE id % 5 = 0 UNION ALL SELECT id, title, 1 FROM k WHERE id % 5 = 0), i AS (SELECT id, concat('m', id % 97) AS key FROM k WHERE id % 5 = 1 UNION ALL SELECT id, title FROM k WHERE id % 5 = 1) SELECT id, CAST(min(target) AS BIGINT) AS target, min(method) AS method FROM i JOIN t USING (key) GROUP BY id HAVING count(DISTINCT target) = 1")
+@query(f"WITH {_PARTS}, t AS (SELECT id AS target, concat('m', id % 397) AS key, 2 AS method FROM k WHERE id % 5 = 0 UNION ALL SELECT id, concat('t', id % 991), 1 FROM k WHERE id % 5 = 0), i AS (SELECT id, concat('m', id % 397) AS key FROM k WHERE id % 5 = 1 UNION ALL SELECT id, concat('t', id % 991) FROM k WHERE id % 5 = 1) SELECT id, CAST(min(target) AS BIGINT) AS target, min(method) AS method FROM i JOIN t USING (key) GROUP BY id HAVING count(DISTINCT target) = 1")
 def unambiguous_target(spark, sf):
     k = _parts(spark, sf)
-    mod = F.concat(F.lit("m"), (F.col("id") % 97).cast("string"))
-    t = k.where("id % 5 = 0").select(F.col("id").cast("long").alias("target"), mod.alias("key"), F.lit(2).alias("method")).unionByName(k.where("id % 5 = 0").select(F.col("id").cast("long").alias("target"), F.col("title").alias("key"), F.lit(1).alias("method")))
-    i = k.where("id % 5 = 1").select("id", mod.alias("key")).unionByName(k.where("id % 5 = 1").select("id", F.col("title").alias("key")))
+    mod, other = (F.concat(F.lit(c), (F.col("id") % n).cast("string")) for c, n in (("m", 397), ("t", 991)))
+    t = k.where("id % 5 = 0").select(F.col("id").cast("long").alias("target"), mod.alias("key"), F.lit(2).alias("method")).unionByName(k.where("id % 5 = 0").select(F.col("id").cast("long").alias("target"), other.alias("key"), F.lit(1).alias("method")))
+    i = k.where("id % 5 = 1").select("id", mod.alias("key")).unionByName(k.where("id % 5 = 1").select("id", other.alias("key")))
     return J.unambiguous(i, t, "id", "target", "key", "method")
 
 
