@@ -174,4 +174,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     homes = mix(docs).select(key(F.col("place")), "shard", "order_in_shard")
     marked = docs.select(key(_place(SEED)), *docs.columns).dropDuplicates(["_key"])
     both = marked.join(homes, "_key")
-    return both.repartition("shard", F.pmod("order_in_shard", F.lit(8))).sortWithinPartitions("shard", "order_in_shard").select(*docs.columns)
+    # Slices of a shard follow the cluster's number of partitions, so none grows with the input.
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(partitions, "shard", F.pmod("order_in_shard", F.lit(max(8, 4 * partitions // SHARDS)))).sortWithinPartitions("shard", "order_in_shard").select(*docs.columns)
