@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillrank.session import cut
+
 
 def latest_before(left: DataFrame, right: DataFrame, on: str, before: Column, order: list[Column], key: str) -> DataFrame:
     """Each left row (by ``key``) with the last right row of its group for which ``before`` holds.
@@ -47,3 +49,26 @@ def greedy_by_keys(items: DataFrame, blocks: str, key: str, order: str, keys: st
 
     kept = items.select(blocks, key, order, keys).groupBy(blocks).applyInPandas(decide, f"{key} long")
     return items.join(kept, key, "left_semi")
+
+
+def greedy_rounds(items: DataFrame, key: str, order: list[Column], keys: str = "keys") -> DataFrame:
+    """As ``greedy_by_keys``, of any size: in ``order`` (then ``key``), an item stays if none of its keys is one of an item that stayed.
+
+    In a round, items first at each of their keys stay and what shares a key with them
+    goes; both are what the row-by-row pass decides. A round is two aggregations by key.
+    The number of rounds is that of the longest chain of items each waiting for the one
+    before it. Items without keys stay.
+    """
+    arcs = cut(items.select(key, F.struct(*[c.alias(f"o{n}") for n, c in enumerate(order)], F.col(key).alias("k")).alias("_o"), F.explode(F.array_distinct(F.array_compact(keys))).alias("_k")))
+    lost = None
+    while not arcs.isEmpty():
+        least = arcs.groupBy("_k").agg(F.min("_o").alias("_m"))
+        first = arcs.join(least, "_k").groupBy(key).agg(F.bool_and(F.col("_o") == F.col("_m")).alias("_stays")).where("_stays").select(key)
+        taken = arcs.join(first, key, "left_semi").select("_k").distinct()
+        # One pass says of each item whether it is among the first, met their keys, or waits.
+        hit = arcs.join(taken, "_k", "left_semi").select(key).distinct()
+        gone = cut(hit.join(first.withColumn("_stays", F.lit(True)), key, "left"))
+        out = gone.where("_stays is null").select(key)
+        lost = out if lost is None else lost.unionByName(out)
+        arcs = cut(arcs.join(gone.select(key), key, "left_anti"))
+    return items if lost is None else items.join(lost, key, "left_anti")

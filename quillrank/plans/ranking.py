@@ -23,7 +23,7 @@ from quillrank.functions.vectors import doubles, unit
 
 # Fixed values of the score.
 KERNEL_NEIGHBOURS, LOCAL_NEIGHBOURS, KERNEL_POWER, RECENCY_YEARS = 40, 5, 8, 8.0
-KERNEL_PER_STAR, RECENCY_PER_STAR, FULL_HISTORY, ESS_PRIOR, AUTHOR_PRIOR = 10.0, 20.0, 100.0, 5.0, 5.0
+KERNEL_PER_STAR, RECENCY_PER_STAR, FULL_HISTORY, ESS_PRIOR, AUTHOR_PRIOR, AUTHOR_WEIGHT = 10.0, 20.0, 100.0, 5.0, 5.0, 3.5
 LIKED, DISLIKED = 4.0, 2.0
 #: Rows of history that one broadcast holds.
 BLOCK_ROWS = 20_000
@@ -44,7 +44,7 @@ def baseline(reads: DataFrame, candidates: DataFrame) -> DataFrame:
     return rows.select("id", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), score)), 6).alias("score"))
 
 
-def near_reads(history: DataFrame, candidates: DataFrame, leave_one_out: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_reads(history: DataFrame, candidates: DataFrame, leave_one_out: bool = False, block_rows: int = BLOCK_ROWS, disliked: int = 1) -> DataFrame:
     """(id, read_id, sim): for each candidate the reads that its score can depend on.
 
     history: id, identity, rating, vec; candidates: id, identity, vec.
@@ -73,7 +73,7 @@ def near_reads(history: DataFrame, candidates: DataFrame, leave_one_out: bool =
                     same = np.array(batch.column("identity").to_pylist(), object)[:, None] == identities[None, :]
                     sims = np.where(same, -np.inf, sims)
                 want = np.zeros(sims.shape, bool)
-                for mask, k in ((np.ones(len(ids), bool), KERNEL_NEIGHBOURS), (ratings >= LIKED, LOCAL_NEIGHBOURS), (ratings <= DISLIKED, 1)):
+                for mask, k in ((np.ones(len(ids), bool), KERNEL_NEIGHBOURS), (ratings >= LIKED, LOCAL_NEIGHBOURS), (ratings <= DISLIKED, disliked)):
                     at = np.flatnonzero(mask)
                     if len(at):
                         # Stable by id: reads stand in order of id.
@@ -95,14 +95,17 @@ def history_of(reads: DataFrame) -> DataFrame:
     return rated.withColumn("_n", F.row_number().over(Window.partitionBy("identity").orderBy("id"))).where("_n = 1").drop("_n")
 
 
-def score_candidates(reads: DataFrame, candidates: DataFrame, leave_one_out: bool = False) -> DataFrame:
+def score_candidates(reads: DataFrame, candidates: DataFrame, leave_one_out: bool = False, ess_prior: float = ESS_PRIOR, author_prior: float = AUTHOR_PRIOR, author_weight: float = AUTHOR_WEIGHT, disliked: int = 1) -> DataFrame:
     """id, raw score, served score (one decimal), and the terms.
 
+    The studied variants differ by a parameter: no prior on the kernel's sample size
+    (``ess_prior`` 0), a stronger author, a penalty by the mean of several disliked reads.
+
     reads: id, identity, author, rating, day, vec; candidates: id, identity, author, vec,
     source_weight, confidence.
     """
     history = history_of(reads)
-    near = near_reads(history, candidates, leave_one_out).join(history.select(F.col("id").alias("read_id"), "rating", "day"), "read_id")
+    near = near_reads(history, candidates, leave_one_out, disliked=disliked).join(history.select(F.col("id").alias("read_id"), "rating", "day"), "read_id")
     nearest = Window.partitionBy("id").orderBy(F.col("sim").desc(), "read_id")
     liked = Window.partitionBy("id", F.col("rating") >= LIKED).orderBy(F.col("sim").desc(), "read_id")
     near = near.withColumn("n", F.row_number().over(nearest)).withColumn("m", F.row_number().over(liked))
@@ -114,10 +117,16 @@ def score_candidates(reads: DataFrame, candidates: DataFrame, leave_one_out: boo
     near = near.withColumn("rw", F.when(kernel, F.col("w") * F.exp(-F.coalesce("age", "middle", F.lit(0.0)) / RECENCY_YEARS)))
     local = F.when(F.col("n") <= LOCAL_NEIGHBOURS, F.greatest(F.col("sim"), F.lit(0.0)) + 1e-4)
     up = F.when((F.col("rating") >= LIKED) & (F.col("m") <= LOCAL_NEIGHBOURS), F.greatest(F.col("sim"), F.lit(0.0)) + 1e-4)
+    bad = F.col("rating") <= DISLIKED
+    down = F.max(F.when(bad, F.col("sim")))
+    if disliked > 1:
+        near = near.withColumn("b", F.row_number().over(Window.partitionBy("id", bad).orderBy(F.col("sim").desc(), "read_id")))
+        penalty = F.when(bad & (F.col("b") <= disliked), F.greatest(F.col("sim"), F.lit(0.0)) + 1e-4)
+        down = F.sum(penalty * F.col("sim")) / F.sum(penalty)
     mean = lambda w: F.sum(w * F.col("rating")) / F.sum(w)
     terms = near.groupBy("id").agg(
         (F.sum(up * F.col("sim")) / F.sum(up)).alias("up"),
-        F.max(F.when(F.col("rating") <= DISLIKED, F.col("sim"))).alias("down"),
+        down.alias("down"),
         mean(local).alias("local"), mean(F.col("w")).alias("kernel"), mean(F.col("rw")).alias("recent"),
         (F.pow(F.sum("w"), 2) / F.sum(F.col("w") * F.col("w"))).alias("ess"), F.max("sim").alias("best"),
     )
@@ -136,10 +145,10 @@ def score_candidates(reads: DataFrame, candidates: DataFrame, leave_one_out: boo
     ramp = F.least(F.lit(1.0), F.col("hn") / FULL_HISTORY)
     kernel_, recent_ = F.when(some, F.col("kernel")).otherwise(F.col("mean")), F.when(some, F.col("recent")).otherwise(F.col("mean"))
     ess = F.when(some, F.col("ess")).otherwise(0.0)
-    author = F.when(F.coalesce("an", F.lit(0)) > 0, (F.col("as_") + AUTHOR_PRIOR * F.col("mean")) / (F.col("an") + AUTHOR_PRIOR) - F.col("mean")).otherwise(0.0)
+    author = F.when(F.coalesce("an", F.lit(0)) > 0, (F.col("as_") + author_prior * F.col("mean")) / (F.col("an") + author_prior) - F.col("mean")).otherwise(0.0)
     score = (
-        42 + 48 * F.coalesce("up", F.lit(0.25)) - 24 * F.coalesce("down", F.lit(0.0)) + 3.5 * (F.when(some, F.col("local")).otherwise(3.0) - 3) + 3.5 * author
-        + KERNEL_PER_STAR * ramp * (kernel_ - F.col("mean")) * ess / (ess + ESS_PRIOR) + RECENCY_PER_STAR * ramp * (recent_ - kernel_) + 5 * (F.coalesce("source_weight", F.lit(1.0)) - 1)
+        42 + 48 * F.coalesce("up", F.lit(0.25)) - 24 * F.coalesce("down", F.lit(0.0)) + 3.5 * (F.when(some, F.col("local")).otherwise(3.0) - 3) + author_weight * author
+        + KERNEL_PER_STAR * ramp * (kernel_ - F.col("mean")) * (ess / (ess + ess_prior) if ess_prior else 1.0) + RECENCY_PER_STAR * ramp * (recent_ - kernel_) + 5 * (F.coalesce("source_weight", F.lit(1.0)) - 1)
     )
     held = F.least(F.lit(100.0), F.greatest(F.lit(0.0), 50 + F.coalesce("confidence", F.lit(1.0)) * (score - 50)))
     return c.select("id", F.round(held, 6).alias("raw_score"), F.round(F.round(held, 6), 1).alias("score"), F.round(ess, 4).alias("ess"))

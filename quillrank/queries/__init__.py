@@ -1,6 +1,6 @@
 """The registry of queries and the SQL that checks them."""
 
-from quillrank.queries import audits, catalog, learning, ledgers, ranking, relational, scalars, streams, studies  # noqa: F401
+from quillrank.queries import audits, catalog, gates, learning, ledgers, ranking, relational, scalars, streams, studies  # noqa: F401
 from quillrank.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
