@@ -45,11 +45,13 @@ def safe_cover(url: Column, source: Column) -> Column:
 
 def store_isbn(url: Column) -> Column:
     """The ISBN-13 that a store's product link names in its path or query, else null. Only hosts with the store's label count."""
-    path = F.url_decode(F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "%(?![0-9A-Fa-f]{2})", "%25"))
+    # By pattern: a link with a stray % isn't a URL to Spark's parser, but stores serve it.
+    part = lambda n: F.coalesce(F.regexp_extract(url, r"^(?i)https?://(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*([^?#]*)(?:\?([^#]*))?", n), F.lit(""))
+    path = F.url_decode(F.regexp_replace(part(2), "%(?![0-9A-Fa-f]{2})", "%25"))
     named = F.regexp_extract_all(path, F.lit(r"(?i)/(?:dp|gp/(?:product|aw/d|aw/dp))/([^/?#]+)"), F.lit(1))
-    asked = F.regexp_extract_all(F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")), F.lit(r"(?i)(?:^|&)(?:isbn13|isbn10|isbn|asin)=([^&]+)"), F.lit(1))
+    asked = F.regexp_extract_all(part(3), F.lit(r"(?i)(?:^|&)(?:isbn13|isbn10|isbn|asin)=([^&]+)"), F.lit(1))
     codes = F.array_compact(F.transform(F.concat(named, asked), isbn13))
-    return F.when(F.array_contains(F.split(_host(url), r"\."), "amazon"), F.get(codes, 0))
+    return F.when(F.array_contains(F.split(F.lower(part(1)), r"\."), "amazon"), F.get(codes, 0))
 
 
 def cover_of(kind: str, value: Column, size: str = "L") -> Column:
