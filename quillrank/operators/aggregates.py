@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillrank.operators.windows import prefix_sums
+
 Z = 1.96
 
 
@@ -20,19 +22,20 @@ def rank_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None)
     """AUC by tie-averaged ranks: one sort, no pairs. Groups are counted over distinct scores first."""
     by = by or []
     steps = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1) if by else Window.partitionBy(F.lit(1)).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    won = steps.withColumn("won", F.col("p") * (F.coalesce(F.sum("q").over(below), F.lit(0)) + F.col("q") / 2))
-    return won.groupBy(*by).agg((F.sum("won") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"))
+    return _won(steps, score, by)
 
 
 def weighted_auc(df: DataFrame, label: str, score: str, weight: str, by: list[str] | None = None) -> DataFrame:
     """AUC in which a pair counts by the product of its weights; labels of one half are left out."""
     by = by or []
-    part = Window.partitionBy(*(by or [F.lit(1)]))
     steps = df.where(F.col(label) != 0.5).groupBy(*by, score).agg(F.sum(F.when(F.col(label) > 0.5, F.col(weight)).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(label) < 0.5, F.col(weight)).otherwise(0.0)).alias("q"))
-    below = part.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    won = steps.withColumn("won", F.col("p") * (F.coalesce(F.sum("q").over(below), F.lit(0.0)) + F.col("q") / 2))
-    return won.groupBy(*by).agg((F.sum("won") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0.0))).alias("auc"))
+    return _won(steps, score, by)
+
+
+def _won(steps: DataFrame, score: str, by: list[str]) -> DataFrame:
+    """The share of pairs won, from positives p and negatives q per distinct score."""
+    won = prefix_sums(steps, [score], {"below": F.col("q")}, by).withColumn("won", F.col("p") * (F.col("below") + F.col("q") / 2))
+    return won.groupBy(*by).agg((F.sum("won") / F.nullif((F.sum("p") * F.sum("q")).cast("double"), F.lit(0.0))).alias("auc"))
 
 
 def precision_at(df: DataFrame, run: str, rank: str, label: str, weight: str, k: int) -> DataFrame:
@@ -53,7 +56,13 @@ def ndcg_at(df: DataFrame, run: str, rank: str, label: str, weight: str, k: int)
 
 def deciles(df: DataFrame, score: str, key: str, n: int = 10) -> DataFrame:
     """Parts of equal count by score; the first take the remainder."""
-    return df.withColumn("decile", F.ntile(n).over(Window.partitionBy(F.lit(1)).orderBy(score, key)))
+    rows = df.count()
+    small, more = divmod(rows, n)
+    at = prefix_sums(df, [score, key], {"_at": F.lit(1)})
+    # The first ``more`` parts have one row more than the others.
+    edge = more * (small + 1)
+    part = F.when(F.col("_at") < edge, F.floor(F.col("_at") / (small + 1))).otherwise(more + F.floor((F.col("_at") - edge) / max(small, 1)))
+    return at.withColumn("decile", (part + 1).cast("int")).drop("_at")
 
 
 def calibration(df: DataFrame, score: str, rating: str) -> DataFrame:

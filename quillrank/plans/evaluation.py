@@ -7,11 +7,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillrank.operators.windows import prefix_sums
+
 
 def raw_metrics(df: DataFrame, rating: str, score: str) -> DataFrame:
     """MAE, RMSE and Spearman correlation by tie-averaged ranks."""
-    rank = lambda c: F.rank().over(Window.partitionBy(F.lit(1)).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
-    r = df.select(F.col(rating).alias("y"), F.col(score).alias("x")).withColumn("ry", rank("y")).withColumn("rx", rank("x"))
+    r = df.select(F.col(rating).alias("y"), F.col(score).alias("x"))
+    for c in ("y", "x"):
+        steps = prefix_sums(r.groupBy(c).agg(F.count(F.lit(1)).alias("n")), [c], {"below": F.col("n")})
+        r = r.join(steps.select(c, (F.col("below") + (F.col("n") + 1) / 2).alias(f"r{c}")), c)
     return r.agg(F.avg(F.abs(F.col("y") - F.col("x"))).alias("mae"), F.sqrt(F.avg(F.pow(F.col("y") - F.col("x"), 2))).alias("rmse"), F.corr("rx", "ry").alias("spearman"))
 
 

@@ -44,7 +44,7 @@ def baseline(reads: DataFrame, candidates: DataFrame) -> DataFrame:
     return rows.select("id", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), score)), 6).alias("score"))
 
 
-def near_reads(history: DataFrame, candidates: DataFrame, leave_one_out: bool = False, block_rows: int = BLOCK_ROWS, disliked: int = 1) -> DataFrame:
+def near_reads(history: DataFrame, candidates: DataFrame, leave_one_out: bool = False, block_rows: int = BLOCK_ROWS, *, disliked: int = 1) -> DataFrame:
     """(id, read_id, sim): for each candidate the reads that its score can depend on.
 
     history: id, identity, rating, vec; candidates: id, identity, vec.
