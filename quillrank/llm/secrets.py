@@ -119,10 +119,12 @@ _KEY[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234
 
 
 def _has_long_run(data: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
-    """Rows in which ``least`` key characters stand together."""
+    """Rows in which ``least`` key characters stand together; a run ends with its row."""
     key = _KEY[data]
-    edge = np.flatnonzero(np.diff(key, prepend=0, append=0))
-    start = edge[::2][edge[1::2] - edge[::2] >= least]
+    edge = np.diff(key, prepend=0, append=0) != 0
+    edge[at] = True
+    edge = np.flatnonzero(edge)
+    start = edge[:-1][(np.diff(edge) >= least) & (key[edge[:-1]] == 1)]
     found = np.zeros(len(at) - 1, bool)
     found[np.searchsorted(at, start, side="right") - 1] = True
     return found
