@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.functions.dates import half_life
+from quillrank.functions.vectors import doubles, unit, valid
 from quillrank.operators.aggregates import wilson
+from quillrank.plans.ranking import BLOCK_ROWS
 
 # Fixed values of the learner.
 MIN_BOOKS, MIN_EVIDENCE, MATURE, RATE_SCALE, GAP_SCALE, MIN_FEATURE = 6.0, 4.5, 20, 0.5, 0.15, 1.5
@@ -18,6 +23,11 @@ MAX_MOVE = 8.0
 GRACE, PER_DAY, MAX_PENALTY = 3, 0.75, 4.5
 SLATE, DISPLACEMENT, SACRIFICE, SIMILAR = 8, 3, 5.0, 0.75
 STABLE = 4
+# Of the semantic part: floors of similarity, and (prior weight, most) before and after there is enough history.
+FLOOR, POSITIVE_FLOOR, MIN_VECTORS = 0.45, 0.52, 10
+YOUNG, GROWN = (1.5, 4.0), (1.0, 5.0)
+#: Products of vectors that a task holds at a time.
+PAIRS = 1 << 20
 
 
 def latest_observations(events: DataFrame, now: Column) -> DataFrame:
@@ -62,13 +72,66 @@ def feature_effects(observations: DataFrame, features: DataFrame) -> DataFrame:
     return g.select("feature", F.coalesce(gated, mature).alias("effect")).where("effect is not null")
 
 
-def personalized(candidates: DataFrame, features: DataFrame, effects: DataFrame) -> DataFrame:
-    """Candidates with delta and new_score. candidates: id, score, confidence; features: id, feature."""
+def semantic_adjustments(observations: DataFrame, candidates: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """id -> adjustment: the rate of likes among similar decided books, shrunk to the rate of all of them.
+
+    The decided books go to every task in blocks, and each candidate keeps two sums a block.
+    Vectors count if finite, not zero and as long as that of the lowest book.
+
+    observations: book, label, weight, vec; candidates: id (unique), vec.
+    """
+    spark = candidates.sparkSession
+    found = observations.where("vec is not null").select("book", F.col("label").cast("double").alias("label"), F.col("weight").cast("double").alias("weight"), doubles(F.col("vec")).alias("vec"))
+    size = found.agg(F.min_by(F.size("vec"), "book")).first()[0] or 0
+    usable = valid(F.col("vec"), size) & F.exists("vec", lambda x: x != 0)
+    decided = found.where(usable).withColumn("vec", unit(F.col("vec")))
+    w = F.col("weight")
+    n, total, liked = decided.agg(F.count(F.lit(1)), F.coalesce(F.sum(w), F.lit(0.0)), F.coalesce(F.sum(w * F.col("label")), F.lit(0.0))).first()
+    if n < MIN_VECTORS or total < MIN_EVIDENCE:
+        return candidates.select("id", F.lit(0.0).alias("adjustment")).where("false")
+    grown = n >= MATURE
+    prior, most = GROWN if grown else YOUNG
+    rate = (liked + 1.0) / (total + 2.0)
+    ready = candidates.select("id", doubles(F.col("vec")).alias("vec")).where(usable).select("id", unit(F.col("vec")).alias("vec"))
+    kind = dict(candidates.dtypes)["id"]
+    parts = max(1, -(-n // block_rows))
+    sums = None
+    for k in range(parts):
+        rows = decided.where(F.pmod(F.xxhash64("book"), F.lit(parts)) == k).orderBy("book").toPandas()
+        block = spark.sparkContext.broadcast((rows["label"].to_numpy(np.float64), rows["weight"].to_numpy(np.float64), np.array(rows["vec"].tolist(), np.float64).reshape(len(rows), size)))
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            labels, weights, matrix = block.value
+            for batch in batches:
+                if not len(labels) or not batch.num_rows:
+                    continue
+                v = np.array(batch.column("vec").to_pylist(), np.float64)
+                total, liked = np.zeros(len(v)), np.zeros(len(v))
+                step = max(1, PAIRS // len(labels))
+                for a in range(0, len(v), step):
+                    sims = v[a : a + step] @ matrix.T
+                    local = np.maximum(0.0, sims - FLOOR) / (1 - FLOOR)
+                    if grown:
+                        local = np.where(labels == 1, (np.maximum(0.0, sims - POSITIVE_FLOOR) / (1 - POSITIVE_FLOOR)) ** 2, local)
+                    total[a : a + step], liked[a : a + step] = local @ weights, local @ (weights * labels)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(total), pa.array(liked)], ["id", "w", "p"])
+
+        part = ready.mapInArrow(run, f"id {kind}, w double, p double")
+        sums = part if sums is None else sums.unionByName(part)
+    near = sums.groupBy("id").agg(F.sum("w").alias("w"), F.sum("p").alias("p")).where("w > 0")
+    shrunk = most * ((F.col("p") + prior * rate) / (F.col("w") + prior) - rate) / RATE_SCALE
+    return near.select("id", F.greatest(F.lit(-most), F.least(F.lit(most), shrunk)).alias("adjustment")).where("abs(adjustment) >= 0.05")
+
+
+def personalized(candidates: DataFrame, features: DataFrame, effects: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
+    """Candidates with delta and new_score. candidates: id, score, confidence; features: id, feature; semantic: id, adjustment."""
     met = features.join(effects, "feature")
     subject = ~(F.col("feature").startswith("author:") | F.col("feature").startswith("era:"))
     turn = F.row_number().over(Window.partitionBy("id", subject).orderBy(F.abs("effect").desc(), "feature"))
     share = F.when(subject, F.coalesce(F.try_element_at(F.array(*[F.lit(x) for x in DIMINISHING]), turn), F.lit(0.0))).otherwise(1.0)
     sums = met.withColumn("part", F.col("effect") * share).groupBy("id").agg(F.sum("part").alias("d"))
+    if semantic is not None:
+        sums = sums.unionByName(semantic.select("id", F.col("adjustment").alias("d"))).groupBy("id").agg(F.sum("d").alias("d"))
     delta = F.greatest(F.lit(-MAX_MOVE), F.least(F.lit(MAX_MOVE), F.coalesce("d", F.lit(0.0)))) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("confidence", F.lit(0.0))))
     out = candidates.join(sums, "id", "left").withColumn("delta", delta).drop("d")
     moved = F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("score") + F.col("delta"))), 1)

@@ -147,6 +147,50 @@ def test_learner_ranks_saved_features(spark):
     assert {r["id"]: r["new_score"] for r in serving.personalized(c, f, serving.feature_effects(obs, feats)).collect()} == {101: 68.0, 102: 72.0}
 
 
+def test_semantic_part_is_the_shrunk_local_rate(spark):
+    """Against loops over pairs: before and after 20 decided books, in blocks, with odd vectors, and behind the gates."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    near = lambda: (np.array([1.0, 0.5, 0.2, 0.0]) + rng.normal(0, 0.6, 4)).tolist()
+    observed = [(k, int(rng.random() < 0.4), 0.4 + (k % 4) / 5, near()) for k in range(40)]
+    odd = [(100, 1, 9.0, [0.0] * 4), (101, 1, 9.0, [float("nan"), 1.0, 1.0, 1.0]), (102, 1, 9.0, [1.0, 1.0]), (103, 1, 9.0, None)]
+    candidates = [(k, near()) for k in range(1, 60)] + [(90, [0.0] * 4), (91, [1.0]), (92, None), (93, [-1.0, -1.0, 0.0, 0.0])]
+    c = spark.createDataFrame(candidates, "id long, vec array<double>")
+
+    def got(rows, **how):
+        o = spark.createDataFrame(rows, "book long, label int, weight double, vec array<double>")
+        return {r["id"]: r["adjustment"] for r in serving.semantic_adjustments(o, c, **how).collect()}
+
+    def want(rows):
+        total, grown = sum(w for _, _, w, _ in rows), len(rows) >= 20
+        rate = (sum(y * w for _, y, w, _ in rows) + 1) / (total + 2)
+        out = {}
+        for i, v in candidates:
+            if v is None or len(v) != 4 or not any(v):
+                continue
+            ws = ps = 0.0
+            for _, y, w, u in rows:
+                sim = float(np.dot(u, v) / np.linalg.norm(u) / np.linalg.norm(v))
+                part = w * max(0, (sim - 0.52) / 0.48) ** 2 if grown and y else w * max(0, (sim - 0.45) / 0.55)
+                ws, ps = ws + part, ps + part * y
+            prior, most = (1.0, 5.0) if grown else (1.5, 4.0)
+            x = max(-most, min(most, most * ((ps + prior * rate) / (ws + prior) - rate) / 0.5))
+            if ws > 0 and abs(x) >= 0.05:
+                out[i] = x
+        return out
+
+    for n in (12, 40):
+        assert len(want(observed[:n])) > 20
+        assert got(observed[:n] + odd) == pytest.approx(want(observed[:n]))
+    assert got(observed, block_rows=7) == pytest.approx(want(observed))
+    assert got(observed[:9]) == {} and got([(k, y, 0.4, v) for k, y, _, v in observed[:11]]) == {} and got([]) == {}
+    base = spark.createDataFrame([(k, 50.0, 0.5) for k, _ in candidates], "id long, score double, confidence double")
+    none = spark.createDataFrame([], "id long, feature string"), spark.createDataFrame([], "feature string, effect double")
+    moved = serving.personalized(base, *none, spark.createDataFrame([(1, 5.0), (2, -4.0)], "id long, adjustment double"))
+    assert {r["id"]: r["delta"] for r in moved.collect() if r["delta"]} == {1: 2.5, 2: -2.0}
+
+
 def test_neutral_event_erases(spark):
     events = spark.createDataFrame([(1, 1, dt.datetime(2024, 1, 1), 1, 1.0), (2, 1, dt.datetime(2024, 1, 2), None, 1.0)], "id long, book long, ts timestamp, label int, reliability double")
     assert serving.latest_observations(events, F.lit("2024-01-03").cast("timestamp")).count() == 0
