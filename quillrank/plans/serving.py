@@ -208,9 +208,12 @@ def explored(items: DataFrame, epsilon: float, seed: int, stable: int = STABLE,
     return rows.withColumn("propensity", F.when(~tail | (F.col("n") <= 1) | F.lit(epsilon <= 0), 1.0).otherwise(moved)).drop("n", "go")
 
 
-def nudged(items: DataFrame, deltas: DataFrame, top: int = 24, most: float = 1.2) -> DataFrame:
-    """Clipped outside deltas on the first ``top`` items, re-ranked among themselves. items: id, score, pos; deltas: id, delta."""
+def nudged(items: DataFrame, deltas: DataFrame, top: int = 24, most: float = 1.2, by: str | None = None) -> DataFrame:
+    """Clipped outside deltas on the first ``top`` items, re-ranked among themselves. items: id, score, pos; deltas: id, delta.
+
+    Without ``by`` the items are one page; with it, each value's items are a page.
+    """
     head = F.col("pos") <= top
     rows = items.join(deltas, "id", "left").withColumn("new_score", F.when(head, F.col("score") + F.greatest(F.lit(-most), F.least(F.lit(most), F.coalesce("delta", F.lit(0.0))))).otherwise(F.col("score")))
-    order = Window.partitionBy(F.lit(1)).orderBy((~head).cast("int"), F.when(head, -F.col("new_score")).otherwise(F.col("pos").cast("double")), F.col("id").desc())
+    order = Window.partitionBy(by or F.lit(1)).orderBy((~head).cast("int"), F.when(head, -F.col("new_score")).otherwise(F.col("pos").cast("double")), F.col("id").desc())
     return rows.withColumn("position", F.row_number().over(order)).drop("delta")

@@ -124,6 +124,16 @@ def outside_deltas(spark, sf):
     return serving.nudged(c, c.select("id", (F.col("id") % 7 - 3).cast("double").alias("delta")))
 
 
+@query("""WITH c AS (SELECT c_custkey // 100 AS run, c_custkey AS id, CAST(50 + c_custkey % 50 AS DOUBLE) AS score, row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY 50 + c_custkey % 50 DESC, c_custkey DESC) AS pos FROM customer),
+    n AS (SELECT *, CASE WHEN pos <= 24 THEN score + greatest(-1.2, least(1.2, (id % 7 - 3)::DOUBLE)) ELSE score END AS new_score FROM c)
+    SELECT run, id, score, CAST(pos AS INT) AS pos, new_score, CAST(row_number() OVER (PARTITION BY run ORDER BY CASE WHEN pos <= 24 THEN 0 ELSE 1 END, CASE WHEN pos <= 24 THEN -new_score ELSE pos END, id DESC) AS INT) AS position FROM n""")
+def outside_deltas_by_page(spark, sf):
+    """As ``outside_deltas`` over all customers, a hundred to a page."""
+    c = table(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 100).alias("run"), F.col("c_custkey").alias("id"), (50 + F.col("c_custkey") % 50).cast("double").alias("score"))
+    c = c.withColumn("pos", F.row_number().over(Window.partitionBy("run").orderBy(F.col("score").desc(), F.col("id").desc())))
+    return serving.nudged(c, c.select("id", (F.col("id") % 7 - 3).cast("double").alias("delta")), by="run")
+
+
 @query("SELECT p_partkey AS id FROM part WHERE concat(' ', lower(p_name), ' ') LIKE '% blue %' AND p_partkey % 3 <> 0")
 def phrase_filter(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array("p_name", F.when(F.col("p_partkey") % 3 == 0, "out of print").otherwise("in print")).alias("genres"))
@@ -151,11 +161,21 @@ def history_available_at(spark, sf):
     return e.where("event_type = 'purchase'").join(days.withColumn("known", before), ["user_id", "day"]).select(F.col("event_id").alias("id"), "known")
 
 
+def _delivered(orders):
+    d = orders.groupBy(F.col("o_orderpriority").alias("period"), (F.col("o_orderkey") % 9).alias("delivery")).agg(F.collect_set(F.col("o_custkey") % 20).alias("ids"))
+    return d.select("period", F.explode("ids").alias("i")).groupBy("period").agg(F.array_sort(F.collect_set("i")).alias("ids"))
+
+
 @query("SELECT o_orderpriority AS period, list_sort(list(DISTINCT o_custkey % 20)) AS ids FROM orders WHERE o_orderkey < 500 GROUP BY 1")
 def delivered_ids(spark, sf):
     """Distinct union of id lists over the deliveries of a period."""
-    d = table(spark, sf, "orders").where("o_orderkey < 500").groupBy(F.col("o_orderpriority").alias("period"), (F.col("o_orderkey") % 9).alias("delivery")).agg(F.collect_list(F.col("o_custkey") % 20).alias("ids"))
-    return d.select("period", F.explode("ids").alias("i")).groupBy("period").agg(F.array_sort(F.collect_set("i")).alias("ids"))
+    return _delivered(table(spark, sf, "orders").where("o_orderkey < 500"))
+
+
+@query("SELECT o_orderpriority AS period, list_sort(list(DISTINCT o_custkey % 20)) AS ids FROM orders GROUP BY 1")
+def delivered_ids_of_all(spark, sf):
+    """As ``delivered_ids`` over all orders."""
+    return _delivered(table(spark, sf, "orders"))
 
 
 @query("SELECT event_id AS id, event_id % 2 = 0 AS kept FROM events")

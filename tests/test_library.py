@@ -191,6 +191,18 @@ def test_semantic_part_is_the_shrunk_local_rate(spark):
     assert {r["id"]: r["delta"] for r in moved.collect() if r["delta"]} == {1: 2.5, 2: -2.0}
 
 
+def test_whole_tables_stand_beside_the_subsets(spark, sf):
+    from quillrank.queries import QUERIES
+
+    pages = QUERIES["outside_deltas_by_page"](spark, sf).collect()
+    assert sorted(r["id"] for r in pages) == sorted(r[0] for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect())
+    assert all(r["position"] <= 100 for r in pages)
+    orders = {}
+    for period, customer in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderpriority", "o_custkey").collect():
+        orders.setdefault(period, set()).add(customer % 20)
+    assert {r["period"]: r["ids"] for r in QUERIES["delivered_ids_of_all"](spark, sf).collect()} == {k: sorted(v) for k, v in orders.items()}
+
+
 def test_neutral_event_erases(spark):
     events = spark.createDataFrame([(1, 1, dt.datetime(2024, 1, 1), 1, 1.0), (2, 1, dt.datetime(2024, 1, 2), None, 1.0)], "id long, book long, ts timestamp, label int, reliability double")
     assert serving.latest_observations(events, F.lit("2024-01-03").cast("timestamp")).count() == 0
