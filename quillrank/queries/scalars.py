@@ -20,6 +20,12 @@ def plain_keys(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.plain_part(F.substring("text", 1, 200)).alias("key"))
 
 
+@query("SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS key FROM documents")
+def plain_keys_of_all(spark, sf):
+    """As ``plain_keys`` over whole texts."""
+    return table(spark, sf, "documents").select("doc_id", text.plain_part(F.col("text")).alias("key"))
+
+
 @query()
 def canonical_keys(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.canonical_part("p_name").alias("key"))
@@ -93,6 +99,13 @@ def subject_labels(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.subjects(words).alias("labels"))
 
 
+@query("SELECT doc_id, list_slice(list_filter(list_distinct_ordered, lambda x: len(x) >= 2), 1, 8) AS labels FROM (SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_ordered FROM (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ') AS w FROM documents))")
+def subject_labels_of_all(spark, sf):
+    """As ``subject_labels`` over whole texts; repeated words go first, as a label counts once."""
+    words = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " "))
+    return table(spark, sf, "documents").select("doc_id", text.subjects(words).alias("labels"))
+
+
 @query("SELECT event_id AS id, json_valid(props) AS valid, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_fields(spark, sf):
     return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.try_parse_json("props").isNotNull().alias("valid"), F.get_json_object("props", "$.k").cast("long").alias("k"))

@@ -203,6 +203,18 @@ def test_whole_tables_stand_beside_the_subsets(spark, sf):
     assert {r["period"]: r["ids"] for r in QUERIES["delivered_ids_of_all"](spark, sf).collect()} == {k: sorted(v) for k, v in orders.items()}
 
 
+def test_whole_texts_stand_beside_the_prefixes(spark, tmp_path):
+    from quillrank.queries import QUERIES
+
+    same, few = "word " * 60, "one two " * 20
+    rows = [(1, same + "left"), (2, same + "right"), (3, few + "three four five six seven eight nine")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    keys = {r["doc_id"]: r["key"] for r in QUERIES["plain_keys_of_all"](spark, str(tmp_path)).collect()}
+    assert keys == dict(rows)
+    labels = {r["doc_id"]: r["labels"] for r in QUERIES["subject_labels_of_all"](spark, str(tmp_path)).collect()}
+    assert labels == {1: ["word", "left"], 2: ["word", "right"], 3: "one two three four five six seven eight".split()}
+
+
 def test_neutral_event_erases(spark):
     events = spark.createDataFrame([(1, 1, dt.datetime(2024, 1, 1), 1, 1.0), (2, 1, dt.datetime(2024, 1, 2), None, 1.0)], "id long, book long, ts timestamp, label int, reliability double")
     assert serving.latest_observations(events, F.lit("2024-01-03").cast("timestamp")).count() == 0
