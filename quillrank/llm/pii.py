@@ -6,7 +6,7 @@ the words on both sides. Patterns and mentions make a bipartite graph. Scores go
 and forth on it: a pattern's confidence in a kind is the mean score of the distinct
 values seen in it, and a value's score is the chance that some confident pattern is
 right. Patterns that stay confident and have enough seeds name as that kind the unseen
-identifiers in them that look like seeds of the kind.
+identifiers in them, in whatever form, if digits, letters and length could be that kind's.
 
 One pass over the texts makes all mentions with their places; the rest works on them.
 A row without mentions keeps one marker row, so nothing is joined back to the texts.
@@ -33,13 +33,22 @@ PATTERNS = (
     r"[0-9](?:[\x20-]?[0-9])++",
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
-#: Tokens with a digit that may be identifiers no base rule knows.
-OTHER = r"(?<![A-Za-z0-9@._%+/()-])(?=[A-Za-z@._%+/()-]{0,24}[0-9])[A-Za-z0-9@._%+/()-]{6,40}(?![A-Za-z0-9@._%+/()-])"
+#: What may be an identifier no base rule knows: spelt-out addresses, groups of digits, groups of hex digits between
+#: colons, and tokens with a digit, an at sign, an underscore or a dot between letters.
+_OF = "A-Za-z0-9@._%+/()-"
+OTHER = (
+    rf"(?<![{_OF}])(?:"
+    r"[A-Za-z0-9._%+-]{1,64}(?:\x20?[\[({]\x20?(?i:at)\x20?[\])}]\x20?|\x20at\x20|\x20?@\x20?)[A-Za-z0-9-]{1,63}(?:(?:\x20?[\[({]\x20?(?i:dot)\x20?[\])}]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{1,63}){1,4}"
+    r"|\+?\(?[0-9]{1,6}\)?(?:[\x20./-]{1,2}\(?[0-9]{1,6}\)?){1,7}"
+    r"|(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}"
+    rf"|(?=[{_OF}]{{0,39}}?(?:[0-9@_]|[A-Za-z]\.[A-Za-z]))[{_OF}]{{5,39}}[A-Za-z0-9)]"
+    rf")(?![._%+/()@-]*[A-Za-z0-9])"
+)
 OTHER_KIND, MARKER = len(KINDS), -1
 #: A pattern needs this many distinct seeds and this confidence; scores go back and forth this often.
 MIN_SEEDS, MIN_CONFIDENCE, ROUNDS = 3, 0.8, 2
-#: A mention must look like this share of its kind's seeds at least.
-MIN_SHAPE_SHARE = 0.02
+#: A mention may have this many digits more or fewer than the seeds of its kind, and be so many times as short or long.
+DIGITS_APART, LENGTH_TIMES = 3, 4
 
 
 def _digits(value: Column) -> Column:
@@ -85,11 +94,11 @@ def mentions(docs: DataFrame) -> DataFrame:
     """One row per match of any pattern, and one marker (kind -1) per row of ``docs``."""
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("_body"))
     marker = F.array(F.struct(F.lit(MARKER).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("gap"), F.lit("").alias("value"), F.lit("").alias("left"), F.lit("").alias("right")))
-    # Every kind but the email needs a digit; the tokens in question need three.
+    # Every base kind but the email needs a digit.
     none = F.array().cast("array<struct<kind:int,i:int,gap:int,value:string,left:string,right:string>>")
     digits = F.col("_body").rlike("[0-9]")
     found = [F.when(F.contains("_body", F.lit("@")), _hits(0, PATTERNS[0])).otherwise(none)]
-    found += [F.when(digits, _hits(k, PATTERNS[k])).otherwise(none) for k in (1, 2, 3)] + [F.when(digits, _hits(OTHER_KIND, OTHER)).otherwise(none)]
+    found += [F.when(digits, _hits(k, PATTERNS[k])).otherwise(none) for k in (1, 2, 3)] + [_hits(OTHER_KIND, OTHER)]
     rows = base.select("rid", "doc_id", F.explode(F.concat(marker, *found)).alias("m")).select("rid", "doc_id", "m.*")
     before = Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     size = F.length("value")
@@ -102,10 +111,19 @@ def _last_word(text: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.array_join(F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), n), " "))
 
 
-def shape(value: Column) -> Column:
-    """Digits as 9, letters as a, runs kept up to their length's power of two."""
-    plain = F.regexp_replace(F.regexp_replace(value, "[A-Za-z]", "a"), "[0-9]", "9")
-    return F.regexp_replace(F.regexp_replace(plain, "a{2,}", "a+"), "9{6,}", "9+")
+def ranges(found: DataFrame) -> DataFrame:
+    """Per kind the usual digits and lengths of its distinct seeds."""
+    seeds = found.where(F.col("kind").between(0, OTHER_KIND - 1)).select("kind", "value").distinct()
+    ends = lambda x, n: F.percentile_approx(x, [0.01, 0.99]).alias(n)
+    return seeds.groupBy("kind").agg(ends(F.length(_digits(F.col("value"))), "digits"), ends(F.length("value"), "sizes"))
+
+
+def fits(kind: Column, value: Column, digits: Column, sizes: Column) -> Column:
+    """Whether a value could be of a kind at all: its length, letters for an address, hex groups for an ip, digits for a number."""
+    n, size = F.length(_digits(value)), F.length(value)
+    number = n.between(digits[0] - DIGITS_APART, digits[1] + DIGITS_APART) & ~value.rlike("[A-Za-z]")
+    fair = F.when(kind == 0, value.rlike("[A-Za-z]")).when(kind == 1, value.rlike(r"^[0-9A-Fa-f.:]*[.:][0-9A-Fa-f.:]*$")).otherwise(number)
+    return size.between(sizes[0] / LENGTH_TIMES, sizes[1] * LENGTH_TIMES) & fair
 
 
 def edges(found: DataFrame) -> DataFrame:
@@ -139,10 +157,11 @@ def confident_patterns(found: DataFrame, min_seeds: int = MIN_SEEDS, min_confide
 def discovered(found: DataFrame, **how) -> DataFrame:
     """Unseen identifiers: (rid, doc_id, kind, start, end) of mentions that no base rule found."""
     patterns = confident_patterns(found, **how)
-    seeds = found.where(F.col("kind").between(0, OTHER_KIND - 1)).select("kind", shape(F.col("value")).alias("shape")).groupBy("kind", "shape").agg(F.count(F.lit(1)).alias("n"))
-    shapes = seeds.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("kind"))).where(F.col("share") >= MIN_SHAPE_SHARE).select("kind", "shape")
-    others = edges(found).where(F.col("kind") == OTHER_KIND).drop("kind").withColumn("shape", shape(F.col("value")))
-    named = others.join(patterns.drop("confidence"), "pattern").join(shapes, ["kind", "shape"]).select("rid", "doc_id", "kind", "start", "end").distinct()
+    others = edges(found).where(F.col("kind") == OTHER_KIND).drop("kind")
+    named = others.join(patterns, "pattern").join(F.broadcast(ranges(found)), "kind").where(fits(F.col("kind"), F.col("value"), F.col("digits"), F.col("sizes")))
+    # A mention is of one kind, that of its most confident pattern.
+    named = named.groupBy("rid", "doc_id", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
+    named = named.select("rid", "doc_id", "kind", "start", "end")
     known = found.where(F.col("kind").between(0, OTHER_KIND - 1)).select(F.col("rid").alias("r"), F.col("start").alias("s"), F.col("end").alias("e"))
     return named.join(known, (F.col("rid") == F.col("r")) & (F.col("start") < F.col("e")) & (F.col("s") < F.col("end")), "left_anti")
 
