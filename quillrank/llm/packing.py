@@ -44,7 +44,8 @@ class ByteTokens:
     """Text -> ids as little-endian uint32 bytes.
 
     Texts of plain characters go through a byte-pair encoder over the same vocabulary,
-    which is several times faster; all others go to the tokenizer itself.
+    which is several times faster; all others, and texts with an added token's literal, go
+    to the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -55,7 +56,7 @@ class ByteTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.plain = regex.compile(f"[{_PLAIN}]*+")
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
@@ -69,7 +70,7 @@ class ByteTokens:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of(self, text: str) -> bytes:
-        if not self.plain.fullmatch(text):
+        if not self.plain.fullmatch(text) or any(t in text for t in self.added):
             return self._encode(text)
         return np.array(self.encoder.encode_ordinary(text), "<u4").tobytes()
 

@@ -305,6 +305,14 @@ def test_tokens_equal_the_tokenizer(docs):
         assert tokens.of(text) == tokens._encode(text)
 
 
+def test_tokens_equal_an_untouched_tokenizer():
+    from tokenizers import Tokenizer
+
+    tokens, t = packing.ByteTokens(Q.tokenizer_path()), Tokenizer.from_file(Q.tokenizer_path())
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "é <|endoftext|>x", "a < |endoftext|>", "plain"):
+        assert np.frombuffer(tokens.of(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_sweep_takes_successors():
     runs, left = packing.sweep({5: 2, 3: 4}, {6: 1, 4: 2, 3: 1})
     assert runs == [(5, 1, 1, 6, 0), (3, 3, 1, 3, 0), (3, 1, 2, 4, 0)] and left == {5: 1, 3: 1}
