@@ -30,6 +30,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video select option button head".split())
 # What these tags hold is text up to their end tag, whatever it looks like.
 VERBATIM = ("script", "style", "textarea", "title")
+# What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("base head html link meta noscript script style template title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 AWAY_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
@@ -106,7 +108,7 @@ def _says(tag: str, attributes: str, inside_main: bool) -> int:
 def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     """(text, words, words in links, container, heading) of every block with words, in page order."""
     out: list[tuple[str, int, int, int, int]] = []
-    stack: list[tuple[str, int]] = []  # open block-level tags and what holds inside each
+    stack: list[tuple[str, int]] = []  # open block-level and hidden tags and what holds inside each
     parts: list[str] = []
     links = hidden = heading = 0
     link_words = 0
@@ -120,9 +122,20 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                 out.append((" ".join(words), len(words), min(link_words, len(words)), stack[-1][1] if stack else 0, int(heading > 0)))
         parts, link_words = [], 0
 
+    def end(tag: str) -> None:
+        """Close the innermost open ``tag`` and whatever was left open in it."""
+        nonlocal hidden
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == tag:
+                hidden -= sum(t in RAW for t, _ in stack[k:])
+                del stack[k:]
+                break
+
     while at < n:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else n
+        if hidden and stack[-1][0] == "head" and page[at:stop].strip():
+            end("head")
         if stop > at and not hidden:
             text = page[at:stop]
             parts.append(text)
@@ -139,6 +152,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         tag, attributes = name.lower(), m[3] or m[7] or ""
         ending = bool(m[1] or m[5])
         alone = tag in VOID or (m[4] or m[8]) == "/>"
+        if hidden and not ending and stack[-1][0] == "head" and tag not in IN_HEAD:
+            end("head")
         if tag == "a":
             links = 0 if ending else 1
             continue
@@ -148,11 +163,17 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             if not ending and tag in _END:
                 found = _END[tag].search(page, at)
                 at = found.end() if found else n
-            elif not alone:
-                hidden = max(0, hidden - 1) if ending else hidden + 1
             close()
+            if ending:
+                end(tag)
+            elif not alone and tag not in _END:
+                if tag in ("button", "select") or tag == "option" and stack and stack[-1][0] == "option":
+                    end(tag)
+                stack.append((tag, stack[-1][1] if stack else 0))
+                hidden += 1
             continue
         if tag == "body":
+            stack[:] = [x for x in stack if x[0] not in RAW]
             hidden = 0
         close()
         if tag in HEADINGS:
@@ -168,10 +189,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             # Once away from the text, nothing inside leads back; inside the main text, silence keeps it.
             stack.append((tag, above if above == -1 or says == 0 else says))
         else:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            end(tag)
     close()
     return out
 

@@ -245,6 +245,14 @@ def test_html_other_layouts():
     assert html_text.main_text("<article><p>a < b and 3 <4", tree) == "a < b and 3 <4"
 
 
+def test_html_omitted_end_tags():
+    tree = html_text.grow(np.array(html_text.LABELLED, float))
+    body = "<article><p>Some words of the text.</p></article>"
+    for before in ("<select><option>A<option>B</select>", "<head><title>T</title><meta charset=x>", "<head><script>x</script></script>", *(f"<div><{t}>x</div>" for t in "button object audio video canvas svg".split()), "<button>a<button>b</button>"):
+        assert html_text.main_text(before + body, tree) == "Some words of the text.", before
+    assert html_text.main_text("<article><p>a b<select><option>A<optgroup><option>B</select> c d<button>e</button></p></article>", tree) == "a b c d"
+
+
 # 5
 
 
