@@ -10,10 +10,10 @@ span are its context.
 1. Marks whose leading string (64 bytes, by hash) occurs once are dropped.
 2. Marks with equal contexts are one class; a class of two or more is repeated whole.
 3. For the rest (the edges of repeated passages) the contexts are fetched, dealt by
-   sampled splitters of their leading tokens to range buckets, and sorted locally by
-   multikey comparison; windows of neighbours with equal leading strings are compared,
-   a group that crosses a batch being carried over (a leading token never crosses a
-   bucket). Groups with very many different contexts are compared by window hash over
+   sampled splitters of their leading tokens to range buckets, and sorted there by that
+   token and the leading string's hash, not by their bytes; windows of rows with equal
+   leading strings are compared by hash, a group that crosses a batch being carried over
+   (a leading token never crosses a bucket). Groups with very many different contexts are compared by window hash over
    all tasks instead.
 4. The windows found are joined to spans per document and cut out.
 
