@@ -16,9 +16,16 @@ SLICE_BYTES = 1 << 20
 
 
 def arrow_limits(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for two Python workers beside a 2 GB heap."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Keep Arrow batches small enough for two Python workers beside a 2 GB heap.
+
+    Plans read these settings when they run, so they stay set in the session; a limit
+    that the caller has set lower is left alone.
+    """
+    for name, limit in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 16 << 20)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name)
+        if not (now.isdigit() and 0 < int(now) <= limit):
+            spark.conf.set(name, str(limit))
 
 
 #: Rows of a few numbers that one task of an iterative step takes.
@@ -30,6 +37,27 @@ def few(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
 
 
+#: A key is hot if it has more than this share of all rows; so at most its inverse of keys are.
+HOT_SHARE = 1 / 2000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """``rows`` inner-joined with ``table`` (unique ``keys``; ``weight`` is how many of all ``total`` rows a key has).
+
+    The rows of a hot key are dealt over all tasks by a salt, and its one table row is
+    repeated per salt. The hot keys are broadcast: weights sum up to ``total`` at most,
+    so there are 1 / HOT_SHARE of them at most, whatever the input.
+    """
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    is_hot = F.col(weight) > max(1, total * HOT_SHARE)
+    hot = F.broadcast(table.where(is_hot).select(*keys, F.lit(salts).alias("_salts")))
+    others = [c for c in rows.columns if c not in keys] or rows.columns
+    salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*others), F.lit(salts)))
+    left = rows.join(hot, keys, "left").withColumn("_salt", salt.cast("int")).drop("_salts")
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(table.withColumn("_salt", F.explode(every)), [*keys, "_salt"]).drop("_salt")
+
+
 def whole_text(name: str = "text") -> Column:
     """The text, a null counting as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -14,12 +14,17 @@ Pairs inside a key's bucket are never expanded:
   members near each other there form a cluster, told by spanning edges; a cluster's
   texts come together, and its members of different components are compared until they
   are joined or all compared. So components are those of the full link graph.
-A bucket too large for a task is split again by the keys of its other chunks, and a
-cluster too large for a task is compared pair by pair over all tasks.
+A bucket or a cluster too large for a task is cut into blocks, and every block is taken
+with every other (and itself) in a task of its own: each pair still meets, and a task
+holds two blocks whatever the size of the group. Only links that join components are
+put out, never the pairs of a group. Rows of a hot key are dealt over tasks by a salt.
 
 Rows without words have no set and link with nothing; rows with a null id too (their
 component is null, they are kept). Rows that share an id are one document, with the
-component of any of them. Null text counts as empty. No rows give no rows.
+component of any of them. Null text counts as empty. Ties and repeated rows: equal sets
+are one class, named by its smallest id. A very long text is one row of a task, in
+memory a few dozen times its length. Other columns are ignored, whatever their names.
+No rows give no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import U64, arrow_limits, buffers, few, keyed, mix, slices
+from quillrank.llm.common import U64, arrow_limits, buffers, few, join_hot, keyed, mix, slices
 from quillrank.llm.shingles import shared, shingle_sets
 from quillrank.session import cut
 
@@ -43,8 +48,8 @@ CHUNKS, CHUNK = 12, 4
 SYMBOLS = CHUNKS * CHUNK
 #: Symbols by which a pair compared after the stars may differ (a linked pair differs in more with a chance of 3e-7).
 MAX_DISTANCE = 27
-#: Members up to which a bucket, and a cluster, is compared in one task.
-BUCKET, CLUSTER = 4096, 20_000
+#: Members of a block of a bucket, and of a cluster (whose texts come along); and members dealt to a task.
+BUCKET, CLUSTER, TASK = 4096, 4096, 2048
 
 _rng = np.random.default_rng(48)
 _A = (_rng.integers(0, 1 << 31, SYMBOLS) * 2 + 1).astype(np.uint32)
@@ -77,14 +82,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("did"), pa.array(n, pa.int64()), longs(s1), longs(s2), pa.array(sig, pa.binary())], ["uid", "did", "n", "s1", "s2", "sig"])
 
 
-def _chunk_keys(sig, sub: bool = False) -> list:
-    """A key per chunk and symbol left out; its low 4 bits are the chunk."""
+def _chunk_keys(sig) -> list:
+    """A key per chunk and symbol left out."""
     keys = []
     for c in range(CHUNKS):
         for out in range(CHUNK):
             at = [F.substring(sig, 2 * (c * CHUNK + k) + 1, 2) for k in range(CHUNK) if k != out]
-            key = F.shiftleft(F.xxhash64(F.lit(c * CHUNK + out), *at, *([F.col("key")] if sub else [])), 4).bitwiseOR(F.lit(c).cast("long"))
-            keys.append(F.when(F.col("key").bitwiseAND(F.lit(15)) != c, key) if sub else key)
+            keys.append(F.xxhash64(F.lit(c * CHUNK + out), *at))
     return keys
 
 
@@ -139,11 +143,6 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _near(sig: np.ndarray, i: int, j: int) -> np.ndarray:
-    """Rows from ``j`` on whose signature is near that of row ``i``."""
-    return j + np.flatnonzero(np.count_nonzero(sig[j:] != sig[i], axis=1) <= MAX_DISTANCE)
-
-
 def _symbols(sigs: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), "<u2").reshape(len(sigs), SYMBOLS)
 
@@ -168,36 +167,43 @@ class _Sets(dict):
         return True
 
 
+def _others(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row with the rows near it that stand in another component.
+
+    A group is two blocks of a bucket or cluster, or one block taken with itself; rows
+    are in order of component. Of two blocks only pairs across them are looked at.
+    """
+    comp, sig, block = group["comp"].to_numpy(), _symbols(group["sig"]), group["block"].to_numpy()
+    low, high = group["lo"].iat[0], group["hi"].iat[0]
+    one = low == high
+    mine, theirs = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    their_comp, their_sig = comp[theirs], sig[theirs]
+    for i in mine.tolist():
+        # Within one block a pair is looked at once: with the rows of later components.
+        a, b = (0 if one else np.searchsorted(their_comp, comp[i])), np.searchsorted(their_comp, comp[i], side="right")
+        parts = [(b, len(theirs))] if one else [(0, a), (b, len(theirs))]
+        for x, y in parts:
+            if x < y:
+                near = theirs[x + np.flatnonzero(np.count_nonzero(their_sig[x:y] != sig[i], axis=1) <= MAX_DISTANCE)]
+                if len(near):
+                    yield i, near
+
+
 def _near_components(group: pd.DataFrame) -> pd.DataFrame:
-    """Spanning edges between components that have near members in a bucket."""
+    """Spanning edges between components that have near members in two blocks of a bucket."""
     group = group.sort_values("comp", ignore_index=True)
-    comp, sig, sets, out = group["comp"].to_numpy(), _symbols(group["sig"]), _Sets(), []
-    for i in range(len(comp)):
-        # Rows are in order of component: those of other components stand after this one's.
-        j = int(np.searchsorted(comp, comp[i], side="right"))
-        if j == len(comp):
-            break
-        for c in np.unique(comp[_near(sig, i, j)]).tolist():
+    comp, sets, out = group["comp"].to_numpy(), _Sets(), []
+    for i, near in _others(group):
+        for c in np.unique(comp[near]).tolist():
             if sets.join(int(comp[i]), c):
                 out.append((int(comp[i]), c))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _near_pairs(group: pd.DataFrame) -> pd.DataFrame:
-    """All near pairs of a bucket that stand in different components of one cluster."""
-    out = []
-    for _, part in group.sort_values(["cluster", "comp"]).groupby("cluster"):
-        ids, comp, sig = part["id"].to_numpy(), part["comp"].to_numpy(), _symbols(part["sig"])
-        for i in range(len(ids)):
-            j = int(np.searchsorted(comp, comp[i], side="right"))
-            out += [(min(ids[i], x), max(ids[i], x)) for x in ids[_near(sig, i, j)].tolist()]
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-
 def _solve(group: pd.DataFrame) -> pd.DataFrame:
-    """Links that join the components of a cluster, from the full sets of its members."""
+    """Links that join the components of two blocks of a cluster, from the full sets of their members."""
     group = group.sort_values(["comp", "id"], ignore_index=True)
-    ids, comp, sig = group["id"].to_numpy(), group["comp"].to_numpy(), _symbols(group["sig"])
+    ids, comp = group["id"].to_numpy(), group["comp"].to_numpy()
     made: dict[int, np.ndarray] = {}
 
     def full(i: int) -> np.ndarray:
@@ -207,9 +213,8 @@ def _solve(group: pd.DataFrame) -> pd.DataFrame:
         return made[i]
 
     sets, out = _Sets(), []
-    for i in range(len(ids)):
-        j = int(np.searchsorted(comp, comp[i], side="right"))
-        for k in _near(sig, i, j).tolist():
+    for i, near in _others(group):
+        for k in near.tolist():
             if sets.root(int(comp[i])) != sets.root(int(comp[k])):
                 both = shared(full(i), full(k))
                 if 100 * both >= PERCENT * (len(full(i)) + len(full(k)) - both):
@@ -218,13 +223,22 @@ def _solve(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _split(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of buckets over BUCKET go to the buckets of their other chunks' keys under the old key."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("g"))
-    sized = members.join(sizes, "key")
-    small, large = sized.where(F.col("g") <= BUCKET).drop("g"), sized.where(F.col("g") > BUCKET)
-    finer = large.join(classes.select("id", "sig"), "id").select("id", F.explode(F.array_compact(F.array(*_chunk_keys(F.col("sig"), sub=True)))).alias("key"))
-    return small.unionByName(finer.select(*small.columns))
+def block_pairs(members: DataFrame, by: str, most: int) -> DataFrame:
+    """Members of each group (column ``by``) in blocks of about ``most``, each block paired with every other and itself.
+
+    Adds block, lo and hi: rows of one (``by``, lo, hi) are compared in one task. Any two
+    members of a group meet in exactly one of these, whatever the size of the group.
+    """
+    sizes = members.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks"))
+    cast = members.join(sizes, by).withColumn("block", F.pmod(F.xxhash64("id", F.lit(by)), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return cast.withColumn("other", other).select(*members.columns, "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+
+def _dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """Groups dealt to tasks of about TASK members; a given number of partitions is not coalesced by their few bytes."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-n // TASK)), *keys)
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -233,28 +247,27 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     ``classes`` has (id, uid, sig), one row per distinct set.
     """
     index = classes.select("id", F.explode(F.array(*_chunk_keys(F.col("sig")))).alias("key"))
-    shared_keys = index.groupBy("key").agg(F.min("id").alias("lowest"), F.max("id").alias("highest"), F.count(F.lit(1)).alias("g")).where(F.col("lowest") < F.col("highest"))
-    members = cut(index.join(shared_keys.drop("highest"), "key").select("key", "id", "lowest", "g"))
+    shared_keys = cut(index.groupBy("key").agg(F.min("id").alias("lowest"), F.max("id").alias("highest"), F.count(F.lit(1)).alias("g")).where(F.col("lowest") < F.col("highest")).drop("highest"))
+    entries = shared_keys.agg(F.sum("g")).first()[0] or 0
+    members = cut(join_hot(index, shared_keys, ["key"], "g", entries).select("key", "id", "lowest", "g"))
     wanted = members.select("id").distinct().join(classes.select("id", "uid"), "id")
     base = keyed(docs)
     texts = base.join(wanted.hint("shuffle_hash"), (base["uid"] == wanted["uid"]) & (base["did"] == wanted["id"])).select("id", "body")
     texts = cut(texts.mapInArrow(_packed_texts, "id long, z binary").dropDuplicates(["id"]))
     stars = members.where(F.col("id") != F.col("lowest")).select(F.col("lowest").alias("a"), F.col("id").alias("b")).distinct()
-    known = confirm(stars, texts)
-    found = known.where("ok").select("a", "b")
+    found = confirm(stars, texts).where("ok").select("a", "b")
     labels = components(found)
     # Only buckets with a pair that no star has compared are looked at again.
-    rest = _split(members.where("g > 2").select("key", "id"), classes)
-    now = rest.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    active = cut(now.join(mixed, "key").join(classes.select("id", "sig"), "id").select("key", "id", "comp", "sig"))
-    clusters = components(active.select("key", "comp", "sig").groupBy("key").applyInPandas(_near_components, "a long, b long"))
+    now = members.where("g > 2").join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo < hi").select("key", "g")
+    active = cut(join_hot(now, cut(mixed), ["key"], "g", entries).join(classes.select("id", "sig"), "id").select("key", "id", "comp", "sig"))
+    met = block_pairs(active, "key", BUCKET)
+    clusters = components(_dealt(met, active.count(), "key", "lo", "hi").groupBy("key", "lo", "hi").applyInPandas(_near_components, "a long, b long"))
     clusters = clusters.select(F.col("id").alias("comp"), F.col("comp").alias("cluster"))
     placed = cut(active.select("id", "comp", "sig").dropDuplicates(["id"]).join(clusters, "comp"))
-    large = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CLUSTER).select("cluster")
-    solved = placed.join(large, "cluster", "left_anti").join(texts, "id").groupBy("cluster").applyInPandas(_solve, "a long, b long")
-    pairs = active.join(clusters, "comp").join(large, "cluster", "left_semi").groupBy("key").applyInPandas(_near_pairs, "a long, b long").distinct()
-    return found.unionByName(cut(solved)).unionByName(confirm(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), texts).where("ok").select("a", "b"))
+    parts = block_pairs(placed, "cluster", CLUSTER).join(texts, "id")
+    solved = _dealt(parts, placed.count(), "cluster", "lo", "hi").groupBy("cluster", "lo", "hi").applyInPandas(_solve, "a long, b long")
+    return found.unionByName(cut(solved))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

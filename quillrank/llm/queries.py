@@ -67,8 +67,8 @@ ORACLES = {
                   ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) END AS sh FROM w),
         n AS (SELECT doc_id, len(sh) AS n_shingles FROM s),
         e AS (SELECT doc_id, unnest(sh) AS g FROM s),
-        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 75 * (x.n_shingles + y.n_shingles - both)),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n_shingles + y.n_shingles - common)),
         arcs AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
         r AS (SELECT a AS doc_id, b AS other FROM arcs UNION SELECT r.doc_id, arcs.b FROM r JOIN arcs ON arcs.a = r.other),
         c AS (SELECT doc_id, min(other) AS low FROM r GROUP BY 1)

@@ -472,6 +472,52 @@ def test_near_dedup_borderline_family(spark, monkeypatch):
     check_components(by_id(near_dedup.near_duplicates(table)), part)
 
 
+def test_near_dedup_blocks_lose_no_pair(spark):
+    """Every two members of a group meet in exactly one pair of blocks, and no task holds more than two blocks."""
+    n = 300
+    rows = spark.createDataFrame([(i, 7 if i < n else i % 5, i % 3) for i in range(n + 20)], "id long, key long, comp long")
+    met = defaultdict(list)
+    for r in rows_of(near_dedup.block_pairs(rows, "key", 16)):
+        met[r["key"], r["lo"], r["hi"]].append((r["id"], r["block"]))
+    pairs = Counter()
+    for (key, lo, hi), members in met.items():
+        assert len(members) <= 4 * 2 * 16
+        a, b = [i for i, k in members if k == lo], [i for i, k in members if k == hi]
+        pairs.update((key, min(x, y), max(x, y)) for x in a for y in b if x != y and (lo != hi or x < y))
+    want = {(7, a, b) for b in range(n) for a in range(b)} | {(k, a, b) for k in range(5) for b in range(n, n + 20) for a in range(n, b) if a % 5 == b % 5 == k}
+    assert pairs == Counter(want)
+
+
+def test_near_dedup_one_chunk_pair(spark, monkeypatch):
+    """A pair whose signatures agree in one chunk only, in a bucket of many blocks that its members' other keys don't share."""
+    monkeypatch.setattr(near_dedup, "BUCKET", 4)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 16, near_dedup.SYMBOLS)
+    sigs = []
+    for k in range(40):  # all share chunk 0; the last two differ from each other in 22 symbols of the others
+        sig = rng.integers(0, 1 << 16, near_dedup.SYMBOLS)
+        sig[:4] = base[:4]
+        sigs.append(sig)
+    sigs[39] = sigs[38].copy()
+    sigs[39][4::2] = rng.integers(0, 1 << 16, 22)
+    assert np.count_nonzero(sigs[38] != sigs[39]) == 22
+    rows = spark.createDataFrame([(k, 1, k, bytearray(s.astype("<u2").tobytes())) for k, s in enumerate(sigs)], "id long, key long, comp long, sig binary")
+    met = near_dedup.block_pairs(rows, "key", 4).groupBy("key", "lo", "hi").applyInPandas(near_dedup._near_components, "a long, b long")
+    assert [sorted((r["a"], r["b"])) for r in rows_of(met)] == [[38, 39]]
+
+
+def test_near_dedup_index_recall():
+    """Pairs of sets at the threshold: share a key, and are near enough to be compared after the stars."""
+    rng = np.random.default_rng(75)
+    met = 0
+    for _ in range(1500):
+        x = rng.integers(0, 1 << 62, 115).astype(np.uint64) * np.uint64(3)
+        a, b = near_dedup.signature(x[:100]), near_dedup.signature(np.concatenate([x[:86], x[100:114]]))  # 86 of 114: 0.754
+        errors = (a != b).reshape(near_dedup.CHUNKS, near_dedup.CHUNK).sum(axis=1)
+        met += errors.min() <= 1 and errors.sum() <= near_dedup.MAX_DISTANCE
+    assert met == 1500
+
+
 # 9
 
 
