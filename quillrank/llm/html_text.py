@@ -1,14 +1,17 @@
 """Main-text extraction: flat blocks with their neighbours' figures, and a decision tree.
 
-A page is cut into text blocks at block-level tags. Each block has its word count and
-link density, those of the blocks before and after, whether it is a heading, and what
-its containers say (their tags and the words in their class and id). A small tree,
-trained on the labelled table below when a task starts, decides which blocks belong to
-the main text.
+A page is cut into text blocks at block-level tags. What stands in a container away from
+the text (menus, footers, adverts, forms, comments, by tag or by the words in class, id
+and role) goes, whatever it looks like. Each block left has its word count and link
+density, those of the blocks before and after it, whether it is a heading, and whether a
+container marks it as main text. A small tree, trained on the labelled table below when
+a task starts, decides which of these blocks belong to the main text.
 
 Scripts, styles, comments and other markup never make blocks; a tag cut off by the end
-of the page is markup too. Null html counts as empty and gives an empty text; repeated
-rows are extracted alike; a page is handled in one task, in memory proportional to it.
+of the page is markup too. Null html counts as empty and gives an empty text; null ids
+and urls stay null; repeated rows are extracted alike; a tie in a leaf counts as main
+text; a page, however long, is handled in one task, in memory proportional to it; other
+columns are ignored, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -45,26 +48,55 @@ _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"
 _WORDS = re.compile(r"[a-z]+")
 _END = {t: re.compile(rf"</{t}\s*>|</{t}\s*\Z", re.I) for t in VERBATIM}
 
+# What an article or main element is named when it is no main text after all.
+NOT_MAIN_WORDS = frozenset("ad ads advert advertisement comment comments promo promoted related reply replies sponsored teaser widget".split())
+# How a legal notice outside any marked container begins.
+NOTICE = re.compile(r"(©|\(c\)\s|copyright\b|all rights reserved)", re.I)
+
 #: Columns: words, link density, words before, link density before, words after, link density after,
-#: container (-1 away from the text, 0 silent, 1 main text), heading; then whether the block is main text.
+#: main container (1) or none (0), heading; then whether the block is main text.
 LABELLED = (
-    (6, 1.0, 0, 0.0, 9, 0.0, -1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, -1, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, -1, 0, 0), (9, 0.0, 1, 1.0, 8, 0.0, -1, 0, 0),
-    (12, 0.0, 80, 0.0, 0, 0.0, -1, 0, 0), (40, 0.0, 90, 0.0, 30, 0.0, -1, 0, 0), (120, 0.0, 60, 0.0, 4, 1.0, -1, 0, 0), (3, 0.0, 60, 0.0, 40, 0.0, -1, 1, 0),
-    (25, 0.1, 9, 0.0, 90, 0.0, -1, 0, 0), (2, 0.5, 2, 0.5, 2, 0.5, -1, 0, 0), (60, 0.3, 5, 1.0, 5, 1.0, -1, 0, 0), (5, 0.0, 70, 0.0, 0, 0.0, -1, 1, 0),
-    (8, 0.0, 9, 0.0, 60, 0.0, 1, 1, 1), (90, 0.0, 8, 0.0, 70, 0.0, 1, 0, 1), (2, 0.0, 60, 0.0, 80, 0.0, 1, 0, 1), (1, 0.0, 1, 0.0, 1, 0.0, 1, 0, 1),
-    (5, 0.0, 9, 0.0, 0, 0.0, 1, 0, 1), (30, 0.2, 50, 0.0, 40, 0.1, 1, 0, 1), (12, 0.4, 50, 0.0, 60, 0.0, 1, 0, 1), (3, 0.0, 8, 0.0, 12, 0.0, 1, 1, 1),
-    (1, 0.0, 9, 0.0, 12, 0.0, 1, 0, 1), (300, 0.0, 3, 0.0, 0, 0.0, 1, 0, 1), (6, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1), (40, 0.6, 50, 0.0, 60, 0.0, 1, 0, 1),
-    (8, 1.0, 60, 0.0, 9, 1.0, 1, 0, 0), (4, 1.0, 4, 1.0, 4, 1.0, 1, 0, 0), (3, 1.0, 90, 0.0, 3, 1.0, 1, 0, 0), (6, 1.0, 5, 1.0, 0, 0.0, 1, 0, 0),
-    (90, 0.0, 8, 0.0, 70, 0.0, 0, 0, 1), (45, 0.1, 90, 0.0, 80, 0.0, 0, 0, 1), (20, 0.0, 40, 0.0, 55, 0.0, 0, 0, 1), (8, 0.0, 60, 0.0, 70, 0.0, 0, 0, 1),
-    (4, 0.0, 30, 0.0, 45, 0.0, 0, 0, 1), (10, 0.0, 3, 1.0, 50, 0.0, 0, 1, 1), (6, 0.0, 40, 0.0, 60, 0.0, 0, 1, 1), (25, 0.0, 5, 0.0, 30, 0.0, 0, 0, 1),
-    (18, 0.0, 6, 0.0, 22, 0.1, 0, 0, 1), (60, 0.0, 2, 1.0, 3, 1.0, 0, 0, 1), (35, 0.2, 6, 0.0, 2, 1.0, 0, 0, 1), (12, 0.0, 25, 0.0, 30, 0.0, 0, 0, 1),
+    # Inside a main container: headings, paragraphs of any length, items, bylines, closing lines.
+    (8, 0.0, 0, 0.0, 60, 0.0, 1, 1, 1), (3, 0.0, 60, 0.0, 12, 0.0, 1, 1, 1), (4, 0.0, 30, 0.0, 2, 1.0, 1, 1, 1), (7, 0.0, 3, 1.0, 2, 1.0, 1, 1, 1),
+    (90, 0.0, 8, 0.0, 70, 0.0, 1, 0, 1), (300, 0.0, 3, 0.0, 0, 0.0, 1, 0, 1), (2, 0.0, 60, 0.0, 80, 0.0, 1, 0, 1), (1, 0.0, 1, 0.0, 1, 0.0, 1, 0, 1),
+    (5, 0.0, 9, 0.0, 0, 0.0, 1, 0, 1), (1, 0.0, 9, 0.0, 12, 0.0, 1, 0, 1), (6, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1), (6, 0.0, 4, 1.0, 5, 1.0, 1, 0, 1),
+    (30, 0.2, 50, 0.0, 40, 0.1, 1, 0, 1), (12, 0.4, 50, 0.0, 60, 0.0, 1, 0, 1), (40, 0.6, 50, 0.0, 60, 0.0, 1, 0, 1), (20, 0.5, 70, 0.0, 0, 0.0, 1, 0, 1),
+    (15, 0.3, 60, 0.1, 0, 0.0, 1, 0, 1), (9, 0.7, 50, 0.0, 3, 1.0, 1, 0, 1), (10, 0.8, 40, 0.0, 30, 0.0, 1, 0, 1), (25, 0.8, 3, 1.0, 40, 0.0, 1, 0, 1),
+    (2, 1.0, 8, 0.0, 90, 0.0, 1, 0, 1), (6, 1.0, 60, 0.0, 50, 0.0, 1, 0, 1), (9, 1.0, 40, 0.1, 30, 0.0, 1, 0, 1), (12, 1.0, 80, 0.0, 0, 0.0, 1, 0, 1),
+    (2, 0.0, 0, 0.0, 2, 0.0, 1, 0, 1), (1, 0.0, 0, 0.0, 60, 0.0, 1, 0, 1), (2, 0.0, 0, 0.0, 40, 0.0, 1, 0, 1), (1, 0.0, 3, 1.0, 5, 0.0, 1, 0, 1),
+    (2, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1), (1, 0.0, 0, 0.0, 1, 0.0, 1, 0, 1), (2, 1.0, 2, 0.0, 90, 0.0, 1, 0, 1), (2, 1.0, 3, 0.0, 40, 0.0, 1, 0, 1),
+    # Inside a main container: runs of links.
+    (3, 1.0, 3, 1.0, 4, 1.0, 1, 0, 0), (2, 1.0, 60, 0.0, 3, 1.0, 1, 0, 0), (3, 1.0, 4, 1.0, 50, 0.0, 1, 0, 0), (5, 1.0, 5, 1.0, 0, 0.0, 1, 0, 0),
+    (8, 1.0, 60, 0.0, 9, 1.0, 1, 0, 0), (4, 1.0, 8, 0.0, 5, 1.0, 1, 0, 0), (6, 1.0, 9, 1.0, 30, 0.1, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0),
+    # Without a container: paragraphs, and what stands beside them.
+    (90, 0.0, 8, 0.0, 70, 0.0, 0, 0, 1), (45, 0.1, 90, 0.0, 80, 0.0, 0, 0, 1), (300, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (60, 0.0, 2, 1.0, 3, 1.0, 0, 0, 1),
+    (35, 0.2, 6, 0.0, 2, 1.0, 0, 0, 1), (25, 0.0, 5, 0.0, 30, 0.0, 0, 0, 1), (28, 0.0, 1, 1.0, 1, 1.0, 0, 0, 1), (20, 0.0, 40, 0.0, 55, 0.0, 0, 0, 1),
+    (18, 0.0, 6, 0.0, 22, 0.1, 0, 0, 1), (12, 0.0, 25, 0.0, 30, 0.0, 0, 0, 1), (12, 0.4, 50, 0.0, 60, 0.0, 0, 0, 1), (40, 0.5, 50, 0.0, 60, 0.0, 0, 0, 1),
+    (20, 0.5, 60, 0.0, 0, 0.0, 0, 0, 1), (8, 0.0, 60, 0.0, 70, 0.0, 0, 0, 1), (4, 0.0, 30, 0.0, 45, 0.0, 0, 0, 1), (5, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1),
+    (3, 0.0, 40, 0.0, 0, 0.0, 0, 0, 1), (9, 0.0, 50, 0.1, 0, 0.0, 0, 0, 1), (8, 0.0, 60, 0.0, 3, 1.0, 0, 0, 1), (5, 0.0, 45, 0.0, 1, 1.0, 0, 0, 1),
+    (2, 0.0, 20, 0.0, 2, 0.0, 0, 0, 1), (2, 0.0, 2, 0.0, 2, 0.0, 0, 0, 1), (3, 0.0, 3, 0.0, 40, 0.0, 0, 0, 1), (2, 0.0, 8, 0.0, 50, 0.0, 0, 0, 1),
+    (3, 0.0, 40, 0.0, 1, 1.0, 0, 0, 1), (2, 0.0, 50, 0.0, 1, 1.0, 0, 0, 1), (3, 0.0, 70, 0.0, 4, 1.0, 0, 0, 1), (2, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1),
+    (1, 0.0, 40, 0.0, 1, 0.0, 0, 0, 1), (1, 0.0, 1, 0.0, 1, 0.0, 0, 0, 1), (1, 0.0, 1, 0.0, 40, 0.0, 0, 0, 1), (2, 0.0, 1, 0.0, 3, 0.0, 0, 0, 1),
+    (5, 0.0, 15, 0.3, 2, 1.0, 0, 0, 1), (7, 0.0, 20, 0.2, 1, 1.0, 0, 0, 1), (4, 0.0, 30, 0.0, 2, 1.0, 0, 0, 1), (6, 0.0, 26, 0.0, 3, 1.0, 0, 0, 1),
+    (3, 0.0, 18, 0.2, 1, 1.0, 0, 0, 1), (8, 0.0, 14, 0.3, 1, 1.0, 0, 0, 1), (5, 0.0, 25, 0.1, 2, 1.0, 0, 0, 1), (4, 0.0, 17, 0.3, 1, 1.0, 0, 0, 1),
+    # A paragraph after links, with little or nothing after it.
+    (60, 0.0, 1, 1.0, 0, 0.0, 0, 0, 1), (40, 0.0, 2, 1.0, 1, 0.0, 1, 0, 1), (30, 0.0, 3, 1.0, 2, 0.0, 0, 0, 1), (80, 0.0, 4, 1.0, 0, 0.0, 1, 0, 1),
+    (25, 0.1, 2, 1.0, 0, 0.0, 0, 0, 1), (20, 0.0, 1, 1.0, 2, 0.0, 0, 0, 1), (6, 0.0, 2, 1.0, 0, 0.0, 1, 0, 1), (2, 0.0, 2, 1.0, 2, 0.0, 1, 0, 1),
+    (3, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0), (4, 0.0, 5, 1.0, 1, 0.0, 0, 0, 0), (5, 0.0, 3, 1.0, 2, 0.0, 0, 0, 0), (1, 0.0, 4, 1.0, 0, 0.0, 0, 0, 0),
+    # Without a container: headings over text.
+    (10, 0.0, 3, 1.0, 50, 0.0, 0, 1, 1), (6, 0.0, 40, 0.0, 60, 0.0, 0, 1, 1), (6, 0.0, 0, 0.0, 20, 0.0, 0, 1, 1), (5, 0.0, 1, 1.0, 12, 0.0, 0, 1, 1),
+    (4, 0.0, 0, 0.0, 80, 0.0, 0, 1, 1), (3, 0.0, 0, 0.0, 50, 0.0, 0, 1, 1), (2, 0.0, 0, 0.0, 60, 0.0, 0, 1, 1), (4, 0.0, 0, 0.0, 30, 0.0, 0, 1, 1),
+    # Without a container: menus, taglines, link lists and headings over them.
     (4, 1.0, 4, 1.0, 5, 1.0, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0), (9, 0.8, 3, 1.0, 4, 1.0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0),
     (5, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0), (2, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0), (7, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0), (6, 0.5, 9, 0.0, 5, 0.6, 0, 0, 0),
     (4, 0.0, 6, 0.0, 5, 1.0, 0, 0, 0), (8, 0.0, 5, 1.0, 3, 1.0, 0, 0, 0), (15, 0.9, 40, 0.0, 30, 0.0, 0, 0, 0), (3, 1.0, 60, 0.0, 50, 0.0, 0, 0, 0),
+    (3, 1.0, 60, 0.0, 3, 1.0, 0, 0, 0), (4, 1.0, 5, 1.0, 0, 0.0, 0, 0, 0), (2, 0.0, 60, 0.0, 2, 1.0, 0, 1, 0), (3, 0.0, 4, 1.0, 3, 1.0, 0, 1, 0),
+    (1, 0.0, 60, 0.0, 2, 1.0, 0, 1, 0), (1, 0.0, 40, 0.0, 1, 1.0, 0, 1, 0), (5, 0.0, 50, 0.0, 3, 1.0, 0, 1, 0), (4, 0.0, 30, 0.0, 4, 1.0, 0, 1, 0),
+    (12, 1.0, 60, 0.0, 0, 0.0, 0, 0, 0), (30, 0.9, 50, 0.0, 8, 1.0, 0, 0, 0), (2, 0.0, 0, 0.0, 3, 0.0, 0, 0, 0), (9, 1.0, 2, 0.0, 40, 0.0, 0, 0, 0),
 )
 
 
-def grow(rows: np.ndarray, depth: int = 6, least: int = 2):
+def grow(rows: np.ndarray, depth: int = 8, least: int = 1):
     """A CART tree by Gini impurity: (column, limit, below or equal, above), or the share of label 1 at a leaf."""
     x, y = rows[:, :-1], rows[:, -1]
     if depth == 0 or len(y) < 2 * least or y.min() == y.max():
@@ -93,15 +125,23 @@ def decide(tree, row: tuple) -> bool:
     return tree >= 0.5
 
 
+#: Away from the text for good, or only until a main element inside (some pages are one form).
+AWAY, FORM = -1, -2
+
+
 def _says(tag: str, attributes: str, inside_main: bool) -> int:
-    """What a container says about the text in it: -1, 0 or 1."""
+    """What a container says about the text in it: AWAY, FORM, 0 or 1."""
+    if tag == "form":
+        return FORM
     if tag in AWAY_TAGS or (tag == "header" and not inside_main):
-        return -1
+        return AWAY
     words: set[str] = set()
     for m in _NAMED.finditer(attributes):
         words.update(_WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
+    if words & NOT_MAIN_WORDS and tag in MAIN_TAGS:
+        return AWAY
     if words & AWAY_WORDS and tag not in ("body", "html", "article", "main") and not (tag == "header" or words & AWAY_WORDS == {"header"} and inside_main):
-        return -1
+        return AWAY
     return 1 if tag in MAIN_TAGS or words & MAIN_WORDS and tag in ("div", "section", "td") else 0
 
 
@@ -186,14 +226,20 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                 stack.pop()
             above = stack[-1][1] if stack else 0
             says = _says(tag, attributes, above == 1)
-            # Once away from the text, nothing inside leads back; inside the main text, silence keeps it.
-            stack.append((tag, above if above == -1 or says == 0 else says))
+            # Once away from the text, nothing inside leads back, but a main element in a form; inside the main text, silence keeps it.
+            away = above == AWAY or above == FORM and tag not in MAIN_TAGS
+            stack.append((tag, above if away or says == 0 else says))
         else:
             end(tag)
     close()
     return out
 
 
+def candidates(found: list[tuple[str, int, int, int, int]]) -> list[tuple[str, int, int, int, int]]:
+    """The blocks that no container or legal notice puts away from the text."""
+    return [b for b in found if b[3] == 1 or b[3] == 0 and not NOTICE.match(b[0])]
+
+
 def rows_of(found: list[tuple[str, int, int, int, int]]) -> list[tuple]:
     """The tree's columns for each block."""
     figures = [(0, 0.0), *((w, round(l / w, 3)) for _, w, l, _, _ in found), (0, 0.0)]
@@ -201,7 +247,7 @@ def rows_of(found: list[tuple[str, int, int, int, int]]) -> list[tuple]:
 
 
 def main_text(page: str, tree) -> str:
-    found = blocks(page)
+    found = candidates(blocks(page))
     return " ".join(b[0] for b, row in zip(found, rows_of(found), strict=True) if decide(tree, row))
 
 
