@@ -77,6 +77,9 @@ LABELLED = (
     (2, 0.0, 20, 0.0, 2, 0.0, 0, 0, 1), (2, 0.0, 2, 0.0, 2, 0.0, 0, 0, 1), (3, 0.0, 3, 0.0, 40, 0.0, 0, 0, 1), (2, 0.0, 8, 0.0, 50, 0.0, 0, 0, 1),
     (3, 0.0, 40, 0.0, 1, 1.0, 0, 0, 1), (2, 0.0, 50, 0.0, 1, 1.0, 0, 0, 1), (3, 0.0, 70, 0.0, 4, 1.0, 0, 0, 1), (2, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1),
     (1, 0.0, 40, 0.0, 1, 0.0, 0, 0, 1), (1, 0.0, 1, 0.0, 1, 0.0, 0, 0, 1), (1, 0.0, 1, 0.0, 40, 0.0, 0, 0, 1), (2, 0.0, 1, 0.0, 3, 0.0, 0, 0, 1),
+    (40, 0.0, 0, 0.0, 60, 0.0, 0, 0, 1), (12, 0.0, 0, 0.0, 40, 0.0, 0, 0, 1), (60, 0.0, 0, 0.0, 4, 0.0, 0, 0, 1), (40, 0.0, 0, 0.0, 3, 1.0, 0, 0, 1),
+    (60, 0.0, 0, 0.0, 5, 0.0, 1, 0, 1), (3, 0.0, 0, 0.0, 3, 0.0, 1, 0, 1), (4, 0.0, 0, 0.0, 2, 1.0, 1, 0, 1), (3, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1),
+    (1, 0.0, 9, 0.7, 0, 0.0, 1, 0, 1), (3, 0.0, 5, 1.0, 0, 0.0, 1, 0, 1), (4, 0.0, 8, 0.9, 1, 0.0, 1, 0, 1), (5, 0.0, 3, 1.0, 2, 0.0, 1, 0, 1),
     (5, 0.0, 15, 0.3, 2, 1.0, 0, 0, 1), (7, 0.0, 20, 0.2, 1, 1.0, 0, 0, 1), (4, 0.0, 30, 0.0, 2, 1.0, 0, 0, 1), (6, 0.0, 26, 0.0, 3, 1.0, 0, 0, 1),
     (3, 0.0, 18, 0.2, 1, 1.0, 0, 0, 1), (8, 0.0, 14, 0.3, 1, 1.0, 0, 0, 1), (5, 0.0, 25, 0.1, 2, 1.0, 0, 0, 1), (4, 0.0, 17, 0.3, 1, 1.0, 0, 0, 1),
     # A paragraph after links, with little or nothing after it.

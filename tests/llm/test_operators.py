@@ -265,6 +265,7 @@ LONG_T = ("Some plain words of the text stand here to be read. " * 4).strip()
         (f"<div>{LONG_P}</div><div>The end is near.</div><footer>© Us</footer>", LONG_T + " The end is near."),
         (f"<div>{LONG_P}</div><div>Thus it ended.</div><ul><li><a>Home</a><li><a>News</a></ul>", LONG_T + " Thus it ended."),
         (f"<article><header><h1>A title</h1></header><p><a>Jane Doe</a></p>{LONG_P}<p>Fin.</p></article>", "A title Jane Doe " + LONG_T + " Fin."),
+        (f"<article>{LONG_P}<p>See <a>this and that page</a>.</p><p>Fin.</p></article>", LONG_T + " See this and that page. Fin."),
         # Pages without any container, and pages that are one form.
         (f"<div><a>Home</a></div><div><a>News</a></div><h1>A plain title</h1>{LONG_P}<ul><li>one<li>two</ul>{LONG_P}<h3>Related</h3><div><a>More</a></div><div><a>Other</a></div><div>© 2024 Us, all rights reserved</div>", f"A plain title {LONG_T} one two {LONG_T}"),
         (f"<table><tr><td><a>Home</a></td><td><a>Shop</a></td></tr><tr><td>{LONG_P}</td></tr></table>", LONG_T),
