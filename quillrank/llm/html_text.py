@@ -88,6 +88,7 @@ LABELLED = (
     (3, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0), (4, 0.0, 5, 1.0, 1, 0.0, 0, 0, 0), (5, 0.0, 3, 1.0, 2, 0.0, 0, 0, 0), (1, 0.0, 4, 1.0, 0, 0.0, 0, 0, 0),
     # Without a container: headings over text.
     (10, 0.0, 3, 1.0, 50, 0.0, 0, 1, 1), (6, 0.0, 40, 0.0, 60, 0.0, 0, 1, 1), (6, 0.0, 0, 0.0, 20, 0.0, 0, 1, 1), (5, 0.0, 1, 1.0, 12, 0.0, 0, 1, 1),
+    (4, 0.0, 2, 1.0, 80, 0.0, 0, 1, 1), (5, 0.0, 1, 1.0, 50, 0.0, 0, 1, 1), (3, 0.0, 2, 1.0, 60, 0.0, 0, 1, 1), (4, 0.0, 2, 1.0, 30, 0.0, 1, 1, 1),
     (4, 0.0, 0, 0.0, 80, 0.0, 0, 1, 1), (3, 0.0, 0, 0.0, 50, 0.0, 0, 1, 1), (2, 0.0, 0, 0.0, 60, 0.0, 0, 1, 1), (4, 0.0, 0, 0.0, 30, 0.0, 0, 1, 1),
     # Without a container: menus, taglines, link lists and headings over them.
     (4, 1.0, 4, 1.0, 5, 1.0, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0), (9, 0.8, 3, 1.0, 4, 1.0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0),
