@@ -7,18 +7,26 @@ repeated window shows as two sampled suffixes with equal leading bytes around wh
 texts agree for 400 bytes. A mark stands for the windows that chose it; the bytes they
 span are its context.
 
-1. Marks whose leading string (64 bytes, by hash) occurs once are dropped.
-2. Marks with equal contexts are one class; a class of two or more is repeated whole.
-3. For the rest (the edges of repeated passages) the contexts are fetched, dealt by
-   sampled splitters of their leading tokens to range buckets, and sorted there by that
-   token and the leading string's hash, not by their bytes; windows of rows with equal
-   leading strings are compared by hash, a group that crosses a batch being carried over
-   (a leading token never crosses a bucket). Groups with very many different contexts are compared by window hash over
-   all tasks instead.
+1. Marks with equal leading strings and equal contexts (two 64-bit hashes together) are
+   one class; a class of two or more is repeated whole. Classes whose leading string no
+   other mark has are dropped.
+2. For classes of one whose leading string others share (the edges of repeated passages)
+   the contexts are fetched, and their suffixes dealt by sampled splitters of their
+   leading tokens (8 bytes) to range buckets.
+3. A bucket is read in order of token. Rows of one token are sorted by multikey quicksort
+   on the tokens that follow. Neighbours' bytes give the longest common prefixes, and the
+   intervals of equal prefixes are merged from the deepest up: for the two sides of a
+   merge the bytes to the left are compared too, so a window counts as repeated only if
+   400 bytes agree, byte by byte. A token's rows that go on in the next batch are held
+   back for it. A token never crosses a bucket, so its group is whole there; a token with
+   more rows than GROUP (a hot one) is dealt over all tasks by a hash of each window.
 4. The windows found are joined to spans per document and cut out.
 
-Null text counts as empty. A repeated row repeats every window of its text. Rows with
-fewer than 400 bytes lose nothing. No rows give no rows.
+Null text counts as empty. A repeated row repeats every window of its text, and rows
+that tie in all their bytes are one class. A row with a null id is treated as any other.
+Rows with fewer than 400 bytes lose nothing. A very long text is handled in one task, a
+megabyte at a time with an overlap, so no window is lost. Other columns are ignored,
+whatever their names. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import U64, arrow_limits, buffers, keyed, mix, prefix_hash, range_hash, slices
+from quillrank.llm.common import SLICE_BYTES, U64, arrow_limits, buffers, join_hot, keyed, mix, prefix_hash, range_hash, slices
 from quillrank.session import cut
 
 SPAN, LEAD = 400, 64
@@ -84,9 +92,15 @@ def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = batch.column("uid").to_numpy(zero_copy_only=False)
         did = batch.column("did").fill_null(-1).to_numpy(zero_copy_only=False)
         for i, j in slices(at):
-            r, p, first, last, lead, context = marks(data[at[i] : at[j]], at[i : j + 1] - at[i])
-            if len(r):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lead.view(np.int64), context.view(np.int64), uid[i + r], _pack(first, p, last, did[i + r]))], ["lead", "ctx", "uid", "at"])
+            # A long text goes in pieces that overlap by a window less a byte; a mark split by that is compared by its bytes.
+            step = max(SLICE_BYTES, 1) if j == i + 1 else at[j] - at[i] or 1
+            for begin in range(0, int(at[j] - at[i]), int(step)):
+                stop = at[j] if j > i + 1 else min(at[j], at[i] + begin + step + SPAN - 1)
+                rows = at[i : j + 1] - at[i] if j > i + 1 else np.array([0, stop - at[i] - begin])
+                r, p, first, last, lead, context = marks(data[at[i] + begin : stop], rows)
+                if len(r):
+                    packed = _pack(first + begin, p + begin, last + begin, did[i + r])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lead.view(np.int64), context.view(np.int64), uid[i + r], packed)], ["lead", "ctx", "uid", "at"])
 
 
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,19 +115,20 @@ def _unpack(at: int) -> tuple[int, int, int]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per wanted mark: its leading token and the bytes of its windows."""
+    """Per wanted mark: its two leading tokens (in order of their bytes as numbers) and the bytes of its windows."""
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], [], []]
         for z, want in zip(batch.column("z"), batch.column("want"), strict=True):
             text = zlib.decompress(z.as_py())
             for x in want.as_py():
                 first, to_mark, more = _unpack(x["at"])
                 p = first + to_mark
-                for values, v in zip(out, (int.from_bytes(text[p : p + 8], "big") >> 1, x["lead"], x["uid"], x["at"], text[first : first + more + SPAN], x["large"]), strict=True):
+                tokens = (int.from_bytes(text[k : k + TOKEN], "big") - (1 << 63) for k in (p, p + TOKEN))
+                for values, v in zip(out, (*tokens, x["lead"], x["uid"], x["at"], text[first : first + more + SPAN], x["large"]), strict=True):
                     values.append(v)
         if out[0]:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["token", "lead", "uid", "at", "bytes", "large"])
+            kinds = (*[pa.int64()] * 5, pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["token", "token2", "lead", "uid", "at", "bytes", "large"])
 
 
 def _windows(at: np.ndarray, texts: list[bytes], lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,48 +143,159 @@ def _windows(at: np.ndarray, texts: list[bytes], lead: np.ndarray) -> tuple[np.n
     return row, k, mix(key ^ mix((to_mark[row] - k).astype(U64) + lead.view(U64)[row]))
 
 
-def _equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows that two contexts with one leading string share; rows come in order of token and lead."""
-    held: list[tuple] = []
+#: Suffixes up to which multikey quicksort hands over to a comparison sort of what is left of them.
+SMALL = 24
+#: Groups up to which every two suffixes are compared at once.
+FEW = 8
+TOKEN = 8
 
-    def compare(rows: list[tuple]) -> pa.RecordBatch:
-        lead, uid, at = (np.array([r[n] for r in rows], np.int64) for n in range(3))
-        row, k, key = _windows(at, [r[3] for r in rows], lead)
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        hit = np.zeros(len(key), bool)
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
-        first = (at[row[hit]] >> 31) & 0xFFFFFFFF
-        return _runs(uid[row[hit]], at[row[hit]] & 0x1FFF, first + k[hit])
 
-    for batch in batches:
-        rows = list(zip(*(batch.column(c).to_pylist() for c in ("lead", "uid", "at", "bytes")), strict=True))
-        if not rows:
-            continue
-        last = rows[-1][0]
-        edge = len(rows)
-        while edge and rows[edge - 1][0] == last:
-            edge -= 1
-        if edge:
-            yield compare(held + rows[:edge])
-            held = rows[edge:]
-        elif held and held[-1][0] != last:
-            yield compare(held)
-            held = rows
+def multikey_quicksort(suffixes: list[bytes]) -> list[int]:
+    """Places of ``suffixes`` in order of their bytes: three-way partitions by one token after another."""
+    order: list[int] = []
+    todo: list[tuple[list[int], int | None]] = [(list(range(len(suffixes))), 0)]
+    while todo:
+        rows, depth = todo.pop()
+        if depth is None:  # ended together: equal
+            order += rows
+        elif len(rows) <= SMALL:
+            order += sorted(rows, key=lambda i: suffixes[i][depth:])
         else:
-            held += rows
-    if held:
-        yield compare(held)
+            tokens = [suffixes[i][depth : depth + TOKEN] for i in rows]
+            pivot = sorted((tokens[0], tokens[len(rows) // 2], tokens[-1]))[1]
+            less, same, more = [], [], []
+            for i, t in zip(rows, tokens, strict=True):
+                (same if t == pivot else less if t < pivot else more).append(i)
+            todo += [(more, depth), (same, depth + TOKEN if len(pivot) == TOKEN else None), (less, depth)]
+    return order
+
+
+def common_prefix(a: bytes, b: bytes) -> int:
+    """Leading bytes in which two strings agree."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low, high = 0, n  # agree up to low, differ before high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid)
+    return low
+
+
+def _range_min(x: np.ndarray):
+    """A function that gives the least of x[i:j] for arrays of places i < j."""
+    levels = [x]
+    while 2 << (len(levels) - 1) <= len(x):
+        half = 1 << (len(levels) - 1)
+        levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
+    size = max(map(len, levels), default=0)
+    table = np.zeros((len(levels), max(size, 1)), np.int64)
+    for k, level in enumerate(levels):
+        table[k, : len(level)] = level
+
+    def least(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        k = np.frexp((j - i).astype(float))[1] - 1
+        return np.minimum(table[k, i], table[k, j - (1 << k)])
+
+    return least
+
+
+def agreements(right: list[int], left: list[bytes]) -> list[list[tuple[int, int]]]:
+    """Per suffix of a sorted group, ranges of how many bytes to the left a repeated window takes.
+
+    ``right`` has the common prefixes of neighbours, ``left`` what stands before each
+    suffix, last byte first. Intervals of suffixes are merged from the deepest up; at a
+    merge only pairs across it are new, and of those to the one side each needs only the
+    nearest in order of ``left`` on the other.
+    """
+    n = len(left)
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    if n <= FEW:
+        for i in range(n):
+            depth = SPAN
+            for j in range(i + 1, n):
+                depth = min(depth, right[j - 1])
+                if (a := common_prefix(left[i], left[j])) >= SPAN - depth:
+                    out[i].append((SPAN - depth, a))
+                    out[j].append((SPAN - depth, a))
+        return out
+    by_left = multikey_quicksort(left)
+    rank = np.empty(n, np.int64)
+    rank[by_left] = np.arange(n)
+    least = _range_min(np.array([common_prefix(left[a], left[b]) for a, b in zip(by_left, by_left[1:], strict=False)], np.int64))
+    sets, of = _Roots(n), {i: rank[i : i + 1] for i in range(n)}
+    for k in sorted(range(n - 1), key=lambda k: -right[k]):
+        x, y = sets.root(k), sets.root(k + 1)
+        mine, theirs = of.pop(x), of.pop(y)
+        need = SPAN - min(SPAN, right[k])
+        for one, other in ((mine, theirs), (theirs, mine)):
+            at = np.searchsorted(other, one)
+            best = np.full(len(one), -1)
+            before, after = at > 0, at < len(other)
+            best[before] = least(other[at[before] - 1], one[before])
+            best[after] = np.maximum(best[after], least(one[after], other[at[after]]))
+            for r in np.flatnonzero(best >= need).tolist():
+                out[by_left[one[r]]].append((need, int(best[r])))
+        of[sets.join(x, y)] = np.sort(np.concatenate([mine, theirs]), kind="stable")
+    return out
+
+
+class _Roots:
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> int:
+        self.up[y] = x
+        return x
+
+
+def shared_spans(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int, int]]:
+    """(uid, bits, s, e) of the windows that rows (uid, at, context) share with one another."""
+    places = [_unpack(at) for _, at, _ in rows]
+    suffixes = [text[to_mark:] for (_, _, text), (_, to_mark, _) in zip(rows, places, strict=True)]
+    order = multikey_quicksort(suffixes)
+    right = [common_prefix(suffixes[i], suffixes[j]) for i, j in zip(order, order[1:], strict=False)]
+    out, start = [], 0
+    for end in range(1, len(order) + 1):
+        if end < len(order) and right[end - 1] >= LEAD:
+            continue
+        if end - start > 1:
+            group = order[start:end]
+            found = agreements(right[start : end - 1], [rows[i][2][: places[i][1]][::-1] for i in group])
+            for i, ranges in zip(group, found, strict=True):
+                uid, at, _ = rows[i]
+                first, to_mark, more = places[i]
+                for low, high in ranges:
+                    low, high = max(low, to_mark - more), min(high, to_mark)
+                    if low <= high:
+                        out.append((uid, at & 0x1FFF, first + to_mark - high, first + to_mark - low + SPAN))
+        start = end
+    return out
 
 
-def _runs(uid: np.ndarray, bits: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    """Window starts joined to byte spans."""
-    order = np.lexsort((s, bits, uid))
-    uid, bits, s = uid[order], bits[order], s[order]
-    new = np.flatnonzero(np.concatenate([[True], (uid[1:] != uid[:-1]) | (bits[1:] != bits[:-1]) | (s[1:] > s[:-1] + 1)])) if len(s) else np.zeros(0, int)
-    end = s[np.concatenate([new[1:], [len(s)]]).astype(int) - 1] + SPAN if len(s) else s
-    return pa.RecordBatch.from_arrays([pa.array(uid[new]), pa.array(bits[new]), pa.array(s[new]), pa.array(end)], ["uid", "bits", "s", "e"])
+def _equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of the windows that contexts share; rows come in order of their leading tokens."""
+    names = ["uid", "bits", "s", "e"]
+    held: list[tuple] = []
+    for batch in batches:
+        held += zip(*(batch.column(c).to_pylist() for c in ("token", "token2", "uid", "at", "bytes")), strict=True)
+        out, start = [], 0
+        for end in range(1, len(held)):
+            if held[end][:2] != held[end - 1][:2]:
+                if end - start > 1:
+                    out += shared_spans([r[2:] for r in held[start:end]])
+                start = end
+        # The last token's rows may go on in the next batch.
+        held = held[start:]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names)
+    if len(held) > 1 and (out := shared_spans([r[2:] for r in held])):
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names)
 
 
 _SPANS = "uid long, bits long, s long, e long"
@@ -185,27 +311,31 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(uid, bits, s, e): byte spans made of windows that start elsewhere too; bits are the low 13 of the id."""
     base = keyed(docs)
-    rows = base.mapInArrow(_mark_rows, "lead long, ctx long, uid long, at long")
-    twice = rows.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1").select("lead", (F.col("lo") < F.col("hi")).alias("differ"))
-    shared = cut(rows.join(twice, "lead"))
+    rows = cut(base.mapInArrow(_mark_rows, "lead long, ctx long, uid long, at long"))
+    twice = cut(rows.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1").select("lead", "n", (F.col("lo") < F.col("hi")).alias("differ")))
+    marks_in = twice.agg(F.sum("n")).first()[0] or 0
+    shared = cut(join_hot(rows, twice, ["lead"], "n", marks_in).drop("n"))
     classes = cut(shared.groupBy("lead", "ctx").agg(F.count(F.lit(1)).alias("n"), F.first("differ").alias("differ"), F.min(F.struct("uid", "at")).alias("one")))
     bits = F.col("at").bitwiseAND(F.lit(0x1FFF))
     first = F.shiftrightunsigned("at", 31).bitwiseAND(F.lit(0xFFFFFFFF))
     more = F.shiftright("at", 13).bitwiseAND(F.lit(511))
-    whole = shared.join(classes.where("n > 1").select("lead", "ctx"), ["lead", "ctx"]).select("uid", bits.alias("bits"), first.alias("s"), (first + more + SPAN).alias("e"))
+    whole = join_hot(shared.select("lead", "ctx", "uid", "at"), classes.where("n > 1").select("lead", "ctx", "n"), ["lead", "ctx"], "n", marks_in)
+    whole = whole.select("uid", bits.alias("bits"), first.alias("s"), (first + more + SPAN).alias("e"))
     # Contexts are compared only where one of a group is single and another differs from it.
-    groups = classes.where("differ").groupBy("lead").agg(F.count(F.lit(1)).alias("g"), F.min("n").alias("least")).where("least = 1").select("lead", (F.col("g") > GROUP).alias("large"))
-    wanted = classes.where("differ").join(groups, "lead").select("lead", F.col("one.uid").alias("uid"), F.col("one.at").alias("at"), "large")
+    edges = classes.where("differ")
+    groups = cut(edges.groupBy("lead").agg(F.count(F.lit(1)).alias("g"), F.min("n").alias("least")).where("least = 1").select("lead", "g", (F.col("g") > GROUP).alias("large")))
+    wanted = join_hot(edges.select("lead", "one"), groups, ["lead"], "g", marks_in).select("lead", F.col("one.uid").alias("uid"), F.col("one.at").alias("at"), "large")
     asked = wanted.groupBy("uid").agg(F.collect_list(F.struct("lead", "uid", "at", "large")).alias("want"))
     zipped = base.mapInArrow(_zipped, "uid long, did long, z binary")
-    fetched = zipped.join(asked.hint("shuffle_hash"), "uid").dropDuplicates(["uid"]).select("z", "want").mapInArrow(_contexts, "token long, lead long, uid long, at long, bytes binary, large boolean")
+    fetched = zipped.join(asked.hint("shuffle_hash"), "uid").dropDuplicates(["uid"]).select("z", "want").mapInArrow(_contexts, "token long, token2 long, lead long, uid long, at long, bytes binary, large boolean")
     fetched = cut(fetched)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = fetched.where("not large").repartitionByRange(parts, "token", "lead").sortWithinPartitions("token", "lead")
+    # Splitters are sampled over the leading tokens; a group of equal ones is whole in its bucket, so no two buckets share a window.
+    buckets = fetched.where("not large").repartitionByRange(parts, "token", "token2").sortWithinPartitions("token", "token2")
     near = buckets.mapInArrow(_equal_neighbours, _SPANS)
     windows = fetched.where("large").mapInArrow(_window_rows, "key long, uid long, bits long, s long")
-    keys = windows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    far = windows.join(keys, "key").select("uid", "bits", "s", (F.col("s") + SPAN).alias("e"))
+    keys = cut(windows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    far = join_hot(windows, keys, ["key"], "n", keys.agg(F.sum("n")).first()[0] or 0).select("uid", "bits", "s", (F.col("s") + SPAN).alias("e"))
     return whole.unionByName(near).unionByName(far)
 
 

@@ -457,6 +457,52 @@ def test_substring_dedup(spark, docs, sf, monkeypatch):
     check_repeats(by_id(substring_dedup.without_repeats(table)), want)
 
 
+def test_substring_dedup_whole_table(spark, docs, sf, monkeypatch):
+    """All documents, the longest included, also when long texts go in small pieces."""
+    want = plain_repeats(list(docs.items()))
+    check_repeats(by_id(Q.op6_substring_dedup(spark, sf)), want)
+    assert sum(w[1] > 0 for w in want.values()) > 150
+
+
+def test_substring_dedup_long_texts_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    text = "".join(rng.choice(list("abcd "), 5000))
+    batch = lambda: iter([pa.RecordBatch.from_arrays([pa.array([7]), pa.array([3]), pa.array([text])], ["uid", "did", "body"])])
+    windows = lambda: [s for b in substring_dedup._mark_rows(batch()) for at in b.column("at").to_pylist() for first, _, more in (substring_dedup._unpack(at),) for s in range(first, first + more + 1)]
+    whole = windows()
+    monkeypatch.setattr(substring_dedup, "SLICE_BYTES", 700)
+    monkeypatch.setattr(substring_dedup, "slices", lambda at: [(k, k + 1) for k in range(len(at) - 1)])
+    assert sorted(windows()) == sorted(whole) == list(range(len(text) - 399))
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(2)
+    base = bytes(rng.integers(97, 99, 60, dtype=np.uint8))
+    texts = [base[: int(rng.integers(0, 60))] + bytes(rng.integers(97, 100, int(rng.integers(0, 12)), dtype=np.uint8)) for _ in range(400)] + [b"", b"", base, base]
+    order = substring_dedup.multikey_quicksort(texts)
+    assert sorted(order) == list(range(len(texts))) and [texts[i] for i in order] == sorted(texts)
+    for a, b in zip(texts, texts[1:]):
+        n = substring_dedup.common_prefix(a, b)
+        assert a[:n] == b[:n] and (n == min(len(a), len(b)) or a[n] != b[n])
+
+
+@pytest.mark.parametrize("n", [2, 3, 8, 9, 40])
+def test_agreements_equal_all_pairs(n, monkeypatch):
+    """What neighbours and merged intervals say equals the comparison of every two suffixes."""
+    rng = np.random.default_rng(n)
+    for _ in range(30):
+        rows = [(bytes(rng.integers(97, 99, int(rng.integers(0, 9)), dtype=np.uint8)), b"x" * int(rng.integers(385, 400)) + bytes(rng.integers(97, 99, 6, dtype=np.uint8))) for _ in range(n)]
+        order = substring_dedup.multikey_quicksort([r for _, r in rows])
+        rows = [rows[i] for i in order]
+        right = [substring_dedup.common_prefix(a[1], b[1]) for a, b in zip(rows, rows[1:])]
+        got = substring_dedup.agreements(right, [x for x, _ in rows])
+        for i, (left, suffix) in enumerate(rows):
+            want = {a for j, (x, s) in enumerate(rows) if j != i for a in range(substring_dedup.common_prefix(left, x) + 1) if a + substring_dedup.common_prefix(suffix, s) >= substring_dedup.SPAN}
+            assert {a for low, high in got[i] for a in range(low, high + 1)} == want
+
+
 def test_substring_dedup_periodic(spark):
     rng = np.random.default_rng(6)
     word = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
