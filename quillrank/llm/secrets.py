@@ -7,8 +7,13 @@ The threshold depends on the candidate's character class. Windows over it are jo
 to spans; candidates on the allow-list (identifiers that are no secrets) are left out.
 
 Spans are in code points, end exclusive. Null text counts as empty; repeated rows are
-scanned alike; other columns are ignored. A text is scanned in one task, in memory
-proportional to its length.
+scanned alike; of spans that start together the kind listed first comes first; other
+columns are ignored, whatever their names; no rows give no rows. A text is scanned in
+one task, in time and memory proportional to its length (sorted spans are swept once).
+
+At the shipped settings random keys of 32 characters and more of any usual alphabet are
+found in over 98 of 100 cases, of 20 characters in over 80; names made of words and short
+numbers are not (the tests measure both). Keys of letters alone are taken for words.
 """
 
 from __future__ import annotations
@@ -47,6 +52,8 @@ ALLOWED = (
     r"[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",  # UUIDs
     r"[0-9]{4}-[0-9]{2}-[0-9]{2}[A-Za-z0-9_-]*",  # dated names
     r"(/?[A-Za-z_-]+[0-9]{0,2}/)+[A-Za-z_-]*[0-9]{0,2}",  # paths of words
+    r"/?([A-Za-z]{2,}|[vV]?[0-9]{1,4}|[0-9]{1,4}[A-Za-z]{1,2})([-_/=+]([A-Za-z]{2,}|[vV]?[0-9]{1,4}|[0-9]{1,4}[A-Za-z]{1,2}))+/?",  # words and short numbers, joined
+    r"[A-Z]?[a-z]{2,}([A-Z][a-z]{2,})*[0-9]{1,4}",  # words in camel case with a number
     r"[-=_+/]+",  # rules
 )
 _TERM = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
@@ -106,7 +113,14 @@ def scan(text: str, allowed: re.Pattern) -> tuple[list[tuple[int, int, int]], li
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_LENGTH["access"]]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
-    more = [(a, 3, b) for a, b in entropy_spans(text, allowed) if not any(s <= a and b <= e for s, _, e in base)]
+    more, k, reach = [], 0, -1
+    for a, b in entropy_spans(text, allowed):
+        # How far the base spans reach that start at or before this one; both come in order of start.
+        while k < len(base) and base[k][0] <= a:
+            reach = max(reach, base[k][2])
+            k += 1
+        if b > reach:
+            more.append((a, 3, b))
     return base, more
 
 
