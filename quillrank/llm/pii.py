@@ -10,9 +10,15 @@ identifiers in them, in whatever form, if digits, letters and length could be th
 
 One pass over the texts makes all mentions with their places; the rest works on them.
 A row without mentions keeps one marker row, so nothing is joined back to the texts.
-Spans are in code points, end exclusive. Null text counts as empty; repeated rows are
-scanned alike; no rows give no rows. Places come from running sums over a row's gaps
-and hits, so a text with very many hits costs a sort, not a square.
+Candidates for discovery are tokens of 6 to 40 characters and the spelt-out forms below:
+that is what an identifier is taken to look like. The words of a pattern may be of any
+length (very long ones stand by their hash); a white space run of up to six counts as one.
+
+Spans are in code points, end exclusive. Null text counts as empty; null ids stay null;
+repeated rows are scanned alike; of patterns that tie in confidence the kind listed first
+wins; other columns are ignored, whatever their names; no rows give no rows. Places come
+from running sums over a row's gaps and hits, so a text with very many hits costs a sort,
+not a square. Mentions of a hot pattern are dealt over tasks by a salt.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.functions.vectors import let
-from quillrank.llm.common import whole_text
+from quillrank.llm.common import join_hot, whole_text
 from quillrank.session import cut
 
 #: Kinds in the order in which they are listed.
@@ -73,6 +79,20 @@ def _valid(kind: Column, value: Column) -> Column:
     )
 
 
+def _spaced(text: Column) -> Column:
+    return F.translate(text, "\t\n\x0b\f\r", "     ")
+
+
+def _ending(gap: Column) -> Column:
+    """The end of a gap with its last two words, whatever their length."""
+    return F.substring_index(F.rtrim(_spaced(gap)), " ", -8)
+
+
+def _beginning(gap: Column) -> Column:
+    """The first word of a gap, whatever its length."""
+    return F.substring_index(F.ltrim(_spaced(gap)), " ", 1)
+
+
 def _hits(kind: int, pattern: str) -> Column:
     """Gap lengths, values and contexts of all matches of a pattern, in order."""
     body, p = F.col("_body"), F.lit(pattern)
@@ -82,7 +102,7 @@ def _hits(kind: int, pattern: str) -> Column:
         lambda z: F.transform(
             z["v"],
             lambda v, i: F.struct(
-                F.lit(kind).alias("kind"), i.alias("i"), F.length(z["g"][i]).alias("gap"), v.alias("value"), F.substring(z["g"][i], -60, 60).alias("left"), F.substring(z["g"][i + 1], 1, 30).alias("right")
+                F.lit(kind).alias("kind"), i.alias("i"), F.length(z["g"][i]).alias("gap"), v.alias("value"), _ending(z["g"][i]).alias("left"), _beginning(z["g"][i + 1]).alias("right")
             ),
         ),
     )
@@ -106,8 +126,12 @@ def mentions(docs: DataFrame) -> DataFrame:
     return rows.withColumn("end", end).withColumn("start", F.col("end") - size).where((F.col("kind") == MARKER) | _valid(F.col("kind"), F.col("value")))
 
 
+def _short(word: Column) -> Column:
+    return F.when(F.length(word) > 64, F.concat(F.lit("#"), F.xxhash64(word).cast("string"))).otherwise(word)
+
+
 def _last_word(text: Column, n: int) -> Column:
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    words = F.transform(F.filter(F.split(F.lower(text), " "), lambda w: w != ""), _short)
     return F.when(F.size(words) >= n, F.array_join(F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), n), " "))
 
 
@@ -129,36 +153,44 @@ def fits(kind: Column, value: Column, digits: Column, sizes: Column) -> Column:
 def edges(found: DataFrame) -> DataFrame:
     """(pattern, value, kind) for every mention; kind is null unless a base rule found the value there."""
     left = _last_word(F.col("left"), 2)
-    around = F.concat(_last_word(F.col("left"), 1), F.lit(" _ "), F.regexp_extract(F.ltrim(F.lower("right")), r"^\S+", 0))
+    around = F.concat(_last_word(F.col("left"), 1), F.lit(" _ "), _short(F.lower("right")))
     return (
         found.where(F.col("kind") != MARKER)
         .select("rid", "doc_id", "kind", "start", "end", "value", F.explode(F.array_compact(F.array(F.concat(F.lit("< "), left), around))).alias("pattern"))
     )
 
 
-def confident_patterns(found: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind, confidence) after scoring the graph back and forth."""
-    graph = cut(edges(found).select("pattern", "value", "kind").groupBy("pattern", "value").agg(F.min("kind").alias("kind")))
+def confident_patterns(found: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS) -> tuple[DataFrame, int]:
+    """(pattern, kind, confidence, m) after scoring the graph back and forth (m: a pattern's mentions), and all mentions."""
+    graph = cut(edges(found).groupBy("pattern", "value").agg(F.min("kind").alias("kind"), F.count(F.lit(1)).alias("m")))
+    total = graph.agg(F.sum("m")).first()[0] or 0
     scores = graph.where(F.col("kind") < OTHER_KIND).select("value", "kind", F.lit(1.0).alias("score")).distinct()
-    seeds, sizes = scores.select("value", "kind"), graph.groupBy("pattern").agg(F.count_distinct("value").alias("n"))
+    seeds, sizes = scores.select("value", "kind"), graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("m"))
     links = graph.select("pattern", "value")
     patterns = None
-    for _ in range(rounds):
-        patterns = (
+    for k in range(rounds):
+        patterns = cut(
             links.join(scores, "value").join(seeds.withColumn("seed", F.lit(1)), ["value", "kind"], "left").groupBy("pattern", "kind")
             .agg(F.sum("score").alias("s"), F.count("seed").alias("seeds")).where(F.col("seeds") >= min_seeds)
-            .join(sizes, "pattern").select("pattern", "kind", (F.col("s") / F.col("n")).alias("confidence"))
+            .join(sizes, "pattern").select("pattern", "kind", (F.col("s") / F.col("n")).alias("confidence"), "m")
         )
-        learned = links.join(patterns, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence")))))).alias("score"))
-        scores = learned.unionByName(seeds.withColumn("score", F.lit(1.0))).groupBy("value", "kind").agg(F.max("score").alias("score"))
-    return patterns.where(F.col("confidence") >= min_confidence)
+        if k < rounds - 1:
+            learned = of_pattern(links, patterns, total).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence")))))).alias("score"))
+            scores = learned.unionByName(seeds.withColumn("score", F.lit(1.0))).groupBy("value", "kind").agg(F.max("score").alias("score"))
+    return patterns.where(F.col("confidence") >= min_confidence), total
+
+
+def of_pattern(rows: DataFrame, patterns: DataFrame, total: int) -> DataFrame:
+    """``rows`` with each kind and confidence of their pattern; rows of a hot pattern are dealt over tasks."""
+    kinds = patterns.groupBy("pattern").agg(F.max("m").alias("m"), F.collect_list(F.struct("kind", "confidence")).alias("kinds"))
+    return join_hot(rows, kinds, ["pattern"], "m", total).drop("m").withColumn("k", F.explode("kinds")).select(*rows.columns, "k.kind", "k.confidence")
 
 
 def discovered(found: DataFrame, **how) -> DataFrame:
     """Unseen identifiers: (rid, doc_id, kind, start, end) of mentions that no base rule found."""
-    patterns = confident_patterns(found, **how)
+    patterns, total = confident_patterns(found, **how)
     others = edges(found).where(F.col("kind") == OTHER_KIND).drop("kind")
-    named = others.join(patterns, "pattern").join(F.broadcast(ranges(found)), "kind").where(fits(F.col("kind"), F.col("value"), F.col("digits"), F.col("sizes")))
+    named = of_pattern(others, patterns, total).join(F.broadcast(ranges(found)), "kind").where(fits(F.col("kind"), F.col("value"), F.col("digits"), F.col("sizes")))
     # A mention is of one kind, that of its most confident pattern.
     named = named.groupBy("rid", "doc_id", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
     named = named.select("rid", "doc_id", "kind", "start", "end")
@@ -172,10 +204,10 @@ def _joined(spans: Column) -> Column:
 
 
 def personal_data(docs: DataFrame, **how) -> DataFrame:
-    """Per row: doc_id, counts by kind, digest of the base spans, all spans, and how many were discovered."""
+    """Per row: doc_id, counts by kind, digest of the base spans, all spans, how many were discovered, and how many there are."""
     found = cut(mentions(docs))
     every = found.where(F.col("kind") != OTHER_KIND).select("rid", "doc_id", "kind", "start", "end", F.lit(True).alias("base")).unionByName(discovered(found, **how).withColumn("base", F.lit(False)))
     spans = lambda which: F.array_sort(F.collect_list(F.when((F.col("kind") >= 0) & which, F.struct("kind", "start", "end"))))
     count = lambda k: F.count_if((F.col("kind") == k) & F.col("base")).alias(f"n_{KINDS[k]}")
-    rows = every.groupBy("rid", "doc_id").agg(*[count(k) for k in range(len(KINDS))], spans(F.col("base")).alias("b"), spans(F.lit(True)).alias("a"), F.count_if(~F.col("base")).alias("n_discovered"))
-    return rows.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_joined(F.col("b")), 256).alias("base_sha256"), _joined(F.col("a")).alias("spans"), "n_discovered")
+    rows = every.groupBy("rid", "doc_id").agg(*[count(k) for k in range(len(KINDS))], spans(F.col("base")).alias("b"), spans(F.lit(True)).alias("a"), F.count_if(~F.col("base")).alias("n_discovered"), F.count_if(F.col("kind") >= 0).alias("n_spans"))
+    return rows.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_joined(F.col("b")), 256).alias("base_sha256"), _joined(F.col("a")).alias("spans"), "n_discovered", "n_spans")

@@ -248,6 +248,89 @@ def test_pii_discovers_other_forms(spark):
     assert all(got[i]["n_discovered"] == 0 for i, _ in rows)
 
 
+def plain_discovered(docs):
+    """The bootstrapping row by row: (doc, kind, start, end) of the spans it adds."""
+    forms = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]", pii.OTHER]
+    short = lambda w: w
+    mentions, known, values = [], defaultdict(list), defaultdict(set)
+    for i, text in docs.items():
+        good = set(plain_pii(text))
+        for kind, form in enumerate(forms):
+            hits = [m.span() for m in re.finditer(form, text)]
+            for k, (s, e) in enumerate(hits):
+                if kind < 4 and (kind, s, e) not in good:
+                    continue
+                before = text[hits[k - 1][1] if k else 0 : s].lower().split()
+                after = text[e : hits[k + 1][0] if k + 1 < len(hits) else len(text)].lower().split()
+                for p in (["< " + " ".join(map(short, before[-2:]))] if len(before) > 1 else []) + ([f"{before[-1]} _ {after[0] if after else ''}"] if before else []):
+                    mentions.append((i, kind, s, e, text[s:e], p))
+                if kind < 4:
+                    known[i].append((s, e))
+                    values[kind].add(text[s:e])
+    graph = {}
+    for _, kind, _, _, v, p in mentions:
+        graph[p, v] = min(kind, graph.get((p, v), 9))
+    seeds = {(v, k) for (_, v), k in graph.items() if k < 4}
+    scores, inside = dict.fromkeys(seeds, 1.0), defaultdict(set)
+    for p, v in graph:
+        inside[p].add(v)
+    for _ in range(pii.ROUNDS):
+        confident = {}
+        for p, vs in inside.items():
+            for k in range(4):
+                if sum((v, k) in seeds for v in vs) >= pii.MIN_SEEDS:
+                    confident[p, k] = sum(scores.get((v, k), 0) for v in vs) / len(vs)
+        miss = defaultdict(lambda: 1.0)
+        for (p, k), c in confident.items():
+            for v in inside[p]:
+                miss[v, k] *= max(1e-6, 1 - c)
+        scores = {x: max(1 - miss[x] if x in miss else 0, x in seeds) for x in {*miss, *seeds}}
+    digits = lambda v: sum(c in "0123456789" for c in v)
+    ends = lambda x: (sorted(x)[max(0, int(np.ceil(0.01 * len(x))) - 1)], sorted(x)[int(np.ceil(0.99 * len(x))) - 1])
+    found = {}
+    for i, kind, s, e, v, p in mentions:
+        for k in range(4):
+            c = confident.get((p, k), 0)
+            if kind < 4 or c < pii.MIN_CONFIDENCE or any(s < y and x < e for x, y in known[i]):
+                continue
+            (d1, d2), (n1, n2) = ends([digits(x) for x in values[k]]), ends([len(x) for x in values[k]])
+            number = d1 - pii.DIGITS_APART <= digits(v) <= d2 + pii.DIGITS_APART and not re.search("[A-Za-z]", v)
+            fair = bool(re.search("[A-Za-z]", v)) if k == 0 else bool(re.fullmatch(r"[0-9A-Fa-f.:]*[.:][0-9A-Fa-f.:]*", v)) if k == 1 else number
+            if fair and n1 / pii.LENGTH_TIMES <= len(v) <= n2 * pii.LENGTH_TIMES:
+                found[i, s, e] = max(found.get((i, s, e), (0, -9)), (c, -k))
+    return {(i, -k, s, e) for (i, s, e), (_, k) in found.items()}
+
+
+def test_pii_discovered_by_brute_force(spark, docs):
+    """At the shipped settings, among real texts: what contexts of many seeds hold in other forms is found, and all as by brute force."""
+    rng = np.random.default_rng(12)
+    texts = [t for t in docs.values() if 200 < len(t) < 2000]
+    say = ["call me at {} today", "reach us on {} now", "write mail to {} please", "log from {} always", "card number {} expires"]
+    seed = [lambda k: f"+1 555 {k:07d}", lambda k: f"+49 30 {k:07d}", lambda k: f"u{k}@host{k % 9}.org", lambda k: f"10.{k % 7}.{k // 200}.{k % 200}", lambda k: f"4{k:05d}111111111{k % 10}"]
+    other = [lambda k: f"555-{k % 900 + 100}-4567", lambda k: f"(030) {k % 900 + 100}-1234", lambda k: f"jane{k}[at]host.org", lambda k: f"2001:db8:{k:x}:0:0:8a2e", lambda k: f"4{k:05d}-1111-111111"]
+    rows, planted = {}, {}
+    for k in range(400):
+        text, kind = texts[k % len(texts)], k % 5
+        if k < 250 or kind < 4:
+            value = (seed if k < 250 else other)[kind](k)
+            piece = say[kind].format(value)
+            at = text.find(" ", int(rng.integers(0, 150))) + 1
+            rows[k] = text[:at] + piece + "  \n" + text[at:]
+            if k >= 250:
+                planted[k] = (at + piece.index(value), at + piece.index(value) + len(value))
+    want = plain_discovered(rows)
+    got = by_id(pii.personal_data(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(4)))
+    added = set()
+    for i, text in rows.items():
+        base = Counter(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in plain_pii(text))
+        more = Counter(filter(None, got[i]["spans"].split(","))) - base
+        assert got[i]["n_discovered"] == sum(more.values()) and got[i]["n_spans"] == sum(base.values()) + got[i]["n_discovered"]
+        added |= {(i, pii.KINDS.index(n), int(a), int(b)) for n, a, b in (x.split(":") for x in more)}
+    assert added == want
+    hit = {(i, s, e) for i, _, s, e in added} & {(i, *x) for i, x in planted.items()}
+    assert len(hit) >= 0.95 * len(planted) and len(hit) >= 0.95 * len(added), (len(hit), len(planted), len(added))
+
+
 # 3
 
 
