@@ -7,9 +7,15 @@ source are split in two by a multivariate hypergeometric draw, so every shard ge
 exact quota of disjoint blocks and shards mix sources as a random deal would. Inside a
 shard documents stand in a seeded order.
 
-Sizes are words; a null source is a source of its own, last in order; null text has
-size 0; repeated rows share one place in the order and are taken alike; a source of
-size 0 gets target 0; no rows give no rows. Only per-source figures are windowed.
+The block in which a source's last pass ends is cut into finer blocks until few rows are
+left in it, so a source with a third of all rows is never windowed by one task. Rows of
+hot sources meet their source's figures in salted parts.
+
+Sizes are words of the whole text, however long; a null source is a source of its own,
+last in order; null text has size 0; repeated rows share one place in the order and are
+taken alike; rows that tie in place are taken together; a source of size 0 gets target
+0; other columns are ignored, whatever their names; no rows give no rows. Only figures
+with one row per source are windowed.
 """
 
 from __future__ import annotations
@@ -19,13 +25,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import whole_text
+from quillrank.llm.common import join_hot, whole_text
 from quillrank.llm.quality_rules import words_in
 from quillrank.session import cut
 
 #: Fixed values of the mix.
 WEIGHTS, SHARE, MAX_PASSES = (5.0, 2.0, 1.0), 1.5, 2.0
 SEED, BLOCKS, SHARDS = 1729, 256, 16
+#: Rows of a source's last block that are looked at one by one, and words of a slice of a shard.
+EDGE_ROWS, SLICE_WORDS = 100_000, 1_500_000
+_PLACE_BITS, _LEVEL_BITS = 62, 8
 
 
 def _place(seed: int):
@@ -33,12 +42,18 @@ def _place(seed: int):
 
 
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(words_in(whole_text())).cast("long").alias("size"), _place(seed).alias("place"))
+    name = F.col("source").cast("string")
+    key = F.when(name.isNull(), "n").otherwise(F.concat(F.lit("s"), name)).alias("skey")  # joins as any other value
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), name.alias("source"), key, F.size(words_in(whole_text())).cast("long").alias("size"), _place(seed).alias("place"))
 
 
-def _block(blocks: int):
-    # Equal ranges of the permuted order.
-    return F.floor((F.shiftrightunsigned("place", 33)).cast("double") * blocks / float(1 << 31)).cast("int")
+def _fine(bits: int):
+    """The block of a place when the order is cut into 2 ** bits equal ranges."""
+    return F.shiftrightunsigned("place", 64 - bits)
+
+
+def _block():
+    return _fine(_LEVEL_BITS).cast("int")
 
 
 def targets(per_source: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: float = MAX_PASSES) -> DataFrame:
@@ -61,58 +76,64 @@ def targets(per_source: DataFrame, weights=WEIGHTS, share: float = SHARE, passes
     return level.withColumn("target", F.least(F.col("limit"), F.coalesce(first_free * F.col("w"), F.col("limit")))).select("source", "source_size", "target")
 
 
-def choices(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: float = MAX_PASSES, blocks: int = BLOCKS) -> DataFrame:
-    """Per source: its target, its whole passes, the place up to which one more pass goes, and places that fill the rest."""
-    rows = rows.withColumn("block", _block(blocks))
-    per_block = rows.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
-    per_source = per_block.groupBy("source").agg(F.sum("block_size").alias("source_size"))
-    aims = targets(per_source, weights, share, passes)
+def choices(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: float = MAX_PASSES) -> tuple[DataFrame, int]:
+    """Per source: its rows, target, whole passes, the place up to which one more pass goes, and places that fill the rest; and all rows."""
+    per_block = cut(rows.groupBy("skey", "source", _block().cast("long").alias("block")).agg(F.sum("size").alias("block_size"), F.count(F.lit(1)).alias("n")))
+    per_source = per_block.groupBy("skey", "source").agg(F.sum("block_size").alias("source_size"), F.sum("n").alias("n_rows"))
+    total = per_source.agg(F.sum("n_rows")).first()[0] or 0
+    aims = targets(per_source.select("source", "source_size"), weights, share, passes).join(per_source.select(F.col("source").alias("_s"), "skey", "n_rows"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     aims = aims.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     aims = cut(aims.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
-    running = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    p, a = per_block.withColumn("upto", F.sum("block_size").over(running)).alias("p"), aims.alias("a")
-    edge = p.join(a, F.col("p.source").eqNullSafe(F.col("a.source"))).where("p.upto > a.rest").groupBy("p.source", "a.rest").agg(F.min(F.struct("p.block", (F.col("p.upto") - F.col("p.block_size")).alias("below"))).alias("e"))
-    edge = edge.select("source", "rest", F.col("e.block").alias("block"), F.col("e.below").alias("below"))
-    # Only the block in which the last pass ends is looked at row by row.
-    e = edge.alias("e")
-    inside = rows.alias("r").join(e, F.col("r.source").eqNullSafe(F.col("e.source")) & (F.col("r.block") == F.col("e.block"))).select("r.source", "r.place", "r.size", "e.rest", "e.below")
-    upto = Window.partitionBy("source").orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("upto", F.col("below") + F.sum("size").over(upto))
-    cuts = inside.groupBy("source").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.struct("place", "upto"))).alias("c"))
-    cuts = edge.alias("e").join(cuts.alias("c"), F.col("e.source").eqNullSafe(F.col("c.source"))).select(
-        "e.source", "e.block", F.col("c.c.place").alias("cut"), (F.col("e.rest") - F.coalesce(F.col("c.c.upto"), F.col("e.below"))).alias("gap")
-    )
-    cuts = cut(cuts)
+
+    def edge_of(blocks: DataFrame, known: DataFrame) -> DataFrame:
+        """The block in which each source's rest ends, with the words below it. ``known`` has skey, rest, below, n_rows."""
+        running = Window.partitionBy("skey").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+        upto = blocks.join(known, "skey").withColumn("upto", F.col("below") + F.sum("block_size").over(running))
+        found = upto.where("upto > rest").groupBy("skey", "rest", "n_rows").agg(F.min(F.struct("block", (F.col("upto") - F.col("block_size")).alias("below"), "n")).alias("e"))
+        return cut(found.select("skey", "rest", "n_rows", F.col("e.block").alias("block"), F.col("e.below").alias("below"), F.col("e.n").alias("n")))
+
+    bits = _LEVEL_BITS
+    edge = edge_of(per_block.select("skey", "block", "block_size", "n"), aims.select("skey", "rest", F.lit(0).cast("long").alias("below"), "n_rows"))
+    inside = rows.select("skey", "place", "size")
+    while True:
+        e = edge.select("skey", F.col("block").alias("_block"), "n_rows")
+        inside = join_hot(inside, e, ["skey"], "n_rows", total).where(_fine(bits) == F.col("_block")).select("skey", "place", "size")
+        if bits >= _PLACE_BITS or (edge.agg(F.max("n")).first()[0] or 0) <= EDGE_ROWS:
+            break
+        bits = min(bits + _LEVEL_BITS, _PLACE_BITS)
+        inside = cut(inside)
+        finer = inside.groupBy("skey", _fine(bits).alias("block")).agg(F.sum("size").alias("block_size"), F.count(F.lit(1)).alias("n"))
+        edge = edge_of(finer, edge.select("skey", "rest", "below", "n_rows"))
+    upto = Window.partitionBy("skey").orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
+    one_by_one = inside.join(edge.select("skey", "rest", "below"), "skey").withColumn("upto", F.col("below") + F.sum("size").over(upto))
+    cuts = one_by_one.groupBy("skey").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.struct("place", "upto"))).alias("c"))
+    # All of the blocks before the edge, and of the edge the places up to the cut; ``from_`` is where the rest of the order begins.
+    open_ = cut(edge.join(cuts, "skey", "left").select("skey", "n_rows", "block", F.col("c.place").alias("cut"), (F.col("rest") - F.coalesce("c.upto", "below")).alias("gap"), F.array().cast("array<long>").alias("fill")))
+    edge_block, beyond_cut = F.col("block"), F.col("cut").isNull() | (F.col("place") > F.col("cut"))
     # The rest, less than the next document, goes to the largest documents that still fit.
-    open_ = cuts.select("source", "block", "cut", "gap", F.array().cast("array<long>").alias("fill"))
     for _ in range(2):
-        o = open_.alias("o")
-        beyond = rows.alias("r").join(o, F.col("r.source").eqNullSafe(F.col("o.source"))).where(
-            "r.size > 0 and r.size <= o.gap and (r.block > o.block or (r.block = o.block and (o.cut is null or r.place > o.cut)))"
-        ).where(~F.array_contains("o.fill", F.col("r.place")))
-        best = beyond.groupBy("r.source").agg(F.max(F.struct("r.size", "r.place")).alias("b"))
-        b = best.alias("b")
-        open_ = cut(open_.alias("o").join(b, F.col("o.source").eqNullSafe(F.col("b.source")), "left").select(
-            "o.source", "o.block", "o.cut", (F.col("o.gap") - F.coalesce(F.col("b.b.size"), F.lit(0))).alias("gap"),
-            F.when(F.col("b.b").isNull(), F.col("o.fill")).otherwise(F.array_append("o.fill", F.col("b.b.place"))).alias("fill"),
+        met = join_hot(rows.select("skey", "place", "size"), open_, ["skey"], "n_rows", total)
+        beyond = met.where((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & ((_fine(bits) > edge_block) | ((_fine(bits) == edge_block) & beyond_cut)) & ~F.array_contains("fill", F.col("place")))
+        best = beyond.groupBy("skey").agg(F.max(F.struct("size", "place")).alias("b"))
+        open_ = cut(open_.join(best, "skey", "left").select(
+            "skey", "n_rows", "block", "cut", (F.col("gap") - F.coalesce("b.size", F.lit(0))).alias("gap"),
+            F.when(F.col("b").isNull(), F.col("fill")).otherwise(F.array_append("fill", F.col("b.place"))).alias("fill"),
         ))
-    o = open_.alias("o")
-    return aims.alias("a").join(o, F.col("a.source").eqNullSafe(F.col("o.source")), "left").select("a.source", "a.source_size", "a.target", "a.whole", F.col("o.block").alias("edge"), "o.cut", "o.fill")
+    plan = aims.join(open_.select("skey", F.col("block").alias("edge"), "cut", "fill"), "skey", "left")
+    return plan.select("skey", "n_rows", "source_size", "target", "whole", "edge", F.lit(bits).alias("bits"), "cut", "fill"), total
 
 
-def _copies(blocks: int = BLOCKS):
-    block = _block(blocks)
+def _copies():
+    block = F.expr("shiftrightunsigned(place, 64 - bits)")
     more = (block < F.col("edge")) | ((block == F.col("edge")) & F.col("cut").isNotNull() & (F.col("place") <= F.col("cut"))) | F.array_contains("fill", F.col("place"))
     return F.when(F.col("size") == 0, F.col("whole")).otherwise(F.col("whole") + F.coalesce(more, F.lit(False)).cast("long"))
 
 
 def taken(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, source, size, place, source_size, target and copies per row of ``docs``."""
+    """doc_id, source, skey, size, place, source_size, target and copies per row of ``docs``."""
     rows = cut(sized(docs))
-    plan = choices(rows, **how)
-    r, p = rows.alias("r"), plan.alias("p")
-    out = r.join(p, F.col("r.source").eqNullSafe(F.col("p.source"))).select("r.doc_id", "r.source", "r.size", "r.place", "p.source_size", "p.target", "p.whole", "p.edge", "p.cut", "p.fill")
-    return out.withColumn("copies", _copies()).drop("whole", "edge", "cut", "fill")
+    plan, total = choices(rows, **how)
+    return cut(join_hot(rows, plan, ["skey"], "n_rows", total).withColumn("copies", _copies()).select("doc_id", "source", "skey", "size", "place", "source_size", "target", "copies"))
 
 
 def split_tree(counts: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -140,40 +161,49 @@ def split_tree(counts: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Dat
     return level.select(F.col("node").alias("shard"), "source", "n", "first").where("n > 0")
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, blocks: int = BLOCKS, **how) -> DataFrame:
-    """Every copy that the mix takes: doc_id, source, size, place, copy, shard and its order inside the shard."""
-    dealt = taken(docs, **how).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
-    dealt = dealt.withColumn("unit", F.col("copy") * F.lit(blocks) + _block(blocks))
+def deal(chosen: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """Every copy that the mix takes: doc_id, source, size, place, copy, shard and its order inside the shard.
+
+    ``chosen`` is what ``taken`` gives. A unit is a block of a source in one of its passes.
+    """
+    dealt = chosen.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
+    dealt = dealt.withColumn("unit", F.col("copy") * F.lit(BLOCKS) + _block())
     # Units that have rows, in permuted order within their source: what the tree deals out.
-    units = dealt.select("source", "unit").distinct()
-    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "source", "unit"), "unit")
+    units = cut(dealt.groupBy("skey", "source", "unit").agg(F.count(F.lit(1)).alias("n_rows")))
+    order = Window.partitionBy("skey").orderBy(F.xxhash64(F.lit(seed), "source", "unit"), "unit")
     ranked = cut(units.withColumn("rank", F.row_number().over(order) - 1))
     quotas = split_tree(ranked.groupBy("source").agg(F.count(F.lit(1)).alias("n")), shards, seed)
     r, q = ranked.alias("r"), quotas.alias("q")
-    homes = r.join(q, F.col("r.source").eqNullSafe(F.col("q.source")) & (F.col("r.rank") >= F.col("q.first")) & (F.col("r.rank") < F.col("q.first") + F.col("q.n"))).select("r.source", "r.unit", "q.shard")
-    d, h = dealt.alias("d"), homes.alias("h")
-    return d.join(h, F.col("d.source").eqNullSafe(F.col("h.source")) & (F.col("d.unit") == F.col("h.unit"))).select(
-        "d.doc_id", "d.source", "d.size", "d.source_size", "d.target", "d.place", "d.copy", "h.shard", F.xxhash64(F.lit(seed + 1), "d.place", "d.copy").alias("order_in_shard")
+    homes = r.join(q, F.col("r.source").eqNullSafe(F.col("q.source")) & (F.col("r.rank") >= F.col("q.first")) & (F.col("r.rank") < F.col("q.first") + F.col("q.n"))).select("r.skey", "r.unit", "r.n_rows", "q.shard")
+    total = units.agg(F.sum("n_rows")).first()[0] or 0
+    return join_hot(dealt, cut(homes), ["skey", "unit"], "n_rows", total).select(
+        "doc_id", "source", "size", "source_size", "target", "place", "copy", "shard", F.xxhash64(F.lit(seed + 1), "place", "copy").alias("order_in_shard")
     )
 
 
+def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **how) -> DataFrame:
+    """``deal`` of what the mix takes of ``docs``."""
+    return deal(taken(docs, **how), shards, seed)
+
+
 def mixture_per_document(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and the shards that hold its copies."""
+    """doc_id, size, source_size, target, taken (from the copies dealt to shards), and the shards that hold its copies."""
     every = taken(docs)
-    homes = mix(docs).groupBy("doc_id", "place").agg(F.array_sort(F.collect_set("shard")).alias("shards"))
-    e, h = every.alias("e"), homes.alias("h")
-    return e.join(h, F.col("e.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("e.place") == F.col("h.place")), "left").select(
-        "e.doc_id", "e.size", "e.source_size", "e.target", (F.col("e.size") * F.col("e.copies")).alias("taken"), "h.shards"
-    )
+    homes = deal(every).groupBy(F.col("doc_id").alias("_id"), F.col("place").alias("_place")).agg(F.count_distinct("copy").alias("_copies"), F.array_sort(F.collect_set("shard")).alias("shards"))
+    both = every.join(homes, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("place") == F.col("_place")), "left")
+    return both.select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("_copies", F.lit(0))).alias("taken"), "shards")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: a row per copy, partitioned by shard and in the shard's order."""
     # One key, so that the removal of repeated rows and the join share a partitioning.
     key = lambda place: F.concat_ws(":", F.col("doc_id").cast("long").cast("string"), place.cast("string")).alias("_key")
-    homes = mix(docs).select(key(F.col("place")), "shard", "order_in_shard")
+    every = taken(docs)
+    homes = deal(every).select(key(F.col("place")), F.col("shard").alias("_shard"), F.col("order_in_shard").alias("_order"))
     marked = docs.select(key(_place(SEED)), *docs.columns).dropDuplicates(["_key"])
-    both = marked.join(homes, "_key")
-    # Slices of a shard follow the cluster's number of partitions, so none grows with the input.
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return both.repartition(partitions, "shard", F.pmod("order_in_shard", F.lit(max(8, 4 * partitions // SHARDS)))).sortWithinPartitions("shard", "order_in_shard").select(*docs.columns)
+    both = marked.join(homes.dropDuplicates(["_key", "_shard", "_order"]), "_key")
+    # Slices of a shard follow what they hold, so none grows with the input.
+    words = every.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] or 0
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words // SLICE_WORDS))
+    slice_ = F.pmod("_order", F.lit(max(8, 8 * partitions // SHARDS)))
+    return both.repartition(partitions, "_shard", slice_).sortWithinPartitions("_shard", "_order").select(*docs.columns)

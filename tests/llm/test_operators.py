@@ -697,6 +697,37 @@ def test_mixing(spark, sf):
     assert {r["doc_id"]: (r["taken"], str(r["shards"])) for r in again} == {r["doc_id"]: (r["taken"], str(r["shards"])) for r in got}
 
 
+def test_mixing_taken_by_brute_force(spark, monkeypatch):
+    """Which copies are taken, row by row in permuted order; the last block in finer ones or at once."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 40))), (None, "a", "a", "a", "b")[int(rng.integers(0, 5))]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    chosen = rows_of(mixing.taken(df))
+    assert len(chosen) == len(rows)
+    by_source = defaultdict(list)
+    for r in chosen:
+        by_source[r["source"]].append((r["place"] % (1 << 64), r["size"], r["copies"], r["target"], r["source_size"], r["place"]))
+    for rs in by_source.values():
+        rs.sort()
+        target, size = rs[0][3], rs[0][4]
+        whole = int(target // size)
+        rest, n, run = target - whole * size, 0, 0
+        while n < len(rs) and run + rs[n][1] <= rest:
+            run, n = run + rs[n][1], n + 1
+        want, gap = [1] * n + [0] * (len(rs) - n), rest - run
+        for _ in range(2):
+            fits = [(r[1], r[5], k) for k, r in enumerate(rs) if k >= n and 0 < r[1] <= gap and not want[k]]
+            if fits:
+                z, _, k = max(fits)
+                want[k], gap = 1, gap - z
+        assert [r[2] for r in rs] == [whole + (w if r[1] else 0) for r, w in zip(rs, want)]
+        assert abs(sum(r[1] * r[2] for r in rs) - target) <= max(r[1] for r in rs)
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 3)
+    assert {r["doc_id"]: r["copies"] for r in rows_of(mixing.taken(df))} == {r["doc_id"]: r["copies"] for r in chosen}
+    per_document = by_id(mixing.mixture_per_document(df))
+    assert all(per_document[r["doc_id"]]["taken"] == r["size"] * r["copies"] for r in chosen)
+
+
 def test_splitting_tree_is_exact(spark):
     counts = spark.createDataFrame([("a", 1000), ("b", 37), (None, 3)], "source string, n long")
     got = mixing.split_tree(counts, shards=8).toPandas()
