@@ -6,18 +6,26 @@ the bucketed key (the full SHA-256 of the normalized text). Digests can be delet
 and an insertion that finds no free slot resizes the filter and fills it again from
 the stored keys.
 
-In a plan, each map task combines its own digests in an index, the survivors are
-dealt by digest, and the task that owns a digest merges them in its index. A hot
-digest thus reaches its owner once per map task, however many rows carry it.
+In a plan, each map task combines its own digests in an index; when that is full, the
+digests held longest are handed on and deleted from it. What is handed on is dealt by
+digest, and the task that owns a digest merges it in its index. There are as many owners
+as keep each below OWNED digests, so their memory is bounded whatever the input. A hot
+digest reaches its owner a few times per map task, however many rows carry it.
+
+The content itself is bucketed as its full SHA-256: two texts with one digest are taken
+for equal, which no known pair of texts contradicts.
 
 Null text counts as empty; rows repeated whole are told apart by a copy number and
-exactly one of them is kept; null ids rank below all others; no rows give no rows.
+exactly one of them is kept; null ids rank below all others; a very long text is hashed
+in one task, in memory a few times its length; other columns are ignored, whatever their
+names; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +35,8 @@ from quillrank.llm.common import arrow_limits, whole_text
 from quillrank.session import cut
 
 SLOTS, KICKS = 4, 200
-#: Live keys that a map task's index holds before it hands them on and starts anew.
-LOCAL_KEYS = 200_000
+#: Live keys that a map task's index holds before it hands half of them on, and keys of an owner on average.
+LOCAL_KEYS, OWNED = 200_000, 400_000
 
 
 class CuckooIndex:
@@ -132,8 +140,7 @@ def _merge(limit: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CuckooIndex()
 
-        def dump() -> Iterator[pa.RecordBatch]:
-            rows = list(index.entries())
+        def hand_on(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(rows), 10_000):
                 part = rows[i : i + 10_000]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*part, strict=True), _GROUP, strict=True)], schema=_GROUP)
@@ -142,9 +149,11 @@ def _merge(limit: int | None):
             for digest, doc_id, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 index.insert(digest, doc_id, rows)
             if limit and index.live >= limit:
-                yield from dump()
-                index = CuckooIndex()
-        yield from dump()
+                oldest = list(islice(index.entries(), index.live - limit // 2))
+                for digest, _, _ in oldest:
+                    index.delete(digest)
+                yield from hand_on(oldest)
+        yield from hand_on(list(index.entries()))
 
     return run
 
@@ -157,7 +166,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     seen = cut(marked.groupBy("digest", "did").agg(F.count(F.lit(1)).alias("copies")))
     kind = "digest binary, keep_id long, rows long"
     local = seen.select("digest", "did", "copies").mapInArrow(_merge(LOCAL_KEYS), kind)
-    groups = local.repartition("digest").mapInArrow(_merge(None), kind)
+    owners = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-seen.count() // OWNED))
+    groups = local.repartition(owners, "digest").mapInArrow(_merge(None), kind)
     return (
         seen.join(groups, "digest")
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))

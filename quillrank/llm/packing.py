@@ -14,8 +14,12 @@ Then every round works on all unplaced pieces and all gaps at once:
    gap, they get as many new sequences as their tokens fill.
 
 Ranks are made in salted parts whose counts give the offsets, so a size that a third of
-all pieces have is ranked by many tasks. Null text has no tokens but the end mark;
-repeated rows are packed each on their own; no rows give no rows.
+all pieces have is ranked by many tasks; there are more parts the more pieces there are.
+
+Null text has no tokens but the end mark; null ids stay null; repeated rows are packed
+each on their own; pieces that tie in size are told apart by a number of their row; a
+very long text is encoded in one task, in memory a few times its length; other columns
+are ignored, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -28,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import arrow_limits, few, whole_text
+from quillrank.llm.common import ROWS_PER_TASK, arrow_limits, few, whole_text
 from quillrank.session import cut
 
 LENGTH, END_ID = 2048, 0
-SALTS = 8
+#: Parts in which one size is ranked, from few to many rows. The driver holds a count per size and part, half a million at most.
+SALTS = (8, 256)
 #: New sequences are opened once a round would place less than this share of the pieces that find no gap.
 OPEN_BELOW = 0.3
 #: Characters for which the pre-tokenizer below surely agrees with the tokenizer's own.
@@ -103,16 +108,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFr
     return docs.select(F.col("doc_id").cast("long").alias("did"), whole_text().alias("body")).mapInArrow(run, _PIECES)
 
 
-def counts_of(rows: DataFrame, size: str, key: str) -> list[tuple[int, int, int]]:
-    """(size, salt, rows): at most LENGTH * SALTS entries, whatever the data."""
-    return [tuple(r) for r in rows.groupBy(size, _salt(key).alias("salt")).count().collect()]
+def counts_of(rows: DataFrame, size: str, key: str, salts: int) -> list[tuple[int, int, int]]:
+    """(size, salt, rows): at most LENGTH * salts entries, whatever the data."""
+    return [tuple(r) for r in rows.groupBy(size, _salt(key, salts).alias("salt")).count().collect()]
 
 
-def _salt(key: str):
-    return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
+def _salt(key: str, salts: int):
+    return F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
 
 
-def ranked(rows: DataFrame, size: str, key: str, counts: list[tuple[int, int, int]]) -> DataFrame:
+def ranked(rows: DataFrame, size: str, key: str, counts: list[tuple[int, int, int]], salts: int) -> DataFrame:
     """``rows`` with their rank (from 0) among the rows of their size, without one task per size."""
     offsets, last, at = [], None, 0
     for s, salt, n in sorted(counts):
@@ -121,7 +126,7 @@ def ranked(rows: DataFrame, size: str, key: str, counts: list[tuple[int, int, in
         last, at = s, at + n
     table = F.broadcast(rows.sparkSession.createDataFrame(offsets, f"{size} int, salt int, o long"))
     inside = Window.partitionBy(size, "salt").orderBy(key)
-    numbered = rows.withColumn("salt", _salt(key)).withColumn("r", F.row_number().over(inside) - 1)
+    numbered = rows.withColumn("salt", _salt(key, salts)).withColumn("r", F.row_number().over(inside) - 1)
     return numbered.join(table, [size, "salt"]).withColumn("rank", F.col("r") + F.col("o")).drop("salt", "r", "o")
 
 
@@ -166,25 +171,26 @@ def pack(lengths: DataFrame, rows: int, length: int = LENGTH) -> DataFrame:
     gaps = lengths.where(big & (F.col("length") < length)).select(F.col("pid").alias("seq"), (length - F.col("length")).cast("int").alias("gap"))
     todo = lengths.where(~big).select("pid", F.col("length").cast("int").alias("size"))
     opened = 0
-    while wanted := counts_of(todo, "size", "pid"):
+    salts = min(SALTS[1], max(SALTS[0], rows // ROWS_PER_TASK))
+    while wanted := counts_of(todo, "size", "pid", salts):
         want = _by_size(wanted)
         gaps = gaps.where(F.col("gap") >= min(want))
-        held = counts_of(gaps, "gap", "seq")
+        held = counts_of(gaps, "gap", "seq", salts)
         runs, left = sweep(want, _by_size(held))
         if sum(r[2] for r in runs) < OPEN_BELOW * sum(left.values()):
             # Most find no gap: as many new sequences as their tokens fill.
             new = -(-sum(s * n for s, n in left.items()) // length)
             gaps = gaps.unionByName(few(spark.range(opened + 1, opened + new + 1), new).select((-F.col("id")).alias("seq"), F.lit(length).alias("gap")))
             opened += new
-            held = counts_of(gaps, "gap", "seq")
+            held = counts_of(gaps, "gap", "seq", salts)
             runs, left = sweep(want, _by_size(held))
         n_todo, n_gaps = sum(want.values()), sum(n for _, _, n in held)
         # At most as many runs as there are sizes of pieces and of gaps together.
         plan = F.broadcast(spark.createDataFrame(runs, "size int, at long, n long, gap int, g long"))
-        r = few(ranked(todo, "size", "pid", wanted), n_todo)
+        r = few(ranked(todo, "size", "pid", wanted, salts), n_todo)
         met = r.join(plan, (r["size"] == plan["size"]) & (r["rank"] >= plan["at"]) & (r["rank"] < plan["at"] + plan["n"]), "left")
         met = cut(met.select("pid", r["size"], plan["gap"], (plan["g"] + r["rank"] - plan["at"]).alias("grank")))
-        g = few(ranked(gaps, "gap", "seq", held).withColumnRenamed("rank", "grank"), n_gaps)
+        g = few(ranked(gaps, "gap", "seq", held, salts).withColumnRenamed("rank", "grank"), n_gaps)
         taken = cut(few(g.join(met.where("gap is not null"), ["gap", "grank"], "left").select("seq", "gap", "pid", "size"), n_gaps))
         done.append(taken.where("pid is not null").select("pid", "seq", (length - F.col("gap")).cast("long").alias("place")))
         gaps = taken.select("seq", (F.col("gap") - F.coalesce("size", F.lit(0))).cast("int").alias("gap")).where("gap > 0")

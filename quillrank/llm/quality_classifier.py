@@ -8,10 +8,16 @@ multiplied with all of them in blocks, exactly, and the nearest vote with their
 weighted by a power of the cosine.
 
 Bound: at most MAX_LABELLED labelled rows (those whose hashed id is least) times
-DIMENSIONS floats are broadcast, 1.6 MB, whatever the input. Labels, language, source
-and id are never features. Texts without terms get the share of label 1. Labels that
-are null or whose row has no document are not used; without usable labels every score
-is 0.5. Repeated rows score alike.
+DIMENSIONS floats are broadcast, 1.6 MB, whatever the input. Their term counts are made
+on the executors; the driver gets those alone (6 bytes a term that a text has, 100 MB at
+the very most), never texts. Labels, language, source and id are never features.
+
+Texts without terms get the share of label 1. Labels that are null or whose row has no
+document are not used; of several labels of one id the highest counts, of several texts
+the one with the least hash; without usable labels every score is 0.5. Neighbours that
+tie for the last place (cosines equal to six digits) share its vote, so no order of rows
+matters. Repeated rows score alike. A very long text is one row of a task, its terms a
+fixed number. Other columns are ignored, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -70,13 +76,10 @@ def _weighted(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
-def fit(texts: list[str], labels: np.ndarray, dimensions: int = DIMENSIONS, seed: int = 9) -> dict:
-    """Rarity weights, projection and unit vectors of labelled texts."""
-    coded = pa.array(texts, pa.string())
-    data, at = buffers(coded)
-    counts = np.concatenate([features(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in slices(at)]) if len(texts) else np.zeros((0, TERMS), np.float32)
+def fit(counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS, seed: int = 9) -> dict:
+    """Rarity weights, projection and unit vectors of labelled texts, given their term counts."""
     seen = (counts > 0).sum(axis=0)
-    rarity = np.log((1 + len(texts)) / (1 + seen)).astype(np.float32) + np.float32(0.1)
+    rarity = np.log((1 + len(counts)) / (1 + seen)).astype(np.float32) + np.float32(0.1)
     x = _weighted(counts, rarity)
     k = max(1, min(dimensions, *x.shape))
     sketch = x @ np.random.default_rng(seed).standard_normal((TERMS, min(k + 16, TERMS))).astype(np.float32)
@@ -103,12 +106,18 @@ def vote(model: dict, counts: np.ndarray, neighbours: int = NEIGHBOURS, power: i
     k = min(neighbours, len(labels))
     for i in range(0, len(counts), block):
         part = counts[i : i + block]
-        near = _unit(_weighted(part, model["rarity"]) @ model["projection"]) @ model["vectors"].T
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.clip(np.take_along_axis(near, top, 1), 0, 1).astype(np.float64) ** power
-        total = weight.sum(axis=1)
+        near = np.round(_unit(_weighted(part, model["rarity"]) @ model["projection"]) @ model["vectors"].T, 6)
+        last = np.partition(near, len(labels) - k, axis=1)[:, len(labels) - k, None]
+        above, level = near > last, near == last
+        share = (k - above.sum(axis=1)) / level.sum(axis=1)
+        weight = lambda x: np.clip(x, 0, 1).astype(np.float64) ** power
+        row, column = np.nonzero(above)
+        votes = weight(near[row, column])
+        last_weight = weight(last[:, 0]) * share
+        total = np.bincount(row, votes, len(part)) + last_weight * level.sum(axis=1)
+        good = np.bincount(row, votes * labels[column], len(part)) + last_weight * (level @ labels)
         # The vote leans on the prior as one weak neighbour does, so no score rests on nothing.
-        out[i : i + block] = ((weight * labels[top]).sum(axis=1) + 0.01 * model["prior"]) / (total + 0.01)
+        out[i : i + block] = (good + 0.01 * model["prior"]) / (total + 0.01)
         out[i : i + block][part.sum(axis=1) == 0] = model["prior"]
     return np.clip(out, 0.0, 1.0)
 
@@ -118,13 +127,33 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Term counts, as the numbers of the terms a text has and how often."""
+    for batch in batches:
+        data, at = buffers(batch.column("body"))
+        terms, times = [], []
+        for i, j in slices(at):
+            for a in range(i, j, 512):
+                b = min(j, a + 512)
+                for row in features(data[at[a] : at[b]], at[a : b + 1] - at[a]):
+                    has = np.flatnonzero(row)
+                    terms.append(has.astype("<u2").tobytes())
+                    times.append(row[has].astype("<f4").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("lid"), batch.column("quality"), batch.column("hash"), pa.array(terms, pa.binary()), pa.array(times, pa.binary())], ["lid", "quality", "hash", "terms", "times"])
+
+
 def trained(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> dict:
     """The model from labelled rows outside the held-out fold, ``most`` at most."""
-    known = labels.select(F.col("doc_id").cast("long").alias("lid"), F.col("quality").cast("int").alias("quality")).where("quality is not null").dropDuplicates(["lid"])
+    known = labels.select(F.col("doc_id").cast("long").alias("lid"), F.col("quality").cast("int").alias("quality")).where("quality is not null").groupBy("lid").agg(F.max("quality").alias("quality"))
     usable = known.where(remainder(F.col("lid")) != 2).orderBy(F.xxhash64("lid"), "lid").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("did"), whole_text().alias("body"))
-    rows = texts.join(F.broadcast(usable), F.col("did") == F.col("lid")).select("lid", "quality", "body").dropDuplicates(["lid"]).toPandas().sort_values("lid")
-    return fit(rows["body"].tolist(), rows["quality"].to_numpy(np.float32))
+    rows = texts.join(F.broadcast(usable), F.col("did") == F.col("lid")).select("lid", "quality", F.xxhash64("body").alias("hash"), "body")
+    found = rows.mapInArrow(_terms, "lid long, quality int, hash long, terms binary, times binary")
+    one = found.groupBy("lid").agg(F.min(F.struct("hash", "quality", "terms", "times")).alias("r")).select("lid", "r.*").toPandas().sort_values("lid")
+    counts = np.zeros((len(one), TERMS), np.float32)
+    for k, (terms, times) in enumerate(zip(one["terms"], one["times"], strict=True)):
+        counts[k, np.frombuffer(terms, "<u2")] = np.frombuffer(times, "<f4")
+    return fit(counts, one["quality"].to_numpy(np.float32))
 
 
 def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

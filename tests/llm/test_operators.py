@@ -857,6 +857,62 @@ def test_quality_scores_held_out(spark, sf):
 # 10
 
 
+def plain_terms(text):
+    out = Counter()
+    data = text.encode()
+    for a, b in zip(data, data[1:]):
+        out[int(quality_classifier._CLASS[a]) * quality_classifier.CLASSES + int(quality_classifier._CLASS[b])] += 1
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    if w:
+        again = sum(a == b for a, b in zip(w, w[1:]))
+        for k, v in enumerate((again, again * again / len(w), len(w) - len(set(w)), len(w))):
+            if v:
+                out[quality_classifier.TERMS - 4 + k] = v
+    return out
+
+
+def test_quality_vote_by_brute_force(spark, sf, docs):
+    """Terms counted one by one, all cosines, neighbours in order, ties sharing the last place."""
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality_classifier.trained(table, labels)
+    got = by_id(quality_classifier.scores(table, labels))
+    for i in sorted(docs)[::7]:
+        terms = plain_terms(docs[i])
+        x = np.zeros(quality_classifier.TERMS)
+        for t, n in terms.items():
+            x[t] = np.log1p(np.float32(n)) * model["rarity"][t]
+        want = model["prior"]
+        if terms:
+            v = (x / np.linalg.norm(x)) @ model["projection"]
+            near = np.round((v / np.linalg.norm(v)) @ model["vectors"].T, 6)
+            ordered = np.argsort(-near, kind="stable")
+            last = near[ordered[quality_classifier.NEIGHBOURS - 1]]
+            above, level = np.flatnonzero(near > last), np.flatnonzero(near == last)
+            share = (quality_classifier.NEIGHBOURS - len(above)) / len(level)
+            votes = [(max(near[j], 0) ** 8, model["labels"][j], 1) for j in above] + [(max(near[j], 0) ** 8, model["labels"][j], share) for j in level]
+            want = (sum(w * y * s for w, y, s in votes) + 0.01 * model["prior"]) / (sum(w * s for w, _, s in votes) + 0.01)
+        assert got[i]["score"] == pytest.approx(want, abs=0.02), i
+
+
+def test_quality_ties_and_repeats(spark):
+    """Rows, labels and neighbours that repeat or tie give one result in every order."""
+    rows = [(i, f"text number {i % 3} with words {'again ' * (i % 4)}") for i in range(60)] + [(5, "another text of that id"), (6, None)]
+    labels = [(i, i % 2) for i in range(60)] + [(5, 0), (7, None), (99, 1)]
+    seen = []
+    for order in (1, -1):
+        d = spark.createDataFrame(rows[::order], "doc_id long, text string").repartition(3 + order)
+        seen.append(sorted((r["doc_id"], round(r["score"], 9)) for r in rows_of(quality_classifier.scores(d, spark.createDataFrame(labels[::order], "doc_id long, quality int")))))
+    assert seen[0] == seen[1] and len(seen[0]) == 62
+
+
+def test_exact_dedup_full_indexes(spark, sf, docs, monkeypatch):
+    """Map tasks that hand on digests held longest, and many owners, give the same groups."""
+    want = by_id(Q.op10_exact_dedup(spark, sf))
+    monkeypatch.setattr(exact_dedup, "LOCAL_KEYS", 20)
+    monkeypatch.setattr(exact_dedup, "OWNED", 30)
+    assert by_id(Q.op10_exact_dedup(spark, sf)) == want
+
+
 def test_exact_dedup(spark, sf, docs):
     got = by_id(Q.op10_exact_dedup(spark, sf))
     groups = defaultdict(list)
