@@ -1,7 +1,14 @@
 """The corpus pipeline: quality rules, exact dedup, near dedup, mixing, packing.
 
 Each stage takes the documents its predecessor kept and returns documents; the last
-returns packed pieces. Stages are separated by tables in the shared folder.
+returns packed pieces. Stages are separated by tables in the shared folder, which is
+removed once the last stage has made its pieces (they are checkpointed there).
+
+A document is its five columns; others are left behind. Null and empty texts have no
+words and go in the first stage; null ids, languages and sources are kept (a null source
+is a source of its own). Rows repeated whole are one document after exact deduplication,
+as are texts that tie but for case. A very long text is one row of a task. An empty table
+gives no rows in any stage.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillrank.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
 from quillrank.llm.queries import tokenizer_path
-from quillrank.session import shared_dir, table
+from quillrank.session import remove_shared, shared_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -51,7 +58,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    try:
+        for k, (name, stage) in enumerate(STAGES[:-1]):
+            stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(path)
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        remove_shared(spark, folder)

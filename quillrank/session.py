@@ -6,6 +6,7 @@ cluster's own settings hold.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,16 +30,25 @@ def local_session(cpus: int | str = "*", partitions: int = 8, name: str = "quill
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it.
 
-    Only where no cluster names one (tests, local mode) is a temporary folder used.
+    Only in local mode, where driver and executors are one process, may it be unnamed;
+    then a temporary folder is used.
     """
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="quillrank-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def remove_shared(spark: SparkSession, folder: str) -> None:
+    """Delete a folder wherever Spark's file systems keep it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialize ``df`` in the shared folder and drop its lineage."""
     shared_dir(df.sparkSession)
