@@ -187,8 +187,8 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     # One key, so that the join's partitioning serves the removal of repeated rows too.
     key = lambda sha: F.concat_ws(":", F.col("doc_id").cast("long").cast("string"), sha)
     kept = exact_groups(docs).where("kept").select(key(F.col("text_sha256")).alias("_key"))
-    marked = docs.withColumn("_key", key(F.sha2(_ascii_lower(), 256)))
-    return marked.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    marked = docs.select(key(F.sha2(_ascii_lower(), 256)).alias("_key"), F.struct(*docs.columns).alias("_row"))
+    return marked.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
 
 
 def _ascii_lower():

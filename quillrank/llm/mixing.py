@@ -200,10 +200,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     key = lambda place: F.concat_ws(":", F.col("doc_id").cast("long").cast("string"), place.cast("string")).alias("_key")
     every = taken(docs)
     homes = deal(every).select(key(F.col("place")), F.col("shard").alias("_shard"), F.col("order_in_shard").alias("_order"))
-    marked = docs.select(key(_place(SEED)), *docs.columns).dropDuplicates(["_key"])
+    marked = docs.select(key(_place(SEED)), F.struct(*docs.columns).alias("_row")).dropDuplicates(["_key"])
     both = marked.join(homes.dropDuplicates(["_key", "_shard", "_order"]), "_key")
     # Slices of a shard follow what they hold, so none grows with the input.
     words = every.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] or 0
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words // SLICE_WORDS))
     slice_ = F.pmod("_order", F.lit(max(8, 8 * partitions // SHARDS)))
-    return both.repartition(partitions, "_shard", slice_).sortWithinPartitions("_shard", "_order").select(*docs.columns)
+    return both.repartition(partitions, "_shard", slice_).sortWithinPartitions("_shard", "_order").select("_row.*")

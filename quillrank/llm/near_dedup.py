@@ -286,4 +286,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id."""
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_of"), F.struct(*docs.columns).alias("_row"))
+    return rows.join(kept, F.col("_of").eqNullSafe(F.col("_id")), "left_semi").select("_row.*")
