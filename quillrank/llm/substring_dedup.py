@@ -13,13 +13,13 @@ span are its context.
 2. For classes of one whose leading string others share (the edges of repeated passages)
    the contexts are fetched, and their suffixes dealt by sampled splitters of their
    leading tokens (8 bytes) to range buckets.
-3. A bucket is read in order of token. Rows of one token are sorted by multikey quicksort
-   on the tokens that follow. Neighbours' bytes give the longest common prefixes, and the
+3. A bucket is read in order of two leading tokens. Rows of one leading string are sorted
+   by multikey quicksort. Neighbours' bytes give the longest common prefixes, and the
    intervals of equal prefixes are merged from the deepest up: for the two sides of a
    merge the bytes to the left are compared too, so a window counts as repeated only if
-   400 bytes agree, byte by byte. A token's rows that go on in the next batch are held
-   back for it. A token never crosses a bucket, so its group is whole there; a token with
-   more rows than GROUP (a hot one) is dealt over all tasks by a hash of each window.
+   400 bytes agree, byte by byte. Rows that go on in the next batch are held back for it.
+   A leading string never crosses a bucket, so its group is whole there; one with more
+   contexts than GROUP (a hot one) is dealt over all tasks by a hash of each window.
 4. The windows found are joined to spans per document and cut out.
 
 Null text counts as empty. A repeated row repeats every window of its text, and rows
@@ -283,18 +283,18 @@ def _equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     names = ["uid", "bits", "s", "e"]
     held: list[tuple] = []
     for batch in batches:
-        held += zip(*(batch.column(c).to_pylist() for c in ("token", "token2", "uid", "at", "bytes")), strict=True)
+        held += zip(*(batch.column(c).to_pylist() for c in ("lead", "uid", "at", "bytes")), strict=True)
         out, start = [], 0
         for end in range(1, len(held)):
-            if held[end][:2] != held[end - 1][:2]:
+            if held[end][0] != held[end - 1][0]:
                 if end - start > 1:
-                    out += shared_spans([r[2:] for r in held[start:end]])
+                    out += shared_spans([r[1:] for r in held[start:end]])
                 start = end
-        # The last token's rows may go on in the next batch.
+        # The last leading string's rows may go on in the next batch.
         held = held[start:]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names)
-    if len(held) > 1 and (out := shared_spans([r[2:] for r in held])):
+    if len(held) > 1 and (out := shared_spans([r[1:] for r in held])):
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names)
 
 
@@ -331,7 +331,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     fetched = cut(fetched)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Splitters are sampled over the leading tokens; a group of equal ones is whole in its bucket, so no two buckets share a window.
-    buckets = fetched.where("not large").repartitionByRange(parts, "token", "token2").sortWithinPartitions("token", "token2")
+    buckets = fetched.where("not large").repartitionByRange(parts, "token", "token2").sortWithinPartitions("token", "token2", "lead")
     near = buckets.mapInArrow(_equal_neighbours, _SPANS)
     windows = fetched.where("large").mapInArrow(_window_rows, "key long, uid long, bits long, s long")
     keys = cut(windows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
