@@ -255,7 +255,7 @@ class _Roots:
 
 
 def shared_spans(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int, int]]:
-    """(uid, bits, s, e) of the windows that rows (uid, at, context) share with one another."""
+    """(uid, bits, s, e) of what the windows that rows (uid, at, context) share cover: at most one span a row."""
     places = [_unpack(at) for _, at, _ in rows]
     suffixes = [text[to_mark:] for (_, _, text), (_, to_mark, _) in zip(rows, places, strict=True)]
     order = multikey_quicksort(suffixes)
@@ -270,10 +270,11 @@ def shared_spans(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int
             for i, ranges in zip(group, found, strict=True):
                 uid, at, _ = rows[i]
                 first, to_mark, more = places[i]
-                for low, high in ranges:
-                    low, high = max(low, to_mark - more), min(high, to_mark)
-                    if low <= high:
-                        out.append((uid, at & 0x1FFF, first + to_mark - high, first + to_mark - low + SPAN))
+                ranges = [(a, b) for low, high in ranges if (a := max(low, to_mark - more)) <= (b := min(high, to_mark))]
+                if ranges:
+                    # Every window holds the mark's leading string, so what they cover is one span.
+                    low, high = min(a for a, _ in ranges), max(b for _, b in ranges)
+                    out.append((uid, at & 0x1FFF, first + to_mark - high, first + to_mark - low + SPAN))
         start = end
     return out
 
