@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.session import cut
 
 
-def latest_before(left: DataFrame, right: DataFrame, on: str, before: Column, order: list[Column], key: str) -> DataFrame:
-    """Each left row (by ``key``) with the last right row of its group for which ``before`` holds.
+def latest_before(left: DataFrame, right: DataFrame, on: str, at: str, before: str, order: list[str]) -> DataFrame:
+    """Each left row with the last right row of its group whose ``before`` is earlier than the left row's ``at``.
 
-    The order may use other columns than the predicate does. Rows without a match go.
+    Of right rows the last is that with the greatest ``order`` (the first of it is
+    ``before``). Both sides are brought in order together and each left row takes the
+    greatest right row that stands before it, so a group with many rows on both sides
+    costs their sum, not their product. Rows are dealt by range of group and time; what a
+    range needs of those before it is one row per range. Rows without a match go.
     """
-    ranked = left.join(right, on).where(before).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return ranked.where("_n = 1").drop("_n")
+    mine = left.select(F.col(on).alias("_on"), F.col(at).alias("_at"), F.lit(0).alias("_kind"), F.struct(*left.columns).alias("_l"))
+    theirs = right.select(F.col(on).alias("_on"), F.col(before).alias("_at"), F.lit(1).alias("_kind"), F.struct(*order, F.struct(*right.columns).alias("_row")).alias("_r"))
+    # At one moment left rows stand first: a right row of that moment is not earlier.
+    both = mine.unionByName(theirs, allowMissingColumns=True)
+    dealt = cut(both.repartitionByRange("_on", "_at", "_kind").withColumn("_p", F.spark_partition_id()))
+    last = dealt.where("_kind = 1").groupBy("_on", "_p").agg(F.max("_r").alias("_m"))
+    ranges = Window.partitionBy("_on").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    known = dealt.select("_on", "_p").distinct().join(last, ["_on", "_p"], "left").withColumn("_carried", F.max("_m").over(ranges)).drop("_m")
+    inside = Window.partitionBy("_on", "_p").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    # Left rows have no right row, so those among the rows before change no maximum.
+    seen = dealt.withColumn("_here", F.max("_r").over(inside)).where("_kind = 0").join(known, ["_on", "_p"])
+    met = seen.select("_l.*", F.coalesce("_here", "_carried").alias("_m")).where("_m is not null")
+    return met.select(*left.columns, *[F.col(f"_m._row.{c}").alias(c) for c in right.columns if c not in left.columns])
 
 
 def without_known(items: DataFrame, known: DataFrame, keys: str = "keys", key: str = "id") -> DataFrame:
@@ -31,28 +45,8 @@ def unambiguous(items: DataFrame, targets: DataFrame, item: str, target: str, ke
     return met.where("n = 1").drop("n")
 
 
-def greedy_by_keys(items: DataFrame, blocks: str, key: str, order: str, keys: str = "keys") -> DataFrame:
-    """In ``order``, an item stays if none of its keys was seen in an item that stayed.
-
-    Whether a row stays depends on those before it, so a block (rows connected by keys,
-    or anything coarser) is decided in one task; blocks are independent.
-    """
-
-    def decide(group: pd.DataFrame) -> pd.DataFrame:
-        seen: set[str] = set()
-        stay = []
-        for i, ks in group.sort_values([order, key])[[key, keys]].itertuples(index=False):
-            if not seen.intersection(ks):
-                seen.update(ks)
-                stay.append(i)
-        return pd.DataFrame({key: pd.Series(stay, dtype="int64")})
-
-    kept = items.select(blocks, key, order, keys).groupBy(blocks).applyInPandas(decide, f"{key} long")
-    return items.join(kept, key, "left_semi")
-
-
 def greedy_rounds(items: DataFrame, key: str, order: list[Column], keys: str = "keys") -> DataFrame:
-    """As ``greedy_by_keys``, of any size: in ``order`` (then ``key``), an item stays if none of its keys is one of an item that stayed.
+    """In ``order`` (then ``key``), an item stays if none of its keys is one of an item that stayed.
 
     In a round, items first at each of their keys stay and what shares a key with them
     goes; both are what the row-by-row pass decides. A round is two aggregations by key.

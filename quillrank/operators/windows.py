@@ -67,3 +67,9 @@ def prefix_sums(df: DataFrame, order: list[str], values: dict[str, Column], by:
     part = dealt.withColumns({f"_i{n}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for n, v in enumerate(values.values())})
     met = part.withColumn("_here", F.struct(*by, "_p")).join(offsets, F.col("_here").eqNullSafe(F.col("_at")))
     return met.select(*df.columns, *[(F.col(f"_i{n}") + F.col(f"_o{n}")).alias(name) for n, name in enumerate(values)])
+
+
+def placed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Each row with its place (from 1) in an order without ties over all rows, by ranges and not in one task."""
+    keys = {f"_k{n}": c for n, c in enumerate(order)}
+    return prefix_sums(df.withColumns(keys), list(keys), {name: F.lit(1)}).withColumn(name, (F.col(name) + 1).cast("int")).drop(*keys)

@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.functions.catalog import safe_cover, work_key
 from quillrank.functions.text import blank_to, isbn13, plain_part
 from quillrank.operators.joins import greedy_rounds, without_known
-from quillrank.operators.windows import first_per
+from quillrank.operators.windows import first_per, placed
 
 # Which states a list shows, and what a catalogue match must reach.
 DECISIONS, OTHERS = ("rejected", "maybe_later"), ("saved", "imported", "new")
@@ -27,7 +27,7 @@ def routed(items: DataFrame, view: str | None = None, head: int | None = None) -
     ones and adds the other open states behind them, all of them.
     """
     first = (F.col("status") != "recommended").cast("int")
-    order = Window.partitionBy(F.lit(1)).orderBy(first, F.col("score").desc(), F.col("id").desc())
+    order = [first, -F.col("score"), -F.col("id")]
     if head is not None and view is None:
         top = items.where("status = 'recommended'").orderBy(F.col("score").desc(), F.col("id").desc()).limit(head)
         shown = top.unionByName(items.where(F.col("status").isin(*OTHERS)))
@@ -37,7 +37,7 @@ def routed(items: DataFrame, view: str | None = None, head: int | None = None) -
         shown = items.where(~F.col("status").isin(*DECISIONS))
     else:
         shown = items.where(F.col("status") == view)
-    return shown.withColumn("position", F.row_number().over(order))
+    return placed(shown, order, "position")
 
 
 def searched(items: DataFrame, text: str = "", genre: str = "", rated: str = "all", source: str = "", least_score: float | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillrank.functions.dates import half_life
 from quillrank.functions.vectors import doubles, unit, valid
 from quillrank.operators.aggregates import wilson
+from quillrank.operators.windows import placed
 from quillrank.plans.ranking import BLOCK_ROWS
 
 # Fixed values of the learner.
@@ -151,10 +152,9 @@ def fatigued(candidates: DataFrame, days: DataFrame, grace: int = GRACE, per_day
     """
     penalty = F.least(F.lit(float(most)), F.greatest(F.lit(0.0), (F.coalesce("days", F.lit(0)) - grace) * float(per_day)))
     rows = candidates.join(days, "id", "left").withColumn("penalty", penalty).withColumn("new_score", F.greatest(F.lit(0.0), F.col("score") - F.col("penalty")))
-    any_ = F.max(F.col("penalty") > 0).over(Window.partitionBy(F.lit(1)))
-    rows = rows.withColumn("_any", any_)
-    order = Window.partitionBy(F.lit(1)).orderBy(F.when(F.col("_any"), -F.col("new_score")).otherwise(F.col("pos")), F.col("id").desc())
-    return rows.withColumn("position", F.row_number().over(order)).drop("_any", "days")
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.max(F.col("penalty") > 0).alias("_any"))))
+    order = [F.when(F.col("_any"), -F.col("new_score")).otherwise(F.col("pos").cast("double")), -F.col("id")]
+    return placed(rows, order, "position").drop("_any", "days")
 
 
 def diversified(items: DataFrame, by: str = "run", slate: int = SLATE, reach: int = DISPLACEMENT, sacrifice: float = SACRIFICE, similar: float = SIMILAR) -> DataFrame:

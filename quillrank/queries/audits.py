@@ -54,9 +54,9 @@ def event_chronology(spark, sf):
     return p.select(C.chronology(F.col("ts"), F.col("x"), F.col("event_id") % 2 == 0).alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT l_partkey AS id, min(year(l_shipdate)) AS year FROM lineitem WHERE l_quantity > 40 GROUP BY 1 HAVING count(DISTINCT year(l_shipdate)) = 1")
+@query("SELECT l_orderkey AS id, min(year(l_shipdate)) AS year FROM lineitem GROUP BY 1 HAVING count(DISTINCT year(l_shipdate)) = 1")
 def sole_year(spark, sf):
-    l = table(spark, sf, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("id"), F.year(F.col("l_shipdate").cast("date")).cast("long").alias("year"))
+    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.year(F.col("l_shipdate").cast("date")).cast("long").alias("year"))
     return C.sole_value(l, "id", "year")
 
 
@@ -115,20 +115,11 @@ def facet_jaccard(spark, sf):
     return rounded(s.select("id", (F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).alias("jaccard")))
 
 
-@query("""WITH c AS (SELECT c_custkey AS id, CAST(50 + c_custkey % 50 AS DOUBLE) AS score, row_number() OVER (ORDER BY 50 + c_custkey % 50 DESC, c_custkey DESC) AS pos FROM customer WHERE c_custkey <= 100),
-    n AS (SELECT *, CASE WHEN pos <= 24 THEN score + greatest(-1.2, least(1.2, (id % 7 - 3)::DOUBLE)) ELSE score END AS new_score FROM c)
-    SELECT id, score, CAST(pos AS INT) AS pos, new_score, CAST(row_number() OVER (ORDER BY CASE WHEN pos <= 24 THEN 0 ELSE 1 END, CASE WHEN pos <= 24 THEN -new_score ELSE pos END, id DESC) AS INT) AS position FROM n""")
-def outside_deltas(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey <= 100").select(F.col("c_custkey").alias("id"), (50 + F.col("c_custkey") % 50).cast("double").alias("score"))
-    c = c.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("score").desc(), F.col("id").desc())))
-    return serving.nudged(c, c.select("id", (F.col("id") % 7 - 3).cast("double").alias("delta")))
-
-
 @query("""WITH c AS (SELECT c_custkey // 100 AS run, c_custkey AS id, CAST(50 + c_custkey % 50 AS DOUBLE) AS score, row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY 50 + c_custkey % 50 DESC, c_custkey DESC) AS pos FROM customer),
     n AS (SELECT *, CASE WHEN pos <= 24 THEN score + greatest(-1.2, least(1.2, (id % 7 - 3)::DOUBLE)) ELSE score END AS new_score FROM c)
     SELECT run, id, score, CAST(pos AS INT) AS pos, new_score, CAST(row_number() OVER (PARTITION BY run ORDER BY CASE WHEN pos <= 24 THEN 0 ELSE 1 END, CASE WHEN pos <= 24 THEN -new_score ELSE pos END, id DESC) AS INT) AS position FROM n""")
-def outside_deltas_by_page(spark, sf):
-    """As ``outside_deltas`` over all customers, a hundred to a page."""
+def outside_deltas(spark, sf):
+    """Clipped deltas on the head of each page, a hundred customers to a page."""
     c = table(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 100).alias("run"), F.col("c_custkey").alias("id"), (50 + F.col("c_custkey") % 50).cast("double").alias("score"))
     c = c.withColumn("pos", F.row_number().over(Window.partitionBy("run").orderBy(F.col("score").desc(), F.col("id").desc())))
     return serving.nudged(c, c.select("id", (F.col("id") % 7 - 3).cast("double").alias("delta")), by="run")
@@ -166,15 +157,9 @@ def _delivered(orders):
     return d.select("period", F.explode("ids").alias("i")).groupBy("period").agg(F.array_sort(F.collect_set("i")).alias("ids"))
 
 
-@query("SELECT o_orderpriority AS period, list_sort(list(DISTINCT o_custkey % 20)) AS ids FROM orders WHERE o_orderkey < 500 GROUP BY 1")
+@query("SELECT o_orderpriority AS period, list_sort(list(DISTINCT o_custkey % 20)) AS ids FROM orders GROUP BY 1")
 def delivered_ids(spark, sf):
     """Distinct union of id lists over the deliveries of a period."""
-    return _delivered(table(spark, sf, "orders").where("o_orderkey < 500"))
-
-
-@query("SELECT o_orderpriority AS period, list_sort(list(DISTINCT o_custkey % 20)) AS ids FROM orders GROUP BY 1")
-def delivered_ids_of_all(spark, sf):
-    """As ``delivered_ids`` over all orders."""
     return _delivered(table(spark, sf, "orders"))
 
 

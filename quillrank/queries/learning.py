@@ -70,17 +70,18 @@ def _asof(spark, sf, before):
     e = events(spark, sf)
     p = e.where("event_type = 'purchase'").select("user_id", "event_id", F.col("ts").alias("p_ts"))
     v = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("v_ts"))
-    return latest_before(p, v, "user_id", before, [F.col("v_ts").desc(), F.col("view_id").desc()], "event_id").select("event_id", "user_id", "view_id")
+    return latest_before(p.withColumn("at", before), v, "user_id", "at", "v_ts", ["v_ts", "view_id"]).select("event_id", "user_id", "view_id")
 
 
 @query(_ASOF.format(when="v.ts < p.ts"))
 def asof_attribution_ts(spark, sf):
-    return _asof(spark, sf, F.col("v_ts") < F.col("p_ts"))
+    return _asof(spark, sf, F.col("p_ts"))
 
 
 @query(_ASOF.format(when="CASE WHEN p.event_id % 3 = 0 THEN CAST(v.ts AS DATE) < CAST(p.ts AS DATE) ELSE v.ts < p.ts END"))
 def asof_attribution_day(spark, sf):
-    return _asof(spark, sf, F.when(F.col("event_id") % 3 == 0, F.to_date("v_ts") < F.to_date("p_ts")).otherwise(F.col("v_ts") < F.col("p_ts")))
+    # Known by its day only: what came before that day began.
+    return _asof(spark, sf, F.when(F.col("event_id") % 3 == 0, F.date_trunc("day", "p_ts")).otherwise(F.col("p_ts")))
 
 
 _DAYS = "d AS (SELECT user_id AS id, count(DISTINCT CAST(ts AS DATE)) AS days FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '2024-01-11' AND ts <= TIMESTAMP '2024-02-01' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 100) GROUP BY user_id)"
@@ -102,8 +103,7 @@ def unacted_visible_days(spark, sf):
     SELECT id, score, CAST(pos AS INT) AS pos, CAST(penalty AS DOUBLE) AS penalty, CAST(new_score AS DOUBLE) AS new_score, CAST(row_number() OVER (ORDER BY CASE WHEN moved THEN -new_score ELSE pos END, id DESC) AS INT) AS position FROM q""")
 def fatigue_rerank(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (50 + F.col("c_custkey") % 50).cast("double").alias("score"))
-    c = c.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("score").desc(), F.col("id").desc())))
-    return serving.fatigued(c, _days(spark, sf))
+    return serving.fatigued(W.placed(c, [-F.col("score"), -F.col("id")], "pos"), _days(spark, sf))
 
 
 _W = f"WITH {IMPRESSIONS}, w AS (SELECT *, 1 / propensity AS weight FROM impressions)"
@@ -204,8 +204,8 @@ def ridge_calibration(spark, sf):
     SELECT round(avg(abs(a.r - b.r)), 6) AS mean_move, max(abs(a.r - b.r)) AS max_move, median(abs(a.r - b.r)) AS median_move, count(*) FILTER (a.r <= 8 AND b.r <= 8) AS same8, count(*) FILTER (a.r <= 20 AND b.r <= 20) AS same20 FROM a JOIN b USING (id)""")
 def rank_movement(spark, sf):
     c = table(spark, sf, "customer")
-    one = Window.partitionBy(F.lit(1))
-    r = c.select(F.row_number().over(one.orderBy(F.col("c_acctbal").desc(), "c_custkey")).alias("a"), F.row_number().over(one.orderBy(F.col("c_nationkey").desc(), F.col("c_acctbal").desc(), "c_custkey")).alias("b"))
+    balance, key = -F.col("c_acctbal"), F.col("c_custkey")
+    r = W.placed(W.placed(c.select("c_custkey", "c_acctbal", "c_nationkey"), [balance, key], "a"), [-F.col("c_nationkey"), balance, key], "b")
     move = F.abs(F.col("a") - F.col("b"))
     both = lambda k: F.count_if((F.col("a") <= k) & (F.col("b") <= k))
     return rounded(r.agg(F.avg(move).alias("mean_move"), F.max(move).cast("long").alias("max_move"), F.median(move).alias("median_move"), both(8).alias("same8"), both(20).alias("same20")))

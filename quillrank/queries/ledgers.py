@@ -77,10 +77,10 @@ def outcome_upsert(spark, sf):
     return L.outcome_changes(stored, seen, ["impression", "event"], ["label", "note"]).groupBy("change").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("label"))
 
 
-@query("""SELECT o_orderkey AS id, first(l_discount ORDER BY l_quantity DESC, l_shipdate DESC, l_discount DESC) FILTER (l_orderkey IS NOT NULL) AS label, count(l_orderkey) AS outcomes FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_tax > 0.03) ON l_orderkey = o_orderkey GROUP BY 1""")
+@query("""SELECT o_orderkey AS id, first(l_discount ORDER BY l_quantity DESC, l_shipdate DESC, l_discount DESC) FILTER (l_orderkey IS NOT NULL) AS label, count(l_orderkey) AS outcomes FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def best_outcome(spark, sf):
     i = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    o = table(spark, sf, "lineitem").where("l_tax > 0.03").select(F.col("l_orderkey").alias("impression"), F.col("l_discount").alias("label"), F.col("l_quantity").alias("confidence"), F.col("l_shipdate").alias("attributed_at"))
+    o = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("impression"), F.col("l_discount").alias("label"), F.col("l_quantity").alias("confidence"), F.col("l_shipdate").alias("attributed_at"))
     return L.best_outcome(i, o).select("id", F.col("best.label").alias("label"), F.coalesce(F.size("outcomes"), F.lit(0)).cast("long").alias("outcomes"))
 
 
@@ -116,9 +116,9 @@ def search_frames(spark, sf):
     return L.latest_frame(frames)
 
 
-@query(f"""WITH j AS (SELECT event_id AS id, user_id AS kind, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' ELSE 'done' END AS state, event_id % 50 <> 0 OR ts < TIMESTAMP '{_NOW}' - INTERVAL 5 MINUTE AS lost, event_id % 5 AS tries FROM events WHERE event_id % 4 = 0)
+@query(f"""WITH j AS (SELECT event_id AS id, user_id AS kind, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' ELSE 'done' END AS state, event_id % 50 <> 0 OR ts < TIMESTAMP '{_NOW}' - INTERVAL 5 MINUTE AS lost, event_id % 5 AS tries FROM events)
     SELECT kind, min(id) AS id FROM j WHERE (state = 'queued' OR (state = 'running' AND lost AND tries < 3)) AND kind NOT IN (SELECT kind FROM j WHERE state = 'running' AND NOT lost) GROUP BY kind""")
 def job_claims(spark, sf):
     t = F.col("event_type")
-    jobs = events(spark, sf).where("event_id % 4 = 0").select(F.col("event_id").alias("id"), F.col("user_id").alias("kind"), F.when(t == "view", "queued").when(t == "click", "running").otherwise("done").alias("state"), F.when(F.col("event_id") % 50 == 0, F.col("ts")).alias("heartbeat"), (F.col("event_id") % 5).alias("tries"))
+    jobs = events(spark, sf).select(F.col("event_id").alias("id"), F.col("user_id").alias("kind"), F.when(t == "view", "queued").when(t == "click", "running").otherwise("done").alias("state"), F.when(F.col("event_id") % 50 == 0, F.col("ts")).alias("heartbeat"), (F.col("event_id") % 5).alias("tries"))
     return L.open_jobs(jobs, _now()).select("kind", "id")

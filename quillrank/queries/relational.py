@@ -76,10 +76,14 @@ def identity_dedup_first(spark, sf):
     return _parts(spark, sf).groupBy("title").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+# Row by row in SQL too: every block takes its next item in each step.
+@query(f"""WITH RECURSIVE {_PARTS}, o AS (SELECT id, size AS block, [concat(size, ':', title), concat(size, ':m', id % 17)] AS keys, row_number() OVER (PARTITION BY size ORDER BY id) AS n FROM k),
+    r AS (SELECT block, n, id, TRUE AS stays, keys AS seen FROM o WHERE n = 1 UNION ALL SELECT o.block, o.n, o.id, NOT list_has_any(o.keys, r.seen), CASE WHEN list_has_any(o.keys, r.seen) THEN r.seen ELSE list_concat(r.seen, o.keys) END FROM r JOIN o ON o.block = r.block AND o.n = r.n + 1)
+    SELECT id, block FROM r WHERE stays""")
 def greedy_identity_dedup(spark, sf):
-    k = _parts(spark, sf).select("id", F.col("size").alias("block"), F.col("id").alias("place"), F.array("title", F.concat(F.lit("m"), (F.col("id") % 17).cast("string"))).alias("keys"))
-    return J.greedy_by_keys(k, "block", "id", "place").select("id", "block")
+    key = lambda x: F.concat(F.col("size").cast("string"), F.lit(":"), x)
+    k = _parts(spark, sf).select("id", F.col("size").alias("block"), F.array(key(F.col("title")), key(F.concat(F.lit("m"), (F.col("id") % 17).cast("string")))).alias("keys"))
+    return J.greedy_rounds(k, "id", []).select("id", "block")
 
 
 @query(f"WITH {_PARTS}, t AS (SELECT id AS target, concat('m', id % 397) AS key, 2 AS method FROM k WHERE id % 5 = 0 UNION ALL SELECT id, concat('t', id % 991), 1 FROM k WHERE id % 5 = 0), i AS (SELECT id, concat('m', id % 397) AS key FROM k WHERE id % 5 = 1 UNION ALL SELECT id, concat('t', id % 991) FROM k WHERE id % 5 = 1) SELECT id, CAST(min(target) AS BIGINT) AS target, min(method) AS method FROM i JOIN t USING (key) GROUP BY id HAVING count(DISTINCT target) = 1")

@@ -15,14 +15,8 @@ def normalize_key(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.normalize_key(F.col("p_name"), F.col("p_brand")).alias("key"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 200)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS key FROM documents")
-def plain_keys(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.plain_part(F.substring("text", 1, 200)).alias("key"))
-
-
 @query("SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS key FROM documents")
-def plain_keys_of_all(spark, sf):
-    """As ``plain_keys`` over whole texts."""
+def plain_keys(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.plain_part(F.col("text")).alias("key"))
 
 
@@ -93,15 +87,9 @@ def content_hash(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
-@query("SELECT doc_id, list_slice(list_filter(list_distinct_ordered, lambda x: len(x) >= 2), 1, 8) AS labels FROM (SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_ordered FROM (SELECT doc_id, list_slice(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' '), 1, 30) AS w FROM documents))")
-def subject_labels(spark, sf):
-    words = F.slice(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " "), 1, 30)
-    return table(spark, sf, "documents").select("doc_id", text.subjects(words).alias("labels"))
-
-
 @query("SELECT doc_id, list_slice(list_filter(list_distinct_ordered, lambda x: len(x) >= 2), 1, 8) AS labels FROM (SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_ordered FROM (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ') AS w FROM documents))")
-def subject_labels_of_all(spark, sf):
-    """As ``subject_labels`` over whole texts; repeated words go first, as a label counts once."""
+def subject_labels(spark, sf):
+    """The first labels of whole texts; repeated words go first, as a label counts once."""
     words = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " "))
     return table(spark, sf, "documents").select("doc_id", text.subjects(words).alias("labels"))
 

@@ -26,8 +26,8 @@ def first_visible(events: DataFrame, keys: list[str], ts: str = "ts", lateness:
 
 
 def visible_days(events: DataFrame, key: str, ts: str = "ts", lateness: str = "1 day", width: str = "21 days", slide: str = "1 day") -> DataFrame:
-    """Events per key in sliding windows that close with the watermark."""
-    return events.withWatermark(ts, lateness).groupBy(F.window(ts, width, slide), key).agg(F.approx_count_distinct(F.to_date(ts)).alias("days"), F.count(F.lit(1)).alias("n"))
+    """Distinct days and events per key in sliding windows that close with the watermark; a window has few days, so they are kept, not estimated."""
+    return events.withWatermark(ts, lateness).groupBy(F.window(ts, width, slide), key).agg(F.size(F.collect_set(F.to_date(ts))).alias("days"), F.count(F.lit(1)).alias("n"))
 
 
 def decisions(events: DataFrame, key: str = "book") -> DataFrame:

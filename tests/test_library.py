@@ -92,7 +92,7 @@ def test_auc_vectors(spark):
 
 def test_greedy_dedup_depends_on_what_was_kept(spark):
     items = spark.createDataFrame([(1, 0, 1, ["a"]), (2, 0, 2, ["a", "b"]), (3, 0, 3, ["b"])], "id long, block int, place int, keys array<string>")
-    assert sorted(r["id"] for r in J.greedy_by_keys(items, "block", "id", "place").collect()) == [1, 3]
+    assert sorted(r["id"] for r in J.greedy_rounds(items, "id", [F.col("place")]).collect()) == [1, 3]
 
 
 def test_merge_and_delete(spark):
@@ -194,13 +194,13 @@ def test_semantic_part_is_the_shrunk_local_rate(spark):
 def test_whole_tables_stand_beside_the_subsets(spark, sf):
     from quillrank.queries import QUERIES
 
-    pages = QUERIES["outside_deltas_by_page"](spark, sf).collect()
+    pages = QUERIES["outside_deltas"](spark, sf).collect()
     assert sorted(r["id"] for r in pages) == sorted(r[0] for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect())
     assert all(r["position"] <= 100 for r in pages)
     orders = {}
     for period, customer in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderpriority", "o_custkey").collect():
         orders.setdefault(period, set()).add(customer % 20)
-    assert {r["period"]: r["ids"] for r in QUERIES["delivered_ids_of_all"](spark, sf).collect()} == {k: sorted(v) for k, v in orders.items()}
+    assert {r["period"]: r["ids"] for r in QUERIES["delivered_ids"](spark, sf).collect()} == {k: sorted(v) for k, v in orders.items()}
 
 
 def test_whole_texts_stand_beside_the_prefixes(spark, tmp_path):
@@ -209,9 +209,9 @@ def test_whole_texts_stand_beside_the_prefixes(spark, tmp_path):
     same, few = "word " * 60, "one two " * 20
     rows = [(1, same + "left"), (2, same + "right"), (3, few + "three four five six seven eight nine")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    keys = {r["doc_id"]: r["key"] for r in QUERIES["plain_keys_of_all"](spark, str(tmp_path)).collect()}
+    keys = {r["doc_id"]: r["key"] for r in QUERIES["plain_keys"](spark, str(tmp_path)).collect()}
     assert keys == dict(rows)
-    labels = {r["doc_id"]: r["labels"] for r in QUERIES["subject_labels_of_all"](spark, str(tmp_path)).collect()}
+    labels = {r["doc_id"]: r["labels"] for r in QUERIES["subject_labels"](spark, str(tmp_path)).collect()}
     assert labels == {1: ["word", "left"], 2: ["word", "right"], 3: "one two three four five six seven eight".split()}
 
 
