@@ -1,11 +1,21 @@
-"""Identities of works across noisy titles, authors and identifiers."""
+"""Identities of works across noisy titles, authors and identifiers.
+
+One set of rules serves columns and SQL: they need compatibility normalization and full
+case folding, which Spark has not, so they run over Arrow batches. A null counts as
+empty; empty parts stay empty.
+"""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillrank.functions.text import isbn13, plain_part
+from quillrank.functions.text import folded, isbn13
 
 # Titles that are known in words and in figures.
 ALIASES = (
@@ -15,64 +25,106 @@ ALIASES = (
     ("fahrenheit 451", "fahrenheit four hundred fifty one"),
     ("slaughterhouse 5", "slaughterhouse five"),
 )
-GENERATIONS = ("jr", "sr", "ii", "iii", "iv", "v")
+# Generations, articles, and what a format or series suffix, a subtitle and its separator look like.
+GENERATIONS = ("jr", "sr", "ii", "iii", "iv", "v", "vi")
 ARTICLES = ("a", "an", "the")
-UNKNOWN = ("", "unknown", "unknown author")
+SUFFIXES = (
+    r"\s*\(\s*unabridged\s*\)\s*$",
+    r"\s*\([^()]*?(?:#\s*\d+|\bbook\s+\d+|\bvol(?:ume)?\s+\d+)\s*\)\s*$",
+    r"\s*:\s*[^:]+,\s*book\s+\d+\s*$",
+)
+SEPARATOR = r"\s+(?:-|–|—)\s+|\s*:\s*"
+SUBTITLE = r"(?:a|an|the)\b"
+NUMBERED = r"(?:a|an|the)\s+(?:one|two|three|four|five|first|second|third|fourth|fifth)\b"
+# Words of a title that stands without its subtitle, letters of a telling word, words from which an article may go.
+PREFIX_WORDS, TELLING, LED_WORDS = 3, 9, 4
 
+_SUFFIXES = [re.compile(p, re.I) for p in SUFFIXES]
+_SEPARATOR, _SUBTITLE, _NUMBERED = (re.compile(p, re.I) for p in (SEPARATOR, SUBTITLE, NUMBERED))
 
-def bare_title(title: Column) -> Column:
-    """Without unabridged marks and series numbers."""
-    out = F.trim(F.coalesce(title, F.lit("")))
-    for pattern in (r"(?i)\s*\((un)?abridged\)\s*$", r"(?i)\s*\([^()]*(#\s*\d+|\b(book|vol(ume)?\.?)\s+\d+)[^()]*\)\s*$", r"(?i):\s*[^:]+,\s*book\s+\d+\s*$"):
-        out = F.trim(F.regexp_replace(out, pattern, ""))
+
+def _bare(title: str | None) -> str:
+    out = unicodedata.normalize("NFKC", title or "").strip()
+    for suffix in _SUFFIXES:
+        out = suffix.sub("", out).strip()
     return out
 
 
-def title_key(title: Column) -> Column:
-    return plain_part(bare_title(title))
+def _joined_initials(author: str | None) -> list[str]:
+    words = folded(author).split()
+    n = next((k for k, w in enumerate(words) if len(w) > 1), len(words))
+    return ["".join(words[:n]), *words[n:]] if n else words
 
 
-def author_key(author: Column) -> Column:
-    """Leading initials joined, generation suffixes dropped."""
-    words = F.split(plain_part(author), " ")
-    initials = F.aggregate(words, F.lit(0), lambda n, w: F.when((n >= 0) & (F.length(w) == 1), n + 1).when(n >= 0, -n - 1).otherwise(n))
-    n = F.when(initials >= 0, initials).otherwise(-initials - 1)
-    joined = F.when(n > 1, F.concat(F.array(F.array_join(F.slice(words, 1, n), "")), F.slice(words, n + 1, F.size(words)))).otherwise(words)
-    suffix = F.array(*[F.lit(x) for x in GENERATIONS])
-    last = F.element_at(joined, -1)
-    return F.array_join(F.when((F.size(joined) > 1) & F.array_contains(suffix, last), F.slice(joined, 1, F.size(joined) - 1)).otherwise(joined), " ")
+def _author(author: str | None) -> str:
+    words = _joined_initials(author)
+    last = max((k for k, w in enumerate(words) if w not in GENERATIONS), default=0)
+    return " ".join(words[: last + 1])
+
+
+def _titles(title: str | None) -> list[str]:
+    bare = _bare(title)
+    keys = [folded(bare)]
+    split = _SEPARATOR.search(bare)
+    if split:
+        prefix, rest = folded(bare[: split.start()]), bare[split.end() :].strip()
+        words = prefix.split()
+        stands = len(words) >= PREFIX_WORDS or len(words) == 2 and max(map(len, words)) >= TELLING
+        if stands and _SUBTITLE.match(rest) and not _NUMBERED.match(rest):
+            keys.append(prefix)
+    same = [name for group in ALIASES for name in group if set(group) & set(keys)]
+    led = [k.partition(" ")[2] for k in keys if k.split(" ")[0] in ARTICLES and k.count(" ") >= LED_WORDS - 1]
+    return [k for k in dict.fromkeys([*keys, *same, *led]) if k]
+
+
+def _identity(title: str | None, author: str | None) -> str:
+    return f"{folded(_bare(title))}\x1f{' '.join(_joined_initials(author))}"
 
 
-def identity(title: Column, author: Column) -> Column:
-    return F.concat_ws("\x1f", title_key(title), author_key(author))
+@F.pandas_udf(T.StringType())
+def title_key(title: pd.Series) -> pd.Series:
+    """The whole title without format and series suffixes."""
+    return title.map(lambda t: folded(_bare(t)), na_action=None)
 
 
-def title_keys(title: Column) -> Column:
+@F.pandas_udf(T.StringType())
+def author_key(author: pd.Series) -> pd.Series:
+    """Leading initials joined, generation suffixes dropped."""
+    return author.map(_author)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def title_keys(title: pd.Series) -> pd.Series:
     """The full key, a safe key without an article-led subtitle, aliases, and keys without a leading article."""
-    bare = bare_title(title)
-    full = plain_part(bare)
-    prefix = plain_part(F.regexp_extract(bare, r"^(.*?)(:|\s[-–—]\s)", 1))
-    rest = F.trim(F.regexp_extract(bare, r"^.*?(?::|\s[-–—]\s)(.*)$", 1))
-    words = F.split(prefix, " ")
-    safe = (F.size(words) >= 3) | ((F.size(words) == 2) & F.exists(words, lambda w: F.length(w) >= 9))
-    fits = rest.rlike(r"(?i)^(a|an|the)\b") & ~rest.rlike(r"(?i)^(a|an|the)\s+(one|two|three|four|five|first|second|third|fourth|fifth)\b")
-    keys = F.array_compact(F.array(F.nullif(full, F.lit("")), F.when(fits & safe & (prefix != ""), prefix)))
-    groups = F.array(*[F.array(*[F.lit(x) for x in g]) for g in ALIASES])
-    aliases = F.flatten(F.filter(groups, lambda g: F.arrays_overlap(g, keys)))
-    led = F.transform(F.filter(keys, lambda k: (F.size(F.split(k, " ")) >= 4) & F.substring_index(k, " ", 1).isin(*ARTICLES)), lambda k: F.regexp_replace(k, "^[a-z]+ ", ""))
-    return F.array_distinct(F.concat(keys, aliases, led))
+    return title.map(_titles)
+
+
+@F.pandas_udf(T.StringType())
+def identity(title: pd.Series, author: pd.Series) -> pd.Series:
+    """Title and author as one key: generations count, subtitles count."""
+    return pd.Series([_identity(t, a) for t, a in zip(title, author, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.BooleanType())
+def matches(left_title: pd.Series, left_author: pd.Series, right_title: pd.Series, right_author: pd.Series) -> pd.Series:
+    """Whether two rows are one work: authors agree, and some key of their titles."""
+    rows = zip(left_title, left_author, right_title, right_author, strict=True)
+    return pd.Series([_author(b) == _author(d) and bool({*_titles(a)} & {*_titles(c)}) for a, b, c, d in rows], dtype=bool)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def named_keys(title: pd.Series, author: pd.Series) -> pd.Series:
+    """A tagged key per title key, with the author's."""
+    return pd.Series([[f"title\x1f{t}\x1f{_author(a)}" for t in _titles(x)] for x, a in zip(title, author, strict=True)], dtype=object)
 
 
 def match_keys(title: Column, author: Column, *isbns: Column) -> Column:
     """Tagged keys of a row: two rows are the same work if any key is shared."""
-    author_ = author_key(author)
-    named = F.transform(title_keys(title), lambda t: F.concat_ws("\x1f", F.lit("title"), t, author_))
     codes = [F.concat(F.lit("isbn\x1f"), isbn13(x)) for x in isbns]
-    return F.array_compact(F.concat(named, F.array(*codes) if codes else F.array().cast("array<string>")))
+    return F.array_compact(F.concat(named_keys(title, author), F.array(*codes) if codes else F.array().cast("array<string>")))
 
 
 def register(spark: SparkSession) -> None:
-    """SQL names for the identity functions."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION quillrank_norm(x STRING) RETURNS STRING RETURN trim(regexp_replace(lower(coalesce(x, '')), '[^\\\\p{L}\\\\p{N}]+', ' '))")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION book_identity(title STRING, author STRING) RETURNS STRING RETURN concat_ws(chr(31), quillrank_norm(title), quillrank_norm(author))")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION book_identity_matches(a STRING, b STRING, c STRING, d STRING) RETURNS BOOLEAN RETURN book_identity(a, b) = book_identity(c, d)")
+    """SQL names for the identity functions: the same rules."""
+    spark.udf.register("book_identity", identity)
+    spark.udf.register("book_identity_matches", matches)

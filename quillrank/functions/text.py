@@ -25,11 +25,16 @@ def plain_part(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
 
 
+def folded(value: str | None) -> str:
+    """Letters and digits after compatibility normalization and full case folding, the rest as single spaces."""
+    plain = unicodedata.normalize("NFKC", value or "").casefold()
+    return " ".join("".join(c if c.isalnum() else " " for c in plain).split())
+
+
 @F.pandas_udf(T.StringType())
 def canonical_part(value: pd.Series) -> pd.Series:
-    """As ``plain_part`` after compatibility normalization and full case folding, which Spark has not."""
-    fold = lambda x: " ".join("".join(c if c.isalnum() or c.isspace() else " " for c in unicodedata.normalize("NFKC", x or "").casefold()).split())
-    return value.map(fold)
+    """As ``plain_part`` after normalization and folding, which Spark has not."""
+    return value.map(folded)
 
 
 @F.pandas_udf(T.StringType())

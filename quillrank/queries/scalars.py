@@ -25,16 +25,31 @@ def canonical_keys(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.canonical_part("p_name").alias("key"))
 
 
-@query("SELECT p_partkey AS id, concat(trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', ' ', 'g')), chr(31), trim(regexp_replace(lower(p_brand), '[^\\p{L}\\p{N}]+', ' ', 'g'))) AS identity FROM part")
+# Titles with suffixes that an identity leaves out, authors with initials written in two ways and a generation.
+_NAMED = """n AS (SELECT p_partkey AS id, concat(CASE WHEN p_partkey % 3 = 0 THEN 'The ' ELSE '' END, p_name) AS name, lower(regexp_replace(p_brand, '[^A-Za-z0-9]+', ' ', 'g')) AS brand FROM part)"""
+_KEY = "trim(regexp_replace(lower(name), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
+
+
+def _named(spark, sf):
+    k = F.col("p_partkey")
+    suffix = F.when(k % 4 == 0, " (Unabridged)").when(k % 4 == 1, " (A Series, #3)").when(k % 4 == 2, ": The Saga, Book 2").otherwise("")
+    title = F.concat(F.when(k % 3 == 0, "The ").otherwise(""), "p_name", suffix)
+    author = F.concat(F.when(k % 2 == 0, "R. K. ").otherwise("R.K. "), F.col("p_brand"), F.when(k % 5 == 0, " Jr. III").otherwise(""))
+    return table(spark, sf, "part").select(k.alias("id"), title.alias("title"), author.alias("author"))
+
+
+@query(f"WITH {_NAMED} SELECT id, concat({_KEY}, chr(31), 'rk ', brand, CASE WHEN id % 5 = 0 THEN ' jr iii' ELSE '' END) AS identity, id % 5 <> 0 OR id % 3 <> 1 AS same FROM n")
 def sql_identity(spark, sf):
+    """The SQL functions: identities, and matches with the plain title by an author without generation or by another."""
     identity.register(spark)
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.expr("book_identity(p_name, p_brand)").alias("identity"))
+    _named(spark, sf).join(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand"), "id").createOrReplaceTempView("quillrank_named")
+    other = "CASE WHEN id % 5 = 0 AND id % 3 = 1 THEN 'Another' ELSE concat('R K ', p_brand) END"
+    return spark.sql(f"SELECT id, book_identity(title, author) AS identity, book_identity_matches(title, author, concat(CASE WHEN id % 3 = 0 THEN 'The ' ELSE '' END, p_name), {other}) AS same FROM quillrank_named")
 
 
-@query()
+@query(f"WITH {_NAMED}, k AS (SELECT id, {_KEY} AS key, concat(chr(31), 'rk ', brand) AS author FROM n) SELECT id, list_transform(CASE WHEN id % 3 = 0 AND len(string_split(key, ' ')) >= 4 THEN [key, substr(key, 5)] ELSE [key] END, lambda x: concat('title', chr(31), x, author)) AS keys FROM k")
 def identity_keys(spark, sf):
-    p = table(spark, sf, "part")
-    return p.select(F.col("p_partkey").alias("id"), identity.match_keys(F.col("p_name"), F.col("p_brand"), F.lpad(F.col("p_partkey").cast("string"), 13, "9780000000000")).alias("keys"))
+    return _named(spark, sf).select("id", identity.match_keys(F.col("title"), F.col("author")).alias("keys"))
 
 
 _CODES = "c AS (SELECT p_partkey AS id, concat('978', lpad(CAST(p_partkey * 7919 % 1000000000 AS VARCHAR), 9, '0')) AS stem, p_partkey % 10 AS guess FROM part), d AS (SELECT *, (10 - list_sum(list_transform(range(1, 13), lambda i: CAST(substr(stem, i::INT, 1) AS INT) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) % 10) % 10 AS check_digit FROM c)"

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,75 @@ def test_auc_vectors(spark):
     assert auc([(1, 4.0), (1, 3.0), (0, 2.0), (0, 1.0)]) == 1 and auc([(0, 4.0), (0, 3.0), (1, 2.0), (1, 1.0)]) == 0 and auc([(0, 1.0), (1, 1.0), (0, 1.0), (1, 1.0)]) == 0.5
 
 
+# What an identity must and must not tell apart: (title, author, title, author, equal identities, matching works).
+IDENTITIES = [
+    ("Yellowface", "R.F. Kuang", "Yellowface", "R. F. Kuang", True, True),
+    ("Dune Book 2", "Author", "Dune", "Author", False, False),
+    ("Tales (Series, #1-3)", "Author", "Tales", "Author", False, False),
+    ("Tales (Notebook 1)", "Author", "Tales", "Author", False, False),
+    ("Tales (Book 1 of the Saga)", "Author", "Tales", "Author", False, False),
+    ("Tales (Abridged)", "Author", "Tales", "Author", False, False),
+    ("The Fifth Season", "N. K. Jemisin", "The Fifth Season", "N K Jemisin", True, True),
+    ("The Expanse: Books, Book 1 (Unabridged)", "James Corey", "The Expanse", "James Corey", True, True),
+    ("Book 1", "Author", "Book 2", "Author", False, False),
+    ("MaddAddam (MaddAddam, #1)", "Margaret Atwood", "MaddAddam", "Margaret Atwood", True, True),
+    ("Collected Tales (Books 1-3)", "Author", "Collected Tales", "Author", False, False),
+    ("Ninth House (Alex Stern, Book 1)", "A", "Ninth House", "A", True, True),
+    ("Dune 2", "Author", "Dune", "Author", False, False),
+    ("Same Title", "Author A", "Same Title", "Author B", False, False),
+    ("Slaughterhouse-Five", "Kurt Vonnegut", "Slaughterhouse 5", "Kurt Vonnegut Jr.", False, True),
+    ("One", "Henry VI", "One", "Henry", False, True),
+    ("One", "A. Person Jr. III", "One", "A Person", False, True),
+    ("The Rise and Fall of the Third Reich", "William L. Shirer", "Rise and Fall of the Third Reich: A History of Nazi Germany", "William L. Shirer", False, True),
+    ("The Rise and Fall of the Third Reich", "William L. Shirer", "The Rise and Fall of the Third Reich: A History of Nazi Germany", "William L. Shirer", False, True),
+    ("The Dispossessed", "Ursula K. Le Guin", "The Dispossessed: An Ambiguous Utopia", "Ursula K. Le Guin", False, True),
+    ("Biological War", "Annie Jacobsen", "Biological War: A Scenario", "Annie Jacobsen", False, True),
+    ("Dune", "Frank Herbert", "Dune: Messiah", "Frank Herbert", False, False),
+    ("The Hunger Games", "Suzanne Collins", "The Hunger Games: Catching Fire", "Suzanne Collins", False, False),
+    ("The Lord of the Rings", "J. R. R. Tolkien", "The Lord of the Rings: The Two Towers", "J. R. R. Tolkien", False, False),
+    ("The Left Hand of Darkness", "U", "Left Hand of Darkness", "U", False, True),
+    ("Ｄｕｎｅ", "ＦＲＡＮＫ Straße", "Dune", "Frank Strasse", True, True),
+    (None, None, "", "", True, False),
+]
+
+
+def test_identity_goldens(spark):
+    """Columns and SQL have one set of rules, with the known matches and non-matches."""
+    identity.register(spark)
+    df = spark.createDataFrame([(k, *r[:4]) for k, r in enumerate(IDENTITIES)], "k int, a string, b string, c string, d string")
+    df.createOrReplaceTempView("identity_goldens")
+    columns = df.select("k", (identity.identity("a", "b") == identity.identity("c", "d")).alias("e"), F.arrays_overlap(identity.match_keys(F.col("a"), F.col("b")), identity.match_keys(F.col("c"), F.col("d"))).alias("m"))
+    in_sql = spark.sql("SELECT k, book_identity(a, b) = book_identity(c, d) AS e, book_identity_matches(a, b, c, d) AS m FROM identity_goldens")
+    for got in (columns, in_sql):
+        assert {r["k"]: (r["e"], r["m"]) for r in got.collect()} == {k: r[4:] for k, r in enumerate(IDENTITIES)}
+
+
+def test_canonical_keys_and_similarity_by_brute_force(spark, sf):
+    """The Arrow functions, row by row."""
+    import difflib
+    import unicodedata
+
+    from quillrank.queries import QUERIES
+
+    parts = {r["p_partkey"]: r for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    fold = lambda x: " ".join(re.sub(r"[\W_]+", " ", unicodedata.normalize("NFKC", x).casefold()).split())
+    assert {r["id"]: r["key"] for r in QUERIES["canonical_keys"](spark, sf).collect()} == {k: fold(r["p_name"]) for k, r in parts.items()}
+    for r in QUERIES["title_similarity"](spark, sf).collect():
+        a, b = fold(parts[r["id"]]["p_name"]), fold(parts[r["id"]]["p_type"])
+        words = {*a.split()}, {*b.split()}
+        assert r["similarity"] == pytest.approx(max(len(words[0] & words[1]) / len(words[0] | words[1]), difflib.SequenceMatcher(None, a, b).ratio()), abs=1e-6)
+
+
+def test_latest_before_on_a_hot_group(spark):
+    """Equal times are not earlier; ties go by the further order; groups span ranges."""
+    rng = __import__("random").Random(3)
+    left = [(k, 1 if k % 3 else k % 7, rng.randint(0, 50)) for k in range(400)]
+    right = [(k, 1 if k % 4 else k % 7, rng.randint(0, 50)) for k in range(300)]
+    got = J.latest_before(spark.createDataFrame(left, "id long, g int, at int"), spark.createDataFrame(right, "rid long, g int, t int"), "g", "at", "t", ["t", "rid"])
+    want = {i: max(((t, r) for r, h, t in right if h == g and t < at), default=None) for i, g, at in left}
+    assert {r["id"]: (r["t"], r["rid"]) for r in got.collect()} == {i: w for i, w in want.items() if w}
+
+
 def test_greedy_dedup_depends_on_what_was_kept(spark):
     items = spark.createDataFrame([(1, 0, 1, ["a"]), (2, 0, 2, ["a", "b"]), (3, 0, 3, ["b"])], "id long, block int, place int, keys array<string>")
     assert sorted(r["id"] for r in J.greedy_rounds(items, "id", [F.col("place")]).collect()) == [1, 3]
