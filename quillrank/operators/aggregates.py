@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillrank.operators.windows import prefix_sums
@@ -75,3 +76,17 @@ def calibration(df: DataFrame, score: str, rating: str) -> DataFrame:
 def reciprocal_ranks(df: DataFrame, rank: str) -> DataFrame:
     """Count, median rank, hits at 8 and 24, mean reciprocal rank."""
     return df.agg(F.count(rank).alias("n"), F.median(rank).alias("median_rank"), F.count_if(F.col(rank) <= 8).alias("hit8"), F.count_if(F.col(rank) <= 24).alias("hit24"), F.avg(1 / F.col(rank)).alias("mrr"))
+
+
+def register(spark: SparkSession) -> None:
+    """SQL names for aggregates Spark lacks. A group is held by one task: for groups of any size there is ``weighted_auc``."""
+
+    @F.pandas_udf("double")
+    def weighted_auc_of(label: pd.Series, score: pd.Series, weight: pd.Series) -> float:
+        rows = pd.DataFrame({"y": label, "s": score, "w": weight}).dropna()
+        steps = rows.assign(p=rows["w"].where(rows["y"] == 1, 0.0), q=rows["w"].where(rows["y"] == 0, 0.0)).groupby("s")[["p", "q"]].sum()
+        below = steps["q"].cumsum() - steps["q"]
+        pairs = steps["p"].sum() * steps["q"].sum()
+        return float((steps["p"] * (below + steps["q"] / 2)).sum() / pairs) if pairs else float("nan")
+
+    spark.udf.register("weighted_auc", weighted_auc_of)

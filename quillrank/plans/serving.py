@@ -15,6 +15,7 @@ from quillrank.functions.vectors import doubles, unit, valid
 from quillrank.operators.aggregates import wilson
 from quillrank.operators.windows import placed
 from quillrank.plans.ranking import BLOCK_ROWS
+from quillrank.session import cut
 
 # Fixed values of the learner.
 MIN_BOOKS, MIN_EVIDENCE, MATURE, RATE_SCALE, GAP_SCALE, MIN_FEATURE = 6.0, 4.5, 20, 0.5, 0.15, 1.5
@@ -62,7 +63,8 @@ def feature_effects(observations: DataFrame, features: DataFrame) -> DataFrame:
     n, on = F.col("w") * F.col("w") / F.col("w2"), F.try_divide(F.col("ow") * F.col("ow"), F.col("ow2"))
     low, high = wilson(F.col("p"), F.col("w"), n)
     olow, ohigh = wilson(F.col("op"), F.nullif("ow", F.lit(0.0)), F.coalesce(on, F.lit(0.0)))
-    g = g.withColumn("low", low).withColumn("high", high).withColumn("olow", olow).withColumn("ohigh", ohigh)
+    # One row per feature is cut here: with what follows, one generated method would grow too large to compile.
+    g = cut(g.withColumn("low", low).withColumn("high", high).withColumn("olow", olow).withColumn("ohigh", ohigh))
     ready = (n + 1e-9 >= MIN_BOOKS) & (F.coalesce(on, F.lit(0.0)) + 1e-9 >= MIN_BOOKS) & (F.col("w") >= MIN_EVIDENCE) & (F.col("ow") >= MIN_EVIDENCE)
     gap = F.when(F.col("low") > F.col("ohigh"), F.col("low") - F.col("ohigh")).when(F.col("high") < F.col("olow"), F.col("high") - F.col("olow"))
     cap, prior = _part(F.col("feature"), 0), _part(F.col("feature"), 1)

@@ -49,13 +49,37 @@ def wilson_gate(spark, sf):
     return rounded(g.select("feature", low.alias("low"), high.alias("high")))
 
 
-@query()
+def _wilson(p, w, n):
+    n = f"greatest(1, {n})"
+    mid, half = f"(({p}) / ({w}) + 1.9208 / {n}) / (1 + 3.8416 / {n})", f"1.96 * sqrt(({p}) / ({w}) * (1 - ({p}) / ({w})) / {n} + 0.9604 / ({n} * {n})) / (1 + 3.8416 / {n})"
+    return f"greatest(0, {mid} - {half})", f"least(1, {mid} + {half})"
+
+
+_LOW, _HIGH = _wilson("p", "w", "n")
+_OLOW, _OHIGH = _wilson("op", "nullif(ow, 0)", "coalesce(m, 0)")
+_EFFECTS = f"""o AS (SELECT * FROM obs WHERE weight >= 0.05), t AS (SELECT count(*) AS books, sum(weight) AS tw, sum(CASE WHEN label = 1 THEN weight ELSE 0 END) AS tp, sum(weight * weight) AS tw2 FROM o),
+    g AS (SELECT feature, sum(weight) AS w, sum(CASE WHEN label = 1 THEN weight ELSE 0 END) AS p, sum(weight * weight) AS w2 FROM f JOIN o USING (book) GROUP BY feature),
+    h AS (SELECT *, greatest(0, tw - w) AS ow, greatest(0, tp - p) AS op, greatest(0, tw2 - w2) AS ow2 FROM g CROSS JOIN t WHERE tw >= 4.5), i AS (SELECT *, w * w / w2 AS n, CASE WHEN ow2 > 0 THEN ow * ow / ow2 END AS m FROM h),
+    j AS (SELECT *, {_LOW} AS low, {_HIGH} AS high, {_OLOW} AS olow, {_OHIGH} AS ohigh, CASE WHEN feature LIKE 'author:%' THEN 4.0 WHEN feature = 'era:2020_plus' THEN 1.0 WHEN feature LIKE 'era:%' THEN 3.5 ELSE 2.0 END::DOUBLE AS cap,
+        CASE WHEN feature LIKE 'author:%' THEN 3.0 WHEN feature = 'era:2020_plus' THEN 4.0 WHEN feature LIKE 'era:%' THEN 3.0 ELSE 3.5 END::DOUBLE AS prior FROM i),
+    l AS (SELECT *, CASE WHEN low > ohigh THEN low - ohigh WHEN high < olow THEN high - olow END AS gap, n + 1e-9 >= 6 AND coalesce(m, 0) + 1e-9 >= 6 AND w >= 4.5 AND ow >= 4.5 AS ready, cap * ((p + prior * tp / tw) / (w + prior) - tp / tw) / 0.5 AS s FROM j),
+    effects AS (SELECT * FROM (SELECT feature, coalesce(CASE WHEN ready THEN sign(gap) * cap * least(1, abs(p / w - op / ow) / 0.5) * least(1, abs(gap) / 0.15) END, CASE WHEN books >= 20 AND w >= 1.5 AND abs(s) >= 0.05 THEN least(cap, greatest(-cap, s)) END) AS effect FROM l) WHERE effect IS NOT NULL)"""
+
+
+def _deltas(features):
+    """SQL of what effects move each id by, given a table of (id, feature)."""
+    return f"""ranked AS (SELECT id, feature, effect, NOT (feature LIKE 'author:%' OR feature LIKE 'era:%') AS subject FROM {features} JOIN effects USING (feature)), shares AS (SELECT *, row_number() OVER (PARTITION BY id, subject ORDER BY abs(effect) DESC, feature) AS turn FROM ranked),
+    moves AS (SELECT id, greatest(-8, least(8, sum(CASE WHEN NOT subject THEN effect WHEN turn <= 4 THEN effect * pow(0.5, turn - 1) ELSE 0 END))) AS d FROM shares GROUP BY id)"""
+
+
+@query(_LATEST + f", {_FEATURES}, {_EFFECTS} SELECT feature, round(effect, 6) AS effect FROM effects")
 def feature_effects(spark, sf):
     obs = _observed(spark, sf)
     return rounded(serving.feature_effects(obs, _features(obs)))
 
 
-@query()
+@query(_LATEST + f""", {_FEATURES}, {_EFFECTS}, bf AS (SELECT book AS id, feature FROM f JOIN o USING (book)), {_deltas("bf")}, c AS (SELECT book AS id, CAST(50 + book % 40 AS DOUBLE) AS score, 0.9 * coalesce(d, 0) AS delta FROM o LEFT JOIN moves ON moves.id = book)
+    SELECT id, score, 0.9::DOUBLE AS confidence, round(delta, 6) AS delta, CASE WHEN abs(delta) >= 0.05 THEN round(least(100, greatest(0, score + delta)), 1) ELSE score END AS new_score FROM c""")
 def personalize(spark, sf):
     obs = _observed(spark, sf)
     effects = serving.feature_effects(obs, _features(obs))
