@@ -33,7 +33,8 @@ def diffusion(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, steps: i
     n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = e.join(e.groupBy("work").agg(F.count(F.lit(1)).alias("d")), "work").select("work", "entity", (1.0 / F.col("d")).alias("p"))
     back = e.join(e.groupBy("entity").agg(F.count(F.lit(1)).alias("d")), "entity").select("entity", "work", (1.0 / F.col("d")).alias("p"))
-    work, entity = F.concat(F.lit("w"), F.col("work").cast("string")), F.concat(F.lit("e"), F.col("entity").cast("string"))
+    # Numbers for both kinds of nodes: works are even, entities odd.
+    work, entity = F.col("work").cast("long") * 2, F.col("entity").cast("long") * 2 + 1
     arcs = out.select(work.alias("src"), entity.alias("dst"), "p").unionByName(back.select(entity.alias("src"), work.alias("dst"), "p"))
     # Dealt and sorted by source once: each step moves only the ranks.
     arcs = cut(arcs.repartition(n, "src").sortWithinPartitions("src"))
@@ -41,7 +42,8 @@ def diffusion(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, steps: i
     restart = cut(seeds.crossJoin(F.broadcast(total)).select(work.alias("node"), (1.0 / F.col("n")).alias("r")))
 
     def step(rank: DataFrame) -> DataFrame:
-        moved = rank.join(arcs, rank["node"] == arcs["src"]).groupBy("dst").agg((alpha * F.sum(F.col("r") * F.col("p"))).alias("r")).select(F.col("dst").alias("node"), "r")
+        # One aggregation: what arrives and what restarts are summed up together.
+        moved = rank.join(arcs, rank["node"] == arcs["src"]).select(F.col("dst").alias("node"), (alpha * F.col("r") * F.col("p")).alias("r"))
         return moved.unionByName(restart.select("node", ((1 - alpha) * F.col("r")).alias("r"))).groupBy("node").agg(F.sum("r").alias("r"))
 
     rank = restart
@@ -54,5 +56,5 @@ def diffusion(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, steps: i
         change = rank.alias("a").join(old.alias("b"), F.col("a.node") == F.col("b.node"), "full").agg(F.sum(F.abs(F.coalesce("a.r", F.lit(0.0)) - F.coalesce("b.r", F.lit(0.0))))).first()[0]
         if (change or 0.0) < TOLERANCE:
             break
-    works = rank.where(F.col("node").startswith("w")).select(F.substring("node", 2, 30).cast("long").alias("work"), F.col("r").alias("rank"))
+    works = rank.where(F.col("node") % 2 == 0).select((F.col("node") / 2).cast("long").alias("work"), F.col("r").alias("rank"))
     return works.join(seeds, "work", "left_anti")

@@ -29,6 +29,17 @@ LIKED, DISLIKED = 4.0, 2.0
 BLOCK_ROWS = 20_000
 
 _NEAR = "id long, read_id long, sim double"
+#: Products of vectors that a task holds at a time.
+PAIRS = 1 << 20
+
+
+def _best(sims: np.ndarray, k: int) -> np.ndarray:
+    """Marks each row's ``k`` greatest values; of ties the first, as reads stand in order of id."""
+    if sims.shape[1] <= k:
+        return np.ones(sims.shape, bool)
+    last = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k, None]
+    above, level = sims > last, sims == last
+    return above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
 
 
 def baseline(reads: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -64,25 +75,24 @@ def near_reads(history: DataFrame, candidates: DataFrame, leave_one_out: bool =
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             ids, identities, ratings, matrix = block.value
+            if not len(ids):
+                return
+            groups = [(np.flatnonzero(mask), k) for mask, k in ((ratings > 0, KERNEL_NEIGHBOURS), (ratings >= LIKED, LOCAL_NEIGHBOURS), (ratings <= DISLIKED, disliked))]
+            own = {identity: n for n, identity in enumerate(identities)} if leave_one_out else {}
+            step = max(1, PAIRS // len(ids))
             for batch in batches:
-                if not len(ids) or not batch.num_rows:
-                    continue
-                v = np.array(batch.column("vec").to_pylist(), np.float64)
-                sims = v @ matrix.T
-                if leave_one_out:
-                    same = np.array(batch.column("identity").to_pylist(), object)[:, None] == identities[None, :]
-                    sims = np.where(same, -np.inf, sims)
-                want = np.zeros(sims.shape, bool)
-                for mask, k in ((np.ones(len(ids), bool), KERNEL_NEIGHBOURS), (ratings >= LIKED, LOCAL_NEIGHBOURS), (ratings <= DISLIKED, disliked)):
-                    at = np.flatnonzero(mask)
-                    if len(at):
-                        # Stable by id: reads stand in order of id.
-                        best = at[np.argsort(-sims[:, at], axis=1, kind="stable")[:, :k]]
-                        np.put_along_axis(want, best, True, axis=1)
-                want &= np.isfinite(sims)
-                i, j = np.nonzero(want)
-                cid = batch.column("id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(cid[i]), pa.array(ids[j]), pa.array(sims[i, j])], ["id", "read_id", "sim"])
+                cid, names = batch.column("id").to_numpy(zero_copy_only=False), batch.column("identity").to_pylist() if leave_one_out else []
+                for a in range(0, batch.num_rows, step):
+                    sims = np.array(batch.column("vec").slice(a, step).to_pylist(), np.float64) @ matrix.T
+                    for i, name in enumerate(names[a : a + step]):
+                        if name in own:
+                            sims[i, own[name]] = -np.inf
+                    want = np.zeros(sims.shape, bool)
+                    for at, k in groups:
+                        if len(at):
+                            want[:, at] |= _best(sims[:, at], k)
+                    i, j = np.nonzero(want & np.isfinite(sims))
+                    yield pa.RecordBatch.from_arrays([pa.array(cid[a + i]), pa.array(ids[j]), pa.array(sims[i, j])], ["id", "read_id", "sim"])
 
         part = candidates.select("id", "identity", unit(doubles(F.col("vec"))).alias("vec")).mapInArrow(run, _NEAR)
         out = part if out is None else out.unionByName(part)

@@ -14,7 +14,7 @@ from quillrank.functions.dates import half_life
 from quillrank.functions.vectors import doubles, unit, valid
 from quillrank.operators.aggregates import wilson
 from quillrank.operators.windows import placed
-from quillrank.plans.ranking import BLOCK_ROWS
+from quillrank.plans.ranking import BLOCK_ROWS, PAIRS
 from quillrank.session import cut
 
 # Fixed values of the learner.
@@ -28,8 +28,6 @@ STABLE = 4
 # Of the semantic part: floors of similarity, and (prior weight, most) before and after there is enough history.
 FLOOR, POSITIVE_FLOOR, MIN_VECTORS = 0.45, 0.52, 10
 YOUNG, GROWN = (1.5, 4.0), (1.0, 5.0)
-#: Products of vectors that a task holds at a time.
-PAIRS = 1 << 20
 
 
 def latest_observations(events: DataFrame, now: Column) -> DataFrame:

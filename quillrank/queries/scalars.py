@@ -125,7 +125,34 @@ def title_similarity(spark, sf):
     return p.select(F.col("p_partkey").alias("id"), F.round(text.title_similarity(F.col("p_name"), F.col("p_type")), 6).alias("similarity"))
 
 
-@query()
+# One page per part, in one of seven forms; quotes and angles stand in none of the names.
+@query("SELECT concat('https://list.example/2024/', p_partkey) AS url, p_name AS title, CASE WHEN p_partkey % 7 = 1 THEN 'Unknown author' ELSE p_brand END AS author, CASE WHEN p_partkey % 7 = 0 THEN '1987-01-01' WHEN p_partkey % 7 = 4 THEN '1999-12-31' WHEN p_partkey % 7 = 6 THEN '2024-05-03' END AS released FROM part")
 def parse_feeds(spark, sf):
-    """Pages as feeds of markup: cards and headings where a page has them."""
-    return feeds.marked_up(table(spark, sf, "pages").select("url", F.lit("text/html").alias("content_type"), F.col("html").alias("content")))
+    """Subject lists, best sellers, charts, feeds, linked data, cards and editors' lists, each to the same items."""
+    k, name, brand = F.col("p_partkey"), F.col("p_name"), F.col("p_brand")
+    m = k % 7
+    item = lambda **c: F.struct(*[v.alias(n) for n, v in c.items()])
+    subject = F.to_json(item(works=F.array(item(title=name, first_publish_year=F.lit("1987"), authors=F.array(item(name=brand))))))
+    sellers = F.to_json(item(results=item(lists=F.array(item(list_name=F.lit("Fiction"), books=F.array(item(title=name)))))))
+    chart = F.to_json(item(feed=item(results=F.array(item(name=name, artistName=brand)))))
+    rss = F.concat(F.lit("<rss><channel><item><title>"), name, F.lit("</title><author_name>"), brand, F.lit("</author_name></item></channel></rss>"))
+    linked = F.concat(F.lit('<html><script type="application/ld+json">'), F.to_json(item(**{"@type": F.lit("Book"), "name": name, "author": item(name=brand), "datePublished": F.lit("1999-12-31")})), F.lit("</script></html>"))
+    card = F.concat(F.lit('<div><h3 class="book-title">'), name, F.lit('</h3><span class="author-name">by '), brand, F.lit("</span></div>"))
+    editor = F.concat(F.lit('<h3><a href="https://shop.example/b">'), name, F.lit("</a> by "), brand, F.lit(", translated by A. Other (May 3rd)</h3>"))
+    content = F.when(m == 0, subject).when(m == 1, sellers).when(m == 2, chart).when(m == 3, rss).when(m == 4, linked).when(m == 5, card).otherwise(editor)
+    kind = F.when(m <= 2, "application/json").when(m == 3, "application/rss+xml").when(m == 6, "text/html+editorial").otherwise("text/html")
+    pages = table(spark, sf, "part").select(F.concat(F.lit("https://list.example/2024/"), k.cast("string")).alias("url"), kind.alias("content_type"), content.alias("content"))
+    return feeds.parse(pages).select("url", "title", "author", F.col("release.date").cast("string").alias("released"))
+
+
+@query("""WITH f AS (SELECT ['to-read', 'currently-reading', 'other'][c_custkey % 3 + 1] AS shelf, c_name AS title, CASE WHEN c_custkey % 4 = 0 THEN 'Unknown author' ELSE c_mktsegment END AS author, CASE WHEN c_custkey % 5 <> 0 THEN 'i' END AS isbn FROM customer WHERE c_custkey % 2 = 0)
+    SELECT shelf, title, author, max(isbn) AS isbn FROM f WHERE shelf <> 'other' GROUP BY ALL UNION ALL SELECT 'other', c_name, c_mktsegment, 'old' FROM customer WHERE c_custkey % 3 = 2""")
+def shelves_replaced(spark, sf):
+    """Two shelves fetched, one failed; each item comes twice, once without its ISBN."""
+    k = F.col("c_custkey")
+    c = table(spark, sf, "customer").select(k, F.col("c_name").alias("title"), F.col("c_mktsegment").alias("author"), F.get(F.array(F.lit("to-read"), F.lit("currently-reading"), F.lit("other")), (k % 3).cast("int")).alias("shelf"))
+    none = F.lit(None).cast("string")
+    stored = c.select("shelf", "title", "author", F.lit("old").alias("isbn"), none.alias("added_at"))
+    item = lambda isbn: F.struct("title", F.when(k % 4 == 0, " ").otherwise(F.col("author")).alias("author"), isbn.alias("isbn"), none.alias("added_at"))
+    fetched = c.where(k % 2 == 0).groupBy("shelf").agg(F.flatten(F.collect_list(F.array(item(F.when(k % 5 != 0, "i")), item(none)))).alias("items")).withColumn("ok", F.col("shelf") != "other")
+    return feeds.shelves_replaced(stored, fetched).drop("added_at")

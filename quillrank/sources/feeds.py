@@ -121,6 +121,48 @@ def _cards(page: str) -> Iterator[dict]:
             yield {"title": plain(m[2]), "author": plain(m[4])}
 
 
+# How a list names its authors and translators, and the months of its dates.
+_BYLINE, _TRANSLATED = re.compile(r"\s+(?:edited\s+by|by)\s+", re.I), re.compile(r"(?:,|\s+and)\s+translated\s+by\s+", re.I)
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_DAY = re.compile(rf"\b({'|'.join(MONTHS)})\s+(\d{{1,2}})(?:st|nd|rd|th)?\b", re.I)
+_HEADING, _LINK = re.compile(r"<h([2-4])\b[^>]*>(.*?)</h\1>", re.S | re.I), re.compile(r"<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']+)[\"'][^>]*>(.*?)</a>", re.S | re.I)
+
+
+def plain_text(markup: str) -> str:
+    return " ".join(html.unescape(re.sub("<[^>]*>", " ", markup)).split())
+
+
+def editorial_items(page: str, url: str, own_hosts: tuple[str, ...] = ()) -> Iterator[dict]:
+    """Books of an editor's list: headings that link to shops and say by whom, the date in parentheses at the end.
+
+    Links to the list's own hosts are no books; a title cut over several links of one
+    target is one; with several books in a heading the words before the first belong to each.
+    """
+    year = re.search(r"\b(20\d{2})\b", url or "")
+    for heading in _HEADING.finditer(page):
+        links = [m for m in _LINK.finditer(heading[2]) if re.match("https?://", m[1], re.I) and re.sub(r"^https?://([^/?#:]*).*$", r"\1", m[1].lower(), flags=re.S).rstrip(".") not in own_hosts]
+        text = plain_text(heading[2])
+        by = _BYLINE.search(text)
+        if not links or not by:
+            continue
+        author, date = text[by.end() :], re.search(r"\s+\(([^()]*)\)\s*$", text[by.end() :])
+        if date:
+            author = author[: date.start()]
+        author = _TRANSLATED.split(author, maxsplit=1)[0].strip()
+        day = _DAY.search(date[1]) if date else None
+        released = f"{year[1]}-{MONTHS.index(day[1].lower()) + 1:02d}-{int(day[2]):02d}" if day and year else None
+        targets: list[list[str]] = []
+        for m in links:
+            if targets and targets[-1][0] == m[1]:
+                targets[-1][1] += " " + plain_text(m[2])
+            else:
+                targets.append([m[1], plain_text(m[2])])
+        before = plain_text(heading[2][: links[0].start()]) if len(targets) > 1 else ""
+        for link, title in targets:
+            if title and author:
+                yield {"title": f"{before} {title}".strip(), "author": author, "link": link, "released": released}
+
+
 #: Items that a page gives at most, as its site's list would show.
 MAX_ITEMS = 250
 
@@ -134,7 +176,7 @@ def marked_up(pages: DataFrame) -> DataFrame:
             out = []
             for url, kind, content in zip(pdf["url"], pdf["content_type"], pdf["content"], strict=True):
                 content = content or ""
-                items = list(_feed_entries(content)) if re.search("xml|rss|atom", kind or "") else list(_linked_books(content)) or list(_cards(content))
+                items = list(_feed_entries(content)) if re.search("xml|rss|atom", kind or "") else list(editorial_items(content, url)) if (kind or "").endswith("+editorial") else list(_linked_books(content)) or list(_cards(content))
                 out += [(url, n, *(x.get(c) for c in names)) for n, x in enumerate(items[:MAX_ITEMS]) if x.get("title")]
             yield pd.DataFrame(out, columns=["url", "at", *names])
 
@@ -180,6 +222,32 @@ def reading_history(lines: DataFrame) -> DataFrame:
     return lines.select(F.trim("Title").alias("title"), F.trim("Author").alias("author"), checked.alias("rating"), blank_to(F.col("Date Read"), F.col("Date Added")).alias("read_at"), isbn13(blank_to(code("ISBN13"), code("ISBN"))).alias("isbn"), shelf.alias("shelf")).where("title != '' and author != ''")
 
 
+# The shelves beside the one of finished books.
+SHELVES = ("to-read", "currently-reading")
+
+
+def shelf_url(read_url: Column, shelf: str) -> Column:
+    """The address of another shelf's feed, from that of the finished books."""
+    if shelf not in SHELVES:
+        raise ValueError(f"no such shelf: {shelf}")
+    base, query = F.regexp_extract(read_url, r"^([^?#]*)", 1), F.regexp_extract(read_url, r"\?([^#]*)", 1)
+    others = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike("^shelf(=|$)"))
+    return F.concat(base, F.lit("?"), F.array_join(F.concat(others, F.array(F.lit(f"shelf={shelf}"))), "&"))
+
+
+def shelves_replaced(stored: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Shelf items after a fetch: a shelf that was fetched is replaced whole, one whose fetch failed stays.
+
+    Items of one title and author are one, blanks filled. stored: shelf, title, author,
+    isbn, added_at; fetched: shelf, ok, items array of struct(title, author, isbn, added_at).
+    """
+    good = fetched.where("ok")
+    rows = good.select("shelf", F.posexplode("items").alias("_n", "i")).select("shelf", "_n", F.trim("i.title").alias("title"), blank_to(F.trim("i.author"), F.lit("Unknown author")).alias("author"), "i.isbn", "i.added_at").where("title != ''")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_n"))).alias(c)
+    one = rows.groupBy("shelf", "title", "author").agg(last("isbn"), last("added_at"))
+    return stored.join(good.select("shelf").distinct(), "shelf", "left_anti").select("shelf", "title", "author", "isbn", "added_at").unionByName(one)
+
+
 def write_json(report: DataFrame, path: str) -> None:
     """A report as one JSON object per row."""
     report.select(F.to_json(F.struct(*sorted(report.columns))).alias("value")).write.mode("overwrite").text(path)

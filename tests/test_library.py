@@ -359,3 +359,22 @@ def test_streams(spark, tmp_path):
         write(batch, epoch)
         write(batch, epoch)  # a retry changes nothing
     assert [r["label"] for r in spark.read.parquet(str(tmp_path / "out/v1")).collect()] == [0.75]
+
+
+def test_editorial_lists():
+    page = """<h2>News</h2><h3>The <a href="https://shop.example/1">First</a> and <a href="https://shop.example/2">Second</a> <a href="https://shop.example/2">Book</a> edited by A. Person and B. Other (October 7th)</h3>
+    <h3><a href="https://own.example/x">Own</a> by Us</h3><h4><a href="https://shop.example/3">No byline</a></h4><h4><a href="https://shop.example/4">Last</a> by C. D., translated by E. F.</h4>"""
+    got = list(feeds.editorial_items(page, "https://own.example/2023/list", ("own.example",)))
+    assert got == [
+        {"title": "The First", "author": "A. Person and B. Other", "link": "https://shop.example/1", "released": "2023-10-07"},
+        {"title": "The Second Book", "author": "A. Person and B. Other", "link": "https://shop.example/2", "released": "2023-10-07"},
+        {"title": "Last", "author": "C. D.", "link": "https://shop.example/4", "released": None},
+    ]
+
+
+def test_shelf_addresses(spark):
+    one = lambda u, s: spark.range(1).select(feeds.shelf_url(F.lit(u), s).alias("u")).first()["u"]
+    assert one("https://a.b/rss/1?key=k&shelf=read", "to-read") == "https://a.b/rss/1?key=k&shelf=to-read"
+    assert one("https://a.b/rss/1", "currently-reading") == "https://a.b/rss/1?shelf=currently-reading"
+    with pytest.raises(ValueError):
+        feeds.shelf_url(F.lit("x"), "read")
