@@ -229,8 +229,9 @@ def block_pairs(members: DataFrame, by: str, most: int) -> DataFrame:
     Adds block, lo and hi: rows of one (``by``, lo, hi) are compared in one task. Any two
     members of a group meet in exactly one of these, whatever the size of the group.
     """
-    sizes = members.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks"))
-    cast = members.join(sizes, by).withColumn("block", F.pmod(F.xxhash64("id", F.lit(by)), F.col("blocks")).cast("int"))
+    sizes = cut(members.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).withColumn("blocks", F.ceil(F.col("_n") / most).cast("int")))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    cast = join_hot(members, sizes, [by], "_n", total).withColumn("block", F.pmod(F.xxhash64("id", F.lit(by)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return cast.withColumn("other", other).select(*members.columns, "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
