@@ -60,7 +60,28 @@ QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op3_quality_rules, op4_
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_BLANK = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+_BOILERPLATE = quality_rules.BOILERPLATE.replace("'", "''")
+
+
+def _count_of(text: str, characters: str) -> str:
+    return f"(length({text}) - length(translate({text}, '{characters}', '')))"
+
+
 ORACLES = {
+    "op3_quality_rules": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: trim(x, {_BLANK}) <> '') AS ls FROM d),
+        h AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2),
+        r AS (SELECT doc_id, i FROM h QUALIFY count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) > 1),
+        n AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+        l AS (SELECT doc_id, line, trim(line, {_BLANK}) AS b FROM (SELECT doc_id, unnest(ls) AS line FROM w)),
+        c AS (SELECT *, length(b) - length(replace(b, ' ', '')) + 1 AS words, {_count_of("b", "#*$%&<>")} AS symbols, {_count_of("b", "|")} AS pipes, {_count_of("b", "!")} AS shouts FROM l),
+        f AS (SELECT doc_id, count(*) AS failed, sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g'))) AS lost FROM c
+              WHERE symbols > 0.5 * words OR (pipes > 0.25 * words AND pipes >= 2) OR (shouts > 0.68 * words AND words >= 3) OR (words >= 20 AND len(list_distinct(string_split(b, ' '))) < 0.2 * words) OR regexp_matches(b, '{_BOILERPLATE}') GROUP BY doc_id),
+        a AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, {_count_of("t", quality_rules.SYMBOLS)} AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+                     len(ls) AS n_lines, coalesce(failed, 0) AS n_failed_lines, CAST(coalesce(lost, 0) AS BIGINT) AS lost_chars FROM w LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id))
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars <= 0.5 * word_chars AS kept FROM a""",
     "op8_near_dedup": f"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
         s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
