@@ -13,7 +13,7 @@ def plain(v):
 @pytest.mark.parametrize("name", ORACLES)
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = QUERIES[name](spark, sf)
     rel = con.execute(ORACLES[name])
