@@ -31,6 +31,7 @@ import struct
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -134,7 +135,7 @@ class PieceModel:
         unknown = trainer.get(44, " ⁇ ".encode())
         shown = {_CONTROL: lambda n: b"", _UNK: lambda n: unknown, _BYTE: lambda n: bytes([int(n[3:5], 16)]), _NORMAL: lambda n: n.replace(SPACE, " ").encode()}
         self.surface = [shown[k](n) for n, k in zip(names, kinds, strict=True)]
-        self.kinds = kinds
+        self.kinds, self.controls = kinds, [i for i, k in enumerate(kinds) if k == _CONTROL]
         self.marked = [k == _NORMAL and n.startswith(SPACE) for n, k in zip(names, kinds, strict=True)]
         self.cut, self.cut_marks = self._chunk_patterns()
         self._pair_tables()
@@ -379,23 +380,27 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: marks are spaces, the first mark goes, bytes that make no character are U+FFFD each."""
-        shown = b"".join(map(self.surface.__getitem__, ids))
-        if self.mark_first or self.trim:
+        runs = [ids]
+        if any(c in ids[1:-1] for c in self.controls):  # bytes on two sides of a control id are no character together
+            runs = [list(run) for control, run in groupby(ids, lambda i: self.kinds[i] == _CONTROL) if not control]
+        shown = [b"".join(map(self.surface.__getitem__, run)) for run in runs]
+        if runs and (self.mark_first or self.trim):
             strip = 0
-            for i in ids:
+            for i in runs[0]:
                 if self.kinds[i] == _CONTROL:
                     continue
                 strip += self.marked[i]
                 if not self.trim or self.surface[i] != b" ":
                     break
-            shown = shown[strip:]
-        try:
-            return shown.decode()
-        except UnicodeDecodeError:
-            return self._mended(shown)
+            shown[0] = shown[0][strip:]
+        return "".join(map(self._mended, shown))
 
     @staticmethod
     def _mended(shown: bytes) -> str:
+        try:
+            return shown.decode()
+        except UnicodeDecodeError:
+            pass
         out, i = [], 0
         while i < len(shown):
             one = _CHARACTER.match(shown, i)

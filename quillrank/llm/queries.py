@@ -69,7 +69,8 @@ def piece_model_path() -> str:
 def op12_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digests the contract asks for, and the last source byte that the pieces' spans reach."""
     rows = piece_tokens.encoded(table(spark, sf_dir, "documents"), piece_model_path())
-    reached = F.conv(F.hex(F.reverse(F.substring("ends", -4, 4))), 16, 10).cast("long")
+    last = F.hex(F.substring("ends", -4, 4))
+    reached = F.conv(F.concat(*[F.substring(last, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("long")
     return rows.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), reached.alias("bytes_spanned"))
 
 
