@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.functions.vectors import doubles, unit
@@ -33,7 +33,7 @@ _NEAR = "id long, read_id long, sim double"
 PAIRS = 1 << 20
 
 
-def _best(sims: np.ndarray, k: int) -> np.ndarray:
+def best_of_each(sims: np.ndarray, k: int) -> np.ndarray:
     """Marks each row's ``k`` greatest values; of ties the first, as reads stand in order of id."""
     if sims.shape[1] <= k:
         return np.ones(sims.shape, bool)
@@ -90,7 +90,7 @@ def near_reads(history: DataFrame, candidates: DataFrame, leave_one_out: bool =
                     want = np.zeros(sims.shape, bool)
                     for at, k in groups:
                         if len(at):
-                            want[:, at] |= _best(sims[:, at], k)
+                            want[:, at] |= best_of_each(sims[:, at], k)
                     i, j = np.nonzero(want & np.isfinite(sims))
                     yield pa.RecordBatch.from_arrays([pa.array(cid[a + i]), pa.array(ids[j]), pa.array(sims[i, j])], ["id", "read_id", "sim"])
 
@@ -105,17 +105,8 @@ def history_of(reads: DataFrame) -> DataFrame:
     return rated.withColumn("_n", F.row_number().over(Window.partitionBy("identity").orderBy("id"))).where("_n = 1").drop("_n")
 
 
-def score_candidates(reads: DataFrame, candidates: DataFrame, leave_one_out: bool = False, ess_prior: float = ESS_PRIOR, author_prior: float = AUTHOR_PRIOR, author_weight: float = AUTHOR_WEIGHT, disliked: int = 1) -> DataFrame:
-    """id, raw score, served score (one decimal), and the terms.
-
-    The studied variants differ by a parameter: no prior on the kernel's sample size
-    (``ess_prior`` 0), a stronger author, a penalty by the mean of several disliked reads.
-
-    reads: id, identity, author, rating, day, vec; candidates: id, identity, author, vec,
-    source_weight, confidence.
-    """
-    history = history_of(reads)
-    near = near_reads(history, candidates, leave_one_out, disliked=disliked).join(history.select(F.col("id").alias("read_id"), "rating", "day"), "read_id")
+def neighbour_terms(near: DataFrame, disliked: int = 1) -> DataFrame:
+    """What a score takes from the neighbours of each id: one row per id. near: id, read_id, sim, rating, day."""
     nearest = Window.partitionBy("id").orderBy(F.col("sim").desc(), "read_id")
     liked = Window.partitionBy("id", F.col("rating") >= LIKED).orderBy(F.col("sim").desc(), "read_id")
     near = near.withColumn("n", F.row_number().over(nearest)).withColumn("m", F.row_number().over(liked))
@@ -134,12 +125,42 @@ def score_candidates(reads: DataFrame, candidates: DataFrame, leave_one_out: boo
         penalty = F.when(bad & (F.col("b") <= disliked), F.greatest(F.col("sim"), F.lit(0.0)) + 1e-4)
         down = F.sum(penalty * F.col("sim")) / F.sum(penalty)
     mean = lambda w: F.sum(w * F.col("rating")) / F.sum(w)
-    terms = near.groupBy("id").agg(
+    return near.groupBy("id").agg(
         (F.sum(up * F.col("sim")) / F.sum(up)).alias("up"),
         down.alias("down"),
         mean(local).alias("local"), mean(F.col("w")).alias("kernel"), mean(F.col("rw")).alias("recent"),
         (F.pow(F.sum("w"), 2) / F.sum(F.col("w") * F.col("w"))).alias("ess"), F.max("sim").alias("best"),
+        F.max(F.when(F.col("rating") >= LIKED, F.col("sim"))).alias("up_max"), F.max(F.when(bad, F.col("sim"))).alias("down_max"),
     )
+
+
+def final_score(ess_prior: float = ESS_PRIOR, author_prior: float = AUTHOR_PRIOR, author_weight: float = AUTHOR_WEIGHT) -> tuple[Column, Column, Column]:
+    """The raw and served score and the kernel's sample size, of rows with terms, history count hn, mean, the author's count an and sum as_, source_weight and confidence."""
+    some = F.coalesce(F.col("best") > 0, F.lit(False))
+    ramp = F.least(F.lit(1.0), F.col("hn") / FULL_HISTORY)
+    kernel_, recent_ = F.when(some, F.col("kernel")).otherwise(F.col("mean")), F.when(some, F.col("recent")).otherwise(F.col("mean"))
+    ess = F.when(some, F.col("ess")).otherwise(0.0)
+    author = F.when(F.coalesce("an", F.lit(0)) > 0, (F.col("as_") + author_prior * F.col("mean")) / (F.col("an") + author_prior) - F.col("mean")).otherwise(0.0)
+    score = (
+        42 + 48 * F.coalesce("up", F.lit(0.25)) - 24 * F.coalesce("down", F.lit(0.0)) + 3.5 * (F.when(some, F.col("local")).otherwise(3.0) - 3) + author_weight * author
+        + KERNEL_PER_STAR * ramp * (kernel_ - F.col("mean")) * (ess / (ess + ess_prior) if ess_prior else 1.0) + RECENCY_PER_STAR * ramp * (recent_ - kernel_) + 5 * (F.coalesce("source_weight", F.lit(1.0)) - 1)
+    )
+    held = F.least(F.lit(100.0), F.greatest(F.lit(0.0), 50 + F.coalesce("confidence", F.lit(1.0)) * (score - 50)))
+    return F.round(held, 6).alias("raw_score"), F.round(F.round(held, 6), 1).alias("score"), F.round(ess, 4).alias("ess")
+
+
+def score_candidates(reads: DataFrame, candidates: DataFrame, leave_one_out: bool = False, ess_prior: float = ESS_PRIOR, author_prior: float = AUTHOR_PRIOR, author_weight: float = AUTHOR_WEIGHT, disliked: int = 1) -> DataFrame:
+    """id, raw score, served score (one decimal), and the terms.
+
+    The studied variants differ by a parameter: no prior on the kernel's sample size
+    (``ess_prior`` 0), a stronger author, a penalty by the mean of several disliked reads.
+
+    reads: id, identity, author, rating, day, vec; candidates: id, identity, author, vec,
+    source_weight, confidence.
+    """
+    history = history_of(reads)
+    near = near_reads(history, candidates, leave_one_out, disliked=disliked).join(history.select(F.col("id").alias("read_id"), "rating", "day"), "read_id")
+    terms = neighbour_terms(near, disliked)
     whole = history.agg(F.count(F.lit(1)).alias("hn"), F.coalesce(F.sum("rating"), F.lit(0.0)).alias("hs"))
     authors = history.groupBy(F.col("author").alias("ha")).agg(F.count(F.lit(1)).alias("an"), F.sum("rating").alias("as_"))
     own = history.select(F.col("identity").alias("hi"), F.col("rating").alias("own"), F.col("author").alias("own_author"))
@@ -151,14 +172,4 @@ def score_candidates(reads: DataFrame, candidates: DataFrame, leave_one_out: boo
         c = c.withColumn("as_", F.col("as_") - gone_a * F.coalesce("own", F.lit(0.0))).withColumn("an", F.col("an") - gone_a)
     mean_all = F.when(F.col("hn") > 0, F.col("hs") / F.col("hn")).otherwise(3.0)
     c = c.withColumn("mean", mean_all)
-    some = F.coalesce(F.col("best") > 0, F.lit(False))
-    ramp = F.least(F.lit(1.0), F.col("hn") / FULL_HISTORY)
-    kernel_, recent_ = F.when(some, F.col("kernel")).otherwise(F.col("mean")), F.when(some, F.col("recent")).otherwise(F.col("mean"))
-    ess = F.when(some, F.col("ess")).otherwise(0.0)
-    author = F.when(F.coalesce("an", F.lit(0)) > 0, (F.col("as_") + author_prior * F.col("mean")) / (F.col("an") + author_prior) - F.col("mean")).otherwise(0.0)
-    score = (
-        42 + 48 * F.coalesce("up", F.lit(0.25)) - 24 * F.coalesce("down", F.lit(0.0)) + 3.5 * (F.when(some, F.col("local")).otherwise(3.0) - 3) + author_weight * author
-        + KERNEL_PER_STAR * ramp * (kernel_ - F.col("mean")) * (ess / (ess + ess_prior) if ess_prior else 1.0) + RECENCY_PER_STAR * ramp * (recent_ - kernel_) + 5 * (F.coalesce("source_weight", F.lit(1.0)) - 1)
-    )
-    held = F.least(F.lit(100.0), F.greatest(F.lit(0.0), 50 + F.coalesce("confidence", F.lit(1.0)) * (score - 50)))
-    return c.select("id", F.round(held, 6).alias("raw_score"), F.round(F.round(held, 6), 1).alias("score"), F.round(ess, 4).alias("ess"))
+    return c.select("id", *final_score(ess_prior, author_prior, author_weight))
