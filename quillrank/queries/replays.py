@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillrank.plans import replay
+from quillrank.plans import era, ranking, replay
 from quillrank.queries.registry import READS, query, reads, rounded
 
 _REPLAY = f"""WITH {READS},
@@ -29,3 +29,16 @@ _FEATURES = ", ".join(f"CASE WHEN hn >= 100 THEN round({c}, 6) END AS {c}" for c
 def historical_replay(spark, sf):
     """Every read's score and features by the reads of strictly earlier days."""
     return rounded(replay.replay(reads(spark, sf)).withColumn("day", F.col("day").cast("string")))
+
+
+def _left_out(history, queries):
+    """The library's scorer as a callback: each query without its own identity."""
+    own = queries.withColumns({"source_weight": F.lit(1.0), "confidence": F.lit(1.0)})
+    return ranking.score_candidates(history, own, leave_one_out=True)
+
+
+@query()
+def era_fit(spark, sf):
+    """The gated era correction over all reads; scores come from the whole history before each block."""
+    rows = reads(spark, sf).withColumn("year", (F.lit(1930) + F.col("id") % 90).cast("int"))
+    return rounded(era.fit_era(rows, _left_out).rows(spark))
