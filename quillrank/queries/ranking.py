@@ -153,14 +153,6 @@ def kmeans_interests(spark, sf):
     return KMeans(k=5, seed=3).fit(v).transform(v).select("id", F.col("prediction").alias("interest"))
 
 
-@query()
-def ordinal_fit(spark, sf):
-    from quillrank.plans.evaluation import ordinal_fit as fit
-
-    r = reads(spark, sf).select(F.lit("all").alias("reader"), F.col("rating").cast("int").alias("rating"), *[F.col("vec")[k].cast("double").alias(f"x{k}") for k in range(4)])
-    return fit(r, [f"x{k}" for k in range(4)], "rating", "reader")
-
-
 @query()
 def hashed_text_vectors(spark, sf):
     """768 buckets of one- and two-word grams without stop words, unit length."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillrank.plans import era, ranking, replay
+from quillrank.plans import era, fits, ranking, replay
 from quillrank.queries.registry import READS, query, reads, rounded
 
 _REPLAY = f"""WITH {READS},
@@ -42,3 +42,41 @@ def era_fit(spark, sf):
     """The gated era correction over all reads; scores come from the whole history before each block."""
     rows = reads(spark, sf).withColumn("year", (F.lit(1930) + F.col("id") % 90).cast("int"))
     return rounded(era.fit_era(rows, _left_out).rows(spark))
+
+
+def _rated(spark, sf):
+    """Reads in four parts of whole days, eight features and a score that knows a little."""
+    r = reads(spark, sf).select("id", "day", F.col("rating").alias("y"), F.slice("vec", 1, 8).alias("x"), F.round(50 + 40 * F.col("vec")[8].cast("double") + 2 * F.col("rating"), 1).alias("current"))
+    return fits.prepared(fits.time_folds(r, "day", 3))
+
+
+@query()
+def ordinal_fit(spark, sf):
+    """Proportional odds of all ratings, gradients summed over tasks."""
+    m = fits.ordinal(_rated(spark, sf))[0]
+    return spark.createDataFrame([("all", m.beta.tolist(), m.thresholds.tolist(), m.fit.n)], "reader string, weights array<double>, cuts array<double>, n long")
+
+
+@query()
+def pairwise_fit(spark, sf):
+    """The pairwise ranker for each penalty, without pairs."""
+    shape = "c double, weights array<double>, pairs double, loss double, cap double"
+    return spark.createDataFrame([(m.fit.c, m.beta.tolist(), m.pairs, m.loss, m.cap) for m in fits.pairwise(_rated(spark, sf))], shape)
+
+
+@query()
+def tail_head_scores(spark, sf):
+    """Every read's served score by heads fitted on the first three parts of the days."""
+    data = _rated(spark, sf)
+    return fits.scored(data.rows, fits.tail_heads(data, (1.0,), (3,))).drop("fit")
+
+
+@query()
+def pairwise_selection(spark, sf):
+    """The pairwise penalty chosen on three forward folds, all fits in the same jobs."""
+    return rounded(fits.out_of_fold(_rated(spark, sf), fits.pairwise, folds=(1, 2, 3))[1])
+
+
+@query()
+def tail_head_selection(spark, sf):
+    return rounded(fits.out_of_fold(_rated(spark, sf), fits.tail_heads, folds=(1, 2, 3))[1])
