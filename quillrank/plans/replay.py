@@ -8,8 +8,14 @@ blocks. The number of meetings is half the square of the number of blocks: as-of
 neighbours are exact, so every read has to meet every earlier one. What doesn't need
 neighbours (counts, means, medians, an author's record) is a running sum over days.
 
+Vectors are dense (``vec``) or sparse (``terms``, ``weights``, of unit length). Sparse
+blocks meet by an inverted index of one of them; terms that more than a HOT_SHARE of its
+reads have are columns of a small dense product instead, so no term, however common,
+lists its pairs, and none is the key of a shuffle. Sparse cosines are rounded to twelve
+digits, so that equal texts tie whatever the order of their sums.
+
 Reads without a day, without a rating from 1 to 5 or without a valid vector are no
-records; of reads with one identity the first counts, by day and then id. A target with
+records (a sparse one may be empty, like nothing); of reads with one identity the first counts, by day and then id. A target with
 less than ``min_history`` earlier reads has null scores and features.
 """
 
@@ -32,12 +38,15 @@ MIN_HISTORY = 100
 BLOCK_ROWS = 8_192
 #: The interpretable parts of a score, in the order the studies use.
 FEATURES = ("pos_top", "pos_max", "neg_max", "neg_top", "local_shift", "kernel_shift", "recent_shift", "author_shift", "mean_shift", "log_count")
+#: Share of a block's reads above which a term is a dense column.
+HOT_SHARE = 1 / 32
 _NEAR = "id long, read_id long, sim double, rating double, day date"
 
 
 def records(reads: DataFrame) -> DataFrame:
     """The reads that a replay can use. reads: id, identity, author, rating, day, vec."""
-    usable = reads.where(F.col("rating").between(1, 5) & F.col("day").isNotNull() & valid(F.col("vec")))
+    fine = valid(F.col("vec")) if "vec" in reads.columns else valid(F.col("weights")) & (F.size("terms") == F.size("weights"))
+    usable = reads.where(F.col("rating").between(1, 5) & F.col("day").isNotNull() & fine)
     return first_per(usable, ["identity"], [F.col("day"), F.col("id")])
 
 
@@ -49,36 +58,83 @@ def time_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
     return rows.join(days, "day").withColumn("part", F.pmod(F.xxhash64("id"), "_parts").cast("int")).drop("_parts")
 
 
-_BLOCK = "span int, part int, first date, last date, ids binary, ratings binary, days binary, matrix binary"
+_BLOCK = "span int, part int, first date, last date, ids binary, ratings binary, days binary, at binary, terms binary, matrix binary"
 
 
 def _pack(rows: pa.Table) -> pa.Table:
     rows = rows.sort_by("id").combine_chunks()
     days = rows.column("day").cast(pa.int32()).to_numpy()
-    vectors = rows.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    made = [rows.column("id").to_numpy().tobytes(), rows.column("rating").to_numpy().tobytes(), days.tobytes(), vectors.tobytes()]
+    values, sizes = rows.column("vec").combine_chunks(), np.diff(rows.column("vec").combine_chunks().offsets.to_numpy())
+    terms = rows.column("terms").combine_chunks().flatten().to_numpy(zero_copy_only=False) if "terms" in rows.column_names else np.zeros(0, np.int64)
+    at = np.append(0, np.cumsum(sizes)).astype(np.int64)
+    made = [rows.column("id").to_numpy(), rows.column("rating").to_numpy(), days, at, terms, values.flatten().to_numpy(zero_copy_only=False)]
     ends = pa.array([days.min(), days.max()], pa.int32()).cast(pa.date32())
-    return pa.table([rows.column("span").slice(0, 1), rows.column("part").slice(0, 1), ends.slice(0, 1), ends.slice(1, 1), *([x] for x in made)], names=[c.split()[0] for c in _BLOCK.split(", ")])
+    return pa.table([rows.column("span").slice(0, 1), rows.column("part").slice(0, 1), ends.slice(0, 1), ends.slice(1, 1), *([x.tobytes()] for x in made)], names=[c.split()[0] for c in _BLOCK.split(", ")])
 
 
 def blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per block of at most about twice ``block_rows`` reads, packed. rows: id, rating, day, vec."""
-    dealt = time_blocks(rows.select(F.col("id").cast("long").alias("id"), F.col("rating").cast("double").alias("rating"), "day", unit(doubles(F.col("vec"))).alias("vec")), block_rows)
+    """One row per block of at most about twice ``block_rows`` reads, packed. rows: id, rating, day, and vec or terms and weights."""
+    vector = [unit(doubles(F.col("vec"))).alias("vec")] if "vec" in rows.columns else [F.col("terms").cast("array<long>").alias("terms"), doubles(F.col("weights")).alias("vec")]
+    dealt = time_blocks(rows.select(F.col("id").cast("long").alias("id"), F.col("rating").cast("double").alias("rating"), "day", *vector), block_rows)
     return dealt.groupBy("span", "part").applyInArrow(_pack, _BLOCK)
 
 
-def _meet(disliked: int):
+class _Dense:
+    """Products with the rows of a block."""
+
+    def __init__(self, block: dict, of: str = ""):
+        self.rows = np.frombuffer(block[f"{of}matrix"]).reshape(len(np.frombuffer(block[f"{of}ids"], np.int64)), -1)
+
+    def products(self, queries: _Dense, a: int, b: int) -> np.ndarray:
+        return queries.rows[a:b] @ self.rows.T
+
+
+class _Sparse:
+    """Products with the rows of a block by an inverted index of its terms."""
+
+    def __init__(self, block: dict, of: str = ""):
+        self.at, self.terms = (np.frombuffer(block[f"{of}{c}"], np.int64) for c in ("at", "terms"))
+        self.weights, self.n = np.frombuffer(block[f"{of}matrix"]), len(self.at) - 1
+        self.row = np.repeat(np.arange(self.n), np.diff(self.at))
+        if not of:
+            self.known, term = np.unique(self.terms, return_inverse=True)
+            self.count = np.bincount(term, minlength=len(self.known))
+            hot = self.count > max(1, self.n * HOT_SHARE)
+            self.column = np.where(hot, np.cumsum(hot) - 1, -1)
+            self.dense = np.zeros((self.n, int(hot.sum())))
+            on = hot[term]
+            self.dense[self.row[on], self.column[term[on]]] = self.weights[on]
+            order = np.argsort(term, kind="stable")
+            self.posted_row, self.posted_weight, self.start = self.row[order], self.weights[order], np.cumsum(self.count) - self.count
+
+    def products(self, queries: _Sparse, a: int, b: int) -> np.ndarray:
+        i, j = queries.at[a], queries.at[b]
+        terms, weights, row = queries.terms[i:j], queries.weights[i:j], queries.row[i:j] - a
+        at = np.minimum(np.searchsorted(self.known, terms), max(0, len(self.known) - 1))
+        met = self.known[at] == terms if len(self.known) else np.zeros(len(terms), bool)
+        at, weights, row = at[met], weights[met], row[met]
+        on = self.column[at] >= 0
+        dense = np.zeros((b - a, self.dense.shape[1]))
+        dense[row[on], self.column[at[on]]] = weights[on]
+        at, weights, row = at[~on], weights[~on], row[~on]
+        n = self.count[at]
+        pick = np.repeat(self.start[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        flat = np.repeat(row, n) * self.n + self.posted_row[pick]
+        rare = np.bincount(flat, np.repeat(weights, n) * self.posted_weight[pick], minlength=(b - a) * self.n)
+        return np.round(dense @ self.dense.T + rare.reshape(b - a, self.n), 12)
+
+
+def _meet(disliked: int, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 ids, rids = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "ids"))
                 qdays, days = (np.frombuffer(r[c], np.int32) for c in ("q_days", "days"))
-                ratings = np.frombuffer(r["ratings"])
-                q, h = (np.frombuffer(r[c]).reshape(n, -1) for c, n in (("q_matrix", len(ids)), ("matrix", len(rids))))
+                ratings, queries, block = np.frombuffer(r["ratings"]), kind(r, "q_"), kind(r)
                 groups = [(np.flatnonzero(mask), k) for mask, k in ((ratings > 0, ranking.KERNEL_NEIGHBOURS), (ratings >= ranking.LIKED, ranking.LOCAL_NEIGHBOURS), (ratings <= ranking.DISLIKED, disliked))]
                 step = max(1, ranking.PAIRS // len(rids))
                 for a in range(0, len(ids), step):
-                    sims = q[a : a + step] @ h.T
+                    sims = block.products(queries, a, min(a + step, len(ids)))
                     sims[days >= qdays[a : a + step, None]] = -np.inf
                     want = np.zeros(sims.shape, bool)
                     for at, k in groups:
@@ -91,11 +147,11 @@ def _meet(disliked: int):
 
 
 def near_before(rows: DataFrame, disliked: int = ranking.LOCAL_NEIGHBOURS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, read_id, sim, rating, day): for each row those of earlier days that a term can need. rows: id, rating, day, vec."""
+    """(id, read_id, sim, rating, day): for each row those of earlier days that a term can need. rows: id, rating, day, and vec or terms and weights."""
     packed = cut(blocks(rows, block_rows))
-    targets = packed.select(F.explode(F.sequence(F.lit(0), "span")).alias("span"), F.col("last").alias("q_last"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "days", "matrix")])
+    targets = packed.select(F.explode(F.sequence(F.lit(0), "span")).alias("span"), F.col("last").alias("q_last"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "days", "at", "terms", "matrix")])
     met = targets.join(packed, "span").where("first < q_last")
-    return met.select("q_ids", "q_days", "q_matrix", "ids", "ratings", "days", "matrix").mapInArrow(_meet(disliked), _NEAR)
+    return met.drop("span", "part", "first", "last", "q_last").mapInArrow(_meet(disliked, _Dense if "vec" in rows.columns else _Sparse), _NEAR)
 
 
 def known_before(rows: DataFrame) -> DataFrame:
@@ -119,8 +175,8 @@ def author_before(rows: DataFrame) -> DataFrame:
 def replay(reads: DataFrame, min_history: int = MIN_HISTORY, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Every record with its scores and features as of the day it was read, and what a mean or median of earlier ratings would say.
 
-    reads: id, identity, author, rating, day, vec, and source_weight and confidence where
-    they are known. ``score`` is the served score, ``earlier`` that of the first scorer.
+    reads: id, identity, author, rating, day, vec or terms and weights, and source_weight
+    and confidence where they are known. ``score`` is the served score, ``earlier`` that of the first scorer.
     """
     rows = cut(records(reads))
     for name in ("source_weight", "confidence"):

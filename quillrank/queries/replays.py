@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillrank.plans import era, fits, ranking, replay
+from quillrank.plans import era, fits, ranking, replay, studies
 from quillrank.queries.registry import READS, query, reads, rounded
-
-_REPLAY = f"""WITH {READS},
-    sims AS (SELECT t.id, r.id AS read_id, r.rating, r.day, list_cosine_similarity(t.vec, r.vec) AS sim FROM reads t JOIN reads r ON r.day < t.day),
+from quillrank.session import table
+
+_DENSE = f"WITH {READS}, sims AS (SELECT t.id, r.id AS read_id, r.rating, r.day, list_cosine_similarity(t.vec, r.vec) AS sim FROM reads t JOIN reads r ON r.day < t.day),"
+_SPARSE = """WITH reads AS (SELECT p_partkey AS id, p_brand AS author, CAST(1 + p_size % 5 AS DOUBLE) AS rating, DATE '2020-01-01' + CAST(p_partkey % 365 AS INT) AS day, p_name FROM part),
+    k AS (SELECT id, list_filter(string_split(regexp_replace(lower(p_name), '[^\\pL\\pN_]+', ' ', 'g'), ' '), lambda x: len(x) >= 2) AS ws FROM reads),
+    g AS (SELECT id, unnest(list_concat(list_transform(ws, lambda x: 'w:' || x), list_transform(range(1, len(ws)), lambda i: 'w:' || ws[i] || ' ' || ws[i + 1]), flatten(list_transform(ws, lambda x: flatten(list_transform([3, 4, 5], lambda n: list_transform(generate_series(1, greatest(len(x) + 3 - n, 1)), lambda i: 'c:' || substr(' ' || x || ' ', i, n)))))))) AS term FROM k),
+    c AS (SELECT id, term, count(*) AS tf FROM g GROUP BY 1, 2), d AS (SELECT term, ln((1 + (SELECT count(*) FROM part WHERE p_partkey % 4 = 0)) / (1 + count(*))) + 1 AS idf FROM c WHERE id % 4 = 0 GROUP BY 1),
+    y AS (SELECT id, term, tf * idf AS v FROM c JOIN d USING (term)), u AS (SELECT id, term, v / sqrt(sum(v * v) OVER (PARTITION BY id, term[1])) AS v FROM y), q AS (SELECT id, term, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM u),
+    p AS (SELECT a.id, b.id AS read_id, sum(a.v * b.v) AS sim FROM q a JOIN q b USING (term) GROUP BY 1, 2),
+    sims AS (SELECT t.id, r.id AS read_id, r.rating, r.day, round(coalesce(sim, 0), 12) AS sim FROM reads t JOIN reads r ON r.day < t.day LEFT JOIN p ON p.id = t.id AND p.read_id = r.id),"""
+_REPLAY = """
     n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, read_id) AS n, row_number() OVER (PARTITION BY id, rating >= 4 ORDER BY sim DESC, read_id) AS m, row_number() OVER (PARTITION BY id, rating <= 2 ORDER BY sim DESC, read_id) AS b FROM sims),
     w AS (SELECT *, greatest(sim, 0) + 1e-4 AS tw, CASE WHEN n <= 40 THEN pow(greatest(sim, 0) + 1e-8, 8) END AS w, CASE WHEN n <= 40 THEN (max(CASE WHEN n <= 40 THEN day END) OVER (PARTITION BY id) - day) / 365.25 END AS age FROM n),
     t AS (SELECT id, sum(tw * sim) FILTER (rating >= 4 AND m <= 5) / sum(tw) FILTER (rating >= 4 AND m <= 5) AS up, max(sim) FILTER (rating >= 4) AS up_max, max(sim) FILTER (rating <= 2) AS down,
@@ -24,13 +32,26 @@ _REPLAY = f"""WITH {READS},
 _FEATURES = ", ".join(f"CASE WHEN hn >= 100 THEN round({c}, 6) END AS {c}" for c in replay.FEATURES[:8])
 
 
-@query(f"""{_REPLAY} SELECT id, CAST(day AS VARCHAR) AS day, rating, hn AS history, CASE WHEN hn >= 100 THEN round(raw, 6) END AS raw_score, CASE WHEN hn >= 100 THEN round(round(raw, 6), 1) END AS score, CASE WHEN hn >= 100 THEN round(old, 6) END AS earlier,
-    CASE WHEN hn >= 100 THEN round(mean, 6) END AS prior_mean, CASE WHEN hn >= 100 THEN med END AS prior_median, {_FEATURES}, CASE WHEN hn >= 100 THEN round(mean - 3, 6) END AS mean_shift, CASE WHEN hn >= 100 THEN round(ln(1 + hn), 6) END AS log_count FROM x""")
+_SCORED = f"""{_REPLAY} SELECT id, CAST(day AS VARCHAR) AS day, rating, hn AS history, CASE WHEN hn >= 100 THEN round(raw, 6) END AS raw_score, CASE WHEN hn >= 100 THEN round(round(raw, 6), 1) END AS score, CASE WHEN hn >= 100 THEN round(old, 6) END AS earlier,
+    CASE WHEN hn >= 100 THEN round(mean, 6) END AS prior_mean, CASE WHEN hn >= 100 THEN med END AS prior_median, {_FEATURES}, CASE WHEN hn >= 100 THEN round(mean - 3, 6) END AS mean_shift, CASE WHEN hn >= 100 THEN round(ln(1 + hn), 6) END AS log_count FROM x"""
+
+
+@query(_DENSE + _SCORED)
 def historical_replay(spark, sf):
     """Every read's score and features by the reads of strictly earlier days."""
     return rounded(replay.replay(reads(spark, sf)).withColumn("day", F.col("day").cast("string")))
 
 
+@query(_SPARSE + _SCORED)
+def sparse_replay(spark, sf):
+    """The same scores and features from TF-IDF cosines of names, weights fitted on a quarter of them."""
+    p = table(spark, sf, "part").withColumn("id", F.col("p_partkey"))
+    weights = studies.tfidf(p, "id", "p_name", F.col("id") % 4 == 0).groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("term"), "weight")).alias("v"))
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 365).cast("int"))
+    rows = p.join(weights, "id").select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("identity"), F.col("p_brand").alias("author"), (1 + F.col("p_size") % 5).cast("double").alias("rating"), day.alias("day"), F.col("v.term").alias("terms"), F.col("v.weight").alias("weights"))
+    return rounded(replay.replay(rows).withColumn("day", F.col("day").cast("string")))
+
+
 def _left_out(history, queries):
     """The library's scorer as a callback: each query without its own identity."""
     own = queries.withColumns({"source_weight": F.lit(1.0), "confidence": F.lit(1.0)})

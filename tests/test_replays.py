@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillrank.plans import era, ranking, replay
 from quillrank.queries.registry import reads
+from quillrank.session import table
 
 READ = "id long, identity string, author string, rating double, day date, vec array<double>"
 
@@ -200,3 +201,30 @@ def test_era_samples_a_spread_of_a_long_history(spark, sf):
     few = era._sample(reads(spark, sf), 250, 128)
     every = sorted((r["day"], r["id"]) for r in reads(spark, sf).select("day", "id").collect())
     assert sorted((r["day"], r["id"]) for r in few.select("day", "id").collect()) == [every[int(k)] for k in np.linspace(0, 249, 128, dtype=np.int64)]
+
+
+def test_sparse_neighbours_of_all_documents(spark):
+    """The top 40 of every document by TF-IDF of its whole words, as by a loop, in blocks of several sizes."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    words = docs.select("doc_id", F.explode(F.split("text", "[^A-Za-z]+")).alias("term")).groupBy("doc_id", "term").count()
+    n = docs.count()
+    idf = words.groupBy("term").agg((F.log(F.lit(1.0 + n) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
+    long = words.join(idf, "term").select("doc_id", F.xxhash64("term").alias("term"), (F.col("count") * F.col("idf")).alias("w"))
+    rows = long.groupBy("doc_id").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("w"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 50).cast("int"))
+    rows = rows.select(F.col("doc_id").alias("id"), (1 + F.col("doc_id") % 5).cast("double").alias("rating"), day.alias("day"), "terms", F.transform("w", lambda x: x / F.col("norm")).alias("weights")).cache()
+    every = [(r["id"], r["rating"], r["day"], dict(zip(r["terms"], r["weights"], strict=True))) for r in rows.collect()]
+    want = {}
+    for i, _, day, v in every:
+        sims = sorted(((-round(sum(w * u.get(t, 0.0) for t, w in v.items()), 12), j, rating) for j, rating, d, u in every if d < day))
+        keep = sims[:40] + [x for x in sims if x[2] >= 4][:5] + [x for x in sims if x[2] <= 2][:5]
+        want[i] = {j: -s for s, j, _ in keep}
+    for block_rows in (23, 8192):
+        got = {}
+        for r in replay.near_before(rows, 5, block_rows).collect():
+            got.setdefault(r["id"], {})[r["read_id"]] = r["sim"]
+        for i, near in want.items():
+            assert near.keys() <= got.get(i, {}).keys()
+            assert all(abs(got[i][j] - s) < 1e-9 for j, s in near.items())
+            best = sorted(got.get(i, {}).items(), key=lambda x: (-x[1], x[0]))[:40]
+            assert [round(s, 9) for _, s in best] == sorted((round(s, 9) for s in near.values()), reverse=True)[: len(best)]
