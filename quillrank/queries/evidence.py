@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from quillrank.plans import evidence
+from quillrank.plans import evidence, ranking, rebuild
 from quillrank.queries.registry import query
-from quillrank.session import table
+from quillrank.session import shared_dir, table
 
 # Batches of customers: orders are their candidates, parts of their lines the reads, embeddings (rounded, so that many agree) the vectors.
 _BATCHES = """h AS (SELECT c_custkey AS batch FROM customer WHERE c_custkey % 5 = 0),
@@ -90,3 +92,21 @@ def evidence_purged(spark, sf):
     n = lambda d, name: d.agg(F.count(F.lit(1)).alias(name))
     one = n(left.batches, "batches").crossJoin(evidence.references(left).agg(F.count(F.lit(1)).alias("artifacts"), F.sum("links").alias("links")))
     return one.crossJoin(n(left.run_links, "run_links")).crossJoin(n(left.candidate_links, "candidates")).crossJoin(n(left.read_links, "reads"))
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _letter_counts(items):
+    """An embedder: how often each letter stands in a text."""
+    return items.select("id", F.array(*[(F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double") for c in _LETTERS]).alias("vec"))
+
+
+@query(f"""WITH v AS (SELECT p_partkey AS id, p_brand AS author, CAST(1 + p_size % 5 AS DOUBLE) AS rating, list_transform(string_split('{",".join(_LETTERS)}', ','), lambda c: CAST(length(p_name) - length(replace(p_name, c, '')) AS DOUBLE)) AS vec FROM part),
+    s AS (SELECT c.id, c.author, r.author AS ra, r.rating, list_cosine_similarity(c.vec, r.vec) AS sim FROM v c JOIN v r ON c.id % 2 = 1 AND r.id % 2 = 0)
+    SELECT id, round(least(100, greatest(0, 42 + 48 * coalesce(max(sim) FILTER (rating >= 4), 0.25) - 24 * coalesce(max(sim) FILTER (rating <= 2), 0) + 7 * coalesce(max(CASE WHEN rating >= 4 AND ra = author THEN 1 END), 0))), 6) AS score FROM s GROUP BY id""")
+def rebuilt_scores(spark, sf):
+    """All vectors and scores rebuilt and published as a version; the scores as a reader of that version sees them."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("identity"), F.col("p_brand").alias("author"), (1 + F.col("p_size") % 5).cast("double").alias("rating"))
+    root = f"{shared_dir(spark).rstrip('/')}/published-{uuid.uuid4().hex}"
+    return rebuild.rebuild(root, p.where("id % 2 = 0"), p.where("id % 2 = 1"), _letter_counts, ranking.baseline, "letters").table(spark, "scores")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillrank.plans import evidence
+from quillrank.plans import evidence, ranking, rebuild
 from quillrank.sources import versions
 
 A, B = "a" * 64, "b" * 64
@@ -159,3 +159,17 @@ def test_of_two_writers_one_wins(spark, tmp_path, monkeypatch):
     with pytest.raises(RuntimeError, match="meanwhile"):
         versions.publish(spark, root, {"t": spark.range(33)})
     assert versions.current(spark, root).rows == {"t": 22} and len([p for p in (tmp_path / "pub").iterdir() if p.name.startswith("v")]) == 2
+
+
+def test_rebuild_is_whole_or_not(spark, tmp_path):
+    root = f"file://{tmp_path}/pub"
+    reads = spark.createDataFrame([(1, "aab", "r1", "x", 5.0), (2, "zz", "r2", "y", 1.0)], "id long, text string, identity string, author string, rating double")
+    wanted = spark.createDataFrame([(7, "ab", "c7", "x"), (8, "zy", "c8", None)], "id long, text string, identity string, author string")
+    letters = lambda items: items.select("id", F.transform(F.array(*[F.lit(c) for c in "abyz"]), lambda c: (F.length("text") - F.length(F.replace("text", c, F.lit("")))).cast("double")).alias("vec"))
+    one = rebuild.rebuild(root, reads, wanted, letters, ranking.baseline, "m1")
+    scores = {r["id"]: r["score"] for r in one.table(spark, "scores").collect()}
+    assert scores[7] > 90 > scores[8] and one.rows == {"read_vectors": 2, "candidate_vectors": 2, "scores": 2} and one.note == {"model": "m1", "dimensions": 4}
+    for bad in (lambda i: letters(i).where("id <> 8"), lambda i: letters(i).withColumn("vec", F.array(F.lit(float("nan")))), lambda i: letters(i).union(letters(i)), lambda i: letters(i).withColumn("vec", F.slice("vec", 1, F.when(F.col("id") == 7, 2).otherwise(3)))):
+        with pytest.raises(ValueError, match="one finite vector"):
+            rebuild.rebuild(root, reads, wanted, bad, ranking.baseline, "m2")
+    assert versions.current(spark, root) == one
