@@ -366,7 +366,8 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     arrow_limits(docs.sparkSession)
-    spans = repeated_spans(docs).groupBy("uid").agg(F.collect_list(F.struct("bits", "s", "e")).alias("spans"))
+    # Rows repeated whole share a uid and find the same spans: a set, or each of n rows would meet n times its spans.
+    spans = repeated_spans(docs).groupBy("uid").agg(F.collect_set(F.struct("bits", "s", "e")).alias("spans"))
     zipped = keyed(docs).mapInArrow(_zipped, "uid long, did long, z binary")
     both = zipped.join(spans, "uid", "left").select("did", "z", "spans")
     return both.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
