@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import arrow_limits, whole_text
+from quillrank.llm.common import arrow_limits, join_hot, whole_text
 from quillrank.session import cut
 
 SLOTS, KICKS = 4, 200
@@ -166,10 +166,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     seen = cut(marked.groupBy("digest", "did").agg(F.count(F.lit(1)).alias("copies")))
     kind = "digest binary, keep_id long, rows long"
     local = seen.select("digest", "did", "copies").mapInArrow(_merge(LOCAL_KEYS), kind)
-    owners = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-seen.count() // OWNED))
-    groups = local.repartition(owners, "digest").mapInArrow(_merge(None), kind)
+    keys, total = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    owners = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keys // OWNED))
+    groups = cut(local.repartition(owners, "digest").mapInArrow(_merge(None), kind))
     return (
-        seen.join(groups, "digest")
+        join_hot(seen, groups, ["digest"], "rows", total)
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
         .select(
             F.col("did").alias("doc_id"),

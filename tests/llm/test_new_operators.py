@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 from itertools import permutations
 from pathlib import Path
@@ -13,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 
-from quillrank.llm import filter_audit, piece_tokens, vector_codes
+from quillrank.llm import exact_dedup, filter_audit, piece_tokens, substring_dedup, vector_codes
 from quillrank.llm import queries as Q
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid long, did long, body string, kind int, part string, mask int, digest string, key long, bare boolean, n long"
@@ -293,3 +294,26 @@ def test_incidence_matrices():
     # Each mask that fails a filter is removed or redundant there, and every mask is kept to the end or removed once in each order.
     assert (m["removed"] + m["redundant"] == [[(mask >> f) & 1 for f in m["filter"]] for mask in range(32)]).all()
     assert (m["removed"].reshape(32, 120, 5).sum(2) + m["kept"].reshape(32, 120, 5)[:, :, -1] == 1).all()
+
+
+# Repeated rows in earlier operators.
+
+
+def test_repeated_rows_cost_what_other_rows_cost(spark):
+    """1,500 times the same row of 10 KB: every copy is covered by the others, in linear time."""
+    text = " ".join(f"word{k * 7919 % 4099}" for k in range(1100))
+    rows = spark.createDataFrame([(5, text)], "doc_id long, text string")
+    many = rows.crossJoin(spark.range(1500)).select("doc_id", "text").repartition(8)
+    began = time.perf_counter()
+    got = substring_dedup.without_repeats(many).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    assert [tuple(r) for r in got] == [(5, len(text), len(text), 1, 1500)]
+    assert time.perf_counter() - began < 120
+
+
+def test_a_hot_digest_is_dealt(spark):
+    """A text that a third of all rows have, under as many ids, beside others and a row repeated whole."""
+    rows = [(i, "Same text" if i % 3 == 0 else f"text {i}") for i in range(6000)] + [(1, "text 1")] * 40 + [(None, "same TEXT")]
+    got = {(r["doc_id"], r["copy"]): r for r in exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert len(got) == 6041
+    assert {got[i, 0]["group_size"] for i in range(0, 6000, 3)} == {2001} and {got[i, 0]["keep_id"] for i in range(0, 6000, 3)} == {5997}
+    assert [got[1, k]["group_size"] for k in range(41)] == [41] * 41 and sum(r["kept"] for r in got.values()) == 4001
