@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.session import cut
@@ -58,3 +58,29 @@ def diffusion(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, steps: i
             break
     works = rank.where(F.col("node") % 2 == 0).select((F.col("node") / 2).cast("long").alias("work"), F.col("r").alias("rank"))
     return works.join(seeds, "work", "left_anti")
+
+
+def frontier(edges: DataFrame, seeds: DataFrame, budgets: list[int | None], fanout: int | None = None) -> DataFrame:
+    """(id, level, via): what a breadth-first expansion from the seeds finds, level by level.
+
+    At each level the nodes found at the one before are expanded in order of their ids, as
+    many as the level's budget allows (None: all); an expansion gives a node's first
+    ``fanout`` neighbours in order (None: all). A node's level is the first that finds it,
+    ``via`` the least node expanded there that leads to it; seeds have level 0. edges:
+    src, dst; seeds: id. Null ends and seeds are left out, repeated edges count once.
+    """
+    e = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+    if fanout is not None:
+        # Spark keeps the first of each group before the exchange too, so a hub is no large group.
+        e = e.withColumn("_n", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("_n") <= fanout).drop("_n")
+    e = cut(e)
+    kind = dict(e.dtypes)["src"]
+    found = cut(seeds.where("id is not null").select(F.col("id").cast(kind).alias("id"), F.lit(0).alias("level"), F.lit(None).cast(kind).alias("via")).distinct())
+    for level, budget in enumerate(budgets):
+        layer = found.where(F.col("level") == level).select(F.col("id").alias("src"))
+        if budget is not None:
+            layer = layer.orderBy("src").limit(budget)
+        new = e.join(layer, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("via"))
+        new = new.join(found, "id", "left_anti").select("id", F.lit(level + 1).alias("level"), "via")
+        found = cut(found.unionByName(new))
+    return found

@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quillrank.plans import evidence, ranking, rebuild
+from quillrank.plans import evidence, graph, ranking, rebuild
 from quillrank.queries.registry import query
 from quillrank.session import shared_dir, table
+from quillrank.sources import associations
 
 # Batches of customers: orders are their candidates, parts of their lines the reads, embeddings (rounded, so that many agree) the vectors.
 _BATCHES = """h AS (SELECT c_custkey AS batch FROM customer WHERE c_custkey % 5 = 0),
@@ -110,3 +111,41 @@ def rebuilt_scores(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("identity"), F.col("p_brand").alias("author"), (1 + F.col("p_size") % 5).cast("double").alias("rating"))
     root = f"{shared_dir(spark).rstrip('/')}/published-{uuid.uuid4().hex}"
     return rebuild.rebuild(root, p.where("id % 2 = 0"), p.where("id % 2 = 1"), _letter_counts, ranking.baseline, "letters").table(spark, "scores")
+
+
+def _level(k: int, budget: int | None) -> str:
+    layer = f"(SELECT id FROM f{k} WHERE level = {k} ORDER BY id{f' LIMIT {budget}' if budget else ''})"
+    return f"f{k + 1} AS (SELECT * FROM f{k} UNION ALL SELECT dst, {k + 1}, min(src) FROM e JOIN {layer} l ON l.id = e.src WHERE dst NOT IN (SELECT id FROM f{k}) GROUP BY dst)"
+
+
+_BUDGETS = (100, 300, None, 50)
+
+
+@query(f"""WITH a AS (SELECT DISTINCT concat('o', l_orderkey) AS o, concat('p', l_partkey) AS p FROM lineitem), b AS (SELECT o AS src, p AS dst FROM a UNION ALL SELECT p, o FROM a),
+    e AS (SELECT src, dst FROM b QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 5), f0 AS (SELECT concat('o', o_orderkey) AS id, 0 AS level, NULL AS via FROM orders WHERE o_orderkey % 50 = 0),
+    {", ".join(_level(k, b) for k, b in enumerate(_BUDGETS))} SELECT id, CAST(level AS INTEGER) AS level, via FROM f{len(_BUDGETS)}""")
+def graph_frontier(spark, sf):
+    """Orders and their parts, expanded within budgets from some orders."""
+    l = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
+    seeds = table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"))
+    return graph.frontier(l.unionByName(l.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), seeds, list(_BUDGETS), 5)
+
+
+@query("""WITH s AS (SELECT DISTINCT concat('w', l_partkey) AS seed, l_orderkey AS name FROM lineitem WHERE l_partkey % 20 = 0), x AS (SELECT DISTINCT l_orderkey AS name, concat('w', l_partkey) AS related FROM lineitem),
+    l AS (SELECT 'shelves' AS provider, seed, related, 'list' AS relation, NULL::INTEGER AS position, CAST(count(*) AS DOUBLE) AS weight FROM s JOIN x USING (name) WHERE related <> seed GROUP BY ALL),
+    r AS (SELECT 'similar' AS provider, concat('w', l_partkey) AS seed, concat('w', l_suppkey) AS related, l_linenumber AS line_no, l_orderkey FROM lineitem WHERE l_partkey % 20 = 1),
+    p AS (SELECT provider, seed, related, row_number() OVER (PARTITION BY seed ORDER BY l_orderkey, line_no, related) AS position FROM r)
+    SELECT * FROM l UNION ALL SELECT provider, seed, related, 'recommendation', CAST(min(position) AS INTEGER), 1.0 / min(position) FROM p WHERE position <= 40 AND related <> seed GROUP BY ALL""")
+def association_edges(spark, sf):
+    """Edges out of payload files that two providers left in the shared folder."""
+    w = lambda c: F.concat(F.lit("w"), F.col(c).cast("string"))
+    l = table(spark, sf, "lineitem")
+    entries = l.groupBy("l_orderkey").agg(F.collect_list(F.struct(w("l_partkey").alias("key"))).alias("entries"))
+    shelves = l.where("l_partkey % 20 = 0").select(w("l_partkey").alias("seed"), "l_orderkey").join(entries, "l_orderkey")
+    shelves = shelves.groupBy("seed").agg(F.to_json(F.struct(F.first("seed").alias("seed"), F.collect_list(F.struct(F.col("l_orderkey").cast("string").alias("name"), "entries")).alias("lists"))).alias("value"))
+    ranked = l.where("l_partkey % 20 = 1").groupBy(w("l_partkey").alias("seed")).agg(F.sort_array(F.collect_list(F.struct("l_orderkey", F.col("l_linenumber").alias("at"), w("l_suppkey").alias("key")))).alias("r"))
+    similar = ranked.select("seed", F.to_json(F.struct("seed", F.transform("r", lambda x: F.struct(x["key"].alias("key"))).alias("recommendations"))).alias("value"))
+    folder = f"{shared_dir(spark).rstrip('/')}/payloads-{uuid.uuid4().hex}"
+    for name, rows in (("shelves", shelves), ("similar", similar)):
+        rows.select("value").write.text(f"{folder}/provider={name}")
+    return associations.edges(associations.payloads(spark, folder))

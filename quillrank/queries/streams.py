@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillrank.queries.registry import query
 from quillrank.session import shared_dir, table
+from quillrank.streaming import budgets as B
 from quillrank.streaming import events as S
 
 
@@ -44,3 +45,15 @@ def stream_decisions(spark, sf):
         return S.decisions(e.select(F.col("user_id").alias("book"), "ts", action.alias("action")))
 
     return _run(spark, sf, make, "update")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT user_id, event_id AS id, n, true AS allowed, '' AS reason, us AS last, us // 86400000000 AS win, 1 AS used FROM e WHERE n = 1
+        UNION ALL SELECT user_id, id, n, why = '', why, CASE WHEN why = '' THEN us ELSE last END, CASE WHEN why = '' THEN mine ELSE win END, CASE WHEN why = '' THEN spent + 1 ELSE used END
+        FROM (SELECT e.user_id, e.event_id AS id, e.n, e.us, r.last, r.win, r.used, e.us // 86400000000 AS mine, CASE WHEN e.us // 86400000000 = r.win THEN r.used ELSE 0 END AS spent,
+            CASE WHEN e.us - r.last < 7200000000 THEN 'interval' WHEN e.us // 86400000000 = r.win AND r.used >= 2 THEN 'budget' ELSE '' END AS why FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+    SELECT user_id, id, allowed, reason FROM r""")
+def request_budgets(spark, sf):
+    """Events as requests of their users: two hours apart at least, two a day at most."""
+    make = lambda e: B.budgets(e.select("user_id", F.col("event_id").alias("id"), "ts"), "user_id", 7200, 86400, 2, "60 days")
+    return B.with_rocks(spark, lambda: _run(spark, sf, make, "append"))
