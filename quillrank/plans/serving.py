@@ -160,8 +160,9 @@ def fatigued(candidates: DataFrame, days: DataFrame, grace: int = GRACE, per_day
 def diversified(items: DataFrame, by: str = "run", slate: int = SLATE, reach: int = DISPLACEMENT, sacrifice: float = SACRIFICE, similar: float = SIMILAR) -> DataFrame:
     """(run, id, pos, position): early slots swapped with near later ones that repeat less.
 
-    A slate depends on the slots before it, so a run is one group; a run is one page of
-    items. items: run, id, pos, author, score, vec.
+    A slate depends on the slots before it, so a run's first slots are one group; a swap
+    never takes an item from beyond ``slate + reach``, so no more than those go there, and
+    the rest of the run keeps its order. items: run, id, pos, author, score, vec.
     """
 
     def arrange(page: pd.DataFrame) -> pd.DataFrame:
@@ -190,7 +191,10 @@ def diversified(items: DataFrame, by: str = "run", slate: int = SLATE, reach: in
         return pd.DataFrame({by: page[by].to_numpy()[row], "id": page["id"].to_numpy()[row], "pos": page["pos"].to_numpy()[row], "position": np.arange(1, len(row) + 1)})
 
     kinds = dict(items.dtypes)
-    return items.select(by, "id", "pos", "author", "score", "vec").groupBy(by).applyInPandas(arrange, f"{by} {kinds[by]}, id {kinds['id']}, pos {kinds['pos']}, position long")
+    ordered = items.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy("pos")).cast("long"))
+    near = F.col("position") <= slate + reach
+    head = ordered.where(near).select(by, "id", "pos", "author", "score", "vec").groupBy(by).applyInPandas(arrange, f"{by} {kinds[by]}, id {kinds['id']}, pos {kinds['pos']}, position long")
+    return head.unionByName(ordered.where(~near).select(by, "id", "pos", "position"))
 
 
 def explored(items: DataFrame, epsilon: float, seed: int, stable: int = STABLE, by: str = "run") -> DataFrame:

@@ -78,13 +78,16 @@ def vector_norms(spark, sf):
     return rounded(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.sqrt(dot(v, v)).alias("norm"), valid(F.col("embedding"), 64).alias("valid")))
 
 
-@query("""WITH v AS (SELECT vec_id AS id, label % 2 AS y, 0.5 + (vec_id % 5) / 10.0::DOUBLE AS w, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT * FROM v WHERE id % 3 = 0),
+_POOLED = """WITH v AS (SELECT vec_id AS id, label % 2 AS y, 0.5 + (vec_id % 5) / 10.0::DOUBLE AS w, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT * FROM v WHERE id % 3 = 0),
     g AS (SELECT count(*) >= 20 AS grown, (sum(w * y) + 1) / (sum(w) + 2) AS rate FROM d), k AS (SELECT *, CASE WHEN grown THEN 1.0 ELSE 1.5 END::DOUBLE AS prior, CASE WHEN grown THEN 5.0 ELSE 4.0 END::DOUBLE AS most FROM g),
     s AS (SELECT c.id, d.y, d.w, list_cosine_similarity(c.v, d.v) AS sim FROM v c CROSS JOIN d WHERE c.id % 3 <> 0),
     l AS (SELECT id, y, w * CASE WHEN grown AND y = 1 THEN pow(greatest(0, sim - 0.52) / 0.48, 2) ELSE greatest(0, sim - 0.45) / 0.55 END AS w FROM s CROSS JOIN k),
     t AS (SELECT id, sum(w) AS w, sum(w * y) AS p FROM l GROUP BY id HAVING sum(w) > 0),
     a AS (SELECT id, greatest(-most, least(most, most * ((p + prior * rate) / (w + prior) - rate) / 0.5)) AS adjustment FROM t CROSS JOIN k)
-    SELECT id, round(adjustment, 6) AS adjustment FROM a WHERE abs(adjustment) >= 0.05""")
+    SELECT id, round(adjustment, 6) AS adjustment FROM a WHERE abs(adjustment) >= 0.05"""
+
+
+@query(_POOLED)
 def semantic_pooling(spark, sf):
     """The learner's semantic part over all vectors: a third of them decided, the others candidates."""
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 2).alias("label"), (0.5 + (F.col("vec_id") % 5) / F.lit(10.0)).alias("weight"), F.col("embedding").alias("vec"))
@@ -92,6 +95,16 @@ def semantic_pooling(spark, sf):
     return rounded(serving.semantic_adjustments(decided, v.where("id % 3 <> 0").select("id", "vec")))
 
 
+@query(_POOLED.replace("CAST(embedding AS DOUBLE[]) AS v", "list_concat(list_transform(range(10), lambda k: CASE WHEN k = vec_id % 10 THEN 1.0 ELSE 0.0 END::DOUBLE), list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 0.8)) AS v").replace("label % 2 AS y", "CASE WHEN vec_id % 10 < 5 THEN 1 ELSE 0 END AS y"))
+def semantic_clusters(spark, sf):
+    """The same over clustered vectors, in which every candidate has decided books within reach of the floors."""
+    cluster = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.when(k == F.col("vec_id") % 10, 1.0).otherwise(0.0))
+    vec = F.concat(cluster, F.transform(doubles(F.col("embedding")), lambda x: x * 0.8))
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 10 < 5).cast("int").alias("label"), (0.5 + (F.col("vec_id") % 5) / F.lit(10.0)).alias("weight"), vec.alias("vec"))
+    decided = v.where("id % 3 = 0").withColumnRenamed("id", "book")
+    return rounded(serving.semantic_adjustments(decided, v.where("id % 3 <> 0").select("id", "vec")))
+
+
 _EDGES = "e AS (SELECT DISTINCT l_partkey AS work, l_suppkey AS entity FROM lineitem), s AS (SELECT DISTINCT work FROM e WHERE work % 50 = 0)"
 
 

@@ -81,14 +81,15 @@ def iso_week_and_decay(spark, sf):
     return e.select(F.col("event_id").alias("id"), F.to_date("ts").cast("string").alias("day"), dates.iso_week(F.col("ts")).alias("week"), F.round(dates.half_life(age), 9).alias("decay"))
 
 
-_DATES = "(VALUES (1, '2024-03-05'), (2, '2024-03'), (3, '2024'), (4, 'March 5, 2024'), (5, 'soon'), (6, '')) AS t(id, raw)"
-
-
-@query("SELECT id, CASE WHEN id IN (1, 4) THEN '2024-03-05' WHEN id = 2 THEN '2024-03-01' WHEN id = 3 THEN '2024-01-01' END AS date, CASE WHEN id IN (1, 4) THEN 'day' WHEN id = 2 THEN 'month' WHEN id = 3 THEN 'year' END AS kind FROM " + _DATES)
+@query("""WITH r AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, o_orderkey % 6 AS k FROM orders)
+    SELECT id, CAST(CASE k WHEN 0 THEN d WHEN 1 THEN date_trunc('month', d) WHEN 2 THEN date_trunc('year', d) WHEN 3 THEN d END AS DATE)::VARCHAR AS date, CASE k WHEN 0 THEN 'day' WHEN 1 THEN 'month' WHEN 2 THEN 'year' WHEN 3 THEN 'day' END AS kind FROM r""")
 def date_precision(spark, sf):
-    d = spark.sql("SELECT * FROM VALUES (1, '2024-03-05'), (2, '2024-03'), (3, '2024'), (4, 'March 5, 2024'), (5, 'soon'), (6, '') AS t(id, raw)")
+    """Days of orders written in forms of different precision."""
+    d, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 6
+    form = lambda f: F.date_format(d, f)
+    raw = F.when(k == 0, form("yyyy-MM-dd")).when(k == 1, form("yyyy-MM")).when(k == 2, form("yyyy")).when(k == 3, form("MMMM d, yyyy")).when(k == 4, "soon").otherwise("")
     p = dates.publication(F.col("raw"))
-    return d.select("id", p["date"].cast("string").alias("date"), p["kind"].alias("kind"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), raw.alias("raw")).select("id", p["date"].cast("string").alias("date"), p["kind"].alias("kind"))
 
 
 @query("SELECT doc_id, text IS NULL OR trim(text) = '' AS blank, coalesce(regexp_matches(text, 'https?://'), false) AS has_url, n_chars <> length(text) AS wrong_length, length(text) < 200 AS short FROM documents")
