@@ -1,13 +1,13 @@
 """Identities of works across noisy titles, authors and identifiers.
 
 One set of rules serves columns and SQL: they need compatibility normalization and full
-case folding, which Spark has not, so they run over Arrow batches. A null counts as
-empty; empty parts stay empty.
+case folding, which Spark has not, so they run over Arrow batches, a whole column at a
+time: every rule is a pattern over a column of keys. A null counts as empty; empty parts
+stay empty.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -39,83 +39,77 @@ NUMBERED = r"(?:a|an|the)\s+(?:one|two|three|four|five|first|second|third|fourth
 # Words of a title that stands without its subtitle, letters of a telling word, words from which an article may go.
 PREFIX_WORDS, TELLING, LED_WORDS = 3, 9, 4
 
-_SUFFIXES = [re.compile(p, re.I) for p in SUFFIXES]
-_SEPARATOR, _SUBTITLE, _NUMBERED = (re.compile(p, re.I) for p in (SEPARATOR, SUBTITLE, NUMBERED))
+# The rules as patterns over folded keys: leading initials, trailing generations, a leading article of a long key.
+_INITIALS = r"^(?:\S(?: |$))+"
+_GENERATION = rf"(?<=\S)(?: (?:{'|'.join(GENERATIONS)}))+$"
+_LED = rf"^(?:{'|'.join(ARTICLES)}) ((?:\S+ ){{{LED_WORDS - 2},}}\S+)$"
+_STANDS = rf"^(?:(?:\S+ ){{{PREFIX_WORDS - 1},}}\S+|\S{{{TELLING},}} \S+|\S+ \S{{{TELLING},}})$"
+_LEADS_ON = rf"(?!{NUMBERED}){SUBTITLE}"
+_SAME = {name: [x for x in group if x != name] for group in ALIASES for name in group}
 
 
-def _bare(title: str | None) -> str:
-    out = unicodedata.normalize("NFKC", title or "").strip()
-    for suffix in _SUFFIXES:
-        out = suffix.sub("", out).strip()
-    return out
+def _columns(title: pd.Series, author: pd.Series) -> pd.DataFrame:
+    """Keys of a batch, a column each: bare title, what of it stands alone, both without their article, author with joined initials and without generation."""
+    bare = title.fillna("").map(lambda t: unicodedata.normalize("NFKC", t)).str.strip()
+    for suffix in SUFFIXES:
+        bare = bare.str.replace(suffix, "", regex=True, case=False).str.strip()
+    halves = bare.str.split(SEPARATOR, n=1, regex=True)
+    front, rest = halves.str[0], halves.str[1].fillna("").str.strip()
+    full, front = bare.map(folded), front.map(folded)
+    alone = front.where(front.str.match(_STANDS) & rest.str.match(_LEADS_ON, case=False), "")
+    led = lambda key: key.str.extract(_LED, expand=False).fillna("")
+    joined = author.map(folded).str.replace(_INITIALS, lambda m: m[0].replace(" ", "") + " ", regex=True).str.strip()
+    return pd.DataFrame({"full": full, "alone": alone, "led": led(full), "alone_led": led(alone), "author": joined, "person": joined.str.replace(_GENERATION, "", regex=True)})
 
 
-def _joined_initials(author: str | None) -> list[str]:
-    words = folded(author).split()
-    n = next((k for k, w in enumerate(words) if len(w) > 1), len(words))
-    return ["".join(words[:n]), *words[n:]] if n else words
+def _title_keys(keys: pd.DataFrame) -> pd.Series:
+    """All keys of each title, those it is known by in words or figures among them."""
+    every = zip(keys["full"], keys["alone"], keys["full"].map(_SAME), keys["alone"].map(_SAME), keys["led"], keys["alone_led"], strict=True)
+    return pd.Series([[*dict.fromkeys(filter(None, (full, alone, *(same if same == same else ()), *(other if other == other else ()), led, alone_led)))] for full, alone, same, other, led, alone_led in every], dtype=object)
 
 
-def _author(author: str | None) -> str:
-    words = _joined_initials(author)
-    last = max((k for k, w in enumerate(words) if w not in GENERATIONS), default=0)
-    return " ".join(words[: last + 1])
-
-
-def _titles(title: str | None) -> list[str]:
-    bare = _bare(title)
-    keys = [folded(bare)]
-    split = _SEPARATOR.search(bare)
-    if split:
-        prefix, rest = folded(bare[: split.start()]), bare[split.end() :].strip()
-        words = prefix.split()
-        stands = len(words) >= PREFIX_WORDS or len(words) == 2 and max(map(len, words)) >= TELLING
-        if stands and _SUBTITLE.match(rest) and not _NUMBERED.match(rest):
-            keys.append(prefix)
-    same = [name for group in ALIASES for name in group if set(group) & set(keys)]
-    led = [k.partition(" ")[2] for k in keys if k.split(" ")[0] in ARTICLES and k.count(" ") >= LED_WORDS - 1]
-    return [k for k in dict.fromkeys([*keys, *same, *led]) if k]
-
-
-def _identity(title: str | None, author: str | None) -> str:
-    return f"{folded(_bare(title))}\x1f{' '.join(_joined_initials(author))}"
+def _nothing(like: pd.Series) -> pd.Series:
+    return pd.Series([""] * len(like), dtype=object)
 
 
 @F.pandas_udf(T.StringType())
 def title_key(title: pd.Series) -> pd.Series:
-    """The whole title without format and series suffixes."""
-    return title.map(lambda t: folded(_bare(t)), na_action=None)
+    """The whole title without format and series suffixes; null for null."""
+    return _columns(title, _nothing(title))["full"].where(title.notna(), None)
 
 
 @F.pandas_udf(T.StringType())
 def author_key(author: pd.Series) -> pd.Series:
     """Leading initials joined, generation suffixes dropped."""
-    return author.map(_author)
+    return _columns(_nothing(author), author)["person"]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def title_keys(title: pd.Series) -> pd.Series:
     """The full key, a safe key without an article-led subtitle, aliases, and keys without a leading article."""
-    return title.map(_titles)
+    return _title_keys(_columns(title, _nothing(title)))
 
 
 @F.pandas_udf(T.StringType())
 def identity(title: pd.Series, author: pd.Series) -> pd.Series:
     """Title and author as one key: generations count, subtitles count."""
-    return pd.Series([_identity(t, a) for t, a in zip(title, author, strict=True)], dtype=object)
+    keys = _columns(title, author)
+    return keys["full"] + "\x1f" + keys["author"]
 
 
 @F.pandas_udf(T.BooleanType())
 def matches(left_title: pd.Series, left_author: pd.Series, right_title: pd.Series, right_author: pd.Series) -> pd.Series:
     """Whether two rows are one work: authors agree, and some key of their titles."""
-    rows = zip(left_title, left_author, right_title, right_author, strict=True)
-    return pd.Series([_author(b) == _author(d) and bool({*_titles(a)} & {*_titles(c)}) for a, b, c, d in rows], dtype=bool)
+    left, right = _columns(left_title, left_author), _columns(right_title, right_author)
+    shared = [not set(a).isdisjoint(b) for a, b in zip(_title_keys(left), _title_keys(right), strict=True)]
+    return (left["person"] == right["person"]) & pd.Series(shared, dtype=bool)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def named_keys(title: pd.Series, author: pd.Series) -> pd.Series:
     """A tagged key per title key, with the author's."""
-    return pd.Series([[f"title\x1f{t}\x1f{_author(a)}" for t in _titles(x)] for x, a in zip(title, author, strict=True)], dtype=object)
+    keys = _columns(title, author)
+    return pd.Series([[f"title\x1f{t}\x1f{person}" for t in titles] for titles, person in zip(_title_keys(keys), keys["person"], strict=True)], dtype=object)
 
 
 def match_keys(title: Column, author: Column, *isbns: Column) -> Column:
