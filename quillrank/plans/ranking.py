@@ -4,7 +4,8 @@ Candidates may be any number; a rated history is one reader's. The history's mat
 to every task in blocks of a fixed number of rows, each candidate keeps only the
 neighbours that any term of the score can need (its 40 nearest, its 5 nearest liked, its
 nearest disliked of each block), and the rest is windows over those few rows. So a longer
-history means more blocks, never a larger broadcast.
+history means more blocks, never a larger broadcast. A history of one block has all
+neighbours of a candidate at hand, so its terms are summed in the same pass.
 
 A read without a valid vector or with a rating outside 1 to 5 isn't history. Of reads
 with one identity the lowest id counts.
@@ -12,9 +13,11 @@ with one identity the lowest id counts.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,6 +137,82 @@ def neighbour_terms(near: DataFrame, disliked: int = 1) -> DataFrame:
     )
 
 
+#: What a score takes from the neighbours, in the order of ``neighbour_terms``.
+TERMS = ("up", "down", "local", "kernel", "recent", "ess", "best", "up_max", "down_max")
+
+
+def _leaders(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of each row's ``k`` greatest, greatest first and of ties the first; fewer columns give fewer."""
+    at = np.nonzero(best_of_each(sims, k))[1].reshape(len(sims), min(k, sims.shape[1]))
+    near = np.take_along_axis(sims, at, axis=1)
+    order = np.argsort(-near, axis=1, kind="stable")
+    return np.take_along_axis(at, order, axis=1), np.take_along_axis(near, order, axis=1)
+
+
+def _mean(weights: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Weighted means of rows, NaN without weight."""
+    total = weights.sum(axis=1)
+    return np.divide((weights * values).sum(axis=1), total, out=np.full(len(total), np.nan), where=total > 0)
+
+
+def _pull(sims: np.ndarray, k: int) -> np.ndarray:
+    """The mean of each row's ``k`` greatest similarities, weighted by themselves."""
+    near = _leaders(sims, k)[1]
+    there = np.isfinite(near)
+    near = np.where(there, near, 0.0)
+    return _mean(np.where(there, np.maximum(near, 0) + 1e-4, 0.0), near)
+
+
+def block_terms(sims: np.ndarray, ratings: np.ndarray, days: np.ndarray, disliked: int) -> list[np.ndarray]:
+    """TERMS of candidates whose similarities to a whole history, in order of id, are the rows; -inf is no neighbour, NaN no known day."""
+    at, near = _leaders(sims, KERNEL_NEIGHBOURS)
+    there = np.isfinite(near)
+    near, rated, day = np.where(there, near, 0.0), ratings[at], np.where(there, days[at], np.nan)
+    w = np.where(there, (np.maximum(near, 0) + 1e-8) ** KERNEL_POWER, 0.0)
+    with np.errstate(all="ignore"), warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        age = (np.nanmax(day, axis=1, keepdims=True) - day) / 365.25
+        age = np.where(np.isnan(age), np.nan_to_num(np.nanmedian(age, axis=1, keepdims=True)), age)
+        ess = w.sum(axis=1) ** 2 / (w * w).sum(axis=1)
+    few = slice(0, LOCAL_NEIGHBOURS)
+    local = _mean(np.where(there[:, few], np.maximum(near[:, few], 0) + 1e-4, 0.0), rated[:, few])
+    liked, bad = sims[:, ratings >= LIKED], sims[:, ratings <= DISLIKED]
+    top = lambda x: np.where(np.isfinite(m := x.max(axis=1, initial=-np.inf)), m, np.nan)
+    down = top(bad) if disliked == 1 else _pull(bad, disliked)
+    return [_pull(liked, LOCAL_NEIGHBOURS), down, local, _mean(w, rated), _mean(w * np.exp(-age / RECENCY_YEARS), rated), ess, top(sims), top(liked), top(bad)]
+
+
+def _with_block_terms(rows: pd.DataFrame, candidates: DataFrame, leave_one_out: bool, disliked: int) -> DataFrame:
+    """``candidates`` with TERMS, by one pass over them: the whole history is one block."""
+    rows = rows.sort_values("id", ignore_index=True)
+    matrix = np.array(rows["vec"].tolist(), np.float64).reshape(len(rows), -1 if len(rows) else 0)
+    days = pd.to_datetime(rows["day"]).to_numpy("datetime64[D]")
+    ordinal = np.where(np.isnat(days), np.nan, days.astype(np.int64).astype(float))
+    spark = candidates.sparkSession
+    block = spark.sparkContext.broadcast((rows["identity"].to_numpy(object), rows["rating"].to_numpy(np.float64), ordinal, matrix))
+    kept = [(c, t) for c, t in candidates.dtypes if c in ("id", "identity", "author", "source_weight", "confidence")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        identities, ratings, days, matrix = block.value
+        own = {identity: n for n, identity in enumerate(identities)} if leave_one_out else {}
+        step = max(1, PAIRS // max(1, len(ratings)))
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                vectors = part.column("_unit").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                sims = vectors @ matrix.T if len(ratings) else np.zeros((part.num_rows, 0))
+                sims[~np.isfinite(sims)] = -np.inf
+                for i, name in enumerate(part.column("identity").to_pylist() if leave_one_out else []):
+                    if name in own:
+                        sims[i, own[name]] = -np.inf
+                terms = block_terms(sims, ratings, days, disliked) if len(ratings) else [np.full(part.num_rows, np.nan)] * len(TERMS)
+                columns = [part.column(c) for c, _ in kept] + [pa.array(x, pa.float64(), mask=np.isnan(x)) for x in terms]
+                yield pa.RecordBatch.from_arrays(columns, [c for c, _ in kept] + list(TERMS))
+
+    shape = ", ".join(f"{c} {t}" for c, t in kept) + ", " + ", ".join(f"{c} double" for c in TERMS)
+    return candidates.select(*[c for c, _ in kept], unit(doubles(F.col("vec"))).alias("_unit")).mapInArrow(run, shape)
+
+
 def final_score(ess_prior: float = ESS_PRIOR, author_prior: float = AUTHOR_PRIOR, author_weight: float = AUTHOR_WEIGHT) -> tuple[Column, Column, Column]:
     """The raw and served score and the kernel's sample size, of rows with terms, history count hn, mean, the author's count an and sum as_, source_weight and confidence."""
     some = F.coalesce(F.col("best") > 0, F.lit(False))
@@ -159,12 +238,16 @@ def score_candidates(reads: DataFrame, candidates: DataFrame, leave_one_out: boo
     source_weight, confidence.
     """
     history = history_of(reads)
-    near = near_reads(history, candidates, leave_one_out, disliked=disliked).join(history.select(F.col("id").alias("read_id"), "rating", "day"), "read_id")
-    terms = neighbour_terms(near, disliked)
+    block = history.select("id", "identity", "rating", "day", unit(doubles(F.col("vec"))).alias("vec")).limit(BLOCK_ROWS + 1).toPandas()
+    if len(block) <= BLOCK_ROWS:
+        c = _with_block_terms(block, candidates, leave_one_out, disliked)
+    else:
+        near = near_reads(history, candidates, leave_one_out, disliked=disliked).join(history.select(F.col("id").alias("read_id"), "rating", "day"), "read_id")
+        c = candidates.join(neighbour_terms(near, disliked), "id", "left")
     whole = history.agg(F.count(F.lit(1)).alias("hn"), F.coalesce(F.sum("rating"), F.lit(0.0)).alias("hs"))
     authors = history.groupBy(F.col("author").alias("ha")).agg(F.count(F.lit(1)).alias("an"), F.sum("rating").alias("as_"))
     own = history.select(F.col("identity").alias("hi"), F.col("rating").alias("own"), F.col("author").alias("own_author"))
-    c = candidates.crossJoin(F.broadcast(whole)).join(terms, "id", "left").join(authors, F.col("author") == F.col("ha"), "left")
+    c = c.crossJoin(F.broadcast(whole)).join(authors, F.col("author") == F.col("ha"), "left")
     if leave_one_out:
         c = c.join(own, F.col("identity") == F.col("hi"), "left")
         gone, gone_a = F.col("own").isNotNull().cast("int"), (F.col("own").isNotNull() & (F.col("own_author") == F.col("author"))).cast("int")

@@ -228,3 +228,20 @@ def test_sparse_neighbours_of_all_documents(spark):
             assert all(abs(got[i][j] - s) < 1e-9 for j, s in near.items())
             best = sorted(got.get(i, {}).items(), key=lambda x: (-x[1], x[0]))[:40]
             assert [round(s, 9) for _, s in best] == sorted((round(s, 9) for s in near.values()), reverse=True)[: len(best)]
+
+
+@pytest.mark.parametrize(("leave_one_out", "disliked", "n"), [(False, 1, 90), (True, 1, 90), (True, 3, 90), (False, 3, 7), (True, 1, 1), (False, 1, 0)])
+def test_one_pass_terms_equal_windows(spark, monkeypatch, leave_one_out, disliked, n):
+    """Ties, repeated vectors, opposite vectors, unknown days, and histories shorter than any neighbourhood."""
+    rows = [(i, name, a, float(np.clip(round(r), 1, 5)), None if i % 4 == 0 else day, vec if i % 9 else [-x for x in vec]) for i, name, a, r, day, vec in a_history(n, 6)]
+    history = spark.createDataFrame(rows, READ)
+    wanted = a_history(50, 7)
+    shape = "id long, identity string, author string, vec array<double>, source_weight double, confidence double"
+    wanted = spark.createDataFrame([(i, f"r{i}" if i % 2 else f"c{i}", a, vec, 1.0 + i % 3 / 10, 0.9) for i, _, a, _, _, vec in wanted], shape)
+
+    def scores():
+        return {r["id"]: [None if v is None else round(v, 5) for v in r] for r in ranking.score_candidates(history, wanted, leave_one_out, disliked=disliked).collect()}
+
+    one = scores()
+    monkeypatch.setattr(ranking, "BLOCK_ROWS", -1)
+    assert scores() == one and len(one) == 50
