@@ -124,14 +124,15 @@ class _Sparse:
         return np.round(dense @ self.dense.T + rare.reshape(b - a, self.n), 12)
 
 
-def _meet(disliked: int, kind: type):
+def _meet(disliked: int, kind: type, more: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 ids, rids = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "ids"))
                 qdays, days = (np.frombuffer(r[c], np.int32) for c in ("q_days", "days"))
                 ratings, queries, block = np.frombuffer(r["ratings"]), kind(r, "q_"), kind(r)
-                groups = [(np.flatnonzero(mask), k) for mask, k in ((ratings > 0, ranking.KERNEL_NEIGHBOURS), (ratings >= ranking.LIKED, ranking.LOCAL_NEIGHBOURS), (ratings <= ranking.DISLIKED, disliked))]
+                kinds = ((ratings > 0, ranking.KERNEL_NEIGHBOURS), (ratings >= ranking.LIKED, ranking.LOCAL_NEIGHBOURS), ((ratings > 0) & (ratings <= ranking.DISLIKED), disliked))
+                groups = [(np.flatnonzero(mask), k + more) for mask, k in kinds]
                 step = max(1, ranking.PAIRS // len(rids))
                 for a in range(0, len(ids), step):
                     sims = block.products(queries, a, min(a + step, len(ids)))
@@ -146,12 +147,15 @@ def _meet(disliked: int, kind: type):
     return run
 
 
-def near_before(rows: DataFrame, disliked: int = ranking.LOCAL_NEIGHBOURS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, read_id, sim, rating, day): for each row those of earlier days that a term can need. rows: id, rating, day, and vec or terms and weights."""
+def near_before(rows: DataFrame, disliked: int = ranking.LOCAL_NEIGHBOURS, block_rows: int = BLOCK_ROWS, more: int = 0) -> DataFrame:
+    """(id, read_id, sim, rating, day): for each row those of earlier days that a term can need, and ``more`` of each kind.
+
+    rows: id, rating, day, and vec or terms and weights. A row rated 0 is only a target.
+    """
     packed = cut(blocks(rows, block_rows))
     targets = packed.select(F.explode(F.sequence(F.lit(0), "span")).alias("span"), F.col("last").alias("q_last"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "days", "at", "terms", "matrix")])
     met = targets.join(packed, "span").where("first < q_last")
-    return met.drop("span", "part", "first", "last", "q_last").mapInArrow(_meet(disliked, _Dense if "vec" in rows.columns else _Sparse), _NEAR)
+    return met.drop("span", "part", "first", "last", "q_last").mapInArrow(_meet(disliked, _Dense if "vec" in rows.columns else _Sparse, more), _NEAR)
 
 
 def known_before(rows: DataFrame) -> DataFrame:
@@ -206,3 +210,48 @@ def _with_records(targets: DataFrame, rows: DataFrame) -> DataFrame:
     """Targets with what was known of all reads and of their author's before their day."""
     keyed = lambda d: d.withColumn("_none", F.col("author").isNull()).withColumn("_author", F.coalesce("author", F.lit(""))).drop("author")
     return keyed(targets).join(known_before(rows), "day").join(keyed(author_before(rows)), ["_author", "_none", "day"]).drop("_author", "_none")
+
+
+def feedback_replay(feedback: DataFrame, reads: DataFrame, candidates: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Candidates last saved (label 1) or rejected (0), scored by what was read on days before that decision.
+
+    A read of the candidate's own identity is no history of it; a candidate without
+    earlier reads, or without a valid vector, goes. ``score`` is the served score,
+    ``earlier`` the first scorer's. feedback: id, candidate, identity, action, at (null if
+    undone); reads: id, identity, author, rating, day, vec; candidates: id, author, vec,
+    and source_weight and confidence where they are known.
+    """
+    known = cut(records(reads))
+    last = first_per(feedback.where("at is not null"), ["candidate"], [F.col("at").desc(), F.col("id").desc()]).where("action in ('save', 'reject')")
+    wanted = last.select(F.col("candidate").alias("id"), "identity", (F.col("action") == "save").cast("int").alias("label"), F.to_date("at").alias("day"))
+    for name in ("source_weight", "confidence"):
+        if name not in candidates.columns:
+            candidates = candidates.withColumn(name, F.lit(1.0))
+    wanted = cut(wanted.join(candidates.where(valid(F.col("vec"))).select("id", "author", "vec", "source_weight", "confidence"), "id"))
+    # One numbering for both: reads are even, targets odd.
+    even, odd = (F.col("id").cast("long") * 2).alias("id"), (F.col("id").cast("long") * 2 + 1).alias("id")
+    both = known.select(even, F.col("rating").cast("double").alias("rating"), "day", doubles(F.col("vec")).alias("vec")).unionByName(wanted.select(odd, F.lit(0.0).alias("rating"), "day", doubles(F.col("vec")).alias("vec")))
+    own = wanted.select(odd, "identity").join(known.select(even, "identity").withColumnRenamed("id", "read_id"), "identity").select("id", "read_id")
+    # At most one read is the candidate's own, so one more of each kind is enough to leave it out.
+    near = near_before(both, 1, block_rows, more=1).where("id % 2 = 1").join(own, ["id", "read_id"], "left_anti")
+    terms = ranking.neighbour_terms(near).withColumn("id", F.expr("shiftright(id, 1)"))
+    author = lambda d: d.withColumn("_none", F.col("author").isNull()).withColumn("_author", F.coalesce("author", F.lit(""))).drop("author")
+    own_read = wanted.select("id", "identity", F.col("day").alias("_day")).join(known.select("identity", F.col("rating").alias("own"), F.col("day").alias("_d"), F.col("author").alias("own_author")), "identity").where("_d < _day").select("id", "own", "own_author")
+    stats = _before(known, wanted, [], {"hn": F.lit(1), "hs": F.col("rating")})
+    theirs = _before(author(known), author(wanted), ["_author", "_none"], {"an": F.lit(1), "as_": F.col("rating"), "liked": (F.col("rating") >= ranking.LIKED).cast("int")})
+    c = author(wanted.withColumn("_a", F.col("author"))).join(stats, "day").join(theirs, ["_author", "_none", "day"]).join(own_read, "id", "left").join(terms, "id", "left")
+    gone = F.col("own").isNotNull()
+    same = gone & F.col("own_author").eqNullSafe(F.col("_a"))
+    c = c.withColumn("hn", F.col("hn") - gone.cast("int")).withColumn("hs", F.col("hs") - F.coalesce("own", F.lit(0.0))).where("hn > 0").withColumn("mean", F.col("hs") / F.col("hn"))
+    c = c.withColumn("an", F.col("an") - same.cast("int")).withColumn("as_", F.col("as_") - F.when(same, F.col("own")).otherwise(0.0)).withColumn("liked", F.col("liked") - (same & (F.col("own") >= ranking.LIKED)).cast("int"))
+    first = 42 + 48 * F.coalesce("up_max", F.lit(0.25)) - 24 * F.coalesce("down", F.lit(0.0)) + 7 * (F.col("liked") > 0).cast("int")
+    return c.select("id", "label", F.col("hn").cast("long").alias("prior"), *ranking.final_score()[:2], F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), first)), 6).alias("earlier"))
+
+
+def _before(rows: DataFrame, targets: DataFrame, by: list[str], values: dict) -> DataFrame:
+    """Sums of ``values`` over the rows of earlier days, per day (and ``by``) that has targets: days are summed first."""
+    per = rows.groupBy(*by, "day").agg(*[F.sum(v).alias(n) for n, v in values.items()], F.lit(0).alias("_t"))
+    asked = targets.select(*by, "day").distinct().select(*by, "day", *[F.lit(0).alias(n) for n in values], F.lit(1).alias("_t"))
+    every = per.unionByName(asked).groupBy(*by, "day").agg(*[F.sum(n).alias(n) for n in values], F.max("_t").alias("_t"))
+    upto = Window.partitionBy(*(by or [F.lit(1)])).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    return every.select(*by, "day", *[F.coalesce(F.sum(n).over(upto), F.lit(0)).alias(n) for n in values], "_t").where("_t = 1").drop("_t")

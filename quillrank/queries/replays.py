@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillrank.plans import era, fits, ranking, replay, studies
-from quillrank.queries.registry import READS, query, reads, rounded
+from quillrank.queries.registry import CANDIDATES, READS, candidates, query, reads, rounded
 from quillrank.session import table
 
 _DENSE = f"WITH {READS}, sims AS (SELECT t.id, r.id AS read_id, r.rating, r.day, list_cosine_similarity(t.vec, r.vec) AS sim FROM reads t JOIN reads r ON r.day < t.day),"
@@ -101,3 +101,25 @@ def pairwise_selection(spark, sf):
 @query()
 def tail_head_selection(spark, sf):
     return rounded(fits.out_of_fold(_rated(spark, sf), fits.tail_heads, folds=(1, 2, 3))[1])
+
+
+@query(f"""WITH {READS}, {CANDIDATES}, u AS (SELECT vec_id AS candidate, CASE WHEN vec_id % 9 = 1 THEN concat('r', vec_id - 1) ELSE concat('c', vec_id) END AS identity, CASE vec_id % 4 WHEN 1 THEN 'reject' ELSE 'save' END AS action, DATE '2020-01-01' + CAST((vec_id * 7) % 400 AS INT) AS day FROM embeddings WHERE vec_id % 2 = 1 AND vec_id % 5 <> 0),
+    w AS (SELECT candidate AS id, u.identity, CAST(action = 'save' AS INTEGER) AS label, day, author, vec, source_weight, confidence FROM u JOIN candidates c ON c.id = candidate),
+    s AS (SELECT w.id, r.id AS read_id, r.rating, r.day, r.author = w.author AS same, list_cosine_similarity(w.vec, r.vec) AS sim FROM w JOIN reads r ON r.day < w.day AND r.identity <> w.identity),
+    n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, read_id) AS n, row_number() OVER (PARTITION BY id, rating >= 4 ORDER BY sim DESC, read_id) AS m FROM s),
+    k AS (SELECT *, greatest(sim, 0) + 1e-4 AS tw, CASE WHEN n <= 40 THEN pow(greatest(sim, 0) + 1e-8, 8) END AS w, CASE WHEN n <= 40 THEN (max(CASE WHEN n <= 40 THEN day END) OVER (PARTITION BY id) - day) / 365.25 END AS age FROM n),
+    t AS (SELECT id, sum(tw * sim) FILTER (rating >= 4 AND m <= 5) / sum(tw) FILTER (rating >= 4 AND m <= 5) AS up, max(sim) FILTER (rating >= 4) AS up_max, max(sim) FILTER (rating <= 2) AS down, sum(tw * rating) FILTER (n <= 5) / sum(tw) FILTER (n <= 5) AS local,
+        sum(w * rating) / sum(w) AS kernel, sum(w * exp(-age / 8) * rating) / sum(w * exp(-age / 8)) AS recent, pow(sum(w), 2) / sum(w * w) AS ess, max(sim) AS best, count(*) AS hn, avg(rating) AS mean, count(*) FILTER (same) AS an, coalesce(sum(rating) FILTER (same), 0) AS a, count(*) FILTER (same AND rating >= 4) AS liked FROM k GROUP BY id),
+    x AS (SELECT w.id, label, hn, liked, up_max, down, confidence, 42 + 48 * coalesce(up, 0.25) - 24 * coalesce(down, 0) + 3.5 * CASE WHEN best > 0 THEN local - 3 ELSE 0 END + 3.5 * CASE WHEN an > 0 THEN (a + 5 * mean) / (an + 5) - mean ELSE 0 END
+        + CASE WHEN best > 0 THEN 10 * least(1, hn / 100.0) * (kernel - mean) * ess / (ess + 5) + 20 * least(1, hn / 100.0) * (recent - kernel) ELSE 0 END + 5 * (source_weight - 1) AS raw FROM w JOIN t USING (id))
+    SELECT id, label, hn AS prior, round(least(100, greatest(0, 50 + confidence * (raw - 50))), 6) AS raw_score, round(round(least(100, greatest(0, 50 + confidence * (raw - 50))), 6), 1) AS score,
+        round(least(100, greatest(0, 42 + 48 * coalesce(up_max, 0.25) - 24 * coalesce(down, 0) + CASE WHEN liked > 0 THEN 7 ELSE 0 END)), 6) AS earlier FROM x""")
+def feedback_scores(spark, sf):
+    """Decided candidates scored by the reads before their decision, their own work left out; undone and older decisions don't count."""
+    c = candidates(spark, sf)
+    k = F.col("id")
+    identity = F.when(k % 9 == 1, F.concat(F.lit("r"), (k - 1).cast("string"))).otherwise(F.col("identity"))
+    at = F.date_add(F.lit("2020-01-01").cast("date"), ((k * 7) % 400).cast("int")).cast("timestamp")
+    told = c.select((k * 10).alias("id"), k.alias("candidate"), identity.alias("identity"), F.when(k % 4 == 1, "reject").otherwise("save").alias("action"), F.when(k % 5 != 0, at).alias("at"))
+    older = told.select((F.col("id") - 1).alias("id"), "candidate", "identity", F.lit("reject").alias("action"), (F.col("at") - F.expr("INTERVAL 3 DAYS")).alias("at"))
+    return rounded(replay.feedback_replay(told.unionByName(older), reads(spark, sf), c))
