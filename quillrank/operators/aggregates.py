@@ -39,20 +39,22 @@ def _won(steps: DataFrame, score: str, by: list[str]) -> DataFrame:
     return won.groupBy(*by).agg((F.sum("won") / F.nullif((F.sum("p") * F.sum("q")).cast("double"), F.lit(0.0))).alias("auc"))
 
 
-def precision_at(df: DataFrame, run: str, rank: str, label: str, weight: str, k: int) -> DataFrame:
+def precision_at(df: DataFrame, run: str, rank: str, label: str, weight: str, k: int, by: list[str] | None = None) -> DataFrame:
     """Weighted share of positives among the labelled of the first k slots, averaged over runs; the cut comes before labels."""
-    per_run = df.where((F.col(rank) <= k) & F.col(label).isNotNull()).groupBy(run).agg((F.sum(F.when(F.col(label) > 0.5, F.col(weight)).otherwise(0.0)) / F.sum(weight)).alias("p"))
-    return per_run.agg(F.avg("p").alias("precision"))
+    by = by or []
+    per_run = df.where((F.col(rank) <= k) & F.col(label).isNotNull()).groupBy(*by, run).agg((F.sum(F.when(F.col(label) > 0.5, F.col(weight)).otherwise(0.0)) / F.sum(weight)).alias("p"))
+    return per_run.groupBy(*by).agg(F.avg("p").alias("precision"))
 
 
-def ndcg_at(df: DataFrame, run: str, rank: str, label: str, weight: str, k: int) -> DataFrame:
+def ndcg_at(df: DataFrame, run: str, rank: str, label: str, weight: str, k: int, by: list[str] | None = None) -> DataFrame:
     """Weighted NDCG over logged ranks against the best order of all labelled gains, averaged over runs with a gain."""
     known = df.where(F.col(label).isNotNull()).withColumn("gain", F.col(label) * F.col(weight))
-    best = Window.partitionBy(run).orderBy(F.col("gain").desc(), rank)
+    by = by or []
+    best = Window.partitionBy(*by, run).orderBy(F.col("gain").desc(), rank)
     known = known.withColumn("best", F.row_number().over(best))
     discounted = lambda at: F.sum(F.when(F.col(at) <= k, F.col("gain") / F.log2(F.col(at) + 1)).otherwise(0.0))
-    per_run = known.groupBy(run).agg(discounted(rank).alias("dcg"), discounted("best").alias("ideal")).where("ideal > 0")
-    return per_run.agg(F.avg(F.col("dcg") / F.col("ideal")).alias("ndcg"))
+    per_run = known.groupBy(*by, run).agg(discounted(rank).alias("dcg"), discounted("best").alias("ideal")).where("ideal > 0")
+    return per_run.groupBy(*by).agg(F.avg(F.col("dcg") / F.col("ideal")).alias("ndcg"))
 
 
 def deciles(df: DataFrame, score: str, key: str, n: int = 10) -> DataFrame:

@@ -1,13 +1,13 @@
-"""Offline evaluation: bootstraps, ordinal fit, raw metrics."""
+"""Offline evaluation: bootstraps, raw metrics, the metric report, promotion."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.operators.windows import prefix_sums
+from quillrank.operators.aggregates import ndcg_at, precision_at, weighted_auc
+from quillrank.operators.windows import prefix_sums, run_split
 
 
 def raw_metrics(df: DataFrame, rating: str, score: str) -> DataFrame:
@@ -43,30 +43,31 @@ def cluster_bootstrap(df: DataFrame, cluster: str, label: str, score: str, repli
     return auc.agg(F.count("auc").alias("replicas"), F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.5)).alias("middle"), F.percentile("auc", F.lit(0.975)).alias("high"))
 
 
-def ordinal_fit(df: DataFrame, features: list[str], rating: str, by: str, ridge: float = 0.1, steps: int = 400) -> DataFrame:
-    """Proportional-odds weights and thresholds per group, by gradient steps with momentum on the ridge likelihood.
+#: What a part needs before its figures mean anything.
+MINIMUMS = {"runs": 20, "labelled": 200, "positive": 20, "negative": 20}
 
-    A group is one reader's rated rows.
-    """
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = group[features].to_numpy(float), group[rating].to_numpy(int)
-        w, cuts = np.zeros(len(features)), np.array([-1.5, -0.5, 0.5, 1.5])
-        vw, vc = np.zeros_like(w), np.zeros_like(cuts)
-        for _ in range(steps):
-            z = x @ w
-            p = 1 / (1 + np.exp(-np.clip(np.column_stack([np.full(len(z), -60.0), cuts[None, :] - z[:, None], np.full(len(z), 60.0)]), -60, 60)))
-            i = np.arange(len(y))
-            hi, lo = p[i, y], p[i, y - 1]
-            mass = np.maximum(hi - lo, 1e-12)
-            dh, dl = hi * (1 - hi) / mass, lo * (1 - lo) / mass
-            gw = x.T @ (dh - dl) / len(y) + ridge * w / len(y)
-            gc = np.array([-(dh * (y == k + 1)).sum() + (dl * (y == k + 2)).sum() for k in range(4)]) / len(y)
-            vw, vc = 0.9 * vw - 0.3 * gw, 0.9 * vc - 0.3 * gc
-            w, cuts = w + vw, np.sort(cuts + vc)
-        return pd.DataFrame({by: [group[by].iat[0]], "weights": [w.tolist()], "cuts": [cuts.tolist()], "n": [len(y)]})
+def metric_report(impressions: DataFrame, k: int = 20, minimums: dict[str, int] | None = None) -> DataFrame:
+    """Counts, weighted AUC, precision and NDCG at ``k``, and what there is too little of: one row per part.
 
-    return df.select(by, rating, *features).groupBy(by).applyInPandas(fit, f"{by} {dict(df.dtypes)[by]}, weights array<double>, cuts array<double>, n long")
+    Parts are the whole sample, the temporal splits of whole runs, and enjoyment, which
+    takes ratings alone. A row is counted in each of its parts. impressions: run, ts,
+    score, rank, label (null: unknown, 0.5: neutral), weight, rating (whether the label is one).
+    """
+    split = run_split(impressions, "run", "ts")
+    parts = F.array_compact(F.array(F.lit("sample"), F.col("split"), F.when(F.col("rating") & F.col("label").isNotNull(), F.lit("enjoyment"))))
+    rows = split.withColumn("part", F.explode(parts)).drop("split")
+    label = F.col("label")
+    counts = rows.groupBy("part").agg(
+        F.count(F.lit(1)).alias("impressions"), F.count("label").alias("labelled"), F.count_if(label > 0.5).alias("positive"), F.count_if(label < 0.5).alias("negative"), F.count_distinct("run").alias("runs"),
+    )
+    known = rows.where(label.isNotNull())
+    metrics = (weighted_auc(known, "label", "score", "weight", ["part"]), precision_at(rows, "run", "rank", "label", "weight", k, ["part"]), ndcg_at(rows, "run", "rank", "label", "weight", k, ["part"]))
+    out = counts
+    for m in metrics:
+        out = out.join(m, "part", "left")
+    short = F.array_compact(F.array(*[F.when(F.col(c) < least, F.lit(c)) for c, least in {**MINIMUMS, **(minimums or {})}.items()]))
+    return out.withColumn("short_of", F.array_join(short, ","))
 
 
 def promotion(delta: DataFrame) -> DataFrame:

@@ -153,6 +153,22 @@ def ips_ndcg_at_k(spark, sf):
     return rounded(A.ndcg_at(_weighted(spark, sf), "run", "rank", "label", "weight", 8))
 
 
+@query(_W + """, r AS (SELECT run, min(ts) AS t FROM w GROUP BY run), k AS (SELECT run, row_number() OVER (ORDER BY t, run) AS k, count(*) OVER () AS n FROM r),
+    s AS (SELECT run, CASE WHEN k <= greatest(1, floor(n * 0.6)) THEN 'train' WHEN k <= greatest(greatest(1, floor(n * 0.6)), floor(n * 0.8)) THEN 'validation' ELSE 'test' END AS split FROM k),
+    z AS (SELECT *, unnest(CASE WHEN label IN (0, 1) THEN ['sample', split, 'enjoyment'] ELSE ['sample', split] END) AS part FROM w JOIN s USING (run)),
+    a AS (SELECT part, count(*) AS impressions, count(label) AS labelled, count(*) FILTER (label > 0.5) AS positive, count(*) FILTER (label < 0.5) AS negative, count(DISTINCT run) AS runs FROM z GROUP BY part),
+    b AS (SELECT part, score, coalesce(sum(weight) FILTER (label > 0.5), 0) AS p, coalesce(sum(weight) FILTER (label < 0.5), 0) AS q FROM z WHERE label <> 0.5 GROUP BY part, score),
+    c AS (SELECT part, sum(p * (below + q / 2)) / (sum(p) * sum(q)) AS auc FROM (SELECT *, coalesce(sum(q) OVER (PARTITION BY part ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b) GROUP BY part),
+    d AS (SELECT part, avg(p) AS precision FROM (SELECT part, run, sum(CASE WHEN label > 0.5 THEN weight ELSE 0 END) / sum(weight) AS p FROM z WHERE rank <= 20 AND label IS NOT NULL GROUP BY part, run) GROUP BY part),
+    e AS (SELECT part, run, rank, label * weight AS gain, row_number() OVER (PARTITION BY part, run ORDER BY label * weight DESC, rank) AS best FROM z WHERE label IS NOT NULL),
+    f AS (SELECT part, avg(dcg / ideal) AS ndcg FROM (SELECT part, run, sum(CASE WHEN rank <= 20 THEN gain / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN best <= 20 THEN gain / log2(best + 1) ELSE 0 END) AS ideal FROM e GROUP BY part, run) WHERE ideal > 0 GROUP BY part)
+    SELECT part, impressions, labelled, positive, negative, runs, round(auc, 6) AS auc, round(precision, 6) AS precision, round(ndcg, 6) AS ndcg, concat_ws(',', CASE WHEN runs < 20 THEN 'runs' END, CASE WHEN labelled < 200 THEN 'labelled' END, CASE WHEN positive < 20 THEN 'positive' END, CASE WHEN negative < 20 THEN 'negative' END) AS short_of
+    FROM a LEFT JOIN c USING (part) LEFT JOIN d USING (part) LEFT JOIN f USING (part)""")
+def metric_report(spark, sf):
+    """Ranking metrics of the whole sample, its temporal splits and rated outcomes alone, with what there is too little of."""
+    return rounded(evaluation.metric_report(_weighted(spark, sf).withColumn("rating", F.col("label").isin(0.0, 1.0))))
+
+
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 6) AS mean_value, round(median(value), 6) AS median_value FROM events GROUP BY event_type")
 def signal_metrics(spark, sf):
     return rounded(events(spark, sf).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.avg("value").alias("mean_value"), F.median("value").alias("median_value")))
