@@ -58,12 +58,14 @@ def baseline(reads: DataFrame, candidates: DataFrame) -> DataFrame:
     return rows.select("id", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), score)), 6).alias("score"))
 
 
-def near_reads(history: DataFrame, candidates: DataFrame, leave_one_out: bool = False, block_rows: int = BLOCK_ROWS, *, disliked: int = 1) -> DataFrame:
+def near_reads(history: DataFrame, candidates: DataFrame, leave_one_out: bool = False, block_rows: int = BLOCK_ROWS, *, disliked: int = 1, centred: bool = False) -> DataFrame:
     """(id, read_id, sim): for each candidate the reads that its score can depend on.
 
-    history: id, identity, rating, vec; candidates: id, identity, vec.
+    history: id, identity, rating, vec; candidates: id, identity, vec. ``centred``
+    similarities are taken from their mean over all of the history.
     """
     spark = candidates.sparkSession
+    centre = _mean_vector(history) if centred else None
     n = history.count()
     parts = max(1, -(-n // block_rows))
     out = None
@@ -86,7 +88,10 @@ def near_reads(history: DataFrame, candidates: DataFrame, leave_one_out: bool =
             for batch in batches:
                 cid, names = batch.column("id").to_numpy(zero_copy_only=False), batch.column("identity").to_pylist() if leave_one_out else []
                 for a in range(0, batch.num_rows, step):
-                    sims = np.array(batch.column("vec").slice(a, step).to_pylist(), np.float64) @ matrix.T
+                    vectors = np.array(batch.column("vec").slice(a, step).to_pylist(), np.float64)
+                    sims = vectors @ matrix.T
+                    if centre is not None:
+                        sims = centred_on(sims, vectors @ centre)
                     for i, name in enumerate(names[a : a + step]):
                         if name in own:
                             sims[i, own[name]] = -np.inf
@@ -102,6 +107,13 @@ def near_reads(history: DataFrame, candidates: DataFrame, leave_one_out: bool =
     return out
 
 
+def _mean_vector(history: DataFrame) -> np.ndarray:
+    """The mean of a history's unit vectors: as many numbers as a vector has."""
+    cells = history.select(F.posexplode(unit(doubles(F.col("vec")))).alias("at", "x")).groupBy("at").agg(F.sum("x").alias("s"))
+    n = history.count()
+    return np.array([r["s"] / n for r in sorted(cells.collect(), key=lambda r: r["at"])])
+
+
 def history_of(reads: DataFrame) -> DataFrame:
     """Rated reads, the lowest id of each identity. reads: id, identity, author, rating, day, vec."""
     rated = reads.where(F.col("rating").between(1, 5))
@@ -182,7 +194,12 @@ def block_terms(sims: np.ndarray, ratings: np.ndarray, days: np.ndarray, dislike
     return [_pull(liked, LOCAL_NEIGHBOURS), down, local, _mean(w, rated), _mean(w * np.exp(-age / RECENCY_YEARS), rated), ess, top(sims), top(liked), top(bad)]
 
 
-def _with_block_terms(rows: pd.DataFrame, candidates: DataFrame, leave_one_out: bool, disliked: int) -> DataFrame:
+def centred_on(sims: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Similarities above their mean over the whole history, moved up by what an unknown neighbour counts, within 0 and 1."""
+    return np.clip(sims - mean[:, None] + 0.25, 0.0, 1.0)
+
+
+def _with_block_terms(rows: pd.DataFrame, candidates: DataFrame, leave_one_out: bool, disliked: int, centred: bool) -> DataFrame:
     """``candidates`` with TERMS, by one pass over them: the whole history is one block."""
     rows = rows.sort_values("id", ignore_index=True)
     matrix = np.array(rows["vec"].tolist(), np.float64).reshape(len(rows), -1 if len(rows) else 0)
@@ -201,6 +218,8 @@ def _with_block_terms(rows: pd.DataFrame, candidates: DataFrame, leave_one_out:
                 part = batch.slice(a, step)
                 vectors = part.column("_unit").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                 sims = vectors @ matrix.T if len(ratings) else np.zeros((part.num_rows, 0))
+                if centred and len(ratings):
+                    sims = centred_on(sims, vectors @ matrix.mean(axis=0))
                 sims[~np.isfinite(sims)] = -np.inf
                 for i, name in enumerate(part.column("identity").to_pylist() if leave_one_out else []):
                     if name in own:
@@ -228,21 +247,24 @@ def final_score(ess_prior: float = ESS_PRIOR, author_prior: float = AUTHOR_PRIOR
     return F.round(held, 6).alias("raw_score"), F.round(F.round(held, 6), 1).alias("score"), F.round(ess, 4).alias("ess")
 
 
-def score_candidates(reads: DataFrame, candidates: DataFrame, leave_one_out: bool = False, ess_prior: float = ESS_PRIOR, author_prior: float = AUTHOR_PRIOR, author_weight: float = AUTHOR_WEIGHT, disliked: int = 1) -> DataFrame:
+def score_candidates(reads: DataFrame, candidates: DataFrame, leave_one_out: bool = False, ess_prior: float = ESS_PRIOR, author_prior: float = AUTHOR_PRIOR, author_weight: float = AUTHOR_WEIGHT, disliked: int = 1, centred: bool = False) -> DataFrame:
     """id, raw score, served score (one decimal), and the terms.
 
     The studied variants differ by a parameter: no prior on the kernel's sample size
-    (``ess_prior`` 0), a stronger author, a penalty by the mean of several disliked reads.
+    (``ess_prior`` 0), a stronger author, a penalty by the mean of several disliked reads,
+    cosines centred on their mean (of all reads, so not with one left out).
 
     reads: id, identity, author, rating, day, vec; candidates: id, identity, author, vec,
     source_weight, confidence.
     """
+    if centred and leave_one_out:
+        raise ValueError("centred cosines are of the whole history")
     history = history_of(reads)
     block = history.select("id", "identity", "rating", "day", unit(doubles(F.col("vec"))).alias("vec")).limit(BLOCK_ROWS + 1).toPandas()
     if len(block) <= BLOCK_ROWS:
-        c = _with_block_terms(block, candidates, leave_one_out, disliked)
+        c = _with_block_terms(block, candidates, leave_one_out, disliked, centred)
     else:
-        near = near_reads(history, candidates, leave_one_out, disliked=disliked).join(history.select(F.col("id").alias("read_id"), "rating", "day"), "read_id")
+        near = near_reads(history, candidates, leave_one_out, disliked=disliked, centred=centred).join(history.select(F.col("id").alias("read_id"), "rating", "day"), "read_id")
         c = candidates.join(neighbour_terms(near, disliked), "id", "left")
     whole = history.agg(F.count(F.lit(1)).alias("hn"), F.coalesce(F.sum("rating"), F.lit(0.0)).alias("hs"))
     authors = history.groupBy(F.col("author").alias("ha")).agg(F.count(F.lit(1)).alias("an"), F.sum("rating").alias("as_"))

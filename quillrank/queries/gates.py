@@ -114,7 +114,7 @@ def identifier_match(spark, sf):
     return G.identified(records, p.where(k % 3 == 0).select(k.alias("id"), code.alias("isbn")))
 
 
-_ARMS = {"kernel_unshrunk": {"ess_prior": 0.0}, "author_stronger": {"ess_prior": 0.0, "author_prior": 3.0, "author_weight": 5.0}, "kernel_ess2": {"ess_prior": 2.0}, "kernel_ess5": {}, "negative_top5": {"ess_prior": 0.0, "disliked": 5}}
+_ARMS = {"kernel_unshrunk": {"ess_prior": 0.0}, "author_stronger": {"ess_prior": 0.0, "author_prior": 3.0, "author_weight": 5.0}, "kernel_ess2": {"ess_prior": 2.0}, "kernel_ess5": {}, "negative_top5": {"ess_prior": 0.0, "disliked": 5}, "cosine_centred": {"ess_prior": 0.0, "centred": True}}
 
 
 def _variant(arm: str) -> str:
@@ -125,6 +125,8 @@ def _variant(arm: str) -> str:
         sql = sql.replace("3.5 * (CASE WHEN an > 0 THEN (s + 5 * mean) / (an + 5)", "5.0 * (CASE WHEN an > 0 THEN (s + 3 * mean) / (an + 3)")
     if arm == "negative_top5":
         sql = sql.replace("AS m FROM sims", "AS m, row_number() OVER (PARTITION BY id, rating <= 2 ORDER BY sim DESC, read_id) AS b FROM sims").replace("max(sim) FILTER (rating <= 2) AS down", "sum(sim * (greatest(sim, 0) + 1e-4)) FILTER (rating <= 2 AND b <= 5) / sum(greatest(sim, 0) + 1e-4) FILTER (rating <= 2 AND b <= 5) AS down")
+    if arm == "cosine_centred":
+        sql = sql.replace("list_cosine_similarity(c.vec, r.vec) AS sim FROM candidates c CROSS JOIN reads r )", "least(1, greatest(0, list_cosine_similarity(c.vec, r.vec) - avg(list_cosine_similarity(c.vec, r.vec)) OVER (PARTITION BY c.id) + 0.25)) AS sim FROM candidates c CROSS JOIN reads r )")
     return f"SELECT id, '{arm}' AS arm, raw_score FROM ({sql})"
 
 

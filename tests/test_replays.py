@@ -240,7 +240,7 @@ def test_one_pass_terms_equal_windows(spark, monkeypatch, leave_one_out, dislike
     wanted = spark.createDataFrame([(i, f"r{i}" if i % 2 else f"c{i}", a, vec, 1.0 + i % 3 / 10, 0.9) for i, _, a, _, _, vec in wanted], shape)
 
     def scores():
-        return {r["id"]: [None if v is None else round(v, 5) for v in r] for r in ranking.score_candidates(history, wanted, leave_one_out, disliked=disliked).collect()}
+        return {r["id"]: [None if v is None else round(v, 5) for v in r] for r in ranking.score_candidates(history, wanted, leave_one_out, disliked=disliked, centred=n == 7).collect()}
 
     one = scores()
     monkeypatch.setattr(ranking, "BLOCK_ROWS", -1)
