@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 
-from quillrank.llm import exact_dedup, filter_audit, piece_tokens, substring_dedup, vector_codes
+from quillrank.llm import exact_dedup, filter_audit, piece_tokens, secrets, substring_dedup, vector_codes
 from quillrank.llm import queries as Q
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid long, did long, body string, kind int, part string, mask int, digest string, key long, bare boolean, n long"
@@ -317,3 +317,21 @@ def test_a_hot_digest_is_dealt(spark):
     assert len(got) == 6041
     assert {got[i, 0]["group_size"] for i in range(0, 6000, 3)} == {2001} and {got[i, 0]["keep_id"] for i in range(0, 6000, 3)} == {5997}
     assert [got[1, k]["group_size"] for k in range(41)] == [41] * 41 and sum(r["kept"] for r in got.values()) == 4001
+
+
+def test_keys_of_letters_alone(sf):
+    """Random letters of both cases are found, names in one case or camel case are not; real texts give none."""
+    rng, allowed = np.random.default_rng(31), secrets.allow_list()
+    found = lambda text: list(secrets.entropy_spans(text, allowed))
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    for n, least in ((24, 0.78), (32, 0.92), (40, 0.96), (64, 0.99)):
+        keys = ["".join(rng.choice(letters, n)) for _ in range(400)]
+        assert np.mean([bool(found(f"key {k} end")) for k in keys]) >= least
+    words = "settings user request handler factory XML service HTTP abstract context provider template resolver".split()
+    for k in range(400):
+        parts = [str(rng.choice(words)) for _ in range(6)]
+        camel = "".join(p if p.isupper() else p.capitalize() for p in parts)
+        for name in (camel, camel[0].lower() + camel[1:], "".join(parts).lower(), "".join(parts).upper(), "_".join(p.capitalize() for p in parts), "iPhone" + camel):
+            assert not found(name), name
+    texts = [r["text"] or "" for r in pq.read_table(f"{sf}/documents.parquet").to_pylist()]
+    assert not any(found(re.sub(r"[0-9]", " ", t)) for t in texts)
