@@ -69,7 +69,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now into a table in memory (for tests and small results)."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run a stream over all that is there now; its rows are written beside ``checkpoint`` and read from there.
+
+    Tasks write them, so none goes through the driver. A retried batch overwrites its own folder. In complete mode only the last batch counts.
+    """
+    spark, path, last = df.sparkSession, f"{checkpoint}-rows", []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        last[:] = [epoch]
+
+    q = df.writeStream.outputMode(mode).queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    if not _exists(spark, path):
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(f"{path}/batch={last[0]}" if mode == "complete" and last else path).select(*df.columns)
