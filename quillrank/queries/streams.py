@@ -35,7 +35,9 @@ def stream_daily_counts(spark, sf):
 
 @query("SELECT count(DISTINCT event_id) AS n FROM events")
 def stream_dedup(spark, sf):
-    return _run(spark, sf, lambda e: S.once(e, "event_id", "ts", "60 days"), "append").agg(F.count(F.lit(1)).alias("n"))
+    # Every id is state for sixty days: it is kept outside the heap.
+    found = B.with_rocks(spark, lambda: _run(spark, sf, lambda e: S.once(e.select("event_id", "ts"), "event_id", "ts", "60 days"), "append"))
+    return found.agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
