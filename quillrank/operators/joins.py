@@ -41,8 +41,10 @@ def without_known(items: DataFrame, known: DataFrame, keys: str = "keys", key: s
 
 def unambiguous(items: DataFrame, targets: DataFrame, item: str, target: str, key: str, method: str) -> DataFrame:
     """Items that meet exactly one target, with the strongest (least) method."""
-    met = items.join(targets, key).groupBy(item).agg(F.count_distinct(target).alias("n"), F.min(target).alias(target), F.min(method).alias(method))
-    return met.where("n = 1").drop("n")
+    # A key says with two of its targets whether it has one, so it meets an item as one row, however many it has.
+    keys = targets.groupBy(key).agg(F.min(target).alias("_low"), F.max(target).alias("_high"), F.min(method).alias(method))
+    met = items.join(keys, key).groupBy(item).agg(F.min("_low").alias(target), F.max("_high").alias("_high"), F.min(method).alias(method))
+    return met.where(F.col(target) == F.col("_high")).drop("_high")
 
 
 def greedy_rounds(items: DataFrame, key: str, order: list[Column], keys: str = "keys") -> DataFrame:

@@ -1,7 +1,13 @@
 """What queries hold on the driver and how their work grows."""
 
 import datetime as dt
+import time
+from collections import Counter
 
+import pytest
+
+from quillrank.operators import joins as J
+from quillrank.plans import graph
 from quillrank.streaming import events as S
 
 
@@ -10,3 +16,32 @@ def test_stream_rows_are_written_by_tasks(spark, tmp_path):
     spark.createDataFrame([("k1", t0), ("k1", t0), ("k2", t0)], "event_key string, ts timestamp").write.parquet(str(tmp_path / "in"))
     out = S.run_to_end(S.once(S.stream(spark, str(tmp_path / "in"), "event_key string, ts timestamp")), "written", str(tmp_path / "c"))
     assert out.inputFiles() and out.count() == 2
+
+
+def test_one_key_of_very_many_targets(spark):
+    """40,000 items and as many targets of one key: a table of pairs would have 1.6 billion rows."""
+    n = 40_000
+    items = spark.range(n).selectExpr("id", "'k' AS key").union(spark.sql("SELECT -1L, 'own'"))
+    targets = spark.range(n).selectExpr("id AS target", "'k' AS key", "2 AS method").union(spark.sql("SELECT 7L, 'own', 1 UNION ALL SELECT 7L, 'own', 2"))
+    began = time.monotonic()
+    assert [tuple(r) for r in J.unambiguous(items, targets, "id", "target", "key", "method").collect()] == [(-1, 7, 1)]
+    assert time.monotonic() - began < 60
+
+
+def test_edges_are_walked_once_for_two_steps(spark):
+    """Even and odd numbers of steps give what plain steps give, and the edges are laid out once for each way."""
+    arcs = [(1, 10), (2, 10), (2, 11), (3, 11), (3, 12), (4, 12), (1, 12)]
+    edges, seeds = spark.createDataFrame(arcs, "work long, entity long"), spark.createDataFrame([(1,), (4,)], "work long")
+    both = [(("w", w), ("e", e)) for w, e in arcs]
+    both += [(b, a) for a, b in both]
+    degree = Counter(a for a, _ in both)
+    start = {("w", 1): 0.5, ("w", 4): 0.5}
+    for steps in (1, 2, 7, 8, 32):
+        rank = start
+        for _ in range(steps):
+            new = Counter({k: 0.4 * r for k, r in start.items()})
+            for a, b in both:
+                new[b] += 0.6 * rank.get(a, 0.0) / degree[a]
+            rank = new
+        got = {r["work"]: r["rank"] for r in graph.diffusion(edges, seeds, steps=steps).collect()}
+        assert got == pytest.approx({w: r for (kind, w), r in rank.items() if kind == "w" and w not in (1, 4) and r > 0}, abs=1e-9)
