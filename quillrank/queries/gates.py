@@ -132,11 +132,7 @@ def _variant(arm: str) -> str:
 
 @query(" UNION ALL ".join(map(_variant, _ARMS)))
 def formula_variants(spark, sf):
-    out = None
-    for arm, how in _ARMS.items():
-        part = ranking.score_candidates(reads(spark, sf), candidates(spark, sf), **how).select("id", F.lit(arm).alias("arm"), "raw_score")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return ranking.score_variants(reads(spark, sf), candidates(spark, sf), _ARMS)
 
 
 @query()
