@@ -12,7 +12,8 @@ Vectors are dense (``vec``) or sparse (``terms``, ``weights``, of unit length).
 blocks meet by an inverted index of one of them; terms that more than a HOT_SHARE of its
 reads have are columns of a small dense product instead, so no term, however common,
 lists its pairs, and none is the key of a shuffle. Sparse cosines are rounded to twelve
-digits, so that equal texts tie whatever the order of their sums.
+digits, so that equal texts tie whatever the order of their sums; copies of a sparse
+vector are then told apart by id alone, and only those that can matter are compared.
 
 Reads without a day, without a rating from 1 to 5 or without a valid vector are no
 records (a sparse one may be empty, like nothing); of reads with one identity the first counts, by day and then id. A target with
@@ -24,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -158,6 +160,48 @@ def near_before(rows: DataFrame, disliked: int = ranking.LOCAL_NEIGHBOURS, block
     return met.drop("span", "part", "first", "last", "q_last").mapInArrow(_meet(disliked, _Dense if "vec" in rows.columns else _Sparse, more), _NEAR)
 
 
+def _first_of_each_day(group: pd.DataFrame) -> pd.DataFrame:
+    """Of reads with one vector those that are among the first of a kind, by id, up to the end of their own day."""
+    group = group.sort_values(["day", "id"], ignore_index=True)
+    ids, rating = group["id"].to_numpy(), group["rating"].to_numpy()
+    edges = np.append(np.flatnonzero(~group["day"].duplicated().to_numpy()), len(group))
+    kept = np.zeros(len(group), bool)
+    for mask, k in ((rating > 0, ranking.KERNEL_NEIGHBOURS), (rating >= ranking.LIKED, ranking.LOCAL_NEIGHBOURS), (rating <= ranking.DISLIKED, ranking.LOCAL_NEIGHBOURS)):
+        first = np.zeros(0, np.int64)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            first = np.sort(np.append(first, ids[a:b][mask[a:b]]))[:k]
+            kept[a:b] |= mask[a:b] & np.isin(ids[a:b], first)
+    return group.loc[kept, ["id"]]
+
+
+def without_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that decide all neighbours, and (id, asked): the row among them whose neighbours are those of a row.
+
+    Rows of one vector and day have the same neighbours, so one of them asks. Rows of one
+    vector tie in every comparison and then stand in order of id, so one that has enough
+    of its kind before it, of its own day or earlier, is nobody's neighbour; it stays, rated
+    0, if it asks. A day of a vector is cut to what each kind can need first, so what is
+    scanned in one piece is a few dozen rows per day, whatever the number of copies.
+    """
+    vector = F.sort_array(F.arrays_zip(F.col("terms").cast("array<long>"), F.col("weights").cast("array<double>")))
+    keyed = cut(rows.select(F.col("id").cast("long").alias("id"), F.col("rating").cast("double").alias("rating"), "day", F.sha2(vector.cast("string"), 256).alias("_v")))
+    asking = keyed.groupBy("_v", "day").agg(F.min("id").alias("asked"))
+    place = F.row_number().over(Window.partitionBy("_v", "day").orderBy("id"))
+    liked, disliked = F.col("rating") >= ranking.LIKED, F.col("rating") <= ranking.DISLIKED
+    kinds = ((keyed, ranking.KERNEL_NEIGHBOURS), (keyed.where(liked), ranking.LOCAL_NEIGHBOURS), (keyed.where(disliked), ranking.LOCAL_NEIGHBOURS))
+    first, *more = [d.withColumn("_n", place).where(F.col("_n") <= k).drop("_n") for d, k in kinds]
+    for d in more:
+        first = first.unionByName(d)
+    first = cut(first.dropDuplicates(["id"]))
+    # With no more copies than the fewest that a kind needs, all stay.
+    many = first.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ranking.LOCAL_NEIGHBOURS).select("_v")
+    scanned = first.join(many, "_v").groupBy("_v").applyInPandas(_first_of_each_day, "id long")
+    stay = scanned.unionByName(first.join(many, "_v", "left_anti").select("id")).withColumn("_stays", F.lit(True))
+    wanted = stay.join(asking.select(F.col("asked").alias("id")), "id", "full")
+    needed = rows.withColumn("id", F.col("id").cast("long")).join(wanted, "id").withColumn("rating", F.when(F.col("_stays"), F.col("rating").cast("double")).otherwise(0.0)).drop("_stays")
+    return cut(needed), keyed.join(asking, ["_v", "day"]).select("id", "asked")
+
+
 def known_before(rows: DataFrame) -> DataFrame:
     """hn, hs and median of the ratings of earlier days, per day that has rows: running sums over days and rating levels."""
     cells = rows.groupBy("day", "rating").agg(F.count(F.lit(1)).alias("n"))
@@ -186,7 +230,12 @@ def replay(reads: DataFrame, min_history: int = MIN_HISTORY, block_rows: int = B
     for name in ("source_weight", "confidence"):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(1.0))
-    terms = ranking.neighbour_terms(near_before(rows, block_rows=block_rows), ranking.LOCAL_NEIGHBOURS)
+    if "terms" in rows.columns:
+        needed, asked = without_copies(rows)
+        near = near_before(needed, block_rows=block_rows).join(asked.select(F.col("asked").alias("id")).distinct(), "id", "left_semi")
+        terms = asked.join(ranking.neighbour_terms(near, ranking.LOCAL_NEIGHBOURS).withColumnRenamed("id", "asked"), "asked").drop("asked")
+    else:
+        terms = ranking.neighbour_terms(near_before(rows, block_rows=block_rows), ranking.LOCAL_NEIGHBOURS)
     terms = terms.withColumnRenamed("down", "neg_top").withColumnRenamed("down_max", "down")
     targets = rows.select("id", "author", "day", "rating", "source_weight", "confidence")
     met = _with_records(targets, rows)

@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillrank.operators import joins as J
-from quillrank.plans import graph, ranking
+from quillrank.plans import graph, ranking, replay
+from quillrank.queries import QUERIES
+from quillrank.queries.registry import rounded
 from quillrank.streaming import events as S
 
 
@@ -65,3 +67,24 @@ def test_copies_of_a_vector_are_compared_once(spark, monkeypatch):
     make = lambda rows: spark.createDataFrame(rows, "id long, author string, rating double, vec array<double>").withColumn("identity", F.col("id").cast("string"))
     got = {r["id"]: r["score"] for r in ranking.baseline(make(reads), make(asked)).collect()}
     assert got == pytest.approx(want, abs=2e-6) and sizes == [(4, 7)]  # reads rated 3 count for nothing
+
+
+def test_variants_share_their_neighbours(spark, sf, monkeypatch):
+    passes, real = [], ranking._with_block_terms
+    monkeypatch.setattr(ranking, "_with_block_terms", lambda *a: passes.append(a[3:]) or real(*a))
+    out = QUERIES["formula_variants"](spark, sf)
+    assert len(out.columns) == 3 and len(passes) == 2  # plain and centred cosines
+
+
+def test_copies_of_sparse_vectors_are_thinned_exactly(spark, monkeypatch):
+    """Twelve texts, 900 reads: the same scores and features, bit by bit of the six digits, as when all reads meet."""
+    rng = np.random.default_rng(8)
+    texts = [sorted(rng.choice(30, 4, replace=False).tolist()) for _ in range(12)]
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=int(rng.integers(9)))
+    rows = [(i, f"i{i}", f"a{i % 7}", float(1 + int(rng.integers(5))), day(i), texts[int(rng.integers(12))], [0.5] * 4) for i in rng.permutation(900).tolist()]
+    reads = spark.createDataFrame(rows, "id long, identity string, author string, rating double, day date, terms array<long>, weights array<double>")
+    needed, asked = replay.without_copies(reads)
+    assert needed.count() < 800 and asked.count() == 900
+    got = {r["id"]: r for r in rounded(replay.replay(reads)).collect()}
+    monkeypatch.setattr(replay, "without_copies", lambda rows: (rows, rows.select("id", F.col("id").alias("asked"))))
+    assert got == {r["id"]: r for r in rounded(replay.replay(reads)).collect()}
