@@ -50,6 +50,8 @@ SYMBOLS = CHUNKS * CHUNK
 MAX_DISTANCE = 27
 #: Members of a block of a bucket, and of a cluster (whose texts come along); and members dealt to a task.
 BUCKET, CLUSTER, TASK = 4096, 4096, 2048
+#: Links of which a task makes a forest (in memory about a hundred bytes each).
+LINKS = 1_000_000
 
 _rng = np.random.default_rng(48)
 _A = (_rng.integers(0, 1 << 31, SYMBOLS) * 2 + 1).astype(np.uint32)
@@ -123,18 +125,52 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(both.mapInArrow(_confirm, "a long, b long, ok boolean"))
 
 
+def _lowest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of links (a, b) and for each the smallest id reachable by them."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while len(x):
+        # Labels are roots here: each root hooks to the lowest that a link shows it, then all jump to their roots.
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != (next_ := label[label])).any():
+            label = next_
+        x, y = label[x], label[y]
+        x, y = x[x != y], y[x != y]
+    return ids, ids[label]
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each id of a task's links and the smallest id that these links reach from it."""
+    parts = [[batch.column(c).to_numpy() for c in ("a", "b")] for batch in batches]
+    if parts:
+        ids, comp = _lowest(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        for i in range(0, len(ids), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 100_000]), pa.array(comp[i : i + 100_000])], ["id", "comp"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(a, b) links -> (id, comp): the smallest id reachable, for every id in a link.
+    """(a, b) links, materialized -> (id, comp): the smallest id reachable, for every id in a link.
 
-    Each round takes the smallest label among neighbours, then jumps to that label's label.
+    Each task replaces its links by stars on their smallest id; if they are one task's, that
+    is the result. Else rounds over the stars join those of different tasks: each takes the
+    smallest label among neighbours, for its old label too, then jumps to that label's label.
+    A round costs the driver several jobs with their tasks and plans, so small tables get none.
     """
-    arcs = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    tasks = max(1, -(-links.count() // LINKS))
+    stars = cut(links.select("a", "b").coalesce(tasks).mapInArrow(_forest, "id long, comp long"))
+    if tasks == 1:
+        return stars
+    links = stars.where("id != comp").select(F.col("id").alias("a"), F.col("comp").alias("b"))
+    arcs = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     n = arcs.count()
     arcs = few(arcs, n)
     labels = cut(few(arcs.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), n))
     while True:
         near = few(arcs.join(labels.withColumnRenamed("id", "b"), "b").select("a", "comp"), n).groupBy("a").agg(F.min("comp").alias("m"))
         hooked = few(labels.join(near, labels["id"] == near["a"]).select("id", "comp", F.least("comp", "m").alias("new")), n)
+        # What an id finds its old label finds too, or a long chain would take as many rounds as it has ids.
+        told = hooked.unionByName(hooked.select(F.col("comp").alias("id"), F.lit(None).cast("long").alias("comp"), "new"))
+        hooked = few(told.groupBy("id").agg(F.max("comp").alias("comp"), F.min("new").alias("new")), n)
         jump = labels.select(F.col("id").alias("new"), F.col("comp").alias("jumped"))
         step = cut(few(hooked.join(jump, "new").select("id", "comp", F.least("new", "jumped").alias("next")), n))
         moved = step.where(F.col("next") != F.col("comp")).limit(1).count()
@@ -242,7 +278,7 @@ def _dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) that join the classes' components.
+    """Links (a, b) that have the classes' components; of those by stars, id by smallest id.
 
     ``classes`` has (id, uid, sig), one row per distinct set.
     """
@@ -262,12 +298,13 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo < hi").select("key", "g")
     active = cut(join_hot(now, cut(mixed), ["key"], "g", entries).join(classes.select("id", "sig"), "id").select("key", "id", "comp", "sig"))
     met = block_pairs(active, "key", BUCKET)
-    clusters = components(_dealt(met, active.count(), "key", "lo", "hi").groupBy("key", "lo", "hi").applyInPandas(_near_components, "a long, b long"))
+    clusters = components(cut(_dealt(met, active.count(), "key", "lo", "hi").groupBy("key", "lo", "hi").applyInPandas(_near_components, "a long, b long")))
     clusters = clusters.select(F.col("id").alias("comp"), F.col("comp").alias("cluster"))
     placed = cut(active.select("id", "comp", "sig").dropDuplicates(["id"]).join(clusters, "comp"))
     parts = block_pairs(placed, "cluster", CLUSTER).join(texts, "id")
     solved = _dealt(parts, placed.count(), "cluster", "lo", "hi").groupBy("cluster", "lo", "hi").applyInPandas(_solve, "a long, b long")
-    return found.unionByName(cut(solved))
+    # The stars' labels stand for the links found: the same components from fewer rows and tasks.
+    return labels.select(F.col("comp").alias("a"), F.col("id").alias("b")).unionByName(cut(solved))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

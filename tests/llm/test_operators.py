@@ -12,6 +12,7 @@ import pytest
 
 from quillrank.llm import exact_dedup, html_text, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, secrets, substring_dedup
 from quillrank.llm import queries as Q
+from quillrank.session import cut
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "Lorem ipsum dolor sit amet " * 4000
@@ -826,6 +827,58 @@ def test_near_dedup_one_chunk_pair(spark, monkeypatch):
     assert [sorted((r["a"], r["b"])) for r in rows_of(met)] == [[38, 39]]
 
 
+def jobs_so_far(spark):
+    return spark._jsc.sc().dagScheduler().numTotalJobs()
+
+
+def random_links(n, seed):
+    """A long chain, a star around a high id, cycles and pairs, in any order and direction."""
+    rng = np.random.default_rng(seed)
+    ids = rng.permutation(10 * n)
+    links = list(zip(ids[: n - 1], ids[1:n], strict=True)) + [(10 * n + 5, i) for i in ids[n : 2 * n]] + list(zip(ids[2 * n : 3 * n], ids[2 * n + 7 : 3 * n + 7], strict=True)) + [(ids[3 * n], ids[3 * n])]
+    return [(int(a), int(b)) if k % 2 else (int(b), int(a)) for k, (a, b) in enumerate(links)]
+
+
+def plain_lowest(links):
+    parent = {i: i for link in links for i in link}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    return {i: root(i) for i in parent}
+
+
+def test_components_take_few_jobs(spark):
+    """The driver holds plans and tasks of every job: a chain costs no more of them than a pair."""
+    links = random_links(300, 4)
+    table = cut(spark.createDataFrame(links, "a long, b long"))
+    before = jobs_so_far(spark)
+    got = near_dedup.components(table)
+    assert jobs_so_far(spark) - before <= 4
+    assert {r["id"]: r["comp"] for r in rows_of(got)} == plain_lowest(links)
+    assert not rows_of(near_dedup.components(table.where("a < 0")))
+
+
+def test_components_of_many_tasks(spark, monkeypatch):
+    """Links of more tasks than one: their forests are joined in rounds."""
+    monkeypatch.setattr(near_dedup, "LINKS", 100)
+    links = [(a, b) for a, b in random_links(100, 5) if a != b]
+    got = near_dedup.components(cut(spark.createDataFrame(links, "a long, b long").repartition(6)))
+    assert {r["id"]: r["comp"] for r in rows_of(got)} == plain_lowest(links)
+
+
+def test_near_dedup_takes_few_jobs(spark, sf):
+    before = jobs_so_far(spark)
+    got = near_dedup.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert jobs_so_far(spark) - before <= 70  # 106 with rounds for each table of links
+    assert got.count() == 1000
+
+
 def test_near_dedup_index_recall():
     """Pairs of sets at the threshold: share a key, and are near enough to be compared after the stars."""
     rng = np.random.default_rng(75)
